@@ -1,0 +1,5 @@
+"""Intentionally empty: the analysed input is a finite set of capture files.
+
+Every operator is a batch DataFrame function. No watermark, state store or
+late-data rule exists in the feature set this library covers, so none is added.
+"""
