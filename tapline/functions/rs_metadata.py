@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import blank_to_null, strip
+from .scalars import blank_to_null, let, strip
 from .text import body_parts, is_rs_metadata, maybe_hex_decode
 
 # Fixed values.
@@ -29,13 +29,8 @@ _XML_SCHEMA = (
 )
 
 
-def _list(x: Column) -> Column:
-    """An array without nulls; a missing one is empty."""
-    return F.when(x.isNotNull(), F.filter(x, lambda v: v.isNotNull())).otherwise(F.slice(x, 1, 0))
-
-
 def _first_text(xs: Column) -> Column:
-    return F.when(F.size(xs) > 0, blank_to_null(strip(F.element_at(xs, 1))))
+    return blank_to_null(strip(F.try_element_at(xs, F.lit(1))))
 
 
 def _either(a: Column, b: Column) -> Column:
@@ -58,72 +53,76 @@ def metadata_version(xml: Column) -> Column:
     return F.when(F.regexp_like(attrs, declared), F.lit("1"))
 
 
-def parse_rs_metadata(xml) -> Column:
-    """XML text to struct(version, raw_xml, participants, streams, sessions).
+def _present(xs: Column) -> Column:
+    return F.filter(xs, lambda x: x.isNotNull())
 
-    Unreadable XML keeps raw_xml and has empty lists.
-    """
-    xml = F.col(xml) if isinstance(xml, str) else xml
-    doc = F.from_xml(xml, _XML_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
-    text_ids = "array<struct<participant_id:string,name:string,aor:string>>"
-    participants = _or_empty(
-        F.transform(
-            F.filter(doc["participant"], lambda p: p.isNotNull()),
-            lambda p: F.struct(
-                _either(p["_participant_id"], p["_participantid"]).alias("participant_id"),
-                F.when(F.size(p["nameID"]) > 0, _first_text(F.element_at(p["nameID"], 1)["name"])).alias("name"),
-                F.when(F.size(p["nameID"]) > 0, F.element_at(p["nameID"], 1)["_aor"]).alias("aor"),
-            ),
-        ),
-        text_ids,
-    )
-    links = F.transform(
-        F.filter(doc["participantstreamassoc"], lambda a: a.isNotNull()),
-        lambda a: F.struct(
-            _either(a["_participant_id"], a["_participantid"]).alias("pid"),
-            F.transform(
-                F.concat(
-                    _or_empty(a["send"], "array<string>"),
-                    _or_empty(a["recv"], "array<string>"),
-                    _or_empty(a["sendrecv"], "array<string>"),
-                ),
-                strip,
-            ).alias("refs"),
-        ),
+
+def _participants(doc: Column) -> Column:
+    def one(p: Column) -> Column:
+        ident = F.try_element_at(p["nameID"], F.lit(1))
+        return F.struct(
+            _either(p["_participant_id"], p["_participantid"]).alias("participant_id"),
+            _first_text(ident["name"]).alias("name"),
+            ident["_aor"].alias("aor"),
+        )
+
+    return _or_empty(
+        F.transform(_present(doc["participant"]), one),
+        "array<struct<participant_id:string,name:string,aor:string>>",
     )
-    links = _or_empty(links, "array<struct<pid:string,refs:array<string>>>")
-    streams = _or_empty(
+
+
+def _links(doc: Column) -> Column:
+    """Participant and the streams it sends or receives, per association."""
+    def refs(a: Column) -> Column:
+        return F.concat(*[_or_empty(a[k], "array<string>") for k in ("send", "recv", "sendrecv")])
+
+    return _or_empty(
         F.transform(
-            F.filter(doc["stream"], lambda s: s.isNotNull()),
-            lambda s: F.struct(
-                _either(s["_stream_id"], s["_streamid"]).alias("stream_id"),
-                s["_session_id"].alias("session_id"),
-                _first_text(s["type"]).alias("media_type"),
-                _first_text(s["label"]).alias("label"),
+            _present(doc["participantstreamassoc"]),
+            lambda a: F.struct(
+                _either(a["_participant_id"], a["_participantid"]).alias("pid"),
+                F.transform(refs(a), strip).alias("refs"),
             ),
         ),
-        "array<struct<stream_id:string,session_id:string,media_type:string,label:string>>",
+        "array<struct<pid:string,refs:array<string>>>",
     )
-    wired = F.transform(
-        streams,
-        lambda s: F.struct(
-            s["stream_id"].alias("stream_id"),
-            s["session_id"].alias("session_id"),
-            s["media_type"].alias("media_type"),
-            s["label"].alias("label"),
-            F.array_sort(
-                F.array_distinct(
-                    F.transform(
-                        F.filter(links, lambda l: (s["stream_id"] != "") & F.array_contains(l["refs"], s["stream_id"])),
-                        lambda l: l["pid"],
-                    )
-                )
-            ).alias("participant_ids"),
-        ),
+
+
+def _streams(doc: Column) -> Column:
+    def wired(links: Column) -> Column:
+        def one(s: Column) -> Column:
+            return let(
+                _either(s["_stream_id"], s["_streamid"]),
+                lambda sid: F.struct(
+                    sid.alias("stream_id"),
+                    s["_session_id"].alias("session_id"),
+                    _first_text(s["type"]).alias("media_type"),
+                    _first_text(s["label"]).alias("label"),
+                    F.array_sort(
+                        F.array_distinct(
+                            F.transform(
+                                F.filter(links, lambda l: (sid != "") & F.array_contains(l["refs"], sid)),
+                                lambda l: l["pid"],
+                            )
+                        )
+                    ).alias("participant_ids"),
+                ),
+            )
+
+        return F.transform(_present(doc["stream"]), one)
+
+    return _or_empty(
+        let(_links(doc), wired),
+        "array<struct<stream_id:string,session_id:string,media_type:string,label:string,participant_ids:array<string>>>",
     )
+
+
+def _sessions(doc: Column, participants: Column, streams: Column) -> Column:
+    known = F.transform(participants, lambda p: p["participant_id"])
     members = _or_empty(
         F.transform(
-            F.filter(doc["participantsessionassoc"], lambda a: a.isNotNull()),
+            _present(doc["participantsessionassoc"]),
             lambda a: F.struct(
                 _either(a["_participant_id"], a["_participantid"]).alias("pid"),
                 _either(a["_session_id"], a["_sessionid"]).alias("sid"),
@@ -131,45 +130,48 @@ def parse_rs_metadata(xml) -> Column:
         ),
         "array<struct<pid:string,sid:string>>",
     )
-    session_ids = F.array_distinct(
+    ids = F.array_distinct(
         _or_empty(
-            F.transform(
-                F.filter(doc["session"], lambda s: s.isNotNull()),
-                lambda s: _either(s["_session_id"], s["_sessionid"]),
-            ),
+            F.transform(_present(doc["session"]), lambda s: _either(s["_session_id"], s["_sessionid"])),
             "array<string>",
         )
     )
-    known = F.transform(participants, lambda p: p["participant_id"])
-    sessions = F.transform(
-        session_ids,
-        lambda sid: F.struct(
+
+    def one(sid: Column) -> Column:
+        mine = F.transform(F.filter(members, lambda m: (m["sid"] == sid) & (sid != "")), lambda m: m["pid"])
+        return F.struct(
             sid.alias("session_id"),
-            F.array_sort(
-                F.array_distinct(
-                    F.filter(
-                        F.transform(
-                            F.filter(members, lambda m: (m["sid"] == sid) & (sid != "")), lambda m: m["pid"]
-                        ),
-                        lambda pid: F.array_contains(known, pid),
-                    )
-                )
-            ).alias("participant_ids"),
-            F.transform(
-                F.filter(streams, lambda s: s["session_id"] == sid), lambda s: s["stream_id"]
-            ).alias("stream_ids"),
-        ),
-    )
-    return F.when(
-        xml.isNotNull(),
-        F.struct(
-            metadata_version(xml).alias("version"),
-            xml.alias("raw_xml"),
-            participants.alias("participants"),
-            wired.alias("streams"),
-            sessions.alias("sessions"),
-        ),
-    )
+            F.array_sort(F.array_distinct(F.filter(mine, lambda pid: F.array_contains(known, pid)))).alias("participant_ids"),
+            F.transform(F.filter(streams, lambda s: s["session_id"] == sid), lambda s: s["stream_id"]).alias("stream_ids"),
+        )
+
+    return F.transform(ids, one)
+
+
+def parse_rs_metadata(xml) -> Column:
+    """XML text to struct(version, raw_xml, participants, streams, sessions).
+
+    Unreadable XML keeps raw_xml and has empty lists.
+    """
+    xml = F.col(xml) if isinstance(xml, str) else xml
+
+    def built(text: Column) -> Column:
+        doc = F.from_xml(text, _XML_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+        lists = let(
+            doc, lambda d: F.struct(d.alias("doc"), _participants(d).alias("participants"), _streams(d).alias("streams"))
+        )
+        return let(
+            lists,
+            lambda x: F.struct(
+                metadata_version(text).alias("version"),
+                text.alias("raw_xml"),
+                x["participants"].alias("participants"),
+                x["streams"].alias("streams"),
+                _sessions(x["doc"], x["participants"], x["streams"]).alias("sessions"),
+            ),
+        )
+
+    return let(xml, lambda t: F.when(t.isNotNull(), built(t)))
 
 
 def salvaged_xml(*texts) -> Column:
@@ -186,5 +188,4 @@ def metadata_xml(body, content_type, raw_headers) -> Column:
         body_parts(body, content_type),
         lambda p: is_rs_metadata(p["content_type"]) & (strip(p["content"]) != ""),
     )
-    declared = F.when(F.size(parts) > 0, F.element_at(parts, 1)["content"])
-    return F.coalesce(declared, salvaged_xml(body, raw_headers))
+    return F.coalesce(F.try_element_at(parts, F.lit(1))["content"], salvaged_xml(body, raw_headers))

@@ -21,6 +21,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use) -> Column:
+    """``use`` applied to a value that is worked out once per row.
+
+    Binds the value to a lambda variable; without it every mention of a long
+    expression is evaluated again.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(x) -> Column:
     """Trim every kind of white space on both ends."""
     return F.regexp_replace(_c(x), r"^\s+|\s+$", "")

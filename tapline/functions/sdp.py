@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import blank_to_null, strip
+from .scalars import let, strip
 
 # Fixed values.
 DIRECTIONS = ("sendrecv", "sendonly", "recvonly", "inactive")
@@ -21,7 +21,7 @@ MEDIA_TYPE = (
 
 
 def _last(xs: Column) -> Column:
-    return F.when(F.size(xs) > 0, F.element_at(xs, -1))
+    return F.try_element_at(xs, F.lit(-1))
 
 
 def _words(x: Column) -> Column:
@@ -29,8 +29,7 @@ def _words(x: Column) -> Column:
 
 
 def _connection(value: Column) -> Column:
-    w = _words(value)
-    return F.when(F.size(w) >= 3, F.element_at(w, 3)).when(F.size(w) > 0, F.element_at(w, -1))
+    return let(_words(value), lambda w: F.coalesce(F.try_element_at(w, F.lit(3)), _last(w)))
 
 
 def _values_of(lines: Column, key: str) -> Column:
@@ -60,7 +59,7 @@ def _last_value(attrs: Column, name: str) -> Column:
 
 def _keyed_map(attrs: Column, name: str) -> Column:
     """First word of the value -> rest of the value; later lines overwrite."""
-    pairs = F.filter(
+    named = F.filter(
         F.transform(
             _named(attrs, name),
             lambda a: F.struct(
@@ -70,13 +69,14 @@ def _keyed_map(attrs: Column, name: str) -> Column:
         ),
         lambda p: p["k"] != "",
     )
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_entries(
-        F.transform(
-            keys,
-            lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]),
+
+    def folded(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+        return F.map_from_entries(
+            F.transform(keys, lambda k: F.struct(k, _last(F.filter(pairs, lambda p: p["k"] == k))["v"]))
         )
-    )
+
+    return let(named, folded)
 
 
 def _grouped(attrs: Column) -> Column:
@@ -92,42 +92,15 @@ def _grouped(attrs: Column) -> Column:
 
 
 def _port(words: Column) -> Column:
-    text = F.split_part(F.element_at(words, 2), F.lit("/"), F.lit(1))
+    text = F.split_part(F.try_element_at(words, F.lit(2)), F.lit("/"), F.lit(1))
     return F.when((F.size(words) >= 3) & text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
 
 
-def parse_sdp(text) -> Column:
-    """SDP text to struct(connection_address, origin, session_name, media).
-
-    Lines are cut into sections at every m= line. A malformed m= line opens a
-    section without media: its c= line counts for the session, its a= lines
-    for nothing.
-    """
-    text = F.col(text) if isinstance(text, str) else text
-    lines = F.filter(
-        F.transform(F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n"), strip),
-        lambda l: F.substring(l, 2, 1) == "=",
-    )
-    marks = F.filter(
-        F.transform(lines, lambda l, i: F.when(F.substring(l, 1, 1) == "m", i + F.lit(1))),
-        lambda i: i.isNotNull(),
-    )
-    stops = F.concat(F.filter(marks, lambda m, i: i > 0), F.array(F.size(lines) + 1))
-    sections = F.transform(
-        F.arrays_zip(marks.alias("at"), F.slice(stops, F.lit(1), F.size(marks)).alias("stop")),
-        lambda s: F.slice(lines, s["at"], s["stop"] - s["at"]),
-    )
-    head = F.slice(lines, F.lit(1), F.when(F.size(marks) > 0, F.element_at(marks, 1) - 1).otherwise(F.size(lines)))
-
-    def m_words(section):
-        return _words(strip(F.substring(F.element_at(section, 1), 3, 1 << 30)))
-
-    good = F.filter(sections, lambda s: _port(m_words(s)).isNotNull())
-    bad = F.filter(sections, lambda s: _port(m_words(s)).isNull())
+def _to_media(section: Column, idx: Column) -> Column:
+    """Media struct of a section: its m= words, port and following lines."""
+    w, port, lines = section["words"], section["port"], section["lines"]
 
-    def to_media(section: Column, idx: Column) -> Column:
-        w = m_words(section)
-        attrs = _attributes(section)
+    def built(attrs: Column) -> Column:
         rtcp = F.filter(
             F.transform(_named(attrs, "rtcp"), lambda a: F.split_part(a["value"], F.lit(" "), F.lit(1))),
             lambda t: t.rlike("^[0-9]+$"),
@@ -135,10 +108,10 @@ def parse_sdp(text) -> Column:
         return F.struct(
             idx.alias("media_idx"),
             F.element_at(w, 1).alias("media_type"),
-            _port(w).alias("port"),
+            port.alias("port"),
             F.element_at(w, 3).alias("protocol"),
             F.slice(w, F.lit(4), F.greatest(F.size(w) - 3, F.lit(0))).alias("payload_types"),
-            _last(F.transform(_values_of(section, "c"), _connection)).alias("connection_address"),
+            _last(F.transform(_values_of(lines, "c"), _connection)).alias("connection_address"),
             _last(F.transform(_named(attrs, *DIRECTIONS), lambda a: a["name"])).alias("direction"),
             _last_value(attrs, "label").alias("label"),
             _last_value(attrs, "mid").alias("mid"),
@@ -149,16 +122,55 @@ def parse_sdp(text) -> Column:
             _grouped(attrs).alias("attributes"),
         )
 
-    session_lines = F.concat(head, F.flatten(bad))
-    return F.when(
-        text.isNotNull(),
-        F.struct(
-            _last(F.transform(_values_of(session_lines, "c"), _connection)).alias("connection_address"),
-            _last(_values_of(lines, "o")).alias("origin"),
-            _last(_values_of(lines, "s")).alias("session_name"),
-            F.transform(good, to_media).alias("media"),
-        ),
+    return let(_attributes(lines), built)
+
+
+def parse_sdp(text) -> Column:
+    """SDP text to struct(connection_address, origin, session_name, media).
+
+    Lines are cut into sections at every m= line. A malformed m= line opens a
+    section without media: its c= line counts for the session, its a= lines
+    for nothing.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+
+    def session(x: Column) -> Column:
+        lines, marks = x["lines"], x["marks"]
+        stops = F.concat(F.filter(marks, lambda m, i: i > 0), F.array(F.size(lines) + 1))
+
+        def section(m: Column, i: Column) -> Column:
+            own = F.slice(lines, m, F.element_at(stops, i + 1) - m)
+            words = _words(strip(F.substring(F.element_at(lines, m), 3, 1 << 30)))
+            return let(words, lambda w: F.struct(own.alias("lines"), w.alias("words"), _port(w).alias("port")))
+
+        head = F.slice(
+            lines, F.lit(1), F.coalesce(F.try_element_at(marks, F.lit(1)) - 1, F.size(lines))
+        )
+
+        def built(sections: Column) -> Column:
+            bad = F.transform(F.filter(sections, lambda s: s["port"].isNull()), lambda s: s["lines"])
+            loose = F.concat(head, F.flatten(bad))
+            return F.struct(
+                _last(F.transform(_values_of(loose, "c"), _connection)).alias("connection_address"),
+                _last(_values_of(lines, "o")).alias("origin"),
+                _last(_values_of(lines, "s")).alias("session_name"),
+                F.transform(F.filter(sections, lambda s: s["port"].isNotNull()), _to_media).alias("media"),
+            )
+
+        return let(F.transform(marks, section), built)
+
+    def marked(lines: Column) -> Column:
+        marks = F.filter(
+            F.transform(lines, lambda l, i: F.when(F.substring(l, 1, 1) == "m", i + F.lit(1))),
+            lambda i: i.isNotNull(),
+        )
+        return let(F.struct(lines.alias("lines"), marks.alias("marks")), session)
+
+    lines = F.filter(
+        F.transform(F.split(F.regexp_replace(text, "\r\n|\r", "\n"), "\n"), strip),
+        lambda l: F.substring(l, 2, 1) == "=",
     )
+    return F.when(text.isNotNull(), let(lines, marked))
 
 
 def directions_of(media) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import blank_to_null, strip, via_branch, via_sent_by
+from .scalars import blank_to_null, let, strip, via_branch, via_sent_by
 
 # Fixed values.
 METADATA_TYPES = ("application/rs-metadata", "application/rs-metadata+xml")
@@ -50,18 +50,29 @@ def sniffed_boundary(body) -> Column:
 def maybe_hex_decode(text) -> Column:
     """Readable text of an all-hex body; any other body stays as it is."""
     text = _c(text)
-    packed = F.regexp_replace(strip(text), "[: \n]", "")
-    is_hex = (
-        (F.length(packed) >= HEX_MIN_CHARS)
-        & (F.length(packed) % 2 == 0)
-        & packed.rlike("^[0-9a-fA-F]+$")
-    )
-    raw = F.unhex(F.when(is_hex, packed))
-    as_text = raw.cast("string")
-    decoded = F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(raw, "ISO-8859-1"))
-    readable = F.length(F.regexp_replace(decoded, r"[\p{C}\p{Z}&&[^ \r\n\t]]", ""))
-    keep = readable.cast("double") / F.greatest(F.length(decoded), F.lit(1)) >= PRINTABLE_SHARE
-    return F.when(is_hex & F.coalesce(keep, F.lit(False)), decoded).otherwise(text)
+
+    def readable(decoded: Column) -> Column:
+        kept = F.length(F.regexp_replace(decoded, r"[\p{C}\p{Z}&&[^ \r\n\t]]", ""))
+        share = kept.cast("double") / F.greatest(F.length(decoded), F.lit(1))
+        return F.when(share >= PRINTABLE_SHARE, decoded)
+
+    def from_bytes(raw: Column) -> Column:
+        as_text = raw.cast("string")
+        return let(
+            F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(raw, "ISO-8859-1")), readable
+        )
+
+    def from_packed(packed: Column) -> Column:
+        is_hex = (
+            (F.length(packed) >= HEX_MIN_CHARS)
+            & (F.length(packed) % 2 == 0)
+            & packed.rlike("^[0-9a-fA-F]+$")
+        )
+        return F.when(is_hex, let(F.unhex(packed), from_bytes))
+
+    decoded = let(F.regexp_replace(strip(text), "[: \n]", ""), from_packed)
+    # A first look at the leading characters spares plain text the full scan.
+    return F.when(text.rlike(r"^\s*[0-9a-fA-F: \n]{8}"), F.coalesce(decoded, text)).otherwise(text)
 
 
 def _name_values(lines: Column) -> Column:
@@ -80,7 +91,7 @@ def header_value(headers: Column, *names: str) -> Column:
 
     def last_of(name: str) -> Column:
         hits = F.filter(headers, lambda h: h["name"] == name)
-        return F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"])
+        return F.try_element_at(hits, F.lit(-1))["value"]
 
     picks = [last_of(name) for name in names]
     return F.coalesce(*[blank_to_null(p) for p in picks[:-1]], picks[-1])
@@ -102,69 +113,85 @@ def body_parts(body, content_type) -> Column:
     A body without a boundary is one part under the message's own type.
     """
     ctype = _c(content_type)
-    text = maybe_hex_decode(body)
-    dash = F.instr(text, "--")
-    looks_split = F.coalesce(F.lower(ctype).contains("multipart/"), F.lit(False)) | (
-        (dash > 0) & (dash < BOUNDARY_HINT_SPAN)
-    )
-    boundary = F.coalesce(header_boundary(ctype), F.when(looks_split, sniffed_boundary(text)))
-    unix = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    pieces = F.transform(
-        F.split(unix, F.concat(F.lit("\\Q--"), boundary, F.lit("\\E"))),
-        lambda s: F.regexp_replace(s, r"^\n+|\n+$", ""),
-    )
-    pieces = F.filter(pieces, lambda s: (s != "") & (strip(s) != "--"))
 
     def to_part(s: Column) -> Column:
-        headers = _name_values(F.split(_before_blank_line(s), "\n"))
-        return F.struct(
-            headers.alias("headers"),
-            header_value(headers, "content-type").alias("content_type"),
-            F.regexp_replace(_after_blank_line(s), r"^\n+|\n+$", "").alias("content"),
+        def built(headers: Column) -> Column:
+            return F.struct(
+                headers.alias("headers"),
+                header_value(headers, "content-type").alias("content_type"),
+                F.regexp_replace(_after_blank_line(s), r"^\n+|\n+$", "").alias("content"),
+            )
+
+        return let(_name_values(F.split(_before_blank_line(s), "\n")), built)
+
+    def parts(text: Column) -> Column:
+        dash = F.instr(text, "--")
+        looks_split = F.coalesce(F.lower(ctype).contains("multipart/"), F.lit(False)) | (
+            (dash > 0) & (dash < BOUNDARY_HINT_SPAN)
         )
-
-    whole = F.array(
-        F.struct(
-            F.array().cast("array<struct<name:string,value:string>>").alias("headers"),
-            ctype.alias("content_type"),
-            text.alias("content"),
-        )
-    )
-    return F.when(boundary.isNotNull(), F.transform(pieces, to_part)).otherwise(
-        F.when(text.isNotNull(), whole)
-    )
+        found = F.coalesce(header_boundary(ctype), F.when(looks_split, sniffed_boundary(text)))
+
+        def cut(boundary: Column) -> Column:
+            pieces = F.transform(
+                F.split(
+                    F.replace(text, F.lit("\r\n"), F.lit("\n")), F.concat(F.lit("\\Q--"), boundary, F.lit("\\E"))
+                ),
+                lambda s: F.regexp_replace(s, r"^\n+|\n+$", ""),
+            )
+            whole = F.array(
+                F.struct(
+                    F.array().cast("array<struct<name:string,value:string>>").alias("headers"),
+                    ctype.alias("content_type"),
+                    text.alias("content"),
+                )
+            )
+            split = F.transform(F.filter(pieces, lambda s: (s != "") & (strip(s) != "--")), to_part)
+            return F.when(boundary.isNotNull(), split).otherwise(whole)
+
+        return F.when(text.isNotNull(), let(found, cut))
+
+    return let(maybe_hex_decode(body), parts)
 
 
 def parse_sip_text(raw) -> Column:
     """One SIP message text to a struct; ``error`` is set instead of raising."""
     raw = _c(raw)
-    unix = F.regexp_replace(raw, "\r\n|\r", "\n")
-    block = _before_blank_line(unix)
-    body = _after_blank_line(unix)
-    lines = F.split(block, "\n")
-    start = strip(F.element_at(lines, 1))
-    headers = _name_values(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
-    is_status = start.rlike(STATUS_LINE)
-    is_req = ~is_status & start.rlike(REQUEST_LINE)
-    via = header_value(headers, "via", "v")
-    blank = F.coalesce(strip(raw) == "", F.lit(True))
-    return F.struct(
-        header_value(headers, "call-id", "i").alias("call_id"),
-        F.when(is_req, F.upper(F.regexp_extract(start, REQUEST_LINE, 1))).alias("method"),
-        F.when(is_status, F.regexp_extract(start, STATUS_LINE, 1).try_cast("int")).alias("status_code"),
-        F.when(is_status, blank_to_null(strip(F.regexp_extract(start, STATUS_LINE, 2)))).alias("reason_phrase"),
-        header_value(headers, "cseq").alias("cseq"),
-        header_value(headers, "from", "f").alias("from_header"),
-        header_value(headers, "to", "t").alias("to_header"),
-        header_value(headers, "contact", "m").alias("contact"),
-        header_value(headers, "content-type", "c").alias("content_type"),
-        block.alias("raw_headers"),
-        F.when(strip(body) != "", body).alias("body"),
-        header_value(headers, "user-agent").alias("user_agent"),
-        header_value(headers, "server").alias("server"),
-        via_branch(via).alias("via_branch"),
-        via_sent_by(via).alias("via_sent_by"),
-        F.when(blank, F.lit("Empty SIP message."))
-        .when(~is_status & ~is_req, F.concat(F.lit("Unrecognized SIP start line: "), start))
-        .alias("error"),
-    )
+
+    def message(x: Column) -> Column:
+        start, headers, block, body = x["start"], x["headers"], x["block"], x["body"]
+        is_status = start.rlike(STATUS_LINE)
+        is_req = ~is_status & start.rlike(REQUEST_LINE)
+        via = header_value(headers, "via", "v")
+        return F.struct(
+            header_value(headers, "call-id", "i").alias("call_id"),
+            F.when(is_req, F.upper(F.regexp_extract(start, REQUEST_LINE, 1))).alias("method"),
+            F.when(is_status, F.regexp_extract(start, STATUS_LINE, 1).try_cast("int")).alias("status_code"),
+            F.when(is_status, blank_to_null(strip(F.regexp_extract(start, STATUS_LINE, 2)))).alias("reason_phrase"),
+            header_value(headers, "cseq").alias("cseq"),
+            header_value(headers, "from", "f").alias("from_header"),
+            header_value(headers, "to", "t").alias("to_header"),
+            header_value(headers, "contact", "m").alias("contact"),
+            header_value(headers, "content-type", "c").alias("content_type"),
+            block.alias("raw_headers"),
+            F.when(strip(body) != "", body).alias("body"),
+            header_value(headers, "user-agent").alias("user_agent"),
+            header_value(headers, "server").alias("server"),
+            via_branch(via).alias("via_branch"),
+            via_sent_by(via).alias("via_sent_by"),
+            F.when(strip(block) == "", F.lit("Empty SIP message."))
+            .when(~is_status & ~is_req, F.concat(F.lit("Unrecognized SIP start line: "), start))
+            .alias("error"),
+        )
+
+    def sections(unix: Column) -> Column:
+        return let(F.split(_before_blank_line(unix), "\n"), lambda lines: let(
+            F.struct(
+                strip(F.element_at(lines, 1)).alias("start"),
+                _name_values(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("headers"),
+                _before_blank_line(unix).alias("block"),
+                _after_blank_line(unix).alias("body"),
+            ),
+            message,
+        ))
+
+    return let(F.regexp_replace(raw, "\r\n|\r", "\n"), sections)

@@ -490,7 +490,7 @@ def detect_hold_retrieve(holds: DataFrame) -> DataFrame:
         holds.withColumn("_text", text)
         .groupBy("call_id")
         .agg(
-            F.count_if("kind = 'RETRIEVE'").alias("cycles"),
+            F.count_if(F.expr("kind = 'RETRIEVE'")).alias("cycles"),
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", "_text"))), lambda s: s["_text"]), "; "
             ).alias("events"),

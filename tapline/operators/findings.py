@@ -153,8 +153,8 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     """Per call: findings, warnings, errors and the worst severity rank."""
     return findings.groupBy("call_id").agg(
         F.count(F.lit(1)).alias("n_findings"),
-        F.count_if("severity = 'WARN'").alias("n_warnings"),
-        F.count_if("severity in ('ERROR', 'CRITICAL')").alias("n_errors"),
+        F.count_if(F.expr("severity = 'WARN'")).alias("n_warnings"),
+        F.count_if(F.expr("severity in ('ERROR', 'CRITICAL')")).alias("n_errors"),
         F.max(severity_rank("severity")).alias("worst_rank"),
     )
 

@@ -20,7 +20,7 @@ def call_facts(
     seen = streams.groupBy("call_id").agg(
         F.count(F.lit(1)).alias("observed"),
         F.sum("sequence_gaps").alias("gaps_total"),
-        F.count_if("not rtcp_observed").alias("missing_rtcp"),
+        F.count_if(F.expr("not rtcp_observed")).alias("missing_rtcp"),
         F.min("first_t").alias("first_media_t"),
     )
     rtcp = rtcp_summary.select(

@@ -27,6 +27,7 @@ class Options:
     rtcp_scope: str = "ports"
     time_bound: bool = False
     unscoped_by_file: bool = True
+    pre_scoped: bool = False
     include_stream_counts: bool = False
     packet_chunk_rows: int = CHUNK_ROWS
     message_chunk_rows: int = CHUNK_ROWS
@@ -58,6 +59,9 @@ def signalling_tables(raw_messages: DataFrame) -> Signalling:
 
 
 def scoped_packets(sig: Signalling, packets: DataFrame, opts: Options) -> DataFrame:
+    """Packets with their call; ``pre_scoped`` packets already carry call_id."""
+    if opts.pre_scoped:
+        return packets
     ports = scope.call_ports(sig.media)
     spans = msg.call_span(sig.messages) if opts.time_bound else None
     files = scope.calls_without_ports(sig.messages, ports) if opts.unscoped_by_file else None
@@ -111,7 +115,7 @@ def analyze(
     observed = streams.mark_rtcp_observed(observed, streams.rtcp_targets(scoped))
     changes = keep("ssrc_changes", ssrc.ssrc_changes(ssrc.ssrc_observations(scoped), opts.packet_chunk_rows))
     observed = keep("observed_streams", ssrc.annotate_ssrc_changes(observed, changes))
-    matched = binding.match_by_dst_port(observed, sig.media, sig.rs_streams)
+    matched = keep("matched_streams", binding.match_by_dst_port(observed, sig.media, sig.rs_streams))
     matched = binding.positional_fallback(matched, sig.rs_streams)
     bound = keep("rtp_streams", binding.bind_labels(matched, sig.media, sig.rs_streams, sig.rs_participants))
     out |= {"rtp_streams": bound, "ssrc_changes": changes}
