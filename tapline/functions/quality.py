@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import round_exact
+
 # Payload type -> (codec, clock Hz, Ie, Bpl), ITU-T G.113 Appendix I.
 CODECS = {
     0: ("PCMU (G.711u)", 8000, 0.0, 25.1),
@@ -51,7 +53,7 @@ def r_to_mos(r: Column) -> Column:
     return (
         F.when(r <= 0, F.lit(1.0))
         .when(r >= 100, F.lit(4.5))
-        .otherwise(F.greatest(F.lit(1.0), F.least(F.lit(4.5), F.bround(curve, 2))))
+        .otherwise(F.greatest(F.lit(1.0), F.least(F.lit(4.5), round_exact(curve, 2))))
     )
 
 

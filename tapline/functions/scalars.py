@@ -85,14 +85,40 @@ def endpoint_text(ip, port) -> Column:
     return F.when(port.isNotNull(), F.concat(ip, F.lit(":"), port.cast("string"))).otherwise(ip)
 
 
+def round_exact(x, digits: int) -> Column:
+    """Round the exact binary value of a double, true ties to the even digit.
+
+    Spark rounds the shortest decimal text of a double instead, which turns
+    2.675 (below the tie in binary) into 2.68. The product with the power of
+    ten is split into its rounded value and its exact error, and the error
+    decides where the rounded value falls on a tie.
+    """
+    scale = float(10**digits)
+
+    def split(v: Column) -> Column:
+        wide = v * F.lit(134217729.0)
+        high = wide - (wide - v)
+        p = v * F.lit(scale)
+        error = (high * F.lit(scale) - p) + (v - high) * F.lit(scale)
+        return F.struct(p.alias("p"), error.alias("e"), F.floor(p).cast("double").alias("f"))
+
+    def settle(s: Column) -> Column:
+        rest = s["p"] - s["f"]
+        odd = F.pmod(s["f"], F.lit(2.0)) == 1.0
+        up = (rest > 0.5) | ((rest == 0.5) & ((s["e"] > 0) | ((s["e"] == 0) & odd)))
+        return (s["f"] + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
+
+    return let(_c(x).cast("double"), lambda v: let(split(v), settle))
+
+
 def one_decimal(x, digits: int = 1) -> Column:
-    """Fixed-point text, ties to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(_c(x), digits))
+    """Fixed-point text with the same rounding."""
+    return F.format_string(f"%.{digits}f", round_exact(x, digits))
 
 
 def _utc(seconds) -> Column:
     """Epoch seconds as a zone-free timestamp, independent of the session zone."""
-    micros = F.bround(_c(seconds) * F.lit(1e6)).cast("bigint")
+    micros = round_exact(_c(seconds) * F.lit(1e6), 0).cast("bigint")
     return F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
 
 
@@ -108,15 +134,17 @@ def utc_day(x) -> Column:
 def format_duration(seconds) -> Column:
     """HH:MM:SS.mmm; "unknown" for null or negative input."""
     s = _c(seconds)
-    ms = F.bround(s * F.lit(1000.0)).cast("bigint")
-    text = F.format_string(
-        "%02d:%02d:%02d.%03d",
-        F.floor(ms / F.lit(3600000)).cast("bigint"),
-        (F.floor(ms / F.lit(60000)) % 60).cast("bigint"),
-        (F.floor(ms / F.lit(1000)) % 60).cast("bigint"),
-        (ms % 1000).cast("bigint"),
-    )
-    return F.when(s >= 0, text).otherwise(F.lit("unknown"))
+
+    def text(ms: Column) -> Column:
+        return F.format_string(
+            "%02d:%02d:%02d.%03d",
+            F.floor(ms / F.lit(3600000)).cast("bigint"),
+            (F.floor(ms / F.lit(60000)) % 60).cast("bigint"),
+            (F.floor(ms / F.lit(1000)) % 60).cast("bigint"),
+            (ms % 1000).cast("bigint"),
+        )
+
+    return F.when(s >= 0, let(round_exact(s * F.lit(1000.0), 0).cast("bigint"), text)).otherwise(F.lit("unknown"))
 
 
 def failure_hint(code) -> Column:

@@ -23,7 +23,7 @@ def batch_totals(health: DataFrame, bursts: DataFrame, requested: DataFrame | No
     out = health.join(flaps, "call_id", "left").agg(
         total.alias("calls"),
         failed.alias("failed"),
-        F.when(total > 0, F.bround(failed / total, 4)).otherwise(F.lit(0.0)).alias("failure_rate"),
+        F.when(total > 0, sc.round_exact(failed / total, 4)).otherwise(F.lit(0.0)).alias("failure_rate"),
         F.count_if("_f").alias("codec_flap_calls"),
         F.count_if(one_way).alias("one_way_calls"),
     )

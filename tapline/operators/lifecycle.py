@@ -83,7 +83,7 @@ def label_lifecycles(
         .select(
             "call_id", "label", "lifecycle_ord", "participant", "port_key", "n_segments",
             (F.col("n_segments") - 1).alias("ssrc_change_count"),
-            F.bround((F.col("n_segments") - 1) / F.col("_minutes"), 3).alias("stability_per_min"),
+            sc.round_exact((F.col("n_segments") - 1) / F.col("_minutes"), 3).alias("stability_per_min"),
             "noise_stream_count",
         )
     )

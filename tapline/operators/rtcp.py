@@ -108,7 +108,7 @@ def report_gaps(blocks: DataFrame, bucket_seconds: float = 600.0) -> DataFrame:
     rows = blocks.where("t_rel is not null").select(
         "call_id", F.coalesce("ssrc", F.lit(-1)).alias("_ssrc"), "t_rel",
         time_chunk("t_rel", bucket_seconds).alias("_bucket"),
-    ).distinct()
+    )
     part = ["call_id", "_ssrc", "_bucket"]
     inner = rows.withColumn("_p", F.lag("t_rel").over(W.partitionBy(*part).orderBy("t_rel")))
     buckets = inner.groupBy(*part).agg(
@@ -119,6 +119,7 @@ def report_gaps(blocks: DataFrame, bucket_seconds: float = 600.0) -> DataFrame:
         buckets.withColumn("_g", F.greatest(F.col("g"), border))
         .groupBy("call_id", "_ssrc")
         .agg(F.max("_g").alias("max_gap"))
+        .where("max_gap is not null")
     )
 
 
@@ -134,12 +135,10 @@ def rtcp_stats(rows: DataFrame, bucket_seconds: float = 600.0) -> DataFrame:
         F.min("jitter").cast("double").alias("jitter_min"),
         F.avg("jitter").alias("jitter_avg"),
         F.max("jitter").cast("double").alias("jitter_max"),
-        F.count("t_rel").alias("_timed"),
     )
     byes = bye_sources(rows).select(
         "call_id", F.coalesce("ssrc", F.lit(-1)).alias("_ssrc"), F.lit(True).alias("_bye")
     )
-    gap = F.when(F.col("_timed") >= 2, F.coalesce("max_gap", F.lit(0.0)))
     return (
         base.join(report_gaps(blocks, bucket_seconds), ["call_id", "_ssrc"], "left")
         .join(byes, ["call_id", "_ssrc"], "left")
@@ -149,7 +148,7 @@ def rtcp_stats(rows: DataFrame, bucket_seconds: float = 600.0) -> DataFrame:
             "report_count", "fraction_lost_max", "cumulative_lost",
             "jitter_min", "jitter_avg", "jitter_max",
             F.lit(None).cast("double").alias("rtt_estimate_ms"),
-            gap.alias("max_report_gap_s"),
+            F.col("max_gap").alias("max_report_gap_s"),
             F.coalesce("_bye", F.lit(False)).alias("rtcp_bye_seen"),
         )
     )
@@ -195,9 +194,9 @@ def mos_samples(rows: DataFrame, streams: DataFrame, one_way_delay_ms: float = q
         F.col("_c.codec").alias("codec"), F.col("who.label").alias("label"),
         F.col("who.participant").alias("participant"),
         q.r_to_mos(F.col("_r")).alias("mos"),
-        F.bround("_r", 1).alias("r_factor"),
-        F.bround("_loss", 2).alias("loss_pct"),
-        F.bround("_jit", 2).alias("jitter_ms"),
+        sc.round_exact("_r", 1).alias("r_factor"),
+        sc.round_exact("_loss", 2).alias("loss_pct"),
+        sc.round_exact("_jit", 2).alias("jitter_ms"),
     )
 
 
@@ -206,8 +205,8 @@ def mos_estimates(samples: DataFrame, one_way_delay_ms: float = q.ONE_WAY_DELAY_
 
     def mean(x: str, digits: int):
         # Hundredths are summed as integers, so the mean does not depend on row order.
-        scaled = F.sum(F.bround(F.col(x) * 100).cast("bigint"))
-        return F.bround(scaled / F.count(x) / F.lit(100.0), digits)
+        scaled = F.sum(F.round(F.col(x) * 100).cast("bigint"))
+        return sc.round_exact(scaled / (F.count(x) * F.lit(100)), digits)
 
     return samples.groupBy("call_id", F.coalesce("ssrc", F.lit(-1)).alias("_ssrc")).agg(
         F.max("codec").alias("codec"),

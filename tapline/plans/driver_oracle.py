@@ -118,9 +118,9 @@ _block("rst", ["blk", "rgap", "byes"], """
 _block("smp", ["blk", "bound"], """
   select call_id, ssrc, file_idx, frame_number, block, t_rel, codec, label, participant,
          case when r <= 0 then 1.0::double when r >= 100 then 4.5::double
-              else greatest(1.0::double, least(4.5::double, round_even(1.0::double + 0.035::double * r
-                   + 7e-6::double * r * (r - 60.0::double) * (100.0::double - r), 2))) end as mos,
-         round_even(r, 1) as r_factor, round_even(loss, 2) as loss_pct, round_even(jit, 2) as jitter_ms
+              else greatest(1.0::double, least(4.5::double, cast(printf('%.2f', 1.0::double + 0.035::double * r
+                   + 7e-6::double * r * (r - 60.0::double) * (100.0::double - r)) as double))) end as mos,
+         cast(printf('%.1f', r) as double) as r_factor, cast(printf('%.2f', loss) as double) as loss_pct, cast(printf('%.2f', jit) as double) as jitter_ms
   from (
     select *, 93.2::double - (0.024::double * delay + case when delay > 177.3 then 0.11::double * (delay - 177.3::double) else 0::double end)
               - (ie + (95.0::double - ie) * (loss / (loss + bpl))) as r from (
@@ -139,10 +139,10 @@ _block("smp", ["blk", "bound"], """
         where fraction is not null or jitter is not null)))""")
 _block("est", ["smp"], """
   select call_id, ssrc, codec, label, participant, count(*) as n_samples,
-         round_even(sum(cast(round(mos * 100) as bigint)) / count(*) / 100.0::double, 2) as mos_avg, min(mos) as mos_min,
-         round_even(sum(cast(round(r_factor * 100) as bigint)) / count(*) / 100.0::double, 1) as r_factor_avg,
-         round_even(sum(cast(round(loss_pct * 100) as bigint)) / count(*) / 100.0::double, 2) as loss_pct_avg,
-         round_even(sum(cast(round(jitter_ms * 100) as bigint)) / count(*) / 100.0::double, 2) as jitter_ms_avg,
+         cast(printf('%.2f', sum(cast(round(mos * 100) as bigint)) / (count(*) * 100)) as double) as mos_avg, min(mos) as mos_min,
+         cast(printf('%.1f', sum(cast(round(r_factor * 100) as bigint)) / (count(*) * 100)) as double) as r_factor_avg,
+         cast(printf('%.2f', sum(cast(round(loss_pct * 100) as bigint)) / (count(*) * 100)) as double) as loss_pct_avg,
+         cast(printf('%.2f', sum(cast(round(jitter_ms * 100) as bigint)) / (count(*) * 100)) as double) as jitter_ms_avg,
          30.0::double as one_way_delay_ms
   from smp group by call_id, ssrc, codec, label, participant""")
 
@@ -339,7 +339,7 @@ _block("seg", ["seg0", "rei"], """
   from seg0 s where s.solid""")
 _block("lc", ["seg", "seg0", "ptext"], """
   select g.call_id, g.label, n.lifecycle_ord, p.participant, g.port_key, g.n_segments, g.n_segments - 1 as ssrc_change_count,
-         round_even((g.n_segments - 1) / greatest(minutes, 1e-6::double), 3) as stability_per_min, n.noise_stream_count
+         cast(printf('%.3f', (g.n_segments - 1) / greatest(minutes, 1e-6::double)) as double) as stability_per_min, n.noise_stream_count
   from (select call_id, label, arg_min(port_key, struct_pack(a := first_t, b := stream_idx)) as port_key, count(*) as n_segments,
                (max(coalesce(last_t, 0)) - min(first_t)) / 60.0::double as minutes from seg group by all) g
   join (select call_id, label, min(stream_idx) as lifecycle_ord, count(*) filter (not solid) as noise_stream_count from seg0 group by all) n using (call_id, label)
@@ -405,7 +405,7 @@ _rule("d_norep", ["rsum"], "rsum where total > 0 and report_blocks = 0", 33, "RT
       "else ' The receiving side (recorder) is not sending Receiver Reports, or only one direction was captured.' end)", "UNKNOWN")
 _rule("d_mos", ["est"], "est where mos_min < 3.6::double", 40, "=case when mos_min < 2.6::double then 'MOS_BAD' else 'MOS_LOW' end",
       "=case when mos_min < 2.6::double then 'ERROR' else 'WARN' end", "=concat('Low call quality (MOS ', printf('%.1f', mos_min), ')')",
-      f"=concat(coalesce(nullif(participant, ''), concat('label ', nullif(label, '')) , {_SSRC}), ' (', codec, ') reached a ', case when mos_min < 2.6::double then 'poor' else 'degraded' end, ' MOS of ', printf('%.1f', mos_min), "
+      f"=concat(coalesce(nullif(participant, ''), case when label <> '' then concat('label ', label) end , {_SSRC}), ' (', codec, ') reached a ', case when mos_min < 2.6::double then 'poor' else 'degraded' end, ' MOS of ', printf('%.1f', mos_min), "
       "' (avg ', printf('%.1f', mos_avg), '); avg loss ', printf('%.1f', loss_pct_avg), '%, avg jitter ', printf('%.0f', jitter_ms_avg), 'ms, assumed one-way delay ', printf('%.0f', one_way_delay_ms), 'ms.')",
       "NETWORK", sub="coalesce(ssrc, -1)")
 _rule("d_label", ["rstr", "bound"], "(select call_id, list_sort(list(distinct label)) as ls from rstr group by call_id) where call_id not in (select call_id from bound where coalesce(matched_sdp_label, '') <> '')",

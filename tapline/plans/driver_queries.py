@@ -820,12 +820,15 @@ def _(v):
 
 
 def _profiles(v: DriverViews) -> DataFrame:
-    m = v.messages()
-    return bl.call_profiles(m, v.snapshots(), _streams(v), identity.fingerprints(m))
+    def build() -> DataFrame:
+        m = v.messages()
+        return bl.call_profiles(m, v.snapshots(), _kept(v, "streams", lambda: _streams(v)), identity.fingerprints(m))
+
+    return _kept(v, "profiles", build)
 
 
 def _golden(profiles: DataFrame) -> DataFrame:
-    return profiles.where("call_id = 'call-12'")
+    return profiles.where("call_id = 'call-13'")
 
 
 o._block("prof", ["sip", "snap", "st", "media", "fp"], """
@@ -845,7 +848,7 @@ def _py_list(x: str) -> str:
 
 _BASE_SQL = f"""
  with p as (select p.*, g.declared_streams as bd, g.observed_streams as bo, g.metadata_present as bm, g.codec_sets as bc, g.media_directions as bdir
-            from prof p, (select * from prof where call_id = 'call-12') g)
+            from prof p, (select * from prof where call_id = 'call-13') g)
  select call_id, 'declared streams' as what, concat('Baseline declared streams = ', bd, '; this call = ', declared_streams, '.') as detail from p where bd <> declared_streams
  union all select call_id, 'observed streams', concat('Baseline observed streams = ', bo, '; this call = ', observed_streams, '.') from p where bo <> observed_streams
  union all select call_id, 'metadata present', concat('Baseline metadata present = ', if(bm, 'True', 'False'), '; this call = ', if(metadata_present, 'True', 'False'), '.') from p where bm <> metadata_present
@@ -1043,7 +1046,7 @@ def _(v):
 
 @query(
     "agg17_batch_aggregate",
-    """select calls, failed, round_even(failed / calls, 4) as failure_rate, codec_flap_calls, one_way_calls from (
+    """select calls, failed, cast(printf('%.4f', failed / calls) as double) as failure_rate, codec_flap_calls, one_way_calls from (
          select count(*) as calls, count(*) filter (overall_health in ('ERROR', 'CRITICAL')) as failed,
                 count(*) filter (call_id in (select call_id from bu where codec_renegotiation)) as codec_flap_calls,
                 count(*) filter (declared >= 2 and observed < declared) as one_way_calls from hl)""",
@@ -1111,7 +1114,7 @@ def _(v):
 
 @query(
     "agg22_capture_quality",
-    """select call_id, bool_or(trunc) as truncated, coalesce(arg_max(snap, file_idx) filter (trunc), -1) as snaplen, cast(sum(drops) as bigint) as drop_count, count(*) as n_files
+    """select call_id, bool_or(trunc) as truncated, arg_max(snap, file_idx) as snaplen, cast(sum(drops) as bigint) as drop_count, count(*) as n_files
        from (select distinct call_id, k % 5 as file_idx from sip0) c
        join (select *, i % 3 = 1 as trunc, 60 + i as snap, i * 2 as drops from (select unnest(range(5)) as i)) f on f.i = c.file_idx group by call_id""",
     "sip0",

@@ -119,8 +119,8 @@ def _(v):
 
 @query(
     "fn9_r_to_mos",
-    f"""select event_id, case when r <= 0 then 1.0::double when r >= 100 then 4.5::double else greatest(1.0::double, least(4.5::double, round_even(1.0::double + 0.035::double * r
-        + 7e-6::double * r * (r - 60.0::double) * (100.0::double - r), 2))) end as mos from (select event_id, {_R} as r from {_RSRC})""",
+    f"""select event_id, case when r <= 0 then 1.0::double when r >= 100 then 4.5::double else greatest(1.0::double, least(4.5::double, cast(printf('%.2f', 1.0::double + 0.035::double * r
+        + 7e-6::double * r * (r - 60.0::double) * (100.0::double - r)) as double))) end as mos from (select event_id, {_R} as r from {_RSRC})""",
 )
 def _(v):
     return _r_rows(v).select("event_id", q.r_to_mos(F.col("r")).alias("mos"))
@@ -550,7 +550,7 @@ _LINES_SQL = f"""
    select call_id, 1 as section, unnest([concat('# SIPREC recording analysis — ', call_id), '', concat('- Overall health: **', overall_health, '**'),
           concat('- SRC / SBC: `', src_ip, ':', src_port, '`'), concat('- SRS / recorder: `', srs_ip, ':', srs_port, '`'),
           concat('- Streams: ', declared, ' declared / ', observed, ' observed'), '- Generated: 2024-01-31T00:00:00Z', '']) as line from hl
-   union all select distinct call_id, 2, unnest(['## What happened', '', '']) from nar
+   union all select call_id, 2, unnest(['## What happened', '', '']) from (select distinct call_id from nar)
    union all select call_id, 2, concat("index", '. ', text, case when coalesce(frame_number, 0) <> 0 then concat(' (frame ', frame_number, ')') else '' end) from nar
    union all select call_id, 3, unnest(['## Findings by owner', '']) from (select distinct call_id from fnd)
    union all select call_id, 3, unnest([concat('### ', {_TITLE_SQL}), '', '']) from (select distinct call_id, owner from fnd)

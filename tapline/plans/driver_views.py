@@ -106,7 +106,7 @@ _VIEWS: dict[str, str] = {
              case when c % 4 = 3 then null else '0' end as label0,
              case when c % 4 = 3 then null else '2' end as label1,
              case when k % 8 = 5 then 'video' else 'audio' end as type1,
-             case when k % 2 = 0 then '0 8 101' else '8 101' end as pts,
+             case when k % 2 = 0 then '0 8 101' when k % 16 = 15 and c % 4 = 2 then '9 101' else '8 101' end as pts,
              (k % 3 = 0) as mux,
              cast(case when k % 6 = 1 then 30005 + 4 * (c % 5000) end as int) as rtcp_port0
       from ev where event_type in ('signup', 'error')""",

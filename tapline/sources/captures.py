@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fields import file_index
-from .record_walk import open_capture, records
+from .record_walk import declared_snaplen, open_capture, records
 
 # Capture suffixes and header magics.
 SUFFIXES = ("pcap", "pcapng", "cap")
@@ -102,10 +102,10 @@ def file_quality(files: DataFrame) -> DataFrame:
                     with open_capture(path) as f:
                         while chunk := f.read(HASH_CHUNK):
                             digest.update(chunk)
+                        snap = declared_snaplen(f)
                         for _, _, caplen, origlen, _, _ in records(f):
                             n += 1
                             cut = cut or caplen < origlen
-                            snap = max(snap or 0, caplen)
                 except OSError as exc:
                     error = str(exc)
                 rows.append((idx, path, None if error else digest.hexdigest(), n, snap, cut, error))
@@ -129,10 +129,9 @@ def capture_quality(per_file: DataFrame, call_files: DataFrame, drops: DataFrame
         rows = rows.withColumn("drops", F.lit(None).cast("bigint"))
     else:
         rows = rows.join(drops.select("file_idx", "drops"), "file_idx", "left")
-    snap = F.when(F.col("truncated"), F.col("snaplen"))
     return rows.groupBy("call_id").agg(
         F.bool_or("truncated").alias("truncated"),
-        F.max_by(snap, F.when(snap.isNotNull(), F.col("file_idx"))).alias("snaplen"),
+        F.max_by("snaplen", F.when(F.col("snaplen").isNotNull(), F.col("file_idx"))).alias("snaplen"),
         F.sum("drops").alias("drop_count"),
         F.count(F.lit(1)).alias("n_files"),
         F.count("error").alias("n_unreadable"),
