@@ -203,7 +203,7 @@ def decode_media(udp: DataFrame) -> DataFrame:
 
 def decode_sip(udp: DataFrame) -> DataFrame:
     """Datagrams that start with a SIP start line, parsed to message rows."""
-    text = F.decode("payload", "UTF-8")
+    text = F.make_valid_utf8(F.col("payload").cast("string"))
     start = F.decode(F.substring("payload", 1, 8), "ISO-8859-1")
     rows = udp.where(start.rlike(r"^(SIP/2\.0|[A-Z]{3,} ?)")).withColumn("_s", parse_sip_text(text))
     return rows.where("_s.error is null and _s.call_id is not null").select(
