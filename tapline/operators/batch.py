@@ -29,8 +29,8 @@ def batch_totals(health: DataFrame, bursts: DataFrame, requested: DataFrame | No
     )
     if requested is None:
         return out
-    missing = requested.select("call_id").distinct().join(health, "call_id", "left_anti").count()
-    return out.withColumn("calls_not_found", F.lit(missing))
+    missing = requested.select("call_id").distinct().join(health.select("call_id"), "call_id", "left_anti")
+    return out.withColumn("calls_not_found", missing.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def findings_by_code(findings: DataFrame) -> DataFrame:

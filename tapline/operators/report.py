@@ -180,7 +180,12 @@ def narrative(
             ).otherwise(words("In total, ", F.col("_o"), " RTP stream(s) were observed.")),
         )
     )
-    numbered = dense_index(steps, ["call_id"], "section", ["sub", "text"], "_i")
+    # Section and the upper bits of the place in it: grows with the order and
+    # cuts a call with very many sentences into pieces.
+    piece = F.shiftleft("section", 58) + F.shiftright("sub", 18)
+    numbered = dense_index(
+        steps.withColumn("_piece", piece), ["call_id"], "_piece", ["section", "sub", "text"], "_i"
+    )
     return numbered.select("call_id", (F.col("_i") + 1).alias("index"), "text", "frame_number")
 
 

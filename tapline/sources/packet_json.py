@@ -8,47 +8,36 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from .fields import file_index
 
-# A JSON string token, with its value when the value is a string as well.
+# Text of a JSON string, escapes included.
 _STRING = r'"((?:[^"\\]|\\.)*)"'
-_TOKEN = _STRING + r"(?:\s*:\s*" + _STRING + ")?"
-_PAIR = "(?s)^" + _STRING + r"\s*:\s*" + _STRING + "$"
-
-
-def _pairs(text):
-    """Key and raw value of every string leaf, in document order.
-
-    Strings that are list elements have no key and stay out.
-    """
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    return F.transform(
-        F.filter(tokens, lambda t: t.rlike(_PAIR)),
-        lambda t: F.struct(
-            F.regexp_extract(t, _PAIR, 1).alias("k"), F.regexp_extract(t, _PAIR, 2).alias("v")
-        ),
-    )
 
 
 def messages_of_packets(packets: DataFrame) -> DataFrame:
     """(file, packet) JSON objects to SIP message rows; other packets drop out.
 
-    A field counts with its first string value in the layer tree.
+    A field counts with its first string value in the layer tree. Quotes inside
+    JSON strings are escaped, so a quoted name before a colon is always a key;
+    list elements have no name and never match.
     """
+    sip_only = packets.where(F.col("packet").contains('"sip.'))
     layers = F.coalesce(F.get_json_object("packet", "$._source.layers"), F.col("packet"))
-    rows = packets.withColumn("_p", _pairs(layers))
-    keys = F.transform("_p", lambda p: p["k"])
+    rows = sip_only.withColumn("_layers", layers)
+
+    def key(name: str) -> str:
+        return '"' + name.replace(".", r"\.") + r'"\s*:\s*'
 
     def field(name: str):
-        at = F.array_position(keys, F.lit(name)).cast("int")
-        raw = F.try_element_at("_p", F.nullif(at, F.lit(0)))["v"]
-        return F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>")[0]
+        found = F.regexp_substr("_layers", F.lit("(?s)" + key(name) + _STRING))
+        raw = F.regexp_extract(found, "(?s)" + key(name) + _STRING, 1)
+        plain = ~raw.contains("\\")
+        unescaped = F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>")[0]
+        return F.when(plain, raw).otherwise(unescaped)
 
     def either(*names: str):
         return F.coalesce(*[sc.blank_to_null(field(n)) for n in names])
 
-    present = (
-        F.array_contains(keys, "sip.Call-ID")
-        | F.array_contains(keys, "sip.msg_hdr")
-        | F.array_contains(keys, "sip.Method")
+    present = F.col("_layers").rlike(
+        "|".join(key(name) + '"' for name in ("sip.Call-ID", "sip.msg_hdr", "sip.Method"))
     )
     return rows.where(present).select(
         "file",

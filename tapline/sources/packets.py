@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
 from ..functions.text import parse_sip_text
 from .record_walk import open_capture, records
 
@@ -78,10 +79,12 @@ def read_frames(ranges: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def _uint(b: Column, at: Column | int, n: int) -> Column:
-    """Big-endian number of n bytes at a zero-based offset; null past the end."""
-    pos = (F.lit(at) if isinstance(at, int) else at) + 1
-    word = F.substring(b, pos.cast("int"), F.lit(n))
-    return F.when(F.length(word) == n, F.conv(F.hex(word), 16, 10).cast("bigint"))
+    """Big-endian number of n bytes at a zero-based offset; null past the end.
+
+    Callers check the length, since a word cut short would read as a smaller one.
+    """
+    pos = F.lit(at + 1) if isinstance(at, int) else (at + 1).cast("int")
+    return F.conv(F.hex(F.substring(b, pos, F.lit(n))), 16, 10).cast("bigint")
 
 
 def _ipv4(b: Column, at: Column) -> Column:
@@ -89,28 +92,47 @@ def _ipv4(b: Column, at: Column) -> Column:
 
 
 def _ipv6(b: Column, at: Column) -> Column:
-    groups = [F.lower(F.conv(F.hex(F.substring(b, (at + 1 + 2 * i).cast("int"), F.lit(2))), 16, 16)) for i in range(8)]
-    text = F.concat_ws(":", *groups)
-    out = text
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(^|:)(?:0:){{{run - 1}}}0(:|$)(.*)$"
-        out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$4")).otherwise(out)
-    return out
+    """Eight groups with the first longest run of zero groups shortened."""
+    word = F.hex(F.substring(b, (at + 1).cast("int"), F.lit(16)))
+    groups = [F.lower(F.conv(F.substring(word, 4 * i + 1, 4), 16, 16)) for i in range(8)]
+
+    def shortened(text: Column) -> Column:
+        out = text
+        for run in range(2, 9):
+            pattern = rf"^(.*?)(^|:)(?:0:){{{run - 1}}}0(:|$)(.*)$"
+            out = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$4")).otherwise(out)
+        return out
+
+    return let(F.concat_ws(":", *groups), shortened)
+
+
+def _ip_start(b: Column, link: Column) -> Column:
+    """Offset of the IP header: behind Ethernet and up to two VLAN tags, a cooked
+    header, or nothing."""
+    types = F.hex(F.substring(b, 13, 10))
+    tagged = F.substring(types, 1, 4).isin("8100", "88A8")
+    twice = tagged & F.substring(types, 9, 4).isin("8100", "88A8")
+    return (
+        F.when(link == 1, F.when(twice, 22).when(tagged, 18).otherwise(14))
+        .when(link == 113, 16)
+        .when(link == 276, 20)
+        .when(link.isin(12, 101, 228, 229), 0)
+    )
 
 
 def decode_udp(frames: DataFrame) -> DataFrame:
     """Ethernet (with VLAN tags), raw IP and cooked captures down to UDP payloads."""
-    b, link = F.col("frame"), F.col("link")
-    tag = lambda at: _uint(b, at, 2).isin(0x8100, 0x88A8)
-    ether = F.when(tag(12) & tag(16), 22).when(tag(12), 18).otherwise(14)
-    ip_at = F.when(link == 1, ether).when(link == 113, 16).when(link == 276, 20).when(link.isin(101, 228, 229, 12), 0)
-    base = frames.withColumn("_ip", ip_at).withColumn("_v", F.floor(_uint(b, F.col("_ip"), 1) / 16))
-    ip = F.col("_ip")
-    v4, v6 = F.col("_v") == 4, F.col("_v") == 6
-    head = F.when(v4, (_uint(b, ip, 1) % 16) * 4).when(v6, 40)
-    proto = F.when(v4, _uint(b, ip + 9, 1)).when(v6, _uint(b, ip + 6, 1))
-    udp = base.withColumn("_u", ip + head).where(proto == 17)
-    u = F.col("_u")
+    b = F.col("frame")
+    ip, u = F.col("_ip"), F.col("_u")
+    first = F.col("_first")
+    v4, v6 = F.floor(first / 16) == 4, F.floor(first / 16) == 6
+    udp = (
+        frames.withColumn("_ip", _ip_start(b, F.col("link")))
+        .withColumn("_first", _uint(b, ip, 1))
+        .withColumn("_u", ip + F.when(v4, (first % 16) * 4).when(v6, 40))
+        .withColumn("_proto", _uint(b, ip + F.when(v4, 9).otherwise(6), 1))
+        .where((F.col("_proto") == 17) & (F.length(b) >= u + 8))
+    )
     size = F.greatest(_uint(b, u + 4, 2) - 8, F.lit(0))
     return udp.select(
         "file_idx", "frame_number", "ts_epoch", "t_rel",
@@ -131,7 +153,7 @@ def _rtcp_parts(p: Column) -> Column:
     steps = F.sequence(F.lit(1), F.greatest(F.floor(F.length(p) / 4).cast("int"), F.lit(1)))
 
     def step(s: Column, _: Column) -> Column:
-        ok = F.coalesce((F.floor(_uint(p, s["at"], 1) / 64) == 2) & (s["at"] + 4 <= F.length(p)), F.lit(False))
+        ok = (s["at"] + 4 <= F.length(p)) & (F.floor(_uint(p, s["at"], 1) / 64) == 2)
         part = F.struct(
             s["at"].alias("at"), _uint(p, s["at"] + 1, 1).alias("pt"), (_uint(p, s["at"], 1) % 32).alias("n")
         )
@@ -155,8 +177,9 @@ def decode_media(udp: DataFrame) -> DataFrame:
     The second byte tells them apart: 192-223 is an RTCP packet type.
     """
     p = F.col("payload")
-    versioned = (F.length(p) >= 8) & (F.floor(_uint(p, 0, 1) / 64) == 2)
-    second = _uint(p, 1, 1)
+    lead = F.hex(F.substring(p, 1, 2))
+    versioned = F.substring(lead, 1, 1).isin("8", "9", "A", "B")
+    second = F.col("_second")
     rtcp = second.between(192, 223)
     parts = F.when(rtcp, _rtcp_parts(p))
     reports = F.filter(F.col("_parts"), lambda x: x["pt"].isin(200, 201))
@@ -172,6 +195,7 @@ def decode_media(udp: DataFrame) -> DataFrame:
             ).otherwise(F.array().cast("array<bigint>")),
         )
     )
+    blocks = F.filter(blocks, lambda at: at + 24 <= F.length(p))
     byes = F.flatten(
         F.transform(
             F.filter(F.col("_parts"), lambda x: x["pt"] == 203),
@@ -182,9 +206,11 @@ def decode_media(udp: DataFrame) -> DataFrame:
         )
     )
     hex_id = lambda at: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(_uint(p, at, 4))), 8, "0"))
-    ids = F.transform(F.concat(F.col("_blocks"), byes), hex_id)
+    ids = F.transform(F.concat(F.col("_blocks"), F.filter(byes, lambda at: at + 4 <= F.length(p))), hex_id)
     return (
-        udp.where(versioned)
+        udp.where(versioned & (F.length(p) >= 8))
+        .withColumn("_second", _uint(p, 1, 1))
+        .where(rtcp | (F.length(p) >= 12))
         .withColumn("_parts", parts)
         .withColumn("_blocks", F.coalesce(blocks, F.array().cast("array<bigint>")))
         .select(
