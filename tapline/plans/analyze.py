@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..functions.quality import ONE_WAY_DELAY_MS
 from ..operators import binding, detectors, lifecycle, messages as msg, report, rtcp, scope, sip, ssrc, streams, timeline
@@ -13,7 +13,7 @@ from ..operators.findings import assign_owner, union_findings
 from ..operators.health import call_facts, call_health
 from ..operators.identity import correlation_keys, correlation_parts, fingerprints, ladder_rows
 from ..operators.ordering import CHUNK_ROWS
-from ..session import work_path
+from ..session import parquet_stage  # noqa: F401 - part of the public entry
 
 
 @dataclass(frozen=True)
@@ -78,22 +78,6 @@ def rtcp_rows(sig: Signalling, packets: DataFrame, scoped: DataFrame, opts: Opti
     return rows.where(scope.is_rtcp() | scope.is_mux_type())
 
 
-def parquet_stage(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
-    """A stage that writes a table below the shared folder and reads it back.
-
-    It cuts the plan: a lost executor re-reads parquet, and the detectors do
-    not recompute the stream reduction they all start from.
-    """
-    root = work_path(spark, "analysis")
-
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        target = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(target)
-        return spark.read.schema(df.schema).parquet(target)
-
-    return keep
-
-
 def analyze(
     sig: Signalling,
     packets: DataFrame,

@@ -414,7 +414,7 @@ _SUMMARY_SQL = f"""
    concat('CALL-ID:      ', call_id), 'MODE:         SIPREC',
    concat('START:        ', {_stamp('start_epoch')}, 'Z'), concat('END:          ', {_stamp('end_epoch')}, 'Z'),
    concat('DURATION:     ', printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000)),
-   concat('SRC:          ', src_ip, ':', src_port), concat('SRS:          ', srs_ip, ':', srs_port),
+   concat('SRC:          ', case when src_ip is null then 'unknown' else concat(src_ip, ':', src_port) end), concat('SRS:          ', case when srs_ip is null then 'unknown' else concat(srs_ip, ':', srs_port) end),
    concat('SIP:          ', status_sip), concat('SDP:          ', status_sdp), concat('METADATA:     ', status_metadata),
    concat('STREAMS:      ', declared, ' declared / ', observed, ' observed'), concat('RTP:          ', status_rtp),
    concat('RTCP:         ', status_rtcp, case when status_rtcp = 'WARN' and missing_rtcp > 0 then concat(' missing for ', missing_rtcp, ' stream(s)') else '' end),

@@ -548,7 +548,7 @@ _TITLE_SQL = "case owner " + " ".join(f"when '{k}' then '{t}'" for k, t in _TITL
 _LINES_SQL = f"""
  select call_id, section, line, count(*) as n from (
    select call_id, 1 as section, unnest([concat('# SIPREC recording analysis — ', call_id), '', concat('- Overall health: **', overall_health, '**'),
-          concat('- SRC / SBC: `', src_ip, ':', src_port, '`'), concat('- SRS / recorder: `', srs_ip, ':', srs_port, '`'),
+          concat('- SRC / SBC: `', case when src_ip is null then 'unknown' else concat(src_ip, ':', src_port) end, '`'), concat('- SRS / recorder: `', case when srs_ip is null then 'unknown' else concat(srs_ip, ':', srs_port) end, '`'),
           concat('- Streams: ', declared, ' declared / ', observed, ' observed'), '- Generated: 2024-01-31T00:00:00Z', '']) as line from hl
    union all select call_id, 2, unnest(['## What happened', '', '']) from (select distinct call_id from nar)
    union all select call_id, 2, concat("index", '. ', text, case when coalesce(frame_number, 0) <> 0 then concat(' (frame ', frame_number, ')') else '' end) from nar

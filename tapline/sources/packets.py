@@ -13,39 +13,104 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import let
 from ..functions.text import parse_sip_text
-from .record_walk import open_capture, records
+from ..session import parquet_stage
+from .captures import index_captures
+from .record_walk import open_capture, records, split_start
 
 RANGE_RECORDS = 100_000
+SPLIT_BYTES = 1 << 30
 BATCH_RECORDS = 4096
 
 
-def record_ranges(files: DataFrame, size: int = RANGE_RECORDS) -> DataFrame:
-    """(file, first frame, byte offset, records) ranges of every readable file."""
+_RANGE = "file_idx int, file string, split bigint, offset bigint, stop bigint, n bigint, first_ts double, state string"
+_RANGE_COLUMNS = [c.split()[0] for c in _RANGE.split(", ")]
+
+
+def _walk(jobs: DataFrame, size: int) -> DataFrame:
+    """Ranges of records for (file, split, begin, end) byte splits.
+
+    A split starts at the first record boundary at or behind its begin and runs
+    to the first one at or behind its end.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for idx, path in zip(pdf.file_idx, pdf.file):
+            for r in pdf.itertuples(index=False):
                 rows: list[list] = []
-                with open_capture(path) as f:
+                with open_capture(r.file) as f:
+                    f.seek(0, 2)
+                    total = f.tell()
+                    begin = None if r.split == 0 else split_start(f, int(r.begin), total)
                     state: list = ["<", []]
-                    first = None
-                    n = 0
-                    for at, ts, *_ in records(f, None, state):
-                        first = ts if first is None else first
-                        if n % size == 0:
-                            rows.append([idx, path, n + 1, at, 0, first, json.dumps(state)])
-                        rows[-1][4] += 1
-                        n += 1
-                yield pd.DataFrame(
-                    rows, columns=["file_idx", "file", "first_frame", "offset", "n", "first_ts", "state"]
-                )
-
-    return files.select(F.col("file_idx").cast("int").alias("file_idx"), "file").mapInPandas(
-        cut,
-        "file_idx int, file string, first_frame bigint, offset bigint, n bigint, first_ts double, state string",
+                    at = begin if begin is not None else 0
+                    last = None
+                    for at, ts, caplen, _, _, data_at in records(f, begin, state):
+                        if at >= r.end:
+                            break
+                        if last is None or rows[-1][5] == size:
+                            rows.append([r.file_idx, r.file, r.split, at, None, 0, ts, json.dumps(state)])
+                        rows[-1][5] += 1
+                        last = data_at + caplen
+                    for a, b in zip(rows, rows[1:]):
+                        a[4] = b[3]
+                    if rows:
+                        rows[-1][4] = last
+                yield pd.DataFrame(rows, columns=_RANGE_COLUMNS)
+
+    return jobs.mapInPandas(cut, _RANGE)
+
+
+def record_ranges(files: DataFrame, size: int = RANGE_RECORDS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(file, first frame, byte offset, records) ranges of every readable file.
+
+    Classic captures above ``split_bytes`` are walked in byte splits by several
+    tasks. Splits count only where each one ends at the byte the next begins;
+    any other file is walked again as a whole.
+    """
+    whole = F.lit(1 << 62)
+    sized = index_captures(files).where("readable")
+    cuts = F.when(
+        (F.col("format_hint") == "pcap") & (F.col("size_bytes") > split_bytes),
+        F.sequence(F.lit(0), F.floor((F.col("size_bytes") - 1) / split_bytes).cast("int")),
+    ).otherwise(F.array(F.lit(0)))
+    jobs = sized.withColumn("_cuts", cuts).select(
+        "file_idx", "file", "size_bytes", F.size("_cuts").alias("n_splits"), F.explode("_cuts").alias("split")
+    ).select(
+        "file_idx", "file", "size_bytes", "n_splits",
+        F.col("split").cast("bigint").alias("split"),
+        (F.col("split") * F.lit(split_bytes)).alias("begin"),
+        F.when(F.col("split") < F.col("n_splits") - 1, (F.col("split") + 1) * F.lit(split_bytes)).otherwise(whole).alias("end"),
+    )
+    spread = files.sparkSession.sparkContext.defaultParallelism
+    walked = _walk(jobs.select("file_idx", "file", "split", "begin", "end").repartition(spread, "file", "split"), size)
+    found = parquet_stage(files.sparkSession)("record_ranges", walked)
+    # One row per range: a huge capture has some thousand, a usual one has one.
+    order = W.partitionBy("file").orderBy("offset")
+    gaps = found.withColumn("_before", F.lag("stop").over(order)).where("_before <> offset").select("file")
+    reach = found.groupBy("file").agg(F.max("stop").alias("_last"), F.min("split").alias("_first"))
+    short = (
+        jobs.where("n_splits > 1 and split = 0")
+        .join(reach, "file", "left")
+        .where("_last is null or _first > 0 or _last <= size_bytes - 16")
+        .select("file")
+    )
+    torn = gaps.unionByName(short).distinct()
+    again = _walk(
+        jobs.where("split = 0").join(torn, "file", "left_semi").select(
+            "file_idx", "file", "split", "begin", whole.alias("end")
+        ),
+        size,
+    )
+    ranges = found.join(torn, "file", "left_anti").unionByName(again)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    return ranges.select(
+        "file_idx", "file", "offset", "n", "state",
+        (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("first_frame"),
+        F.first("first_ts").over(order).alias("first_ts"),
     )
 
 
@@ -245,8 +310,10 @@ def decode_sip(udp: DataFrame) -> DataFrame:
     )
 
 
-def read_packets(files: DataFrame, size: int = RANGE_RECORDS) -> tuple[DataFrame, DataFrame]:
+def read_packets(
+    files: DataFrame, size: int = RANGE_RECORDS, split_bytes: int = SPLIT_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """(packets, SIP message rows) of listed captures."""
-    udp = decode_udp(read_frames(record_ranges(files, size)))
+    udp = decode_udp(read_frames(record_ranges(files, size, split_bytes)))
     return decode_media(udp), decode_sip(udp)
 

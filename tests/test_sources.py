@@ -137,15 +137,26 @@ def test_quality_and_custody(spark, tmp_path):
 def test_ranges_cut_a_file_without_changing_it(spark, capture_dir):
     files = captures.list_captures(spark, capture_dir, directory=True)
 
-    def rows(size):
-        f = packets.read_frames(packets.record_ranges(files, size))
+    def rows(size, split=1 << 30):
+        f = packets.read_frames(packets.record_ranges(files, size, split))
         return sorted((r.file_idx, r.frame_number, round(r.ts_epoch, 6), round(r.t_rel, 6), bytes(r.frame)) for r in f.collect())
 
     whole = rows(100_000)
     assert len(whole) == 2 * len(session()) and rows(7) == whole
+    assert rows(100_000, 5000) == whole and rows(11, 3000) == whole
     assert [r[1] for r in whole if r[0] == 1] == list(range(1, len(session()) // 2 + 1))
 
 
+def test_a_split_that_guesses_wrong_is_walked_again(spark, tmp_path):
+    """Payloads made of capture records mislead the search for a boundary."""
+    trap = b"".join(struct.pack("<IIII", 1700000000, 5, 4, 4) + b"wxyz" for _ in range(60))
+    rows = [(1700000000.0 + i, trap) for i in range(40)]
+    write_pcap(tmp_path / "t.pcap", rows)
+    files = captures.list_captures(spark, str(tmp_path), directory=True)
+    got = packets.read_frames(packets.record_ranges(files, 9, 2500)).orderBy("frame_number").collect()
+    assert [r.frame_number for r in got] == list(range(1, 41)) and all(bytes(r.frame) == trap for r in got)
+
+
 def test_capture_to_findings(spark, capture_dir, tmp_path):
     files = captures.list_captures(spark, capture_dir, directory=True)
     packet_rows, sip_rows = packets.read_packets(files, 50)
