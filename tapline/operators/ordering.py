@@ -4,6 +4,9 @@ A key (a call, a flow, a stream) may hold a large share of all rows, and
 adaptive execution does not split window partitions. Each helper therefore
 works in two levels: a window inside (key, chunk), then a window over one
 summary row per chunk, joined back. ``chunk`` has to grow with the order.
+
+Rows are repartitioned on (key, chunk) explicitly: Spark would accept an input
+that is already partitioned on the key alone, and keep the key in one task.
 """
 
 from __future__ import annotations
@@ -46,7 +49,9 @@ def with_previous(
         *[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in values.items()]
     )
     base = df.withColumn("_cur", packed)
-    inner = base.withColumn("_prev", F.lag("_cur").over(W.partitionBy(*part).orderBy(order)))
+    inner = base.repartition(*part).withColumn(
+        "_prev", F.lag("_cur").over(W.partitionBy(*part).orderBy(order))
+    )
     tails = base.groupBy(*part).agg(F.max_by("_cur", order).alias("_tail"))
     carry = tails.select(
         *part, F.lag("_tail").over(W.partitionBy(*keys).orderBy(chunk)).alias("_carry")
@@ -61,7 +66,9 @@ def dense_index(
 ) -> DataFrame:
     """Number the rows of every key 0, 1, 2, … in the given order."""
     part = [*keys, chunk]
-    inner = df.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(*order)))
+    inner = df.repartition(*part).withColumn(
+        "_rn", F.row_number().over(W.partitionBy(*part).orderBy(*order))
+    )
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     before = (
         W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
@@ -83,7 +90,8 @@ def running_total(
     before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*part, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
     return (
-        base.withColumn("_in", F.sum("_v").over(upto))
+        base.repartition(*part)
+        .withColumn("_in", F.sum("_v").over(upto))
         .join(offsets, part, "left")
         .select(*df.columns, (F.col("_off") + F.col("_in")).alias(name))
     )
@@ -138,6 +146,7 @@ def as_of_last(
     )
     merged = (
         left_rows.unionByName(right_rows)
+        .repartition(*part)
         .withColumn("_hit", F.last("_r", ignorenulls=True).over(run))
         .where("_side = 1")
         .join(carry, part, "left")

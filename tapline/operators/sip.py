@@ -55,6 +55,7 @@ def burst_members(
             sdp_fn.offered_payloads("media").alias("payloads"),
         )
         .withColumn("_chunk", chunk_of("msg_idx", chunk_rows))
+        .repartition("call_id", "_chunk")
     )
     gapped = with_previous(cand, ["call_id"], "_chunk", "msg_idx", {"_pt": "t_rel"}).withColumn(
         "_new", F.when(F.col("t_rel") - F.col("_pt") <= F.lit(float(window_s)), 0).otherwise(1)
@@ -168,6 +169,7 @@ def refresh_intervals(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Data
         .where("msg_idx > _first")
         .select("call_id", "msg_idx", "t_rel")
         .withColumn("_chunk", chunk_of("msg_idx", chunk_rows))
+        .repartition("call_id", "_chunk")
     )
     out = with_previous(rows, ["call_id"], "_chunk", "msg_idx", {"_pt": "t_rel"})
     return out.where("_pt is not null").select(

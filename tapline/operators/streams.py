@@ -59,7 +59,11 @@ def rtp_streams(scoped: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     keys = ["call_id", "_ssrc", "_dip", "_dport"]
     part = [*keys, "_chunk"]
     upto = W.partitionBy(*part).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    rows = _keyed(scoped, chunk_rows).withColumn("_prev", F.last("seq", ignorenulls=True).over(upto))
+    rows = (
+        _keyed(scoped, chunk_rows)
+        .repartition(*part)
+        .withColumn("_prev", F.last("seq", ignorenulls=True).over(upto))
+    )
     jump = (F.col("seq") - F.col("_prev")).bitwiseAND(65535)
     timed = F.when(F.col("t_rel").isNotNull(), F.col("ord"))
     numbered = F.when(F.col("seq").isNotNull(), F.col("ord"))

@@ -132,6 +132,7 @@ def hold_retrieve_events(messages: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
         )
         .where("kind is not null")
         .withColumn("_chunk", chunk_of("msg_idx", chunk_rows))
+        .repartition("call_id", "_chunk")
     )
     out = with_previous(rows, ["call_id"], "_chunk", "msg_idx", {"before": "kind"})
     return out.where(
