@@ -111,7 +111,7 @@ _VIEWS: dict[str, str] = {
              cast(case when k % 6 = 1 then 30005 + 4 * (c % 5000) end as int) as rtcp_port0
       from ev where event_type in ('signup', 'error')""",
     "sip": """
-      select *, row_number() over (partition by call_id order by coalesce(t_rel, cast(0 as double)), file_idx, frame_number) - 1 as msg_idx,
+      select *, cast(row_number() over (partition by call_id order by coalesce(t_rel, cast(0 as double)), file_idx, frame_number) - 1 as bigint) as msg_idx,
              (has_metadata_body or coalesce(content_type, '') = 'application/rs-metadata') as has_metadata,
              case when has_sdp then concat('- 1 1 IN IP4 10.5.0.', cast(k % 6 as string)) end as sdp_origin
       from sip0""",

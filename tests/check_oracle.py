@@ -47,6 +47,8 @@ def main() -> int:
     parts = sys.argv[2:]
     spark = local_session(8, partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
+    if "CHECK_TZ" in os.environ:
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
