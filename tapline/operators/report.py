@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as q
 from ..functions import scalars as sc
-from .findings import OWNER_ORDER, by_owner, errors, words
+from .findings import by_owner, errors, words
 from .messages import first_invites
 from .ordering import dense_index
 from .streams import stream_report
@@ -480,5 +480,40 @@ def display_lifecycle_segments(segments: DataFrame) -> DataFrame:
     )
 
 
-def owner_place(owner: str) -> int:
-    return OWNER_ORDER.index(owner) + 1
+def display_mos(estimates: DataFrame) -> DataFrame:
+    return estimates.withColumn("ssrc", sc.ssrc_hex("ssrc", None))
+
+
+def display_gaps(gaps: DataFrame) -> DataFrame:
+    return gaps.select(
+        "call_id", "label", "participant", "start_time", "end_time", "duration_s",
+        sc.ssrc_hex("old_ssrc", None).alias("old_ssrc"), sc.ssrc_hex("new_ssrc", None).alias("new_ssrc"), "reason",
+    )
+
+
+def display_holds(holds: DataFrame) -> DataFrame:
+    return holds.select("call_id", "kind", F.col("t_rel").alias("time_relative"), "frame_number", "cseq")
+
+
+def report_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Display form of every table a report shows, from the analysis tables."""
+    return {
+        "status_cards": status_cards(tables["call_health"]),
+        "duration": duration_text(tables["call_health"]),
+        "ladder": tables["ladder"],
+        "narrative": tables["narrative"],
+        "streams": stream_report(tables["rtp_streams"]),
+        "findings": display_findings(tables["findings"]),
+        "findings_by_owner": by_owner(tables["findings"]),
+        "fingerprints": tables["fingerprints"],
+        "rtcp_stats": display_rtcp(tables["rtcp_stats"]),
+        "mos_estimates": display_mos(tables["mos_estimates"]),
+        "mos_trend": mos_trend(tables["mos_samples"]),
+        "ssrc_changes": display_changes(tables["ssrc_changes"]),
+        "bursts": tables["bursts"],
+        "lifecycles": tables["label_lifecycles"],
+        "lifecycle_segments": display_lifecycle_segments(tables["segments"]),
+        "coverage": coverage_segments(tables["segments"], tables["coverage_gaps"]),
+        "coverage_gaps": display_gaps(tables["coverage_gaps"]),
+        "hold_retrieve_events": display_holds(tables["hold_retrieve_events"]),
+    }

@@ -93,7 +93,10 @@ def analyze(
     keep = keep or (lambda name, df: df)
     sig = replace(sig, **{f.name: keep(f.name, getattr(sig, f.name)) for f in fields(sig)})
     m = sig.messages
-    out: dict[str, DataFrame] = {"sip_messages": m, "rs_metadata": sig.snapshots}
+    out: dict[str, DataFrame] = {
+        "sip_messages": m, "sdp_media": sig.media, "rs_metadata": sig.snapshots, "rs_streams": sig.rs_streams,
+        "rs_participants": sig.rs_participants, "rs_sessions": sig.rs_sessions,
+    }
     scoped = keep("scoped_packets", scoped_packets(sig, packets, opts))
     observed = streams.index_streams(streams.rtp_streams(scoped, opts.packet_chunk_rows))
     observed = streams.mark_rtcp_observed(observed, streams.rtcp_targets(scoped))

@@ -625,6 +625,31 @@ def _(v):
     return d.groupBy("call_id", "code", "title", "owner", F.coalesce("clause", F.lit("-")).alias("clause")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "prj4_report_mos",
+    """select call_id, case when ssrc is null then '-' else concat('0x', printf('%08x', ssrc)) end as ssrc, codec, mos_avg, mos_min from est""", "est",
+)
+def _(v):
+    return report.report_tables(_analysis(v))["mos_estimates"].select(
+        "call_id", F.coalesce("ssrc", F.lit("-")).alias("ssrc"), "codec", "mos_avg", "mos_min"
+    )
+
+
+@query(
+    "prj4_report_lifecycles",
+    """select call_id, label, case when ssrc is null then '-' else concat('0x', printf('%08x', ssrc)) end as ssrc, packet_count, coalesce(trigger_cseq, '-') as trigger_cseq from seg""", "seg",
+)
+def _(v):
+    return report.report_tables(_analysis(v))["lifecycle_segments"].select(
+        "call_id", "label", F.coalesce("ssrc", F.lit("-")).alias("ssrc"), "packet_count", F.coalesce("trigger_cseq", F.lit("-")).alias("trigger_cseq")
+    )
+
+
+@query("prj4_report_holds", "select call_id, kind, frame_number, cseq from hre", "hre")
+def _(v):
+    return report.report_tables(_analysis(v))["hold_retrieve_events"].select("call_id", "kind", "frame_number", "cseq")
+
+
 @query("prj5_ssrc_observations", "select call_id, ord, flow_key, ssrc from obs", "obs")
 def _(v):
     return ssrc.ssrc_observations(v.packets()).select("call_id", "ord", "flow_key", "ssrc")

@@ -15,6 +15,9 @@ PROFILE_SCHEMA = (
 CASE_FILES = {
     "summary": "summary",
     "rs_metadata": "siprec-metadata",
+    "rs_streams": "siprec-metadata-streams",
+    "rs_participants": "siprec-metadata-participants",
+    "rs_sessions": "siprec-metadata-sessions",
     "rtp_streams": "media-streams",
     "findings": "findings",
     "rtcp_stats": "rtcp-stats",
