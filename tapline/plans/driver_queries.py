@@ -325,7 +325,7 @@ def _hexn(c, digits: int):
 
 def _frames(v: DriverViews) -> DataFrame:
     """The packets as captured Ethernet frames; some carry a VLAN tag, some IPv6."""
-    p = v.packets().where("rtcp_pt = '' or (rtcp_ids <> '' and rtcp_pt <> '203')")
+    p = v.packets()
     vlan = F.col("frame_number") % 3 == 0
     six = F.col("frame_number") % 5 == 0
     octets = lambda ip: F.concat(*[_hexn(F.split(ip, "\\.")[i], 2) for i in range(4)])
@@ -356,7 +356,9 @@ def _frames(v: DriverViews) -> DataFrame:
         F.when(sender, F.lit("00" * 20)).otherwise(""), blocks,
     )
     sdes = F.when(F.col("rtcp_pt") == "200,202", F.lit("81CA0002" + "00" * 8)).otherwise("")
-    payload = F.when(F.col("rtcp_pt") == "", rtp).otherwise(F.concat(report, sdes))
+    sources = F.array_join(F.transform(ids, lambda i: _hexn(i, 8)), "")
+    bye = F.concat(_hexn(F.lit(128) + n, 2), F.lit("CB"), _hexn(n, 4), sources)
+    payload = F.when(F.col("rtcp_pt") == "", rtp).when(F.col("rtcp_pt") == "203", bye).otherwise(F.concat(report, sdes))
     size = F.length(payload) / 2
     udp = F.concat(_hexn(F.col("src_port"), 4), _hexn(F.col("dst_port"), 4), _hexn(size + 8, 4), F.lit("0000"), payload)
     ip4 = F.concat(
@@ -376,9 +378,9 @@ def _frames(v: DriverViews) -> DataFrame:
               src_port, dst_port,
               case when rtcp_pt = '' then coalesce(ssrc, 0) else -1 end as ssrc, case when rtcp_pt = '' then coalesce(seq, 0) else -1 end as seq,
               coalesce(p_type, -1) as p_type, rtcp_pt, rtcp_ids,
-              case when rtcp_pt = '' then '' when rtcp_fraction <> '' then rtcp_fraction when rtcp_ids like '%,%' then '0,0' else '0' end as rtcp_fraction,
-              case when rtcp_pt = '' then '' when rtcp_jitter <> '' then rtcp_jitter when rtcp_ids like '%,%' then '0,0' else '0' end as rtcp_jitter
-       from pk where rtcp_pt = '' or (rtcp_ids <> '' and rtcp_pt <> '203')""",
+              case when rtcp_pt in ('', '203') or rtcp_ids = '' then '' when rtcp_fraction <> '' then rtcp_fraction when rtcp_ids like '%,%' then '0,0' else '0' end as rtcp_fraction,
+              case when rtcp_pt in ('', '203') or rtcp_ids = '' then '' when rtcp_jitter <> '' then rtcp_jitter when rtcp_ids like '%,%' then '0,0' else '0' end as rtcp_jitter
+       from pk""",
     "pk",
 )
 def _(v):
@@ -801,7 +803,7 @@ def _(v):
 
 def _metadata_xml(v: DriverViews) -> DataFrame:
     """Recording metadata XML made from customers and their orders."""
-    orders = v.table("orders").where("o_orderkey % 2 = 0 or o_orderkey % 2 = 1").groupBy("o_custkey").agg(
+    orders = v.table("orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")
     )
     c = v.table("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"))

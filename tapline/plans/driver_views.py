@@ -50,7 +50,7 @@ _VIEWS: dict[str, str] = {
              case when event_type <> 'purchase' and k <> 13
                   then 4096 + 4 * c + case when k >= 90 then 1 else 0 end + 2 * (k % 2) end as ssrc,
              case when event_type <> 'purchase' and k <> 17 then cast((frame_number * 7) % 65536 as int) end as seq,
-             case when event_type <> 'purchase'
+             case when event_type <> 'purchase' and c % 17 = 16 then 72 when event_type <> 'purchase'
                   then case k % 10 when 0 then 72 when 1 then 8 when 2 then 9 else 0 end end as p_type,
              case when event_type <> 'purchase' then ''
                   else case k % 5 when 0 then '200,202' when 2 then '203' when 4 then '200' else '201' end end as rtcp_pt,
@@ -66,7 +66,7 @@ _VIEWS: dict[str, str] = {
              case when event_type <> 'purchase' or k % 5 in (2, 4) or c % 13 = 12 then ''
                   when k % 3 = 0 then concat(cast(8 * k as string), ',', cast(4 * k as string))
                   else cast(8 * k as string) end as rtcp_jitter
-      from ev where event_type = 'purchase' or (event_type in ('view', 'click') and c % 17 <> 16)""",
+      from ev where event_type in ('view', 'click', 'purchase')""",
     # SIP messages with the scalars of their two media lines.
     "sip0": """
       select call_id, c, k, 0 as file_idx, frame_number, ts_epoch, case when k = 19 then null else t end as t_rel,

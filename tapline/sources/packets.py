@@ -273,7 +273,7 @@ def decode_media(udp: DataFrame) -> DataFrame:
     hex_id = lambda at: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(_uint(p, at, 4))), 8, "0"))
     ids = F.transform(F.concat(F.col("_blocks"), F.filter(byes, lambda at: at + 4 <= F.length(p))), hex_id)
     return (
-        udp.where(versioned & (F.length(p) >= 8))
+        udp.where(versioned & (F.length(p) >= 4))
         .withColumn("_second", _uint(p, 1, 1))
         .where(rtcp | (F.length(p) >= 12))
         .withColumn("_parts", parts)
