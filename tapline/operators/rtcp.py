@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import quality as q
 from ..functions import scalars as sc
 from .ordering import time_chunk
-from .scope import is_mux_type
+from .scope import is_mux_type, is_rtcp
 
 # RTCP packet types.
 PT_SR, PT_RR, PT_SDES, PT_BYE, PT_APP = 200, 201, 202, 203, 204
@@ -89,6 +89,14 @@ def prefer_native_or_muxed(native: DataFrame, muxed: DataFrame) -> DataFrame:
     )
 
 
+def chosen_rows(rows: DataFrame) -> DataFrame:
+    """RTCP rows of each call, with media-port rows only where they replace the
+    native reading (no native report block)."""
+    native = rows.where(is_rtcp())
+    taken = prefer_native_or_muxed(rtcp_summary(native), rtcp_summary(rows)).where("use_muxed").select("call_id")
+    return native.unionByName(rows.where(~is_rtcp()).join(taken, "call_id", "left_semi"))
+
+
 def bye_sources(rows: DataFrame) -> DataFrame:
     """Distinct (call, ssrc) that sent an RTCP BYE; a BYE without ids marks null."""
     typed = packet_types(rows.withColumn("p_type", F.lit(None).cast("int")))

@@ -107,7 +107,7 @@ def analyze(
     bound = keep("rtp_streams", binding.bind_labels(matched, sig.media, sig.rs_streams, sig.rs_participants))
     out |= {"rtp_streams": bound, "ssrc_changes": changes}
 
-    reports = keep("rtcp_rows", rtcp_rows(sig, packets, scoped, opts))
+    reports = keep("rtcp_rows", rtcp.chosen_rows(keep("rtcp_candidates", rtcp_rows(sig, packets, scoped, opts))))
     summary = rtcp.rtcp_summary(reports)
     stats = rtcp.rtcp_stats(reports)
     samples = rtcp.mos_samples(reports, bound, opts.one_way_delay_ms)

@@ -970,6 +970,19 @@ def _(v):
     return rtcp.prefer_native_or_muxed(rtcp.rtcp_summary(rows.where(scope.is_rtcp())), rtcp.rtcp_summary(rows.where(~scope.is_rtcp())))
 
 
+@query(
+    "agg4_chosen_rows",
+    """select r.call_id, count(*) filter (rtcp_pt <> '') as native, count(*) filter (rtcp_pt = '') as muxed from rr r
+       left join (select distinct call_id from rr where rtcp_pt <> '' and (rtcp_fraction <> '' or rtcp_jitter <> '')) b on b.call_id = r.call_id
+       where rtcp_pt <> '' or b.call_id is null group by all""",
+    "rr",
+)
+def _(v):
+    return rtcp.chosen_rows(_rtcp(v)).groupBy("call_id").agg(
+        F.count_if(scope.is_rtcp()).alias("native"), F.count_if(~scope.is_rtcp()).alias("muxed")
+    )
+
+
 @query(
     "agg5_rtcp_stats",
     """select call_id, coalesce(ssrc, -1) as ssrc, report_count, coalesce(fraction_lost_max, -1.0::double) as fraction_lost_max, coalesce(cumulative_lost, -1) as cumulative_lost,

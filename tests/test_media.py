@@ -87,6 +87,15 @@ def test_rtcp_compound_and_mux(table):
     assert (s.muxed_as_rtp, s.sr, s.rr) == (2, 1, 1)
 
 
+def test_media_port_rtcp_counts_only_without_native_reports(table):
+    p = packets(table, [
+        dict(call_id="a", rtcp_pt="201", rtcp_ids="5", rtcp_fraction="1", rtcp_jitter="2"), dict(call_id="a", p_type=72),
+        dict(call_id="b", rtcp_pt="200"), dict(call_id="b", p_type=72), dict(call_id="c", p_type=73),
+    ])
+    got = sorted((r.call_id, r.rtcp_pt, r.p_type) for r in rtcp.chosen_rows(p).fillna(0).collect())
+    assert got == [("a", "201", 0), ("b", "", 72), ("b", "200", 0), ("c", "", 73)]
+
+
 def test_two_blocks_in_one_row(table):
     p = packets(table, [dict(t_rel=1.0, rtcp_pt="201", rtcp_ids="0xAAAA,0xBBBB", rtcp_fraction="0,5", rtcp_jitter="2,40")])
     blocks = {b.ssrc: b for b in rtcp.report_blocks(p).collect()}
