@@ -13,7 +13,6 @@ from ..functions import quality as q
 from ..functions import scalars as sc
 from ..functions import sdp as sdp_fn
 from ..functions.text import body_parts
-from . import lifecycle as life
 from . import sip as sip_ops
 from .findings import finding, gather_evidence, words
 from .messages import call_endpoints, first_invites, with_flags

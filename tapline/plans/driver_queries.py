@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quality as q
 from ..functions import scalars as sc
 from ..functions import sdp as sdp_fn
 from ..functions import text as tx
 from ..functions.rs_metadata import parse_rs_metadata
 from ..operators import baseline as bl
-from ..operators import batch, binding, detectors, findings as fd, health, identity, lifecycle, messages as msg
+from ..operators import batch, binding, detectors, findings as fd, identity, lifecycle, messages as msg
 from ..operators import report, rtcp, scope, sip, ssrc, streams, timeline
 from ..sources import captures, fields, packet_json, packets as pkt, sinks
 from ..session import work_path

@@ -9,13 +9,12 @@ from ..functions import scalars as sc
 from ..functions import sdp as sdp_fn
 from ..functions import text as tx
 from ..functions.rs_metadata import metadata_xml, parse_rs_metadata
-from ..operators import binding, detectors, identity, lifecycle, messages as msg, report, rtcp, scope, ssrc, streams, timeline
+from ..operators import detectors, lifecycle, messages as msg, report, rtcp, sip, streams, timeline
 from . import driver_oracle as o
 from .driver_queries import (
     BUCKET_S, CHUNK, MIN_PACKETS, _MD_BASE, _analysis, _bound, _changes, _counts, _holds, _lifecycles, _members, _metadata_xml,
-    _rtcp, _samples, _segments, _streams, detector, query,
+    _rtcp, _samples, _streams, detector, query,
 )
-from ..operators import sip
 from .driver_views import DriverViews
 
 CRLF = "\r\n"

@@ -187,6 +187,23 @@ def test_capture_to_findings(spark, capture_dir, tmp_path):
     sinks.write_focused_packets(keep("focused", packet_rows.limit(0).selectExpr("'x' as call_id", "*")), str(tmp_path / "fp"))
 
 
+def test_rtcp_of_the_whole_capture(spark, capture_dir):
+    """With the capture scope every call gets the RTCP of the files it appears in."""
+    from tapline.plans.analyze import rtcp_rows, scoped_packets
+
+    files = captures.list_captures(spark, capture_dir + "/a.cap")
+    keep = parquet_stage(spark)
+    packet_rows, sip_rows = (keep(n, d) for n, d in zip(("p", "s"), packets.read_packets(files)))
+    sig = signalling_tables(sip_rows)
+    stray = packet_rows.where("rtcp_pt <> ''").withColumn("src_port", F.lit(9)).withColumn("dst_port", F.lit(11))
+    both = packet_rows.unionByName(stray)
+
+    def count(opts):
+        return rtcp_rows(sig, both, scoped_packets(sig, both, opts), opts).count()
+
+    assert count(Options()) == 1 and count(Options(rtcp_scope="capture")) == 2
+
+
 def test_calls_together_equal_calls_alone(spark, capture_dir):
     files = captures.list_captures(spark, capture_dir, directory=True)
     packet_rows, sip_rows = packets.read_packets(files)
