@@ -53,6 +53,28 @@ def _port_rows(ports: DataFrame, spans: DataFrame | None, slack: float, bucket:
     )
 
 
+def _match_ports(
+    packets: DataFrame, ports: DataFrame, spans: DataFrame | None, slack: float, slot: float
+) -> DataFrame:
+    """Packets with every call one of whose ports they use, once per call."""
+    dim = _port_rows(ports, spans, slack, slot)
+    sides = F.array(
+        F.struct(F.col("src_port").alias("port"), F.lit(True).alias("by_src")),
+        F.struct(F.col("dst_port").alias("port"), F.lit(False).alias("by_src")),
+    )
+    keyed = packets.withColumn("_s", F.explode(sides)).select(
+        *packets.columns, F.col("_s.port").alias("port"), F.col("_s.by_src").alias("_by_src")
+    ).where("port is not null")
+    on = ["port"]
+    if spans is not None:
+        keyed = keyed.withColumn("_slot", F.floor(F.col("ts_epoch") / slot).cast("bigint"))
+        on.append("_slot")
+    once = F.col("_by_src") | F.col("src_port").isNull() | ~F.array_contains("_ports", F.col("src_port"))
+    if spans is not None:
+        once = once & F.col("ts_epoch").between(F.col("_from"), F.col("_to"))
+    return keyed.join(dim, on).where(once).select("call_id", *packets.columns)
+
+
 def scope_media_to_calls(
     packets: DataFrame,
     ports: DataFrame,
@@ -68,27 +90,28 @@ def scope_media_to_calls(
     the same call, so no duplicate removal has to shuffle the packets.
 
     ``spans`` (call_id, start_epoch, end_epoch) also bounds the match in time,
-    which keeps port reuse across a long archive from multiplying rows.
+    which keeps port reuse across a long archive from multiplying rows. Packets
+    and calls without an absolute time match on the port alone.
     ``call_files`` (call_id, file_idx; calls that announced no port) gives such
     calls all media of the capture files that carry their signalling.
     """
-    dim = _port_rows(ports, spans, slack_seconds, slot_seconds)
-    sides = F.array(
-        F.struct(F.col("src_port").alias("port"), F.lit(True).alias("by_src")),
-        F.struct(F.col("dst_port").alias("port"), F.lit(False).alias("by_src")),
-    )
-    keyed = packets.withColumn("_s", F.explode(sides)).select(
-        *packets.columns, F.col("_s.port").alias("port"), F.col("_s.by_src").alias("_by_src")
-    ).where("port is not null")
-    on = ["port"]
-    if spans is not None:
-        keyed = keyed.withColumn("_slot", F.floor(F.col("ts_epoch") / slot_seconds).cast("bigint"))
-        on.append("_slot")
-    hit = keyed.join(dim, on)
-    once = F.col("_by_src") | F.col("src_port").isNull() | ~F.array_contains("_ports", F.col("src_port"))
-    if spans is not None:
-        once = once & F.col("ts_epoch").between(F.col("_from"), F.col("_to"))
-    out = hit.where(once).select("call_id", *packets.columns)
+    if spans is None:
+        out = _match_ports(packets, ports, None, slack_seconds, slot_seconds)
+    else:
+        known = spans.where("start_epoch is not null and end_epoch is not null")
+        timed_calls = known.select("call_id")
+        out = (
+            _match_ports(packets.where("ts_epoch is not null"), ports, known, slack_seconds, slot_seconds)
+            .unionByName(
+                _match_ports(
+                    packets.where("ts_epoch is null"), ports.join(timed_calls, "call_id", "left_semi"), None,
+                    slack_seconds, slot_seconds,
+                )
+            )
+            .unionByName(
+                _match_ports(packets, ports.join(timed_calls, "call_id", "left_anti"), None, slack_seconds, slot_seconds)
+            )
+        )
     if call_files is not None:
         out = out.unionByName(
             packets.join(call_files.select("call_id", "file_idx").distinct(), "file_idx").select(

@@ -209,6 +209,15 @@ def test_media_scoping_counts_a_packet_once(table):
     assert scope.scope_media_to_calls(p, ports, call_files=files).where("call_id = 'n'").count() == 4
 
 
+def test_time_bound_scoping_keeps_untimed_packets_and_calls(table):
+    ports = table("call_id string, port int", [dict(call_id="a", port=10), dict(call_id="b", port=10), dict(call_id="u", port=10)])
+    spans = table("call_id string, start_epoch double, end_epoch double", [dict(call_id="a", start_epoch=1000.0, end_epoch=2000.0), dict(call_id="b", start_epoch=90000.0, end_epoch=99000.0), dict(call_id="u")])
+    p = packets(table, [dict(src_port=10, dst_port=1, ts_epoch=1500.0), dict(src_port=1, dst_port=10, ts_epoch=95000.0), dict(src_port=10, dst_port=10), dict(src_port=10, dst_port=2, ts_epoch=50000.0)]).drop("call_id")
+    for slot in (100.0, 3600.0):
+        got = sorted((r.call_id, r.frame_number) for r in scope.scope_media_to_calls(p, ports, spans, slot_seconds=slot).collect())
+        assert got == [("a", 1), ("a", 3), ("b", 2), ("b", 3), ("u", 1), ("u", 2), ("u", 3), ("u", 4)]
+
+
 def test_hold_suppresses_gap_findings(table):
     st = stream_rows(table, [dict(ssrc=1, first_t=6.0, last_t=8.0, sequence_gaps=4, largest_gap=9, rtcp_observed=False)])
     counts = table("call_id string, declared bigint, observed bigint, distinct_media bigint, sdp_count bigint", [dict(call_id="c1", declared=1, observed=1, distinct_media=1, sdp_count=1)])
