@@ -44,7 +44,9 @@ def rows_of_lines(lines: DataFrame) -> DataFrame:
     different tool versions mix: short rows are padded and missing fields empty.
     """
     split = F.split("value", "\t")
-    is_header = F.col("value").rlike(r"^[a-z0-9_]+(\.[A-Za-z0-9_\-]+)+(\t[A-Za-z0-9_]+(\.[A-Za-z0-9_\-]+)+)*$")
+    # Field names start with a letter; addresses and numbers do not.
+    name = r"[A-Za-z][A-Za-z0-9_]*(\.[A-Za-z0-9_\-]+)+"
+    is_header = F.col("value").rlike(rf"^{name}(\t{name})*$")
     headers = (
         lines.where(is_header).select("file", split.alias("header")).groupBy("file").agg(F.max("header").alias("header"))
     )

@@ -222,9 +222,10 @@ def test_calls_together_equal_calls_alone(spark, capture_dir):
 def test_field_exports_with_drift(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("frame.number\tframe.time_relative\tip.src\tudp.srcport\trtp.ssrc\n1\t0.5\t10.0.0.1\t7\t0x10\n2\t0.6\t10.0.0.1\n")
     (tmp_path / "a.tsv").write_text("frame.number\trtcp.pt\tipv6.src\tframe.time_relative\n9\t200,202\t2001:db8::1\tbad\n")
+    (tmp_path / "c.tsv").write_text("ip.src\tframe.time_relative\n10.0.0.7\t0.25\n")
     rows = fields.read_field_rows(spark, str(tmp_path))
     got = [tuple(r) for r in fields.typed_packets(rows).orderBy("file_idx", "frame_number").select("file_idx", "frame_number", "t_rel", "src_ip", "src_port", "ssrc", "rtcp_pt").collect()]
-    assert got == [(0, 9, None, "2001:db8::1", None, None, "200,202"), (1, 1, 0.5, "10.0.0.1", 7, 16, ""), (1, 2, 0.6, "10.0.0.1", None, None, "")]
+    assert got == [(0, 9, None, "2001:db8::1", None, None, "200,202"), (1, 1, 0.5, "10.0.0.1", 7, 16, ""), (1, 2, 0.6, "10.0.0.1", None, None, ""), (2, 0, 0.25, "10.0.0.7", None, None, "")]
 
 
 def test_packet_json(spark, tmp_path):
