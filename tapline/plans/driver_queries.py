@@ -60,6 +60,12 @@ def _kept(v: DriverViews, name: str, build: Callable[[], DataFrame]) -> DataFram
     return _KEPT[key]
 
 
+def forget_kept_tables() -> None:
+    """Make the next query build its stage tables anew (for timing)."""
+    _KEPT.clear()
+    _CACHE.clear()
+
+
 def _streams(v: DriverViews) -> DataFrame:
     p = v.packets()
     st = streams.index_streams(streams.rtp_streams(p, FRAME_CHUNK), chunk_frames=FRAME_CHUNK)
