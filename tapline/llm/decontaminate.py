@@ -29,12 +29,16 @@ BLOCK_WORDS = 1_000_000
 MOST_COVERED = 0.5
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _RUNS = "array<struct<start:int,stop:int>>"
 
 
+def lowered(text: str) -> str:
+    return text.encode().translate(_LOWER).decode()
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
+    return _WORD.findall(lowered(text)) if text else []
 
 
 class Automaton:
@@ -162,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     Each block of items is broadcast (``block_words`` bounds it) and adds its runs and items;
     between blocks the rows are staged, so a task holds one automaton. Nothing is shuffled.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(f"cast(null as {_RUNS})").alias("runs"), F.expr("cast(null as array<string>)").alias("items"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(f"cast(null as {_RUNS})").alias("runs"), F.expr("cast(null as array<string>)").alias("items"), F.expr("cast(null as bigint)").alias("n_words"))
     first = True
     for items in item_blocks(benchmark, block_words):
         rows = _matched(rows if first else stage(rows, "decontaminate"), items, window)
@@ -171,10 +175,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def digest(batch):
         out = []
-        for text, runs, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+        for text, runs, items, n_words in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
             joined = ",".join(items or [])
             hit = sum(r["stop"] - r["start"] for r in runs or [])
-            out.append((len(words_of(text)), hit, len(items or []), hashlib.sha256(joined.encode()).hexdigest(), hit > 0))
+            out.append((len(words_of(text)) if n_words is None else n_words, hit, len(items or []), hashlib.sha256(joined.encode()).hexdigest(), hit > 0))
         cols = zip(*out, strict=True)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
@@ -190,16 +194,18 @@ def _matched(rows: DataFrame, items: list[tuple[object, list[str]]], window: int
         automaton = Automaton(known.value, window)
         names = [str(i) for i in automaton.ids]
         for batch in batches:
-            runs, hits = [], []
+            runs, hits, counts = [], [], []
             for text, before, ids in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                spans, found = automaton.scan(words_of(text))
+                words = words_of(text)
+                spans, found = automaton.scan(words)
+                counts.append(len(words))
                 if before:
                     spans = merged([*spans, *((r["start"], r["stop"]) for r in before)])
                 runs.append([{"start": a, "stop": b} for a, b in spans])
                 hits.append(sorted({names[k] for k in found} | set(ids or [])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, runs_type), pa.array(hits, pa.list_(pa.string()))], ["doc_id", "text", "runs", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, runs_type), pa.array(hits, pa.list_(pa.string())), pa.array(counts, pa.int64())], ["doc_id", "text", "runs", "items", "n_words"])
 
-    return rows.mapInArrow(run, f"doc_id bigint, text string, runs {_RUNS}, items array<string>")
+    return rows.mapInArrow(run, f"doc_id bigint, text string, runs {_RUNS}, items array<string>, n_words bigint")
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -219,7 +225,7 @@ def cleaned(text: str, automaton: Automaton, most_covered: float = MOST_COVERED)
     """
     first = True
     while True:
-        low = text.translate(_LOWER)
+        low = lowered(text)
         spans = [m.span() for m in _WORD.finditer(low)]
         runs, _ = automaton.scan([low[a:b] for a, b in spans])
         if not runs:
