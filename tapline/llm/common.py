@@ -127,6 +127,23 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.n
     return total[whole], rows[:n][whole]
 
 
+#: Bits of ``only_listed``'s filter: 8 MB, whatever the size of the input.
+FILTER_BITS = 1 << 26
+
+
+def only_listed(rows: DataFrame, column: str, listed: DataFrame, inverse: bool = False) -> DataFrame:
+    """Rows whose ``column`` may stand in ``listed`` (or, with ``inverse``, the others).
+
+    A bitmap of fixed size, broadcast as at most 2,048 rows of 4 KB, drops most of the other
+    rows before a shuffle; a false pass costs time only.
+    """
+    spot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    bits = listed.select(F.bitmap_bucket_number(spot).alias("_k"), F.bitmap_bit_position(spot).alias("_p")).groupBy("_k").agg(F.bitmap_construct_agg("_p").alias("_bits"))
+    marked = rows.withColumns({"_k": F.bitmap_bucket_number(spot), "_p": F.bitmap_bit_position(spot)}).join(F.broadcast(bits), "_k", "left")
+    has = F.coalesce(F.expr("cast(conv(hex(substring(_bits, cast(_p div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_p % 8 as int) & 1 = 1"), F.lit(False))
+    return marked.where(~has if inverse else has).select(*rows.columns)
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 

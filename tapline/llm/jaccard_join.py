@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapline.llm.common import arrow_map, blocks, connected, lower_ascii, mix, shingle_hashes, span_hashes, stage, text_column, word_spans
+from tapline.llm.common import arrow_map, blocks, connected, lower_ascii, mix, only_listed, shingle_hashes, span_hashes, stage, text_column, word_spans
 
 SHINGLE = 3
 #: Least similarity in hundredths.
@@ -44,8 +44,6 @@ AXES = 32
 LEAF = 64
 #: Members of a group that one task compares with as many others.
 BLOCK_MEMBERS = 2_000
-#: Bits of the filter that tells which documents are worth a second reading: 8 MB at any size of the input.
-FILTER_BITS = 1 << 26
 
 _U = np.uint64
 _ZONES = [PREFIX_SIZE]
@@ -213,33 +211,18 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int = SH
     Texts are read once more; a bit filter of fixed size drops documents that stand in no
     pair before their sets are built (a wrong pass costs time, never a row).
     """
-    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes, "sid").select("sid", "rep")
     wanted = stage(wanted, "jaccard-wanted")
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)) + 1  # positive numbers count from bit 0 of bucket 1
-    rows = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows:
-        begin = (r["k"] - 1) * 4096
-        bits[begin : begin + 4096] = np.frombuffer(r["bits"], np.uint8)
-    known = spark.sparkContext.broadcast(bits)
-
-    def run(batches):
-        have = known.value
-        for batch in batches:
-            spot = batch.column(2).to_numpy(zero_copy_only=False)
-            keep = (have[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-            batch = batch.filter(pa.array(keep))
-            if not batch.num_rows:
-                continue
-            data, bounds = text_column(batch.column(1))
-            for i, j in blocks(bounds):
-                hashes, at = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], size)
-                n = np.bincount(at, minlength=j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_set_ids(hashes, n)), _lists(hashes, at, j - i)], ["rep", "sid", "shingles"])
-
-    again = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").withColumn("spot", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))
-    sets = again.mapInArrow(run, "rep bigint, sid bigint, shingles array<bigint>")
+
+    def run(batch):
+        data, bounds = text_column(batch.column(1))
+        for i, j in blocks(bounds):
+            hashes, at = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], size)
+            n = np.bincount(at, minlength=j - i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_set_ids(hashes, n)), _lists(hashes, at, j - i)], ["rep", "sid", "shingles"])
+
+    again = only_listed(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text"), "rep", wanted)
+    sets = arrow_map(again, "rep bigint, sid bigint, shingles array<bigint>", run)
     sets = sets.join(wanted, (sets["sid"] == wanted["sid"]) & sets["rep"].eqNullSafe(wanted["rep"]), "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     sets = stage(sets, "jaccard-sets")
     left, right = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
