@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm import decontaminate, jaccard_join, language, pieces, pii, sharding, suffix_dedup
+from tapline.llm import decontaminate, fingerprint, jaccard_join, language, pieces, pii, sharding, suffix_dedup
 from tapline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir).select("doc_id", "text")).drop("row")
+
+
+@query
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(documents(spark, sf_dir))
