@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm import decontaminate, fingerprint, jaccard_join, language, passage_dedup, pieces, pii, sharding, suffix_dedup
+from tapline.llm import decontaminate, fingerprint, jaccard_join, language, passage_dedup, pieces, pii, quality, sharding, suffix_dedup
 from tapline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.repeated_passages(documents(spark, sf_dir))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
