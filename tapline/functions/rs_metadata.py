@@ -14,6 +14,12 @@ RECORDING_REGION = (
     r"(?is)<\s*([A-Za-z0-9_]*:)?recording\b.*?</\s*([A-Za-z0-9_]*:)?recording\s*>"
 )
 
+RECORDING_ROOT = r"(?i)<\s*([A-Za-z0-9_]*:)?recording\b"
+CUT_REGION = r"(?is)<\s*([A-Za-z0-9_]*:)?recording\b.*"
+_ELEMENTS = "participantsessionassoc|participantstreamassoc|participant|sessionrecordingassoc|session|stream"
+# A whole child element: an empty tag, or everything up to its own end tag.
+_WHOLE_CHILD = rf"(?s)<((?:[\w.\-]+:)?(?:{_ELEMENTS}))\b(?:[^>]*/>|[^>]*(?<!/)>.*?</\1\s*>)"
+
 _XML_SCHEMA = (
     "struct<"
     "participant:array<struct<_participant_id:string,_participantid:string,"
@@ -148,15 +154,38 @@ def _sessions(doc: Column, participants: Column, streams: Column) -> Column:
     return F.transform(ids, one)
 
 
+def _parsed(text: Column) -> Column:
+    return F.from_xml(text, _XML_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+
+
+def _complete_children(text: Column) -> Column:
+    """A document of the child elements that are whole, without prefixes.
+
+    Text outside of elements and what follows the last whole element is left out.
+    """
+    children = F.array_join(F.regexp_extract_all(text, F.lit(_WHOLE_CHILD), F.lit(0)), "")
+    plain = F.regexp_replace(F.regexp_replace(children, r"(</?)[\w.\-]+:", "$1"), r"(\s)[\w.\-]+:([\w.\-]+\s*=)", "$1$2")
+    return F.concat(F.lit("<recording>"), plain, F.lit("</recording>"))
+
+
+def _recovered(text: Column) -> Column:
+    """The document; where it can't be read, the one of its complete elements."""
+    def found(doc: Column) -> Column:
+        lists = ("participant", "stream", "session", "participantstreamassoc", "participantsessionassoc")
+        return F.when(F.coalesce(*[F.size(doc[c]) for c in lists]).isNull(), _parsed(_complete_children(text))).otherwise(doc)
+
+    return let(_parsed(text), found)
+
+
 def parse_rs_metadata(xml) -> Column:
     """XML text to struct(version, raw_xml, participants, streams, sessions).
 
-    Unreadable XML keeps raw_xml and has empty lists.
+    Of XML that can't be read, the elements that are complete count; raw_xml keeps the text.
     """
     xml = F.col(xml) if isinstance(xml, str) else xml
 
     def built(text: Column) -> Column:
-        doc = F.from_xml(text, _XML_SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+        doc = _recovered(text)
         lists = let(
             doc, lambda d: F.struct(d.alias("doc"), _participants(d).alias("participants"), _streams(d).alias("streams"))
         )
@@ -175,17 +204,19 @@ def parse_rs_metadata(xml) -> Column:
 
 
 def salvaged_xml(*texts) -> Column:
-    """First recording element found in any of the texts."""
-    found = [
-        blank_to_null(F.regexp_extract(maybe_hex_decode(t), RECORDING_REGION, 0)) for t in texts
-    ]
+    """First recording element found in any of the texts; one that is cut off goes to the end of its text."""
+    decoded = [maybe_hex_decode(t) for t in texts]
+    found = [blank_to_null(F.regexp_extract(t, region, 0)) for region in (RECORDING_REGION, CUT_REGION) for t in decoded]
     return F.coalesce(*found)
 
 
 def metadata_xml(body, content_type, raw_headers) -> Column:
-    """Metadata document of a message: its metadata part, else a salvaged region."""
+    """Metadata document of a message: the first metadata part with a root element, else a salvaged region."""
     parts = F.filter(
         body_parts(body, content_type),
         lambda p: is_rs_metadata(p["content_type"]) & (strip(p["content"]) != ""),
     )
-    return F.coalesce(F.try_element_at(parts, F.lit(1))["content"], salvaged_xml(body, raw_headers))
+    rooted = F.filter(parts, lambda p: p["content"].rlike(RECORDING_ROOT))
+    return F.coalesce(
+        F.try_element_at(rooted, F.lit(1))["content"], salvaged_xml(body, raw_headers), F.try_element_at(parts, F.lit(1))["content"]
+    )

@@ -40,10 +40,11 @@ def blank_to_null(x) -> Column:
 
 
 def parse_int(x) -> Column:
-    """Decimal or 0x-prefixed text to BIGINT; anything else is null."""
+    """Decimal or 0x-prefixed text to BIGINT; anything else, or a number beyond it, is null."""
     x = _c(x)
-    hexa = F.conv(F.substring(x, 3, 32), 16, 10).try_cast("bigint")
-    return F.when(x.rlike(r"^0[xX][0-9a-fA-F]{1,15}$"), hexa).when(
+    # Sixteen digits after leading zeros fill 64 bits; more are out of range.
+    hexa = F.conv(F.regexp_extract(x, r"^0[xX]0*([0-9a-fA-F]{1,16})$", 1), 16, 10).try_cast("bigint")
+    return F.when(x.rlike(r"^0[xX]0*[0-9a-fA-F]{1,16}$"), hexa).when(
         x.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(x).try_cast("bigint")
     )
 

@@ -16,7 +16,6 @@ METADATA_TYPES = ("application/rs-metadata", "application/rs-metadata+xml")
 CANONICAL_METADATA_TYPE = "application/rs-metadata+xml"
 HEX_MIN_CHARS = 8
 PRINTABLE_SHARE = 0.85
-BOUNDARY_HINT_SPAN = 512
 STATUS_LINE = r"(?i)^SIP/2\.0\s+(\d{3})\s*(.*)$"
 REQUEST_LINE = r"^([A-Za-z]+)\s+(\S+)\s+SIP/2\.0\s*$"
 
@@ -125,11 +124,8 @@ def body_parts(body, content_type) -> Column:
         return let(_name_values(F.split(_before_blank_line(s), "\n")), built)
 
     def parts(text: Column) -> Column:
-        dash = F.instr(text, "--")
-        looks_split = F.coalesce(F.lower(ctype).contains("multipart/"), F.lit(False)) | (
-            (dash > 0) & (dash < BOUNDARY_HINT_SPAN)
-        )
-        found = F.coalesce(header_boundary(ctype), F.when(looks_split, sniffed_boundary(text)))
+        # Without a boundary in the header, a boundary line anywhere in the body decides.
+        found = F.coalesce(header_boundary(ctype), sniffed_boundary(text))
 
         def cut(boundary: Column) -> Column:
             pieces = F.transform(

@@ -41,7 +41,7 @@ def _s(c: str):
 def _(v):
     k = F.col("k") % 6
     text = (
-        F.when(k == 0, _s("event_id")).when(k == 1, F.concat(F.lit("0x"), F.lower(F.hex("event_id")))).when(k == 2, F.concat(F.lit(" -"), _s("event_id"), F.lit(" ")))
+        F.when(k == 0, _s("event_id")).when(k == 1, F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("event_id")), 24, "0"))).when(k == 2, F.concat(F.lit(" -"), _s("event_id"), F.lit(" ")))
         .when(k == 3, F.concat(F.lit("0X"), F.hex("event_id"))).when(k == 4, F.concat(_s("event_id"), F.lit(".5"))).otherwise("")
     )
     return _ev(v).select("event_id", F.coalesce(sc.parse_int(text), F.lit(-777)).alias("n"))

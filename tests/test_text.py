@@ -68,6 +68,37 @@ def test_metadata_unreadable(spark):
     assert m.streams == [] and m.participants == [] and m.sessions == [] and m.raw_xml.startswith("<rec")
 
 
+def test_metadata_cut_off_keeps_complete_elements(spark):
+    xml = "<r:recording xmlns:r='urn:ietf:params:xml:ns:recording:1'><r:participant participant_id='p1'/><r:stream stream_id='s1'><r:label>5</r:label></r:stream><r:stream stream_id='s2'><r:lab"
+    m = one(spark, xml, parse_rs_metadata)
+    assert [(s.stream_id, s.label) for s in m.streams] == [("s1", "5")] and [p.participant_id for p in m.participants] == ["p1"] and m.raw_xml == xml
+    broken = "<recording><stream stream_id='a'><label>1</label></stream><session session_id='x'></recording>"
+    assert [s.stream_id for s in one(spark, broken, parse_rs_metadata).streams] == ["a"]
+
+
+def test_first_metadata_part_with_a_root_counts(spark):
+    part = "Content-Type: application/rs-metadata+xml\r\n\r\n"
+    body = f"--u\r\n{part}no xml\r\n--u\r\n{part}{XML}\r\n--u--\r\n"
+    df = spark.createDataFrame([(body, "multipart/mixed;boundary=u", "")], "b string, c string, h string")
+    assert len(df.select(parse_rs_metadata(metadata_xml(F.col("b"), F.col("c"), F.col("h"))).alias("m")).first().m.streams) == 2
+    cut = XML[: XML.rindex("</")]
+    df = spark.createDataFrame([("nothing", "text/x", "A: b\n" + cut)], "b string, c string, h string")
+    assert len(df.select(parse_rs_metadata(metadata_xml(F.col("b"), F.col("c"), F.col("h"))).alias("m")).first().m.streams) == 2
+
+
+def test_boundary_after_a_long_preamble(spark):
+    body = "p" * 600 + "\r\n--u-1\r\nContent-Type: application/sdp\r\n\r\nv=0\r\n--u-1--\r\n"
+    df = spark.createDataFrame([(body, "x/y")], "b string, c string")
+    parts = df.select(text.body_parts(F.col("b"), F.col("c")).alias("p")).first().p
+    assert [p.content for p in parts if p.content_type == "application/sdp"] == ["v=0"]
+
+
+def test_long_hexadecimal_numbers(spark):
+    texts = ["0x0000000000000001", "0x7fffffffffffffff", "0x8000000000000000", "0x" + "0" * 40 + "ff", "0x" + "f" * 20, "0x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(sc.parse_int("t").alias("n")).collect()] == [1, (1 << 63) - 1, None, 255, None, None]
+
+
 @pytest.mark.parametrize("form", ["plain", "hex", "sniffed", "salvaged-hex", "headers"])
 def test_metadata_is_found(spark, form):
     parts = f"--u-1\r\nContent-Type: application/sdp\r\n\r\nv=0\r\n--u-1\r\nContent-Type: application/rs-metadata+xml\r\n\r\n{XML}\r\n--u-1--\r\n"
