@@ -14,7 +14,7 @@ from ..functions import scalars as sc
 from ..functions import sdp as sdp_fn
 from ..functions.text import body_parts
 from . import sip as sip_ops
-from .findings import finding, gather_evidence, words
+from .findings import evidence_counts, evidence_rows, finding, words
 from .messages import call_endpoints, first_invites, with_flags
 from .ordering import CHUNK_ROWS, as_of_last
 from .ssrc import substantial_transitions
@@ -294,9 +294,7 @@ def detect_consistency(counts: DataFrame) -> list[DataFrame]:
 
 
 def detect_bursts(members: DataFrame) -> DataFrame:
-    rows = sip_ops.bursts(members).join(
-        gather_evidence(members, ["call_id", "burst_idx"]), ["call_id", "burst_idx"]
-    )
+    rows = sip_ops.bursts(members).join(evidence_counts(members, ["call_id", "burst_idx"]), ["call_id", "burst_idx"])
     extra = F.when(
         F.col("codec_renegotiation"),
         " Offered codec set changed across the burst — consistent with codec renegotiation.",
@@ -309,14 +307,24 @@ def detect_bursts(members: DataFrame) -> DataFrame:
         ),
         owner="SBC",
         recommendation="If codecs are flapping, review the SBC codec-policy; if the re-INVITEs are identical, check for glare (491) or session-timer churn.",
-        frames=F.col("evidence_frames"), frame_count=F.col("evidence_count"), sub=F.col("burst_idx"),
+        frame_count=F.col("evidence_count"), sub=F.col("burst_idx"),
     )
 
 
+def grouped_evidence(messages: DataFrame, members: DataFrame, holds: DataFrame) -> list[DataFrame]:
+    """Evidence rows of all rules on groups: bursts, retransmissions, holds, burst churn."""
+    return [
+        evidence_rows(members, 80, F.col("burst_idx")),
+        evidence_rows(sip_ops.flag_retransmissions(messages).where("first_idx is not null"), 90, F.col("first_idx")),
+        evidence_rows(holds, 120),
+        evidence_rows(members, 133, F.col("burst_idx")),
+    ]
+
+
 def detect_retransmissions(messages: DataFrame) -> DataFrame:
     groups = sip_ops.retransmission_groups(messages)
     members = sip_ops.flag_retransmissions(messages).where("first_idx is not null")
-    rows = groups.join(gather_evidence(members, ["call_id", "first_idx"]), ["call_id", "first_idx"])
+    rows = groups.join(evidence_counts(members, ["call_id", "first_idx"]), ["call_id", "first_idx"])
     none = F.lit("None")
     label = F.coalesce(F.when(F.col("kind") == "Q", F.col("what")).otherwise(words(F.col("what"), " response")), none)
     return finding(
@@ -325,7 +333,7 @@ def detect_retransmissions(messages: DataFrame) -> DataFrame:
             label, " (CSeq ", F.coalesce("cseq", none), ") was transmitted ", F.col("n"),
             " times — suggests packet loss or an unresponsive peer.",
         ),
-        owner="NETWORK", frames=F.col("evidence_frames"), frame_count=F.col("evidence_count"), sub=F.col("first_idx"),
+        owner="NETWORK", frame_count=F.col("evidence_count"), sub=F.col("first_idx"),
     )
 
 
@@ -494,12 +502,12 @@ def detect_hold_retrieve(holds: DataFrame) -> DataFrame:
                 F.transform(F.array_sort(F.collect_list(F.struct("msg_idx", "_text"))), lambda s: s["_text"]), "; "
             ).alias("events"),
         )
-        .join(gather_evidence(holds, ["call_id"]), "call_id")
+        .join(evidence_counts(holds, ["call_id"]), "call_id")
     )
     return finding(
         rows, 120, "SIPREC-004", "INFO", "Hold/retrieve cycle detected",
         words(F.col("cycles"), " hold/retrieve cycle(s): ", F.col("events"), "."),
-        clause="RFC 3264 §8.4", owner="SBC", frames=F.col("evidence_frames"), frame_count=F.col("evidence_count"),
+        clause="RFC 3264 §8.4", owner="SBC", frame_count=F.col("evidence_count"),
     )
 
 
@@ -518,7 +526,7 @@ def detect_lifecycle(gaps: DataFrame, collisions: DataFrame, lifecycles: DataFra
         ),
         owner="SBC", stream=F.col("label"),
         recommendation="Confirm rtpengine-recording re-learned the SSRC on retrieve; if not, this is the dropout.",
-        sub=F.shiftleft(F.col("lifecycle_ord").cast("bigint"), 32) + F.col("stream_idx"),
+        sub=(F.col("lifecycle_ord"), F.col("stream_idx")),
     )
     clash = finding(
         collisions, 131, "SIPREC-003", "ERROR", "Two SSRCs active on one media port",
@@ -528,8 +536,7 @@ def detect_lifecycle(gaps: DataFrame, collisions: DataFrame, lifecycles: DataFra
             sc.one_decimal("overlap_end"), "s — the recorder may capture the wrong one.",
         ),
         owner="SBC", stream=F.col("label"),
-        sub=F.shiftleft(F.col("lifecycle_ord").cast("bigint"), 42)
-        + F.shiftleft(F.col("idx_a").cast("bigint"), 21) + F.col("idx_b"),
+        sub=(F.col("lifecycle_ord"), F.col("idx_a"), F.col("idx_b")),
     )
     chain = segments.groupBy("call_id", "label").agg(
         F.array_join(
@@ -563,7 +570,7 @@ def detect_burst_churn(bursts: DataFrame, effects: DataFrame, members: DataFrame
         effects.groupBy("call_id", "burst_idx")
         .agg(names("changed").alias("moved"), names("not changed").alias("still"))
         .join(bursts, ["call_id", "burst_idx"])
-        .join(gather_evidence(members, ["call_id", "burst_idx"]), ["call_id", "burst_idx"])
+        .join(evidence_counts(members, ["call_id", "burst_idx"]), ["call_id", "burst_idx"])
     )
     tail = F.when(
         F.col("still") != "",
@@ -575,7 +582,7 @@ def detect_burst_churn(bursts: DataFrame, effects: DataFrame, members: DataFrame
             "Re-INVITE burst at t=", sc.one_decimal("window_start", 0), "s coincided with SSRC change(s) on: ",
             F.col("moved"), ".", tail,
         ),
-        owner="SBC", frames=F.col("evidence_frames"), frame_count=F.col("evidence_count"), sub=F.col("burst_idx"),
+        owner="SBC", frame_count=F.col("evidence_count"), sub=F.col("burst_idx"),
     )
 
 

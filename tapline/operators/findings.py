@@ -37,10 +37,6 @@ OWNER_BY_CODE = {
 # Display order of owners.
 OWNER_ORDER = ("SBC", "GENESYS", "NETWORK", "CAPTURE", "UNPROVABLE", "UNKNOWN")
 
-# Longest evidence list kept inside a finding row; longer ones are whole in the
-# evidence table, which every grouped detector also returns.
-INLINE_EVIDENCE = 4096
-
 COLUMNS = (
     "call_id", "ord", "sub", "severity", "code", "title", "detail", "evidence_frames",
     "evidence_count", "recommendation", "owner", "clause", "evidence_streams",
@@ -58,6 +54,11 @@ def _as_column(value, sql_type: str = "string") -> Column:
     return F.lit(value).cast(sql_type)
 
 
+def place_in(sub: Column | tuple[Column, ...] = ()) -> Column:
+    parts = sub if isinstance(sub, tuple) else (sub,)
+    return F.array(*[p.cast("bigint") for p in parts or (F.lit(0),)])
+
+
 def finding(
     rows: DataFrame,
     order: int,
@@ -69,22 +70,23 @@ def finding(
     clause=None,
     recommendation=None,
     frame: Column | None = None,
-    frames: Column | None = None,
     frame_count: Column | None = None,
     stream: Column | None = None,
-    sub: Column | None = None,
+    sub: Column | tuple[Column, ...] = (),
 ) -> DataFrame:
     """Rows of a detector in the findings schema.
 
     ``order`` is the detector's place in a report and ``sub`` the row's place
-    within it.
+    within it: an array of numbers that compare one after the other. A rule on
+    one message names its ``frame``; a rule on a group gives the number of its
+    frames, which stand in the evidence table (``evidence_rows``).
     """
-    evidence = frames if frames is not None else (F.array(frame) if frame is not None else F.array())
+    evidence = F.array(frame) if frame is not None else F.array()
     count = frame_count if frame_count is not None else F.size(evidence)
     return rows.select(
         "call_id",
         F.lit(order).alias("ord"),
-        _as_column(sub if sub is not None else 0, "bigint").alias("sub"),
+        place_in(sub).alias("sub"),
         _as_column(severity).alias("severity"),
         _as_column(code).alias("code"),
         _as_column(title).alias("title"),
@@ -98,20 +100,36 @@ def finding(
     )
 
 
-def gather_evidence(members: DataFrame, keys: list[str], limit: int = INLINE_EVIDENCE) -> DataFrame:
-    """Frames per group in message order, with the count.
+def evidence_counts(members: DataFrame, keys: list[str]) -> DataFrame:
+    return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("evidence_count"))
+
+
+def evidence_rows(members: DataFrame, order: int, sub: Column | tuple[Column, ...] = ()) -> DataFrame:
+    """Frames of a grouped rule's findings: one row per frame, ``pos`` the message's place."""
+    return members.select(
+        "call_id", F.lit(order).alias("ord"), place_in(sub).alias("sub"), F.col("msg_idx").cast("bigint").alias("pos"),
+        F.col("frame_number").cast("bigint").alias("frame_number"),
+    )
 
-    Groups above the limit get the count and a null list: their frames stay in
-    ``members``, which is one row per frame.
+
+def evidence_table(findings: DataFrame, grouped: Iterable[DataFrame] = ()) -> DataFrame:
+    """(call_id, ord, sub, pos, frame_number) of every finding, one row per frame at any size.
+
+    ``grouped`` are evidence rows of rules on groups; those without a finding are left out.
     """
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("evidence_count"))
-    small = members.join(sizes.where(F.col("evidence_count") <= limit), keys, "left_semi")
-    lists = small.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("msg_idx", "frame_number"))), lambda s: s["frame_number"]
-        ).alias("evidence_frames")
+    key = ["call_id", "ord", "sub"]
+    out = findings.select(*key, F.posexplode("evidence_frames").alias("pos", "frame_number"))
+    out = out.withColumn("pos", F.col("pos").cast("bigint"))
+    for rows in grouped:
+        out = out.unionByName(rows.join(findings.select(*key), key, "left_semi"))
+    return out
+
+
+def evidence_text(evidence: DataFrame) -> DataFrame:
+    """(call_id, ord, sub, frames): the frames of a finding as the one text that a report line is."""
+    return evidence.groupBy("call_id", "ord", "sub").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "frame_number"))), lambda s: s["frame_number"].cast("string")).alias("frames")
     )
-    return sizes.join(lists, keys, "left")
 
 
 def union_findings(parts: Iterable[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as q
 from ..functions import scalars as sc
-from .findings import by_owner, errors, words
+from .findings import by_owner, errors, evidence_table, evidence_text, place_in, words
 from .messages import first_invites
 from .ordering import dense_index
 from .streams import stream_report
@@ -25,8 +25,8 @@ OWNER_TITLE = {
 
 
 def _place() -> Column:
-    """Report place of a finding as one number."""
-    return F.shiftleft(F.col("ord").cast("bigint"), 48) + F.col("sub")
+    """Report place of a finding: numbers that compare one after the other."""
+    return F.concat(place_in(F.col("ord")), F.col("sub"))
 
 
 # --- narrative -------------------------------------------------------------
@@ -64,7 +64,7 @@ def narrative(
         return rows.select(
             "call_id",
             F.lit(section).cast("bigint").alias("section"),
-            (sub if sub is not None else F.lit(0)).cast("bigint").alias("sub"),
+            (sub if sub is not None else place_in()).alias("sub"),
             (text if isinstance(text, Column) else F.lit(text)).alias("text"),
             (frame if frame is not None else none_frame).cast("bigint").alias("frame_number"),
         )
@@ -112,7 +112,7 @@ def narrative(
         step(
             bursts, 4,
             words("A burst of ", F.col("count"), " re-INVITE/UPDATE messages occurred around t=", sc.one_decimal("window_start", 0), "s", extra, "."),
-            sub=F.col("burst_idx"),
+            sub=place_in(F.col("burst_idx")),
         )
     )
     at = F.when(F.col("t_rel").isNotNull(), words("t=", sc.one_decimal("t_rel"), "s")).otherwise("an unknown time")
@@ -123,7 +123,7 @@ def narrative(
                 "The call was ", F.when(F.col("kind") == "HOLD", "placed on hold").otherwise("retrieved"), " at ", at,
                 " (CSeq ", F.coalesce("cseq", F.lit("None")), ").",
             ),
-            F.col("frame_number"), F.col("msg_idx"),
+            F.col("frame_number"), place_in(F.col("msg_idx")),
         )
     )
     lost = F.when(F.col("duration_s").isNotNull(), words(sc.one_decimal("duration_s", 0), "s")).otherwise("an unknown duration")
@@ -136,7 +136,7 @@ def narrative(
                 sc.ssrc_hex(F.coalesce("new_ssrc", F.lit(0))),
                 "; if the recorder did not follow the new SSRC, about ", lost, " of that stream's audio is missing.",
             ),
-            sub=F.shiftleft(F.col("lifecycle_ord").cast("bigint"), 32) + F.col("stream_idx"),
+            sub=place_in((F.col("lifecycle_ord"), F.col("stream_idx"))),
         )
     )
     moved = (
@@ -180,9 +180,11 @@ def narrative(
             ).otherwise(words("In total, ", F.col("_o"), " RTP stream(s) were observed.")),
         )
     )
-    # Section and the upper bits of the place in it: grows with the order and
-    # cuts a call with very many sentences into pieces.
-    piece = F.shiftleft("section", 58) + F.shiftright("sub", 18)
+    # Section, first place and the upper bits of the last of the first two: grows
+    # with the order and cuts a call with very many sentences into pieces.
+    first_two = F.slice("sub", 1, 2)
+    upper = F.transform(first_two, lambda x, i: F.when(i + 1 == F.size(first_two), F.shiftright(x, 18)).otherwise(x))
+    piece = F.concat(F.array("section"), upper)
     numbered = dense_index(
         steps.withColumn("_piece", piece), ["call_id"], "_piece", ["section", "sub", "text"], "_i"
     )
@@ -305,9 +307,13 @@ def escalation_lines(
     streams: DataFrame,
     custody: DataFrame | None = None,
     generated_at: str = "",
+    evidence: DataFrame | None = None,
 ) -> DataFrame:
     """The escalation report as ordered lines: (call_id, section, k1, k2, k3, line).
 
+    ``evidence`` is the table of operators.findings.evidence_table; without it only
+    the frames inside the findings are named.
+
     A report stays a set of rows, so a call of any size is written without
     collecting its text. ``custody`` is (call_id, file, sha256).
     """
@@ -317,7 +323,7 @@ def escalation_lines(
         return df.select(
             "call_id", F.lit(section).alias("section"),
             (k1 if isinstance(k1, Column) else F.lit(k1)).cast("bigint").alias("k1"),
-            (k2 if isinstance(k2, Column) else F.lit(k2)).cast("bigint").alias("k2"),
+            (k2 if isinstance(k2, Column) else place_in(F.lit(k2))).alias("k2"),
             F.posexplode(lines).alias("k3", "line"),
         )
 
@@ -360,11 +366,10 @@ def escalation_lines(
     for owner, text in OWNER_TITLE.items():
         title = F.when(F.col("owner") == owner, text).otherwise(title)
     clause = F.coalesce(words(" [", sc.blank_to_null("clause"), "]"), F.lit(""))
-    frames = F.when(
-        F.size("evidence_frames") > 0, words(" — frames ", F.array_join(F.col("evidence_frames").cast("array<string>"), ", "))
-    ).when(
-        F.col("evidence_count") > 0, words(" — ", F.col("evidence_count"), " frames, listed in the evidence table")
-    ).otherwise("")
+    if evidence is None:
+        evidence = evidence_table(findings)
+    owned = owned.join(evidence_text(evidence), ["call_id", "ord", "sub"], "left")
+    frames = F.when(F.size("frames") > 0, words(" — frames ", F.array_join("frames", ", "))).otherwise("")
     item = words("- `", F.col("severity"), "` **", F.col("title"), "**", clause, ": ", F.col("detail"), frames)
     advice = words("  - Recommended: ", sc.blank_to_null("recommendation"))
     calls = owned.select("call_id").distinct()

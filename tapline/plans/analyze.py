@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.quality import ONE_WAY_DELAY_MS
 from ..operators import binding, detectors, lifecycle, messages as msg, report, rtcp, scope, sip, ssrc, streams, timeline
-from ..operators.findings import assign_owner, union_findings
+from ..operators.findings import assign_owner, evidence_table, union_findings
 from ..operators.health import call_facts, call_health
 from ..operators.identity import correlation_keys, correlation_parts, fingerprints, ladder_rows
 from ..operators.ordering import CHUNK_ROWS
@@ -158,6 +158,7 @@ def analyze(
     if quality is not None:
         parts += detectors.detect_capture(quality)
     findings = keep("findings", assign_owner(union_findings(parts)))
+    evidence = evidence_table(findings, detectors.grouped_evidence(m, members, holds))
     facts = keep("call_facts", call_facts(m, sig.snapshots, bound, summary, findings))
     health = call_health(facts)
     marks = fingerprints(m)
@@ -165,7 +166,7 @@ def analyze(
         m, facts, scalars, media_count, bursts, holds, gaps, changes, findings
     )
     out |= {
-        "findings": findings, "call_health": health, "fingerprints": marks, "narrative": steps,
+        "findings": findings, "finding_evidence": evidence, "call_health": health, "fingerprints": marks, "narrative": steps,
         "correlation_keys": correlation_keys(m, correlation_parts(m, sig.rs_participants, bound)),
         "ladder": ladder_rows(m), "media_counts": counts,
     }

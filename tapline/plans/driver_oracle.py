@@ -383,7 +383,7 @@ def _rule(name: str, needs: list[str], source: str, order: int, code: str, sever
     owner_sql = owner if owner == "null" else val(owner)
     clause_sql = clause if clause == "null" else val(clause)
     _block(name, needs, f"""
-  select call_id, {order} as ord, cast({sub} as bigint) as sub, {val(severity)} as severity, {val(code)} as code,
+  select call_id, {order} as ord, cast([{sub}] as bigint[]) as sub, {val(severity)} as severity, {val(code)} as code,
          {val(title)} as title, {val(detail)} as detail, cast({frames} as bigint[]) as frames,
          cast({owner_sql} as varchar) as owner, cast({clause_sql} as varchar) as clause from {source}""")
 
@@ -485,10 +485,10 @@ def _hx(c: str) -> str:
 
 _rule("d_gap", ["cg"], "cg", 130, "SIPREC-001", "CRITICAL", "Recording gap after retrieve (SSRC change)",
       f"=concat('Stream ', {_WHO}, ' changed SSRC from ', {_hx('old_ssrc')}, ' to ', {_hx('new_ssrc')}, ' at t=', printf('%.1f', start_time), 's on retrieve. Estimated recording gap: ', printf('%.0f', duration_s), 's. Verify the recorder followed the new SSRC.')",
-      "SBC", sub="lifecycle_ord * 4294967296 + stream_idx")
+      "SBC", sub="lifecycle_ord, stream_idx")
 _rule("d_col", ["col"], "col", 131, "SIPREC-003", "ERROR", "Two SSRCs active on one media port",
       f"=concat('On label ', label, ' (', port_key, '), SSRCs ', {_hx('ssrc_a')}, ' and ', {_hx('ssrc_b')}, ' overlapped between t=', printf('%.1f', overlap_start), 's and t=', printf('%.1f', overlap_end), 's — the recorder may capture the wrong one.')",
-      "SBC", sub="lifecycle_ord * 4398046511104 + idx_a * 2097152 + idx_b")
+      "SBC", sub="lifecycle_ord, idx_a, idx_b")
 _rule("d_churn", ["lc", "seg"], f"(select l.*, c.chain from lc l join (select call_id, label, string_agg({_hx('ssrc')}, ' -> ' order by first_t, stream_idx) as chain from seg group by all) c using (call_id, label)) where ssrc_change_count > 0",
       132, "SIPREC-002", "=case when stability_per_min >= 1 then 'WARN' else 'INFO' end", "SSRC churn on a stream",
       f"=concat({_WHO}, ' changed SSRC ', ssrc_change_count, ' time(s) (', stability_per_min, '/min): ', chain)", "SBC", sub="lifecycle_ord")
@@ -556,42 +556,42 @@ _block("ckp", ["sip", "rspa", "bound"], """
   where value <> ''""")
 _block("nar", ["facts", "tl", "dm", "bu", "hre", "cg", "chg", "fnd", "inv", "sf"], """
   select call_id, row_number() over (partition by call_id order by section, sub, text) as "index", text, frame_number from (
-    select i.call_id, 1 as section, 0::bigint as sub,
+    select i.call_id, 1 as section, [0]::bigint[] as sub,
            concat(case when i.src_ip = f.src_ip then 'the SBC' when i.src_ip = f.srs_ip then 'the recorder' else i.src_ip end, ' sent an INVITE to ',
                   case when i.dst_ip = f.src_ip then 'the SBC' when i.dst_ip = f.srs_ip then 'the recorder' else i.dst_ip end,
                   case when declared > 0 then concat(' carrying SIPREC metadata that declared ', declared, ' stream(s)') else ' (no SIPREC metadata present)' end, '.') as text,
            i.frame_number from inv i join facts f using (call_id)
     union all
-    select s.call_id, 2, 0, concat(case when s.src_ip = f.src_ip then 'the SBC' when s.src_ip = f.srs_ip then 'the recorder' else s.src_ip end,
+    select s.call_id, 2, [0]::bigint[], concat(case when s.src_ip = f.src_ip then 'the SBC' when s.src_ip = f.srs_ip then 'the recorder' else s.src_ip end,
            ' answered ', s.status_code, ' ', coalesce(s.reason_phrase, ''), '.'), s.frame_number
     from (select * from sf where status_code between 200 and 299 qualify row_number() over (partition by call_id order by msg_idx) = 1) s join facts f using (call_id)
     union all
-    select * from (select f.call_id, 3, 0, case when observed > 0 and first_media_t - established_at > 2.0::double
+    select * from (select f.call_id, 3, [0]::bigint[], case when observed > 0 and first_media_t - established_at > 2.0::double
            then concat('RTP to the recorder did not start until ', printf('%.1f', first_media_t - established_at), 's after the session was established (clipped start).')
            when observed > 0 and first_media_t - established_at is not null then 'RTP began flowing to the recorder shortly after answer.'
            when observed = 0 and declared > 0 then 'No RTP reached the recorder at all, despite metadata declaring media.' end as text, null from facts f join tl using (call_id)) where text is not null
     union all
-    select call_id, 4, burst_idx, concat('A burst of ', "count", ' re-INVITE/UPDATE messages occurred around t=', printf('%.0f', window_start), 's',
+    select call_id, 4, [burst_idx]::bigint[], concat('A burst of ', "count", ' re-INVITE/UPDATE messages occurred around t=', printf('%.0f', window_start), 's',
            case when codec_renegotiation then ' and the offered codec set changed (codec renegotiation)' else '' end, '.'), null from bu
     union all
-    select call_id, 5, msg_idx, concat('The call was ', case when kind = 'HOLD' then 'placed on hold' else 'retrieved' end, ' at ',
+    select call_id, 5, [msg_idx]::bigint[], concat('The call was ', case when kind = 'HOLD' then 'placed on hold' else 'retrieved' end, ' at ',
            case when t_rel is null then 'an unknown time' else concat('t=', printf('%.1f', t_rel), 's') end, ' (CSeq ', cseq, ').'), frame_number from hre
     union all
-    select call_id, 6, lifecycle_ord * 4294967296 + stream_idx, concat('After retrieve, ', coalesce(nullif(participant, ''), concat('label ', label)), ' changed SSRC from 0x', printf('%08x', coalesce(old_ssrc, 0)),
+    select call_id, 6, [lifecycle_ord, stream_idx]::bigint[], concat('After retrieve, ', coalesce(nullif(participant, ''), concat('label ', label)), ' changed SSRC from 0x', printf('%08x', coalesce(old_ssrc, 0)),
            ' to 0x', printf('%08x', coalesce(new_ssrc, 0)), '; if the recorder did not follow the new SSRC, about ', printf('%.0f', duration_s), 's of that stream''s audio is missing.'), null from cg
     union all
-    select call_id, 7, 0, concat('The media SSRC changed ', count(*), ' time(s) mid-call, indicating the feed was restarted.'), null from chg
+    select call_id, 7, [0]::bigint[], concat('The media SSRC changed ', count(*), ' time(s) mid-call, indicating the feed was restarted.'), null from chg
     where call_id not in (select call_id from cg) group by call_id
     union all
-    select call_id, 8, ord::bigint * 281474976710656 + sub, concat('A problem was detected: ', title, ' — ', detail), null from fnd where severity in ('ERROR', 'CRITICAL')
+    select call_id, 8, list_concat([ord]::bigint[], sub), concat('A problem was detected: ', title, ' — ', detail), null from fnd where severity in ('ERROR', 'CRITICAL')
     union all
-    select s.call_id, 9, 0, concat('The recording dialog was ended by a BYE from ', case when s.src_ip = f.src_ip then 'the SBC' when s.src_ip = f.srs_ip then 'the recorder' else s.src_ip end, '.'), s.frame_number
+    select s.call_id, 9, [0]::bigint[], concat('The recording dialog was ended by a BYE from ', case when s.src_ip = f.src_ip then 'the SBC' when s.src_ip = f.srs_ip then 'the recorder' else s.src_ip end, '.'), s.frame_number
     from (select * from sf where is_request and method = 'BYE' qualify row_number() over (partition by call_id order by msg_idx) = 1) s join facts f using (call_id)
     union all
-    select call_id, 9, 0, 'No BYE was seen — the recording dialog did not close cleanly in this capture.', null from tl
+    select call_id, 9, [0]::bigint[], 'No BYE was seen — the recording dialog did not close cleanly in this capture.', null from tl
     where terminated_at is null and call_id not in (select call_id from sf where is_request and method = 'BYE')
     union all
-    select f.call_id, 10, 0, case when declared > 0 then concat('In total, ', coalesce(d.distinct_media, 0), ' of ', declared, ' declared stream(s) carried media to the recorder.')
+    select f.call_id, 10, [0]::bigint[], case when declared > 0 then concat('In total, ', coalesce(d.distinct_media, 0), ' of ', declared, ' declared stream(s) carried media to the recorder.')
            else concat('In total, ', coalesce(d.distinct_media, 0), ' RTP stream(s) were observed.') end, null from facts f left join dm d using (call_id))""")
 
 

@@ -145,17 +145,19 @@ def _analysis(v: DriverViews) -> dict[str, DataFrame]:
     return _CACHE[key]
 
 
-def _flat_findings(df: DataFrame) -> DataFrame:
-    return df.select(
-        "call_id", "ord", "sub", "severity", "code", "title", "detail",
-        F.array_join(F.col("evidence_frames").cast("array<string>"), ",").alias("frames"),
+def _flat_findings(df: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Findings with their place and all frames of the evidence table as text."""
+    frames = fd.evidence_text(fd.evidence_table(df) if evidence is None else evidence)
+    return df.join(frames, ["call_id", "ord", "sub"], "left").select(
+        "call_id", "ord", F.array_join(F.col("sub").cast("array<string>"), ",").alias("sub"), "severity", "code", "title", "detail",
+        F.coalesce(F.array_join("frames", ","), F.lit("")).alias("frames"), "evidence_count",
         F.coalesce("owner", F.lit("-")).alias("owner"), F.coalesce("clause", F.lit("-")).alias("clause"),
     )
 
 
 _FLAT = (
-    "select call_id, cast(ord as int) as ord, sub, severity, code, title, detail, "
-    "array_to_string(frames, ',') as frames, coalesce(owner, '-') as owner, coalesce(clause, '-') as clause from "
+    "select call_id, cast(ord as int) as ord, array_to_string(sub, ',') as sub, severity, code, title, detail, "
+    "array_to_string(frames, ',') as frames, cast(len(frames) as bigint) as evidence_count, coalesce(owner, '-') as owner, coalesce(clause, '-') as clause from "
 )
 
 
@@ -167,8 +169,9 @@ def detector(name: str, *rules: str):
     def register(f: Callable[[DriverViews], list[DataFrame] | DataFrame]) -> Callable:
         def run(v: DriverViews) -> DataFrame:
             parts = f(v)
-            parts = parts if isinstance(parts, list) else [parts]
-            return _flat_findings(fd.union_findings(parts))
+            parts, grouped = parts if isinstance(parts, tuple) else (parts, [])
+            found = fd.union_findings(parts if isinstance(parts, list) else [parts])
+            return _flat_findings(found, fd.evidence_table(found, grouped))
 
         return query(name, _union_sql(*rules), *rules)(run)
 
@@ -1357,7 +1360,19 @@ def _(v):
 
 @query("set1_all_findings", _FLAT + "fnd", "fnd")
 def _(v):
-    return _flat_findings(_analysis(v)["findings"])
+    return _flat_findings(_analysis(v)["findings"], _analysis(v)["finding_evidence"])
+
+
+@query(
+    "fnd_evidence_frames",
+    "select call_id, cast(ord as int) as ord, array_to_string(sub, ',') as sub, code, unnest(frames) as frame_number from fnd", "fnd",
+)
+def _(v):
+    """One row per frame of every finding."""
+    a = _analysis(v)
+    codes = a["findings"].select("call_id", "ord", "sub", "code")
+    rows = a["finding_evidence"].join(codes, ["call_id", "ord", "sub"])
+    return rows.select("call_id", "ord", F.array_join(F.col("sub").cast("array<string>"), ",").alias("sub"), "code", "frame_number")
 
 
 @query("set4_unbound_labels", "select call_id, detail from d_label", "d_label")

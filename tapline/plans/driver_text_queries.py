@@ -414,6 +414,10 @@ def _(v):
 # --- 2.9 detectors -------------------------------------------------------------------------------------
 
 
+def _evidence(v):
+    return detectors.grouped_evidence(v.messages(), _members(v), _holds(v))
+
+
 @detector("det1_gaps", "d_none", "d_seq", "d_nortcp", "d_late", "d_early")
 def _(v):
     m = v.messages()
@@ -432,12 +436,12 @@ def _(v):
 
 @detector("det4_bursts", "d_burst")
 def _(v):
-    return detectors.detect_bursts(_members(v))
+    return detectors.detect_bursts(_members(v)), _evidence(v)
 
 
 @detector("det5_sip_timing", "d_rx", "d_fail", "d_noack", "d_slow", "d_timer")
 def _(v):
-    return detectors.detect_sip_timing(v.messages())
+    return detectors.detect_sip_timing(v.messages()), _evidence(v)
 
 
 @detector("det6_compliance", "d_nomd", "d_mdinv", "d_mdinc", "d_same", "d_dir")
@@ -495,12 +499,12 @@ def _(v):
     return [
         *detectors.detect_lifecycle(gaps, lifecycle.ssrc_collisions(s, lc, BUCKET_S), lc, s),
         detectors.detect_burst_churn(bursts, lifecycle.burst_ssrc_effects(bursts, s, lc), members),
-    ]
+    ], _evidence(v)
 
 
 @detector("det12_hold_retrieve", "d_hold")
 def _(v):
-    return detectors.detect_hold_retrieve(_holds(v))
+    return detectors.detect_hold_retrieve(_holds(v)), _evidence(v)
 
 
 @detector("det13_labels", "d_label")
@@ -567,7 +571,8 @@ _LINES_SQL = f"""
 def _(v):
     a = _analysis(v)
     lines = report.escalation_lines(
-        a["call_health"], a["narrative"], a["findings"], a["fingerprints"], a["rtp_streams"], generated_at="2024-01-31T00:00:00Z"
+        a["call_health"], a["narrative"], a["findings"], a["fingerprints"], a["rtp_streams"], generated_at="2024-01-31T00:00:00Z",
+        evidence=a["finding_evidence"],
     )
     return lines.where(~F.col("line").startswith("  - Recommended:")).groupBy("call_id", "section", "line").agg(F.count(F.lit(1)).alias("n"))
 
