@@ -183,10 +183,10 @@ def detector(name: str, *rules: str):
 _FIELD_COLUMNS = list(fields.FIELDS)
 
 
-def _export_lines(v: DriverViews) -> DataFrame:
-    """The packets as tab-separated export text: two files, the second without RTCP
-    report fields and with its columns in another order."""
-    p = v.packets().withColumn("half", F.pmod("frame_number", F.lit(2)))
+def _exports(v: DriverViews) -> str:
+    """The packets as written field exports: one whole, one without RTCP report fields and
+    with its columns in another order, one with columns of other kinds between."""
+    p = v.packets()
     text = {
         "frame.number": F.col("frame_number").cast("string"),
         "frame.time_epoch": F.format_string("%.6f", "ts_epoch"),
@@ -203,28 +203,30 @@ def _export_lines(v: DriverViews) -> DataFrame:
         "rtcp.ssrc.fraction": F.col("rtcp_fraction"),
         "rtcp.ssrc.cumulative": F.col("rtcp_cumulative"),
         "rtcp.ssrc.jitter": F.col("rtcp_jitter"),
+        "_ws.col.Info": F.lit("host.example"),
+        "plain": F.lit("x.y"),
     }
-    wide = list(text)
-    narrow = [c for c in reversed(wide) if c not in ("rtcp.ssrc.cumulative", "rtcp.ssrc.jitter")]
-
-    def body(cols: list[str], half: int, file: str) -> DataFrame:
-        rows = p.where(F.col("half") == half).select(F.concat_ws("\t", *[text[c] for c in cols]).alias("value"))
-        head = p.limit(1).select(F.lit("\t".join(cols)).alias("value"))
-        return rows.unionByName(head).select(F.lit(file).alias("file"), "value")
-
-    return body(wide, 0, "/x/a.tsv").unionByName(body(narrow, 1, "/x/b.tsv"))
+    named = [c for c in text if c in fields.FIELDS]
+    narrow = [c for c in reversed(named) if c not in ("rtcp.ssrc.cumulative", "rtcp.ssrc.jitter")]
+    root = work_path(v.spark, "exports")
+    for third, cols in enumerate((named, narrow, ["_ws.col.Info", *named, "plain"])):
+        rows = p.where(F.pmod("frame_number", F.lit(3)) == third).select(*[text[c].alias(c) for c in cols])
+        rows.write.csv(f"{root}/third={third}", sep="\t", header=True, emptyValue="", quote="")
+    return f"{root}/third=*"
 
 
 @query(
     "src1_field_rows",
-    """select cast(frame_number % 2 as int) as file_idx, frame_number, round(t_rel, 6) as t_rel, src_ip, src_port, dst_ip, dst_port,
+    """select cast(frame_number % 3 as int) as file_idx, frame_number, round(t_rel, 6) as t_rel, src_ip, src_port, dst_ip, dst_port,
               coalesce(ssrc, -1) as ssrc, coalesce(seq, -1) as seq, coalesce(p_type, -1) as p_type, rtcp_pt, rtcp_ids, rtcp_fraction,
-              case when frame_number % 2 = 0 then rtcp_cumulative else '' end as rtcp_cumulative,
-              case when frame_number % 2 = 0 then rtcp_jitter else '' end as rtcp_jitter from pk""",
+              case when frame_number % 3 <> 1 then rtcp_cumulative else '' end as rtcp_cumulative,
+              case when frame_number % 3 <> 1 then rtcp_jitter else '' end as rtcp_jitter from pk""",
     "pk",
 )
 def _(v):
-    rows = fields.typed_packets(fields.rows_of_lines(_export_lines(v)))
+    found = fields.read_field_rows(v.spark, _exports(v))
+    index = found.select("file").distinct().select("file", F.regexp_extract("file", "third=([0-9])", 1).cast("int").alias("file_idx"))
+    rows = fields.typed_packets(found, index)
     return rows.select(
         "file_idx", "frame_number", F.round("t_rel", 6).alias("t_rel"), "src_ip", "src_port", "dst_ip", "dst_port",
         *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ssrc", "seq", "p_type")],

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as sc
+from .record_walk import open_capture
+
+HEADER_CHUNK = 1 << 16
+#: Most files whose header lines (some hundred bytes each) are broadcast.
+BROADCAST_FILES = 20_000
 
 # Export field -> column. Absent fields become empty text.
 FIELDS = {
@@ -37,33 +45,60 @@ def file_index(files: DataFrame) -> DataFrame:
     return names.select("file", (F.row_number().over(W.orderBy(base, "file")) - 1).alias("file_idx"))
 
 
-def rows_of_lines(lines: DataFrame) -> DataFrame:
+def read_headers(files: DataFrame) -> DataFrame:
+    """(file, header line) of (file): line 1, whatever its names look like.
+
+    Only the beginning of each file is read. Empty files have no row; a file that
+    begins with a blank line is an error.
+    """
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for path in pdf.file:
+                with open_capture(path) as f:
+                    head = b""
+                    while b"\n" not in head and (more := f.read(HEADER_CHUNK)):
+                        head += more
+                line = head.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace")
+                if head and not line.strip():
+                    raise ValueError(f"no header line in {path}")
+                found.append(line or None)
+            yield pdf.assign(header_line=found).dropna()
+
+    return files.mapInPandas(first_lines, "file string, header_line string")
+
+
+def rows_of_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """(file, value) text lines to one row of text columns per packet.
 
-    Every file names its own columns in its header line, so exports of
+    ``headers`` is (file, header_line). Every file names its own columns, so exports of
     different tool versions mix: short rows are padded and missing fields empty.
     """
-    split = F.split("value", "\t")
-    # Field names start with a letter; addresses and numbers do not.
-    name = r"[A-Za-z][A-Za-z0-9_]*(\.[A-Za-z0-9_\-]+)+"
-    is_header = F.col("value").rlike(rf"^{name}(\t{name})*$")
-    headers = (
-        lines.where(is_header).select("file", split.alias("header")).groupBy("file").agg(F.max("header").alias("header"))
-    )
-    body = lines.where(~is_header & (F.trim("value") != "")).select("file", split.alias("cells"))
-    joined = body.join(headers, "file")
+    named = headers.select(F.col("file").alias("_of"), "header_line", F.split("header_line", "\t").alias("header"))
+    joined = lines.join(named, lines["file"] == named["_of"])
+    body = joined.where((F.col("value") != F.col("header_line")) & (F.trim("value") != ""))
+    body = body.select("file", "header", F.split("value", "\t").alias("cells"))
 
     def cell(field: str):
         at = F.array_position("header", F.lit(field)).cast("int")
         return F.coalesce(F.try_element_at("cells", F.nullif(at, F.lit(0))), F.lit(""))
 
-    return joined.select("file", *[cell(f).alias(c) for f, c in FIELDS.items()])
+    return body.select("file", *[cell(f).alias(c) for f, c in FIELDS.items()])
 
 
 def read_field_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All field exports below a path as text rows with their file."""
+    """All field exports below a path as text rows with their file.
+
+    One row per file goes into the join with the lines: up to ``BROADCAST_FILES`` files it
+    is broadcast and no line is shuffled, beyond that Spark chooses.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    headers = read_headers(files)
+    if files.count() <= BROADCAST_FILES:
+        headers = F.broadcast(headers)
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return rows_of_lines(lines)
+    return rows_of_lines(lines, headers)
 
 
 def typed_packets(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -185,8 +185,11 @@ def _ip_start(b: Column, link: Column) -> Column:
     )
 
 
-def decode_udp(frames: DataFrame) -> DataFrame:
-    """Ethernet (with VLAN tags), raw IP and cooked captures down to UDP payloads."""
+def decode_ip(frames: DataFrame) -> DataFrame:
+    """Ethernet (with VLAN tags), raw IP and cooked captures down to the data of UDP over IP.
+
+    ``more`` and ``at`` (bytes) are the fragment fields, 0 for whole datagrams.
+    """
     b = F.col("frame")
     ip, u = F.col("_ip"), F.col("_u")
     first = F.col("_first")
@@ -196,19 +199,62 @@ def decode_udp(frames: DataFrame) -> DataFrame:
         .withColumn("_first", _uint(b, ip, 1))
         .withColumn("_u", ip + F.when(v4, (first % 16) * 4).when(v6, 40))
         .withColumn("_proto", _uint(b, ip + F.when(v4, 9).otherwise(6), 1))
-        .where((F.col("_proto") == 17) & (F.length(b) >= u + 8))
+        .where((F.col("_proto") == 17) & (F.length(b) > u))
     )
-    size = F.greatest(_uint(b, u + 4, 2) - 8, F.lit(0))
+    fragment = F.coalesce(F.when(v4, _uint(b, ip + 6, 2)), F.lit(0))
+    # Ethernet pads short frames; a total length of 0 comes from offloading hosts.
+    total = F.coalesce(F.nullif(F.when(v4, _uint(b, ip + 2, 2)), F.lit(0)), F.length(b).cast("bigint"))
+    size = F.when(v4, F.greatest(total - (u - ip), F.lit(0))).otherwise(F.length(b))
     return udp.select(
         "file_idx", "frame_number", "ts_epoch", "t_rel",
         F.when(v4, _ipv4(b, ip + 12)).otherwise(_ipv6(b, ip + 8)).alias("src_ip"),
-        _uint(b, u, 2).cast("int").alias("src_port"),
         F.when(v4, _ipv4(b, ip + 16)).otherwise(_ipv6(b, ip + 24)).alias("dst_ip"),
-        _uint(b, u + 2, 2).cast("int").alias("dst_port"),
-        F.substring(b, (u + 9).cast("int"), size.cast("int")).alias("payload"),
+        F.when(v4, _uint(b, ip + 4, 2)).alias("ident"), (fragment.bitwiseAND(0x2000) > 0).alias("more"),
+        (fragment.bitwiseAND(0x1FFF) * 8).alias("at"),
+        F.substring(b, (u + 1).cast("int"), size.cast("int")).alias("data"),
+    )
+
+
+def rejoin(pieces: DataFrame) -> DataFrame:
+    """Fragments to whole datagrams, at the frame that completes them; incomplete ones go.
+
+    A group holds one datagram: a first fragment begins a new one, since hosts use their
+    16-bit numbers again and again.
+    """
+    key = ["file_idx", "src_ip", "dst_ip", "ident"]
+    order = W.partitionBy(*key).orderBy("frame_number")
+    begun = F.sum((F.col("at") == 0).cast("int")).over(order)
+    piece = F.struct("at", "more", "data", "frame_number", "ts_epoch", "t_rel")
+    groups = pieces.withColumn("_n", begun).groupBy(*key, "_n").agg(F.array_sort(F.collect_set(piece)).alias("_p"))
+    last = F.element_at("_p", -1)
+    # Each piece begins where those before it end.
+    end = F.aggregate("_p", F.lit(0).cast("bigint"), lambda to, x: F.when(x["at"] == to, to + F.length(x["data"])).otherwise(to - (1 << 40)))
+    whole = groups.where((end > 0) & ~last["more"])
+    seen = F.array_max(F.transform("_p", lambda x: F.struct(x["frame_number"].alias("f"), x["ts_epoch"].alias("t"), x["t_rel"].alias("r"))))
+    return whole.select(
+        "file_idx", seen["f"].alias("frame_number"), seen["t"].alias("ts_epoch"), seen["r"].alias("t_rel"), "src_ip", "dst_ip", "ident",
+        F.lit(False).alias("more"), F.lit(0).cast("bigint").alias("at"),
+        F.aggregate("_p", F.unhex(F.lit("")), lambda to, x: F.concat(to, x["data"])).alias("data"),
     )
 
 
+def udp_of(datagrams: DataFrame) -> DataFrame:
+    """Ports and payloads of whole IP datagrams."""
+    d = F.col("data")
+    size = F.greatest(_uint(d, 4, 2) - 8, F.lit(0))
+    return datagrams.where(F.length(d) >= 8).select(
+        "file_idx", "frame_number", "ts_epoch", "t_rel", "src_ip", _uint(d, 0, 2).cast("int").alias("src_port"),
+        "dst_ip", _uint(d, 2, 2).cast("int").alias("dst_port"), F.substring(d, F.lit(9), size.cast("int")).alias("payload"),
+    )
+
+
+def decode_udp(frames: DataFrame) -> DataFrame:
+    """UDP payloads of all frames, fragments rejoined; ``frames`` should be a stored table."""
+    fragment = F.col("more") | (F.col("at") > 0)
+    data = decode_ip(frames)
+    return udp_of(data.where(~fragment)).unionByName(udp_of(rejoin(data.where(fragment))))
+
+
 def _rtcp_parts(p: Column) -> Column:
     """Offsets, types and counts of the packets in a compound RTCP datagram."""
     start = F.struct(
@@ -313,7 +359,13 @@ def decode_sip(udp: DataFrame) -> DataFrame:
 def read_packets(
     files: DataFrame, size: int = RANGE_RECORDS, split_bytes: int = SPLIT_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """(packets, SIP message rows) of listed captures."""
-    udp = decode_udp(read_frames(record_ranges(files, size, split_bytes)))
-    return decode_media(udp), decode_sip(udp)
+    """(packets, SIP message rows) of listed captures, as stored tables.
+
+    The captures are read once; media and messages are both taken from the stored datagrams.
+    """
+    keep = parquet_stage(files.sparkSession)
+    data = keep("datagrams", decode_ip(read_frames(record_ranges(files, size, split_bytes))))
+    fragment = F.col("more") | (F.col("at") > 0)
+    udp = udp_of(data.where(~fragment)).unionByName(udp_of(rejoin(data.where(fragment))))
+    return keep("packets", decode_media(udp)), keep("sip", decode_sip(udp))
 

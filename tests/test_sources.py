@@ -228,6 +228,55 @@ def test_field_exports_with_drift(spark, tmp_path):
     assert got == [(0, 9, None, "2001:db8::1", None, None, "200,202"), (1, 1, 0.5, "10.0.0.1", 7, 16, ""), (1, 2, 0.6, "10.0.0.1", None, None, ""), (2, 0, 0.25, "10.0.0.7", None, None, "")]
 
 
+def test_header_is_the_first_line(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("frame.number\t_ws.col.Info\tip.src\n1\thost.example\t10.0.0.1\n")
+    (tmp_path / "b.tsv").write_text("plain\tframe.number\nhost.example\t2\n")
+    (tmp_path / "c.tsv").write_text("ip.src\nhost.example\n")
+    (tmp_path / "d.tsv").write_text("")
+    rows = fields.read_field_rows(spark, str(tmp_path))
+    assert sorted((os.path.basename(r.file), r.frame_number, r.ip_src) for r in rows.collect()) == [("a.tsv", "1", "10.0.0.1"), ("b.tsv", "2", ""), ("c.tsv", "", "host.example")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    (tmp_path / "e.tsv").write_text("\n1\t2\n")
+    with pytest.raises(Exception, match="no header line"):
+        fields.read_field_rows(spark, str(tmp_path)).collect()
+
+
+def test_all_packet_blocks_of_pcapng(spark, tmp_path):
+    f = [frame("10.0.0.1", 40000, "10.0.0.2", 40002, rtp(7, i)) for i in range(4)]
+
+    def block(kind, body):
+        body += bytes(-len(body) % 4)
+        return struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+
+    n = len(f[0])
+    raw = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0))
+    raw += block(6, struct.pack("<IIIII", 0, 0, 5_000_000, n, n) + f[0]) + block(3, struct.pack("<I", n) + f[1])
+    raw += block(2, struct.pack("<HHIIII", 0, 0, 0, 6_000_000, n, n) + f[2]) + block(5, bytes(8)) + block(3, struct.pack("<I", n) + f[3])
+    (tmp_path / "x.pcapng").write_bytes(raw)
+    for size in (1, 100):
+        packet_rows, _ = packets.read_packets(captures.list_captures(spark, str(tmp_path), directory=True), size=size)
+        got = [(r.frame_number, r.seq, r.ts_epoch) for r in packet_rows.orderBy("frame_number").collect()]
+        assert got == [(1, 0, 5.0), (2, 1, 5.0), (3, 2, 6.0), (4, 3, 6.0)]
+
+
+def test_fragments_are_rejoined(spark):
+    payload = sip_invite("frag@1", 1) + b" " * 3000
+    whole = frame("10.0.0.1", 5060, "10.0.0.2", 5060, payload)
+    head, data = whole[:14], whole[34:]
+
+    def piece(at, end, ident, src="10.0.0.1"):
+        word = at // 8 | (0x2000 if end < len(data) else 0)
+        part = data[at:end]
+        return head + struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(part), ident, word, 64, 17, 0) + ip4(src) + ip4("10.0.0.2") + part
+
+    cuts = [(0, 1480), (1480, 2960), (2960, len(data))]
+    rows = [piece(*c, 9) for c in cuts] + [piece(*c, 9) for c in cuts] + [piece(*cuts[0], 11), piece(*cuts[2], 11)] + [piece(*c, 9, "10.0.0.3") for c in cuts]
+    df = spark.createDataFrame([(0, i + 1, i / 10, i / 10, 1, f) for i, f in enumerate(rows)], "file_idx int, frame_number bigint, ts_epoch double, t_rel double, link int, frame binary")
+    got = packets.decode_udp(df).orderBy("frame_number").collect()
+    assert [(r.frame_number, r.src_ip, r.src_port, bytes(r.payload) == payload) for r in got] == [(3, "10.0.0.1", 5060, True), (6, "10.0.0.1", 5060, True), (11, "10.0.0.3", 5060, True)]
+
+
 def test_packet_json(spark, tmp_path):
     layers = {"frame": {"frame.number": "7", "frame.time_relative": "1.250"}, "ip": {"ip.src": ""}, "ipv6": {"ipv6.src": "2001::5"}, "tcp": {"tcp.srcport": "5061"},
               "sip": {"sip.Method": "invite", "sip.Call-ID": "xyz@host", "sip.list": ["sip.CSeq", "zz"], "tree": [{"sip.CSeq": '1 "q" INVITE'}, {"sip.CSeq": "2"}], "sip.msg_hdr": "A: b\r\nC: d"}}
