@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: str | int = "*", app: str = "tapline", partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the benchmark use."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -22,6 +24,16 @@ def local_session(cores: str | int = "*", app: str = "tapline", partitions: int
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, which else import it from their own path only."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tapline-package-")
+    archive = shutil.make_archive(f"{folder}/tapline", "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
