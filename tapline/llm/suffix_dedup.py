@@ -13,8 +13,9 @@ same document or another.
    splitters. Each bucket sorts its suffixes, and the reversed bytes before them, by
    multikey quicksort; the longest common prefixes of neighbours on both sides tell for
    every window whether it is repeated in the bucket.
-4. Suffix runs that touch the end of a bucket may go on in the next one; their undecided
-   windows are compared across boundaries by a count over all buckets.
+4. Suffix runs that touch the end of a bucket may go on in the next one. Their suffixes are
+   compared across boundaries in a second order, range-partitioned by the bytes before the
+   anchor; windows that touch the end of a bucket in both orders are counted by content.
 
 Windows that cross a bucket boundary and copied contexts are compared by 128-bit hashes,
 everything inside a bucket byte by byte.
@@ -193,12 +194,13 @@ def multikey_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def repeated_windows(copies: np.ndarray, back: np.ndarray, near: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def repeated_windows(copies: np.ndarray, back: np.ndarray, near: np.ndarray, left: list[bytes], right: list[bytes], length: int, second: bool = False) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Which windows of a bucket are repeated, and which touch its ends.
 
-    Returns undecided window classes (member, reach) in runs that reach the first or last
-    suffix, and a table [member, reach] of repeated windows, ``reach`` being the bytes a
-    window starts before its anchor.
+    Returns one (member, reach) of each class of windows in runs that reach the first or last
+    suffix (with ``second``, in the order of the bytes before the anchors), and a table
+    [member, reach] of repeated windows, ``reach`` being the bytes a window starts before its
+    anchor.
     """
     n = len(copies)
     order_r, common_r = multikey_order(right)
@@ -222,7 +224,8 @@ def repeated_windows(copies: np.ndarray, back: np.ndarray, near: np.ndarray, lef
         total = np.add.reduceat(copies[active][sort], begin)
         found[active[sort], reach] = np.repeat(total > 1, np.diff(np.append(begin, len(sort))))
         leaders = active[sort[begin]]
-        open_run = (run_r[place_r[leaders]] == run_r[0]) | (run_r[place_r[leaders]] == run_r[-1])
+        run, place = (run_l, place_l) if second else (run_r, place_r)
+        open_run = (run[place[leaders]] == run[0]) | (run[place[leaders]] == run[-1])
         edge += [(m, reach) for m in leaders[open_run].tolist()]
     return edge, found
 
@@ -232,24 +235,33 @@ def _runs(row: np.ndarray) -> list[dict]:
     return [{"low": int(a), "high": int(b) - 1} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
 
 
-def _bucket(length: int):
-    """Sorts one range partition; rows (core, context, runs, window, reach, repeated).
+def _bucket(length: int, second: bool):
+    """Sorts one range partition.
 
-    ``runs`` is set in the rows that tell a context's repeated windows; ``window`` in those
-    of window classes that a neighbouring bucket may share.
+    Rows with ``runs`` tell a context's repeated windows. From the first order come rows with
+    ``turned`` (the bytes before the anchor, reversed) for the second; from the second, rows
+    with ``window`` for window classes that another bucket may share.
     """
     runs_type = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
-    kinds = (pa.int64(), pa.int64(), runs_type, pa.binary(), pa.int32(), pa.bool_())
+    kinds = (*(pa.int64(),) * 3, *(pa.int32(),) * 2, *(pa.binary(),) * 3, runs_type, pa.binary(), pa.int32(), pa.bool_())
+    names = [x.split()[0] for x in _SORTED.split(", ")]
 
     def sort(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         core, context, copies, back, near, left, right = (list(c) for c in zip(*rows, strict=True))
-        edge, found = repeated_windows(np.array(copies), np.array(back), np.array(near), left, right, length)
-        out = [(core[m], context[m], _runs(found[m]), None, None, None) for m in np.flatnonzero(found.any(axis=1)).tolist()]
-        for m, reach in edge:
-            window = left[m][len(left[m]) - reach :] + right[m][: length - reach]
-            out.append((core[m], context[m], None, hashlib.blake2b(window, digest_size=16).digest(), reach, bool(found[m, reach])))
-        for k in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 50_000], strict=True), kinds, strict=True)], ["core", "context", "runs", "window", "reach", "repeated"])
+        edge, found = repeated_windows(np.array(copies), np.array(back), np.array(near), left, right, length, second)
+        none = (None,) * 9
+        out = [(core[m], context[m], *none[:6], _runs(found[m]), *none[:3]) for m in np.flatnonzero(found.any(axis=1)).tolist()]
+        if second:
+            for m, reach in edge:
+                window = left[m][len(left[m]) - reach :] + right[m][: length - reach]
+                out.append((core[m], context[m], *none[:7], hashlib.blake2b(window, digest_size=16).digest(), reach, bool(found[m, reach])))
+        else:
+            least: dict[int, int] = {}
+            for m, reach in edge:
+                least[m] = min(least.get(m, reach), reach)
+            out += [(core[m], context[m], copies[m], back[m], reach, left[m], right[m], left[m][::-1], *none[:4]) for m, reach in least.items()]
+        for k in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 10_000], strict=True), kinds, strict=True)], names)
 
     def run(batches):
         rows: list[tuple] = []
@@ -265,25 +277,33 @@ def _bucket(length: int):
     return run
 
 
+_HELD = ["core", "context", "copies", "back", "near", "left", "right"]
+_SORTED = "core bigint, context bigint, copies bigint, back int, near int, left binary, right binary, turned binary, runs array<struct<low:int,high:int>>, window binary, reach int, repeated boolean"
+
+
+def _sorted(held: DataFrame, rows: int, order: str, length: int) -> DataFrame:
+    buckets = held.repartitionByRange(max(1, -(-rows // BUCKET_ROWS)), order, "context").sortWithinPartitions(order, "context")
+    return stage(buckets.select(*_HELD).mapInArrow(_bucket(length, order == "turned"), _SORTED), "suffix-sorted")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     """(doc, mark, begin, end): byte spans of (doc, mark, text) made of repeated windows, not merged."""
     anchors = stage(anchor_rows(docs, length, core), "suffix-anchors")
-    shared = anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    shared = stage(anchors.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "suffix-cores")
     anchors = stage(anchors.join(shared, "core", "left_semi"), "suffix-shared")
     wanted = anchors.groupBy("core", "context").agg(F.count("*").alias("copies"), F.min(F.struct(*KEY, "at", "back", "near")).alias("one"))
     wanted = stage(wanted.select("one.*", "core", "context", "copies"), "suffix-wanted")
     lists = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("at", "core", "context", "copies", "back", "near")).alias("wanted"))
-    buckets = max(1, -(-wanted.count() // BUCKET_ROWS))
     held = _contexts(only_listed(docs, "mark", wanted).join(lists, KEY), length)
-    sorted_in = held.repartitionByRange(buckets, "right", "context").sortWithinPartitions("right", "context")
-    schema = "core bigint, context bigint, runs array<struct<low:int,high:int>>, window binary, reach int, repeated boolean"
-    found = stage(sorted_in.mapInArrow(_bucket(length), schema), "suffix-sorted")
+    first = _sorted(held, wanted.count(), "right", length)
+    again = first.where("turned is not null")
+    second = _sorted(again, again.count(), "turned", length)
 
-    # Across boundaries: a window class found in two buckets is repeated in both.
-    edge = found.where("window is not null").select("core", "context", "window", "reach", "repeated")
+    # A window class found in two buckets of the second order is repeated in both.
+    edge = second.where("window is not null").select("core", "context", "window", "reach", "repeated")
     both = edge.groupBy("window", "reach").agg(F.count("*").alias("n")).where("n > 1").select("window", "reach")
     crossing = edge.where("not repeated").join(both, ["window", "reach"]).select("core", "context", F.col("reach").alias("low"), F.col("reach").alias("high"))
-    inside = found.where("window is null").select("core", "context", F.explode("runs").alias("run")).select("core", "context", "run.low", "run.high")
+    inside = first.union(second).where("runs is not null").select("core", "context", F.explode("runs").alias("run")).select("core", "context", "run.low", "run.high")
     places = anchors.select("core", "context", *KEY, "at").join(inside.union(crossing), ["core", "context"])
     return places.select(*KEY, (F.col("at") - F.col("high")).cast("bigint").alias("begin"), (F.col("at") - F.col("low") + length).cast("bigint").alias("end"))
 
