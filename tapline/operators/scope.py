@@ -93,7 +93,8 @@ def scope_media_to_calls(
     which keeps port reuse across a long archive from multiplying rows. Packets
     and calls without an absolute time match on the port alone.
     ``call_files`` (call_id, file_idx; calls that announced no port) gives such
-    calls all media of the capture files that carry their signalling.
+    calls all media of the capture files that carry their signalling, with
+    ``spans`` only what lies in the call's span.
     """
     if spans is None:
         out = _match_ports(packets, ports, None, slack_seconds, slot_seconds)
@@ -113,11 +114,13 @@ def scope_media_to_calls(
             )
         )
     if call_files is not None:
-        out = out.unionByName(
-            packets.join(call_files.select("call_id", "file_idx").distinct(), "file_idx").select(
-                "call_id", *packets.columns
-            )
-        )
+        wanted = call_files.select("call_id", "file_idx").distinct()
+        inside = F.lit(True)
+        if spans is not None:
+            wanted = wanted.join(spans.select("call_id", "start_epoch", "end_epoch"), "call_id", "left")
+            at = F.col("ts_epoch").between(F.col("start_epoch") - slack_seconds, F.col("end_epoch") + slack_seconds)
+            inside = F.coalesce(at, F.lit(True))
+        out = out.unionByName(packets.join(wanted, "file_idx").where(inside).select("call_id", *packets.columns))
     return out
 
 

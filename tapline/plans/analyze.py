@@ -25,7 +25,7 @@ class Options:
     burst_window_s: float = sip.BURST_WINDOW_S
     one_way_delay_ms: float = ONE_WAY_DELAY_MS
     rtcp_scope: str = "ports"
-    time_bound: bool = False
+    time_bound: bool = True
     unscoped_by_file: bool = True
     pre_scoped: bool = False
     include_stream_counts: bool = False
@@ -94,7 +94,7 @@ def analyze(
     sig = replace(sig, **{f.name: keep(f.name, getattr(sig, f.name)) for f in fields(sig)})
     m = sig.messages
     out: dict[str, DataFrame] = {
-        "sip_messages": m, "sdp_media": sig.media, "rs_metadata": sig.snapshots, "rs_streams": sig.rs_streams,
+        "sip_messages": sip.flag_retransmissions(m).drop("first_idx"), "sdp_media": sig.media, "rs_metadata": sig.snapshots, "rs_streams": sig.rs_streams,
         "rs_participants": sig.rs_participants, "rs_sessions": sig.rs_sessions,
     }
     scoped = keep("scoped_packets", scoped_packets(sig, packets, opts))
@@ -168,6 +168,6 @@ def analyze(
     out |= {
         "findings": findings, "finding_evidence": evidence, "call_health": health, "fingerprints": marks, "narrative": steps,
         "correlation_keys": correlation_keys(m, correlation_parts(m, sig.rs_participants, bound)),
-        "ladder": ladder_rows(m), "media_counts": counts,
+        "ladder": ladder_rows(m), "media_counts": counts, "summary": report.summary_records(health),
     }
     return out

@@ -26,12 +26,18 @@ CASE_FILES = {
 
 
 def write_case_tables(tables: dict[str, DataFrame], path: str, fmt: str = "json") -> None:
-    """One folder per table, one sub-folder per call inside it."""
+    """One folder per table, one sub-folder per call inside it.
+
+    Rows are range-partitioned on the call and a row hash: small calls have one file,
+    a large one is spread, and there are at most tasks + calls files in all.
+    """
     for name, df in tables.items():
         target = CASE_FILES.get(name, name)
-        df.withColumn("case", case_dir_name("call_id")).write.mode("overwrite").partitionBy("case").format(fmt).save(
-            f"{path}/{target}"
-        )
+        plain = [c for c, kind in df.dtypes if "map<" not in kind]
+        keyed = df.withColumn("case", case_dir_name("call_id")).withColumn("_spread", F.xxhash64(*plain))
+        keyed.repartitionByRange("case", "_spread").sortWithinPartitions("case").drop("_spread").write.mode("overwrite").partitionBy(
+            "case"
+        ).format(fmt).save(f"{path}/{target}")
 
 
 def write_text_by_call(lines: DataFrame, path: str, order: list[str], column: str = "line") -> None:

@@ -216,6 +216,10 @@ def test_time_bound_scoping_keeps_untimed_packets_and_calls(table):
     for slot in (100.0, 3600.0):
         got = sorted((r.call_id, r.frame_number) for r in scope.scope_media_to_calls(p, ports, spans, slot_seconds=slot).collect())
         assert got == [("a", 1), ("a", 3), ("b", 2), ("b", 3), ("u", 1), ("u", 2), ("u", 3), ("u", 4)]
+    files = table("call_id string, file_idx int", [dict(call_id="b", file_idx=0)])
+    none = ports.where("call_id = 'u'")
+    got = sorted(r.frame_number for r in scope.scope_media_to_calls(p, none, spans, files).where("call_id = 'b'").collect())
+    assert got == [2, 3]
 
 
 def test_hold_suppresses_gap_findings(table):
