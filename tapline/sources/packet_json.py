@@ -70,17 +70,15 @@ def messages_of_packets(packets: DataFrame) -> DataFrame:
 def read_packet_json(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """JSON exports below a path to SIP message rows with their file index.
 
-    An array export is read file by file; ``json_lines`` (one packet per line)
-    splits within files and is the form for large exports.
+    An array export is parsed element by element, one row each, in one task a file;
+    ``json_lines`` (one packet per line) splits within files and is the form for large exports.
     """
     if json_lines:
         packets = spark.read.text(path).select(
             F.col("_metadata.file_path").alias("file"), F.col("value").alias("packet")
         )
     else:
-        packets = spark.read.text(path, wholetext=True).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.explode(F.from_json("value", "array<string>")).alias("packet"),
-        )
+        objects = spark.read.schema("_source string, layers string").json(path, multiLine=True)
+        packets = objects.select(F.col("_metadata.file_path").alias("file"), F.coalesce("_source", "layers").alias("packet"))
     rows = messages_of_packets(packets)
     return rows.join(file_index(rows), "file").drop("file")
