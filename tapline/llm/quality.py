@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapline.llm.common import arrow_map, blocks, lower_ascii, span_hashes, stage, text_column, word_spans
+from tapline.llm.common import arrow_map, blocks, lower_ascii, only_listed, span_hashes, stage, text_column, word_spans
 
 #: Bound of the sample a model is fitted on (expected rows of each class).
 SAMPLE_PER_CLASS = 2_500
@@ -97,16 +97,11 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS)
     return Evidence(final[:-1], float(final[-1]))
 
 
-def fit(labelled: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Evidence:
-    """A model from (doc_id, text, label 0 or 1); class counts are taken over all rows."""
-    labelled = labelled.where("label is not null")
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    none, some = counts.get(0, 0), counts.get(1, 0)
+def fit(sample: DataFrame, none: int, some: int) -> Evidence:
+    """A model from sampled rows (text, label 0 or 1) of ``none`` and ``some`` rows in all."""
     if not none or not some:
-        odds = (some + 0.5 * (not counts)) / max(1e-9, none + 0.5 * (not counts))
-        return Evidence(np.zeros(BINS + HASHED), float(np.clip(np.log(max(odds, 1e-9)), -20, 20)))
-    share = F.when(F.col("label") == 1, min(1.0, per_class / some)).otherwise(min(1.0, per_class / none))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "label")
+        odds = (some + 0.5 * (not none)) / max(1e-9, none + 0.5 * (not some)) if none or some else 1.0
+        return Evidence(np.zeros(BINS + HASHED), float(np.clip(np.log(odds), -20, 20)))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, bounds = text_column(batch.column(0))
@@ -123,6 +118,22 @@ def fit(labelled: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Evidence:
     return model
 
 
+def fit_all(rows: DataFrame, marks: DataFrame, labels: list[str], per_class: int = SAMPLE_PER_CLASS) -> dict[str, Evidence]:
+    """A model for each label of ``marks`` (doc_id, labels 0 or 1) from ``rows`` (doc_id, text).
+
+    Classes are counted over all labelled documents by their ids; only the sample's texts
+    are fetched.
+    """
+    ids = stage(marks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "quality-marks")
+    counts = ids.agg(*(F.count_if(F.col(c) == y).alias(f"{c}{y}") for c in labels for y in (0, 1))).first()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    share = {c: F.when(F.col(c) == 1, min(1.0, per_class / max(1, counts[f"{c}1"]))).when(F.col(c) == 0, min(1.0, per_class / max(1, counts[f"{c}0"]))).otherwise(0.0) for c in labels}
+    chosen = ids.select("doc_id", *(F.when(place < share[c] * (1 << 20), F.col(c)).alias(c) for c in labels))
+    chosen = stage(chosen.where(F.coalesce(*labels).isNotNull()), "quality-chosen")
+    taught = stage(only_listed(rows.select("doc_id", "text"), "doc_id", chosen).join(chosen, "doc_id"), "quality-taught")
+    return {c: fit(taught.where(F.col(c).isNotNull()).select("text", F.col(c).alias("label")), counts[f"{c}0"], counts[f"{c}1"]) for c in labels}
+
+
 def scored(docs: DataFrame, models: dict[str, Evidence]) -> DataFrame:
     """doc_id, host, path and the evidence of each model, for rows (doc_id, text, host, path)."""
     known = docs.sparkSession.sparkContext.broadcast(models)
@@ -181,9 +192,8 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     A document is kept if good quality is likelier than not and toxicity is not.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
-    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
-    taught = stage(rows.select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", *((F.col(c) >= 0.5).cast("int").alias(c) for c in ("quality", "toxic"))), "quality-taught")
-    models = {c: fit(taught.select("doc_id", "text", F.col(c).alias("label")), per_class) for c in ("quality", "toxic")}
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(*((F.avg(c) >= 0.5).cast("int").alias(c) for c in ("quality", "toxic")))
+    models = fit_all(rows, marks, ["quality", "toxic"], per_class)
     found = stage(scored(rows, models), "quality-scored")
     for c in models:
         found = with_sites(found, c)
