@@ -7,11 +7,12 @@ Two texts link when their sets of three-word shingles have 100 * |x & y| >= 90 *
    so that a linked pair (which differs in few shingles) has some group of exactly equal
    shingles: sets that share no group can't link, and none that link are missed. Sets of up
    to ``PREFIX_SIZE`` shingles meet on their smallest shingles instead.
-3. Every set that shares a group with others is first compared with the group's smallest
-   node; most clusters come together in this star.
+3. Every set that shares a group with others is first compared with the most central set it
+   meets; most clusters come together in these stars.
 4. Groups that still hold several components are searched with an R-tree over count vectors
    (points of ``AXES`` group counts): the overlap of two sets is at most the sum of their
    coordinate minima, and of a set and a tree node the sum against the node's upper corner.
+   Finer vectors check what the tree lets through.
 5. Surviving pairs are verified on the whole sets; components of the verified links follow.
 
 Shingles and sets are compared through 64-bit hashes.
@@ -42,6 +43,9 @@ PREFIX_SIZE = 80
 ZONE_STEP = 1.4
 AXES = 32
 LEAF = 64
+#: Axes of the finer vectors that check what the tree lets through.
+FINE_LEAST, FINE_MOST = 64, 2048
+STAR_ROUNDS = 2
 #: Members of a group that one task compares with as many others.
 BLOCK_MEMBERS = 2_000
 
@@ -181,17 +185,56 @@ class CountTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def _fine(hashes: np.ndarray) -> bytes:
+    """A finer count vector with about an axis for two shingles; halves of it add up to the coarser ones."""
+    axes = FINE_LEAST
+    while axes < min(len(hashes) // 2, FINE_MOST):
+        axes *= 2
+    return np.bincount((hashes & _U(axes - 1)).astype(np.int64), minlength=axes).astype(np.uint32).tobytes()
+
+
+def _folded(vectors: np.ndarray, axes: int) -> np.ndarray:
+    return vectors.reshape(*vectors.shape[:-1], -1, axes).sum(axis=-2)
+
+
+class _FineCheck:
+    """Bounds of the finer vectors, by their number of axes."""
+
+    def __init__(self, raw: list[bytes]):
+        vectors = [np.frombuffer(x, np.uint32).astype(np.int64) for x in raw]
+        self.axes = np.array([len(v) for v in vectors], np.int64)
+        self.place = np.zeros(len(vectors), np.int64)
+        self.by_axes = {}
+        for axes in set(self.axes.tolist()):
+            own = np.flatnonzero(self.axes == axes)
+            self.place[own] = np.arange(len(own))
+            self.by_axes[axes] = np.stack([vectors[k] for k in own])
+
+    def passing(self, members: np.ndarray, query: np.ndarray) -> np.ndarray:
+        kept, size = [], int(query.sum())
+        for axes, table in self.by_axes.items():
+            own = members[self.axes[members] == axes]
+            if not len(own):
+                continue
+            least = min(axes, len(query))
+            near, q = _folded(table[self.place[own]], least), _folded(query, least)
+            kept.append(own[possible(size, near.sum(axis=1), np.minimum(near, q).sum(axis=1))])
+        return np.concatenate(kept) if kept else members[:0]
+
+
 def _search_block(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components that the tree lets through, for one pair of blocks."""
+    """Pairs of different components that the bounds let through, for one pair of blocks."""
     i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
     left = group[group["block"] == i].drop_duplicates("sid")
     right = left if i == j else group[group["block"] == j].drop_duplicates("sid")
     tree = CountTree(np.array(left["point"].tolist(), np.int64).reshape(-1, AXES))
+    fine = _FineCheck(left["fine"].tolist())
     sids, components = left["sid"].to_numpy(), left["component"].to_numpy()
     a, b = [], []
-    for sid, component, point in zip(right["sid"], right["component"], right["point"], strict=True):
+    for sid, component, point, own in zip(right["sid"], right["component"], right["point"], right["fine"], strict=True):
         near = tree.search(np.asarray(point, np.int64))
         near = near[(components[near] != component) & ((sids[near] < sid) | (i != j))]
+        near = fine.passing(near, np.frombuffer(own, np.uint32).astype(np.int64))
         a.append(np.minimum(sids[near], sid))
         b.append(np.maximum(sids[near], sid))
     return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
@@ -205,26 +248,30 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(possible(F.col("na"), F.col("nb"), F.least("na", "nb"))).where(possible(F.col("na"), F.col("nb"), shared)).select("a", "b")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose whole sets link.
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """sid, shingles and fine vector of the ``wanted`` nodes (sid, rep).
 
-    Texts are read once more; a bit filter of fixed size drops documents that stand in no
-    pair before their sets are built (a wrong pass costs time, never a row).
+    The texts are read once more; a bit filter of fixed size leaves out most documents that
+    stand for no wanted node before their sets are built.
     """
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes, "sid").select("sid", "rep")
-    wanted = stage(wanted, "jaccard-wanted")
 
     def run(batch):
         data, bounds = text_column(batch.column(1))
         for i, j in blocks(bounds):
             hashes, at = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], size)
             n = np.bincount(at, minlength=j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_set_ids(hashes, n)), _lists(hashes, at, j - i)], ["rep", "sid", "shingles"])
+            cut = np.concatenate([[0], np.cumsum(n)])
+            fine = pa.array([_fine(hashes[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_set_ids(hashes, n)), fine, _lists(hashes, at, j - i)], ["rep", "sid", "fine", "shingles"])
 
     again = only_listed(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text"), "rep", wanted)
-    sets = arrow_map(again, "rep bigint, sid bigint, shingles array<bigint>", run)
-    sets = sets.join(wanted, (sets["sid"] == wanted["sid"]) & sets["rep"].eqNullSafe(wanted["rep"]), "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
-    sets = stage(sets, "jaccard-sets")
+    sets = arrow_map(again, "rep bigint, sid bigint, fine binary, shingles array<bigint>", run)
+    known = (sets["sid"] == wanted["sid"]) & sets["rep"].eqNullSafe(wanted["rep"])
+    return sets.join(wanted, known, "left_semi").groupBy("sid").agg(F.first("fine").alias("fine"), F.first("shingles").alias("shingles"))
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link."""
     left, right = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
 
     def compare(batch):
@@ -243,6 +290,27 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int = SH
     return arrow_map(joined, "a bigint, b bigint", compare)
 
 
+def _placed(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The groups' members with their components, of groups that hold several."""
+    if labels is None:
+        return met.withColumn("component", F.col("sid"))
+    placed = met.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _star(placed: DataFrame) -> DataFrame:
+    """For each node one pair (a, b): with the most central leader of its groups in another component.
+
+    A node is the more central the more groups it shares: the original of a cluster shares
+    all of its own, an edited copy lacks those that its edits touch.
+    """
+    leads = placed.groupBy("key").agg(F.max(F.struct("score", "sid", "component")).alias("lead"))
+    met = placed.join(leads, "key").where("lead.component <> component")
+    best = met.groupBy("sid").agg(F.max("lead").alias("lead"))
+    return best.select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -250,26 +318,33 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     filled = signed.where("n_shingles > 0")
     nodes = stage(filled.groupBy("sid").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.min("point").alias("point")), "jaccard-nodes")
     keyed = filled.select(F.explode("keys").alias("key"), "sid")
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key", "low")
-    met = stage(keyed.join(shared, "key").select("key", "low", "sid").distinct(), "jaccard-met")
-
-    star = met.where("low < sid").select(F.col("low").alias("a"), F.col("sid").alias("b")).distinct()
-    star = stage(_bounded(star, nodes), "jaccard-pairs")
-    links = stage(verified(docs, nodes, star, size), "jaccard-links")
-    labels = connected(links, "jaccard-labels")
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+    met = stage(keyed.join(shared, "key").distinct(), "jaccard-met")
+    scores = stage(met.groupBy("sid").agg(F.count("*").alias("score")), "jaccard-scores")
+    met = stage(met.join(scores, "sid"), "jaccard-scored")
+    sets = stage(whole_sets(docs, nodes.join(scores, "sid").select("sid", "rep"), size), "jaccard-sets")
+
+    # Stars bring most clusters together, at one pair a node and round.
+    labels, links, tried = None, None, None
+    for _ in range(STAR_ROUNDS):
+        star = _bounded(_star(_placed(met, labels)), nodes)
+        star = stage(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        tried = star if tried is None else tried.union(star)
+        new = verified(sets, star)
+        links = stage(new if links is None else links.union(new), "jaccard-links")
+        labels = connected(links, "jaccard-labels")
 
     # Groups that still hold several components, each set of members once.
-    placed = met.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("mark")).where("c0 < c1")
-    mixed = mixed.groupBy("members", "mark", "c0", "c1").agg(F.min("key").alias("key"))
-    mixed = mixed.select("key", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("parts"))
-    inside = placed.join(mixed, "key").join(nodes.select("sid", "point"), "sid")
+    placed = stage(_placed(met, labels), "jaccard-mixed")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("mark"))
+    mixed = mixed.groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    inside = placed.join(mixed, "key").join(nodes.select("sid", "point"), "sid").join(sets.select("sid", "fine"), "sid")
     inside = inside.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    inside = inside.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "component", "point")
+    inside = inside.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "component", "point", "fine")
     pairs = inside.groupBy("key", "i", "j").applyInPandas(_search_block, "a bigint, b bigint").distinct()
-    more = stage(pairs.join(star, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     if more.limit(1).count():
-        links = stage(links.union(verified(docs, nodes, more, size)), "jaccard-links")
+        links = stage(links.union(verified(sets, more)), "jaccard-links")
         labels = connected(links, "jaccard-labels")
 
     of = nodes.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
