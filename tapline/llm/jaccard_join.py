@@ -122,10 +122,10 @@ def _set_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, sid, point (count vector), keys (groups) of every row."""
+    """doc_id, mark (hash of the text), n_shingles, sid, point (count vector), keys (groups) of every row."""
 
     def run(batch):
-        data, bounds = text_column(batch.column(1))
+        data, bounds = text_column(batch.column(2))
         for i, j in blocks(bounds):
             hashes, rows = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], size)
             m = j - i
@@ -134,9 +134,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             keys, at = group_keys(hashes, rows, n)
             order = np.argsort(at, kind="stable")
             axes = pa.ListArray.from_arrays(pa.array(np.arange(0, m * AXES + 1, AXES, dtype=np.int32)), pa.array(point.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(n), pa.array(_set_ids(hashes, n)), axes, _lists(keys[order], at[order], m)], ["doc_id", "n_shingles", "sid", "point", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), batch.column(1).slice(i, m), pa.array(n), pa.array(_set_ids(hashes, n)), axes, _lists(keys[order], at[order], m)], ["doc_id", "mark", "n_shingles", "sid", "point", "keys"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id bigint, n_shingles bigint, sid bigint, point array<int>, keys array<bigint>", run)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return arrow_map(rows, "doc_id bigint, mark bigint, n_shingles bigint, sid bigint, point array<int>, keys array<bigint>", run)
 
 
 def possible(na, nb, shared):
@@ -190,7 +191,13 @@ def _fine(hashes: np.ndarray) -> bytes:
     axes = FINE_LEAST
     while axes < min(len(hashes) // 2, FINE_MOST):
         axes *= 2
-    return np.bincount((hashes & _U(axes - 1)).astype(np.int64), minlength=axes).astype(np.uint32).tobytes()
+    counts = np.bincount((hashes & _U(axes - 1)).astype(np.int64), minlength=axes)
+    wide = counts.max(initial=0) > 255
+    return bytes([4 if wide else 1]) + counts.astype(np.uint32 if wide else np.uint8).tobytes()
+
+
+def _read_fine(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if raw[0] == 4 else np.uint8, offset=1).astype(np.int64)
 
 
 def _folded(vectors: np.ndarray, axes: int) -> np.ndarray:
@@ -201,7 +208,7 @@ class _FineCheck:
     """Bounds of the finer vectors, by their number of axes."""
 
     def __init__(self, raw: list[bytes]):
-        vectors = [np.frombuffer(x, np.uint32).astype(np.int64) for x in raw]
+        vectors = [_read_fine(x) for x in raw]
         self.axes = np.array([len(v) for v in vectors], np.int64)
         self.place = np.zeros(len(vectors), np.int64)
         self.by_axes = {}
@@ -234,7 +241,7 @@ def _search_block(group: pd.DataFrame) -> pd.DataFrame:
     for sid, component, point, own in zip(right["sid"], right["component"], right["point"], right["fine"], strict=True):
         near = tree.search(np.asarray(point, np.int64))
         near = near[(components[near] != component) & ((sids[near] < sid) | (i != j))]
-        near = fine.passing(near, np.frombuffer(own, np.uint32).astype(np.int64))
+        near = fine.passing(near, _read_fine(own))
         a.append(np.minimum(sids[near], sid))
         b.append(np.maximum(sids[near], sid))
     return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
@@ -313,12 +320,18 @@ def _star(placed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
+    return grouped(docs, size).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, mark, n_shingles, component (null without words) and component_id of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs, size), "jaccard-signed")
     filled = signed.where("n_shingles > 0")
     nodes = stage(filled.groupBy("sid").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.min("point").alias("point")), "jaccard-nodes")
     keyed = filled.select(F.explode("keys").alias("key"), "sid")
     shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+    shared = stage(shared, "jaccard-shared")
     met = stage(keyed.join(shared, "key").distinct(), "jaccard-met")
     scores = stage(met.groupBy("sid").agg(F.count("*").alias("score")), "jaccard-scores")
     met = stage(met.join(scores, "sid"), "jaccard-scored")
@@ -349,16 +362,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     of = nodes.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
     least = of.groupBy("component").agg(F.min("rep").alias("least"))
-    ids = of.join(least, "component").select("sid", "least")
-    return signed.select("doc_id", "n_shingles", "sid").join(ids, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = of.join(least, "component").select("sid", "component", "least")
+    out = signed.select("doc_id", "mark", "n_shingles", "sid").join(ids, "sid", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one row with its smallest id.
+    """The rows of ``docs`` that stand for their group: the row with its smallest id.
 
-    Rows without words are kept; of repeated rows with that id one stays.
+    Rows without words stay; of repeated rows that stand for a group one stays. The texts
+    move once, to meet the ids that are kept.
     """
-    found = near_duplicates(docs, size)
-    keep = found.where("doc_id is null or doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("most_shingles"))
-    marked = docs.join(keep.select(F.col("doc_id").alias("kept_id"), "most_shingles"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return marked.select(*docs.columns).dropDuplicates(docs.columns)
+    rows = stage(grouped(docs, size), "jaccard-grouped")
+    worded = rows.where("component is not null")
+    same = worded.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("same"))
+    chosen = same.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "same")).alias("one"))
+    blank = rows.where("component is null").select("doc_id", "mark", F.lit(1).cast("bigint").alias("same")).distinct()
+    keep = stage(chosen.select("one.doc_id", "one.mark", "one.same").union(blank), "jaccard-keep")
+
+    def kept(ids: DataFrame) -> DataFrame:
+        here = docs["doc_id"].cast("bigint").eqNullSafe(ids["doc_id"]) & (F.xxhash64(docs["text"]) == ids["mark"])
+        return docs.join(ids, here, "left_semi")
+
+    repeated = keep.where("same > 1")
+    once = kept(keep.where("same = 1"))
+    return once.union(kept(repeated).dropDuplicates(["doc_id", "text"])) if repeated.limit(1).count() else once

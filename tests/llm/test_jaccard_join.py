@@ -88,6 +88,16 @@ def test_tree_finds_all_points_that_can_link():
         assert sorted(tree.search(points[k])) == list(want)
 
 
+def test_finer_vectors_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in (90, 200, 700, 2500)] + [np.arange(0, 1 << 22, 64, dtype=np.uint64)]
+    assert [len(J._read_fine(J._fine(s))) for s in sets] == [64, 128, 512, 1024, 2048] and J._read_fine(J._fine(sets[-1])).max() == len(sets[-1]) // 32
+    check = J._FineCheck([J._fine(s) for s in sets])
+    for s in sets:
+        near = set(check.passing(np.arange(len(sets)), J._read_fine(J._fine(s))).tolist())
+        assert {k for k, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 90 * len(np.union1d(s, t))} <= near
+
+
 def test_mixed_groups_are_searched_beyond_the_star(spark, monkeypatch):
     """Chains that the smallest node doesn't link with: a-b and c-d far from the centre, and small blocks."""
     monkeypatch.setattr(J, "BLOCK_MEMBERS", 3)
@@ -106,7 +116,7 @@ def test_mixed_groups_are_searched_beyond_the_star(spark, monkeypatch):
 
 
 def test_one_of_each_keeps_the_smallest_id(spark):
-    rows = [(5, "a b c d"), (3, "a b c d"), (9, "p q r s"), (2, None), (2, None), (None, "t u v"), (None, "t u v")]
+    rows = [(5, "a b c d"), (3, "a b c d"), (9, "p q r s"), (2, None), (2, None), (None, "t u v"), (None, "t u v"), (None, "a b c d"), (3, "a b c d")]
     df = spark.createDataFrame([(i, t, "x", 1, "s", "k") for i, t in rows], SCHEMA)
     kept = sorted(((r[0], r[1]) for r in J.one_of_each(df).collect()), key=repr)
-    assert kept == sorted([(3, "a b c d"), (9, "p q r s"), (2, None), (None, "t u v")], key=repr)
+    assert kept == sorted([(3, "a b c d"), (9, "p q r s"), (2, None), (2, None), (None, "t u v")], key=repr)
