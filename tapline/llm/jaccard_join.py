@@ -278,8 +278,13 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataF
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    left, right = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) whose whole sets link; of the sets, only those of either side are moved."""
+
+    def side(name: str) -> DataFrame:
+        ids = pairs.select(F.col(name).alias("sid")).distinct()
+        return only_listed(sets.select("sid", "shingles"), "sid", ids).select(F.col("sid").alias(name), F.col("shingles").alias(f"s{name}"))
+
+    left, right = side("a"), side("b")
 
     def compare(batch):
         def flat(column):
@@ -307,7 +312,7 @@ def _placed(met: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star(placed: DataFrame) -> DataFrame:
-    """For each node one pair (a, b): with the most central leader of its groups in another component.
+    """For each node b one pair (a, b): a is the most central leader of its groups in another component.
 
     A node is the more central the more groups it shares: the original of a cluster shares
     all of its own, an edited copy lacks those that its edits touch.
@@ -315,7 +320,7 @@ def _star(placed: DataFrame) -> DataFrame:
     leads = placed.groupBy("key").agg(F.max(F.struct("score", "sid", "component")).alias("lead"))
     met = placed.join(leads, "key").where("lead.component <> component")
     best = met.groupBy("sid").agg(F.max("lead").alias("lead"))
-    return best.select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
+    return best.select(F.col("lead.sid").alias("a"), F.col("sid").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -355,6 +360,7 @@ def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     inside = inside.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     inside = inside.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "component", "point", "fine")
     pairs = inside.groupBy("key", "i", "j").applyInPandas(_search_block, "a bigint, b bigint").distinct()
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     if more.limit(1).count():
         links = stage(links.union(verified(sets, more)), "jaccard-links")
