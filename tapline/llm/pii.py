@@ -7,7 +7,7 @@ the other half modulo its size, which makes every step a permutation.
 
 | kind | validated by | what is permuted |
 | --- | --- | --- |
-| card | 13-19 digits, check digit | all digits but the first; the check digit follows |
+| card | 13-19 digits in whole groups, check digit | all digits but the first; the check digit follows |
 | ssn | ranges of area, group, serial | the number among all valid ones |
 | phone | ten digits in groups | all but country code and the first digits of area and exchange |
 | ip | four octets without leading zeros | the 32 bits |
@@ -32,7 +32,7 @@ DEMO_KEY = "not-a-secret"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
 IP = r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
-ISO_DATE = r"(?<![0-9A-Za-z/-])\d{4}-\d{2}-\d{2}(?![0-9A-Za-z/-])"
+ISO_DATE = r"(?<![0-9A-Za-z/-])\d{4}-\d{2}-\d{2}(?![0-9A-SU-Za-z/-]|T(?!\d\d))"
 DOT_DATE = r"(?<![0-9A-Za-z.])\d{2}\.\d{2}\.\d{4}(?![0-9A-Za-z]|\.\d)"
 US_DATE = r"(?<![0-9A-Za-z/])\d{2}/\d{2}/\d{4}(?![0-9A-Za-z/])"
 SSN = r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"
@@ -40,7 +40,12 @@ PHONE = r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d
 CARD = r"(?<![0-9A-Za-z])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])"
 #: A document without this has no value; most texts are told by this short pattern alone.
 HINT = r"[0-9@]"
-ANY = "|".join((EMAIL, SECRET, IP, ISO_DATE, DOT_DATE, US_DATE, SSN, PHONE, CARD))
+OTHER = "|".join((EMAIL, SECRET, IP, ISO_DATE, DOT_DATE, US_DATE, SSN, PHONE))
+#: Groups of digits in which cards are looked for, up to where another value begins.
+RUN = r"(?<![0-9A-Za-z])(?=\d(?:[ -]?\d){12})\d++(?![A-Za-z])(?:[ -](?!" + OTHER + r")\d++(?![A-Za-z]))*+"
+#: Digits of the groups of a card as they are usually written.
+USUAL = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{4}\3\d{5})$"
+ANY = OTHER + "|" + RUN
 
 _AREAS = 898  # 001-899 without 666
 _FIRST_DAY, _DAYS_A, _DAYS_B = "1900-01-01", 17, 4297  # 17 * 4297 days end with 2099-12-31
@@ -205,28 +210,73 @@ def pseudonym(value: Column, key: str) -> Column:
     return _with(found, lambda s: F.when(s["new"].isNotNull(), s))
 
 
-def parts(text: Column, key: str) -> Column:
-    """struct(gaps, values, made): the text between matches, the matches and their pseudonyms."""
-    values = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    found = F.struct(F.split(text, ANY, -1).alias("gaps"), values.alias("values"), F.transform(values, lambda v: pseudonym(v, key)).alias("made"))
-    return F.when(text.rlike(HINT), found)
+def _pieces(run: Column) -> Column:
+    """A run of digit groups as its cards, which begin and end at group borders, and what is between them.
 
+    At each group a valid card in a usual form goes first, then the longest valid one in
+    another form that holds no beginning of a valid usual one.
+    """
 
-def joined(p: Column, text: Column) -> Column:
+    def valid(text: Column) -> Column:
+        return _with(_digits(text), lambda d: F.length(d).between(13, 19) & (_luhn_total(d, 2) % 10 == 0))
+
+    def sizes(groups: Column) -> Column:
+        """struct(usual, others): groups of the valid cards at each group."""
+
+        def at(i: Column) -> Column:
+            texts = F.transform(F.sequence(F.lit(1), F.least(F.size(groups) - i, F.lit(19))), lambda n: F.regexp_replace(F.array_join(F.slice(groups, i + 1, n), ""), "[ -]$", ""))
+            good = F.filter(texts, valid)
+            count = lambda t: F.size(F.split(t, "[ -]"))
+            return F.struct(F.coalesce(F.array_max(F.transform(F.filter(good, lambda t: t.rlike(USUAL)), count)), F.lit(0)).alias("usual"), F.transform(good, count).alias("others"))
+
+        return F.transform(groups, lambda g, i: at(i))
+
+    def taken(found: Column) -> Column:
+        """Groups of the card that begins at each group, 0 for none."""
+        free = lambda x, i: F.filter(x["others"], lambda n: ~F.exists(F.slice(found, i + 2, n - 1), lambda y: y["usual"] > 0))
+        return F.transform(found, lambda x, i: F.when(x["usual"] > 0, x["usual"]).otherwise(F.coalesce(F.array_max(free(x, i)), F.lit(0))))
+
+    def cut(groups: Column, counts: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            n = F.element_at(counts, i)
+            text = F.array_join(F.slice(groups, i, F.greatest(n, F.lit(1))), "")
+            both = F.array(F.regexp_replace(text, "[ -]$", ""), F.regexp_extract(text, "[ -]$", 0))
+            on = i < s["next"]
+            return F.struct(F.when(on, s["out"]).otherwise(F.concat(s["out"], both)).alias("out"), F.when(on, s["next"]).otherwise(i + F.greatest(n, F.lit(1))).alias("next"))
+
+        begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), begin, step, lambda s: s["out"])
+
+    return _with(F.regexp_extract_all(run, F.lit(r"\d+[ -]?"), F.lit(0)), lambda g: _with(sizes(g), lambda z: _with(taken(z), lambda c: F.when(F.exists(c, lambda n: n > 0), cut(g, c)).otherwise(F.array(run)))))
+
+
+def parts(text: Column) -> Column:
+    """struct(gaps, values): the text between matches and the pieces of each match."""
+    matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    values = F.transform(matches, lambda v: F.when(v.rlike(_whole(OTHER)), F.array(v)).otherwise(_pieces(v)))
+    return F.when(text.rlike(HINT), F.struct(F.split(text, ANY, -1).alias("gaps"), values.alias("values")))
+
+
+def made(p: Column, key: str) -> Column:
+    """The pseudonyms of the pieces in ``parts``."""
+    return F.transform(p["values"], lambda pieces: F.transform(pieces, lambda v: pseudonym(v, key)))
+
+
+def joined(p: Column, made: Column, text: Column) -> Column:
     """The text of ``parts`` with the pseudonyms in place."""
-    new = F.zip_with(p["values"], p["made"], lambda v, m: F.coalesce(m["new"], v))
+    new = F.zip_with(p["values"], made, lambda v, m: F.array_join(F.zip_with(v, m, lambda x, y: F.coalesce(y["new"], x)), ""))
     whole = F.array_join(F.zip_with(p["gaps"], new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     return F.when(p.isNull(), text).otherwise(whole)
 
 
 def pseudonymised(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """``docs`` with the values in ``text`` replaced; all columns stay."""
-    rows = docs.select(F.struct("*").alias("row"), parts(F.col("text"), key).alias("parts"))
-    return rows.select(*(joined(F.col("parts"), F.col("row.text")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), parts(F.col("text")).alias("parts")).select("row", "parts", made(F.col("parts"), key).alias("made"))
+    return rows.select(*(joined(F.col("parts"), F.col("made"), F.col("row.text")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """doc_id, text, n_values and the pseudonyms (kind, new) in order of each row."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", parts(F.col("text"), key).alias("parts"))
-    made = F.coalesce(F.filter(F.col("parts.made"), lambda m: m.isNotNull()), F.array().cast("array<struct<kind:string,new:string>>"))
-    return rows.select("doc_id", joined(F.col("parts"), F.col("text")).alias("text"), F.size(made).cast("bigint").alias("n_values"), made.alias("pseudonyms"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", parts(F.col("text")).alias("parts")).select("*", made(F.col("parts"), key).alias("made"))
+    found = F.coalesce(F.filter(F.flatten("made"), lambda m: m.isNotNull()), F.array().cast("array<struct<kind:string,new:string>>"))
+    return rows.select("doc_id", joined(F.col("parts"), F.col("made"), F.col("text")).alias("text"), F.size(found).cast("bigint").alias("n_values"), found.alias("pseudonyms"))
