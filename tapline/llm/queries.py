@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm import decontaminate, fingerprint, jaccard_join, language, passage_dedup, pieces, pii, quality, sharding, suffix_dedup
+from tapline.llm import decontaminate, fingerprint, jaccard_join, language, passage_dedup, periodic_runs, pieces, pii, quality, sharding, simhash_join, suffix_dedup
 from tapline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.collapsed(periodic_runs.with_repeated_tails(documents(spark, sf_dir))))
