@@ -168,7 +168,7 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
 HOT_KEYS = 10_000
 
 
-def joined_by_key(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str | list[str], sizes: DataFrame) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row a key) that doesn't gather hot keys.
 
     ``sizes`` holds the number of rows (n) of each key. Keys with more than a 1 / HOT_KEYS
@@ -176,6 +176,7 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame)
     broadcast, so the rows stay where they are; the others are shuffled.
     """
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    hot = sizes.where(F.col("n") > max(total / HOT_KEYS, 1000)).select(key).limit(HOT_KEYS)
-    few = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
-    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+    keys = [key] if isinstance(key, str) else key
+    hot = sizes.where(F.col("n") > max(total / HOT_KEYS, 1000)).select(*keys)
+    few = F.broadcast(table.join(F.broadcast(hot), keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))

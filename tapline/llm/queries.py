@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm import decontaminate, fingerprint, jaccard_join, language, passage_dedup, periodic_runs, pieces, pii, quality, sharding, simhash_join, suffix_dedup
+from tapline.llm import conversation_trie, decontaminate, fingerprint, jaccard_join, language, passage_dedup, periodic_runs, pieces, pii, quality, sharding, simhash_join, suffix_dedup
 from tapline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,42 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.collapsed(periodic_runs.with_repeated_tails(documents(spark, sf_dir))))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = conversation_trie.with_shared_openings(conversation_trie.numbered(documents(spark, sf_dir, "conversations")))
+    return conversation_trie.prefix_trie(turns, convs)
+
+
+#: CRC-32 of the decimal digits of an id, bit by bit (the polynomial is a fixed value).
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda d: ascii(d)::bigint)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+ORACLE["op13_conversation_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_CRC} % 4 AS cut, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM turns)),
+opened AS (SELECT c.conv_id, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place < c.cut),
+taken AS (SELECT conv_id, count(*) AS n FROM opened GROUP BY conv_id),
+rebuilt AS (
+  SELECT * FROM opened UNION ALL
+  SELECT t.conv_id, t.place - c.cut + coalesce(k.n, 0), t.role, t.text FROM turns t JOIN convs c USING (conv_id) LEFT JOIN taken k USING (conv_id) WHERE t.place >= c.cut),
+prefixes AS (
+  SELECT conv_id, place + 1 AS depth, text, sha256(string_agg(sha256(length(role)::varchar || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY place)) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', '' FROM convs),
+named AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, path) AS node, max(depth) OVER (PARTITION BY conv_id) AS last FROM prefixes),
+nodes AS (
+  SELECT node AS conv_id, depth, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS own,
+         sha256(coalesce(string_agg(CASE WHEN depth = last THEN named.conv_id::varchar END, ',' ORDER BY named.conv_id), '')) AS ends_sha256
+  FROM named GROUP BY node, depth),
+parents AS (SELECT n.conv_id, n.depth, p.node AS parent_conv_id FROM nodes n JOIN named p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM parents GROUP BY ALL),
+whole AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (conv_id, depth)),
+above AS (SELECT a.node AS conv_id, a.depth, n.own, n.n_children FROM whole n JOIN named a ON a.conv_id = n.conv_id AND a.depth <= n.depth),
+totals AS (SELECT conv_id, depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved_tokens FROM above GROUP BY ALL)
+SELECT w.conv_id, w.depth, p.parent_conv_id, w.n_convs, w.n_children, t.n_leaves, t.saved_tokens::bigint AS saved_tokens, w.ends_sha256
+FROM whole w JOIN totals t USING (conv_id, depth) LEFT JOIN parents p USING (conv_id, depth)
+"""
