@@ -49,7 +49,7 @@ def _or_empty(x: Column, sql_type: str) -> Column:
 
 def metadata_version(xml: Column) -> Column:
     """"1" when the root element lies in the recording namespace."""
-    root = r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->)*<(?:([A-Za-z_][\w.\-]*):)?[A-Za-z_][\w.\-]*([^>]*)>"
+    root = r"(?s)^(?:\s++|<\?.*?\?>|<!--.*?-->)*+<(?:([A-Za-z_][\w.\-]*):)?[A-Za-z_][\w.\-]*([^>]*)>"
     prefix = F.regexp_extract(xml, root, 1)
     attrs = F.regexp_extract(xml, root, 2)
     name = F.when(prefix == "", F.lit("xmlns")).otherwise(F.concat(F.lit("xmlns:"), prefix))

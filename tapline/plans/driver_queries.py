@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,8 +237,8 @@ def _(v):
 
 
 def _packet_objects(v: DriverViews) -> DataFrame:
-    """The messages as packet JSON with nested layers, a list field, and a repeat."""
-    m = v.messages()
+    """The messages as packet JSON with nested layers, a list field, a repeat and bodies of up to 11 KB."""
+    m = v.messages().withColumn("k", F.regexp_extract("raw_headers", "([0-9]+)", 1).cast("int"))
     quote = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('\\"'))
 
     def field(name: str, c):
@@ -255,6 +257,7 @@ def _packet_objects(v: DriverViews) -> DataFrame:
         field("sip.From", quote(F.col("from_header"))),
         *optional,
         F.concat(F.lit('"sip.Via_tree": {'), field("sip.Via.branch", F.col("via_branch")), F.lit("}")),
+        F.concat(F.lit('"sip.msg_body": "'), F.repeat(F.lit('a=\\"b\\"\\r\\n'), F.col("k") * 10), F.lit('"')),
         F.lit('"again": {"sip.CSeq": "later"}'),
     )
     packet = F.concat(
@@ -265,23 +268,42 @@ def _packet_objects(v: DriverViews) -> DataFrame:
         F.lit('}, "sip": {'), sip_layer, F.lit("}}}}"),
     )
     other = v.raw_packets().select(
-        F.lit("/x/a.json").alias("file"),
+        "frame_number",
         F.concat(F.lit('{"_source": {"layers": {"frame": {"frame.number": "'), F.col("frame_number").cast("string"), F.lit('"}}}}')).alias("packet"),
     )
-    return m.select(F.lit("/x/a.json").alias("file"), packet.alias("packet")).unionByName(other)
+    return m.select("frame_number", packet.alias("packet")).unionByName(other)
+
+
+def _json_exports(v: DriverViews) -> tuple[str, str]:
+    """The packets as written exports: half of them one a line, half as files of one array each."""
+    root = work_path(v.spark, "packet-json")
+    packets = _packet_objects(v)
+    packets.where("frame_number % 2 = 0").select("packet").write.text(f"{root}/lines")
+
+    def array(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], ["packet"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(batch.column(0), "", ",")], ["packet"])
+        yield pa.RecordBatch.from_arrays([pa.array(["{}]"])], ["packet"])
+
+    packets.where("frame_number % 2 <> 0").select("packet").mapInArrow(array, "packet string").write.text(f"{root}/arrays")
+    return f"{root}/lines", f"{root}/arrays"
 
 
 @query(
     "src2_packet_json",
     """select call_id, frame_number, src_ip, src_port, dst_ip, coalesce(method, '-') as method, coalesce(status_code, -1) as status_code,
-              coalesce(reason_phrase, '-') as reason_phrase, cseq, from_header, via_branch from sip""",
+              coalesce(reason_phrase, '-') as reason_phrase, cseq, from_header, via_branch,
+              nullif(k, 0) * 10 * 7 as body_size, frame_number % 2 = 0 as from_lines from sip""",
     "sip",
 )
 def _(v):
-    return packet_json.messages_of_packets(_packet_objects(v)).select(
+    lines, arrays = _json_exports(v)
+    read = [packet_json.read_packet_json(v.spark, path, json_lines=path == lines).withColumn("from_lines", F.lit(path == lines)) for path in (lines, arrays)]
+    return read[0].unionByName(read[1]).select(
         "call_id", "frame_number", "src_ip", "src_port", "dst_ip", F.coalesce("method", F.lit("-")).alias("method"),
         F.coalesce("status_code", F.lit(-1)).alias("status_code"), F.coalesce("reason_phrase", F.lit("-")).alias("reason_phrase"),
-        "cseq", "from_header", "via_branch",
+        "cseq", "from_header", "via_branch", F.length("body").cast("bigint").alias("body_size"), "from_lines",
     )
 
 

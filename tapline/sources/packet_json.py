@@ -2,44 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from .fields import file_index
 
-# Text of a JSON string, escapes included.
-_STRING = r'"((?:[^"\\]|\\.)*)"'
+# The names of the fields that are read.
+_FIELDS = (
+    "frame.number", "frame.time_epoch", "frame.time_relative", "ip.src", "ipv6.src", "ip.dst", "ipv6.dst", "udp.srcport", "tcp.srcport",
+    "udp.dstport", "tcp.dstport", "sip.Call-ID", "sip.Method", "sip.Status-Code", "sip.Reason-Phrase", "sip.Status-Line", "sip.CSeq", "sip.From",
+    "sip.To", "sip.Contact", "sip.Content-Type", "sip.msg_hdr", "sip.msg_body", "sip.User-Agent", "sip.Server", "sip.Via.branch",
+    "sip.Via.sent_by", "sip.Via",
+)
+# The layers of a packet that is given without an envelope.
+_LAYERS = ("frame", "ip", "ipv6", "udp", "tcp", "sip")
+
+# A wanted name, a colon and a string. Loops are possessive, so Java neither recurses nor
+# backtracks in them: the stack stays flat for strings of any length.
+_VALUE = r'"\s*+:\s*+"((?:[^"\\]++|\\.)*+)"'
+_PAIR = r'(?s)"(' + "|".join(n.replace(".", r"\.") for n in _FIELDS) + ")" + _VALUE
+
+
+def string_fields(text: Column) -> Column:
+    """(name, raw string) of every wanted field with a string value, in the order of the JSON text.
+
+    Quotes inside JSON strings are escaped, so a quoted name before a colon is always a key, at
+    any depth; list elements have no name and never match.
+    """
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(_PAIR), 1).alias("name"), F.regexp_extract_all(text, F.lit(_PAIR), 2).alias("raw"))
 
 
 def messages_of_packets(packets: DataFrame) -> DataFrame:
     """(file, packet) JSON objects to SIP message rows; other packets drop out.
 
-    A field counts with its first string value in the layer tree. Quotes inside
-    JSON strings are escaped, so a quoted name before a colon is always a key;
-    list elements have no name and never match.
+    A field counts with its first string value in the layer tree.
     """
     sip_only = packets.where(F.col("packet").contains('"sip.'))
     layers = F.coalesce(F.get_json_object("packet", "$._source.layers"), F.col("packet"))
-    rows = sip_only.withColumn("_layers", layers)
-
-    def key(name: str) -> str:
-        return '"' + name.replace(".", r"\.") + r'"\s*:\s*'
+    present = F.col("_layers").rlike(r'(?s)"sip\.(?:Call-ID|msg_hdr|Method)' + _VALUE)
+    rows = sip_only.select("file", layers.alias("_layers")).where(present).select("file", string_fields(F.col("_layers")).alias("_all"))
+    # Of each name the first one; there are no more entries than names.
+    first = F.aggregate(
+        "_all",
+        F.array().cast("array<struct<name:string,raw:string>>"),
+        lambda kept, x: F.when(F.exists(kept, lambda y: y["name"] == x["name"]), kept).otherwise(F.array_append(kept, x)),
+    )
+    rows = rows.select("file", F.map_from_entries(first).alias("_fields"))
 
     def field(name: str):
-        found = F.regexp_substr("_layers", F.lit("(?s)" + key(name) + _STRING))
-        raw = F.regexp_extract(found, "(?s)" + key(name) + _STRING, 1)
-        plain = ~raw.contains("\\")
+        raw = F.col("_fields")[name]
         unescaped = F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>")[0]
-        return F.when(plain, raw).otherwise(unescaped)
+        return F.when(raw.contains("\\"), unescaped).otherwise(raw)
 
     def either(*names: str):
         return F.coalesce(*[sc.blank_to_null(field(n)) for n in names])
 
-    present = F.col("_layers").rlike(
-        "|".join(key(name) + '"' for name in ("sip.Call-ID", "sip.msg_hdr", "sip.Method"))
-    )
-    return rows.where(present).select(
+    return rows.select(
         "file",
         field("sip.Call-ID").alias("call_id"),
         F.coalesce(sc.parse_int(field("frame.number")), F.lit(0)).alias("frame_number"),
@@ -78,7 +97,12 @@ def read_packet_json(spark: SparkSession, path: str, json_lines: bool = False) -
             F.col("_metadata.file_path").alias("file"), F.col("value").alias("packet")
         )
     else:
-        objects = spark.read.schema("_source string, layers string").json(path, multiLine=True)
-        packets = objects.select(F.col("_metadata.file_path").alias("file"), F.coalesce("_source", "layers").alias("packet"))
+        columns = ["_source", "layers", *_LAYERS, *_FIELDS]
+        objects = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).json(path, multiLine=True)
+        # Without an envelope the layers are put together again, or the fields themselves.
+        bare = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), F.col(n)) for n in _LAYERS])
+        flat = F.to_json(F.struct(*[F.col(f"`{n}`") for n in _FIELDS]))
+        whole = F.coalesce("_source", "layers", F.concat(F.lit("{"), F.nullif(bare, F.lit("")), F.lit("}")), flat)
+        packets = objects.select(F.col("_metadata.file_path").alias("file"), whole.alias("packet"))
     rows = messages_of_packets(packets)
     return rows.join(file_index(rows), "file").drop("file")

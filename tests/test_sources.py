@@ -288,6 +288,33 @@ def test_packet_json(spark, tmp_path):
     assert packet_json.read_packet_json(spark, str(tmp_path / "l"), json_lines=True).count() == 1
 
 
+def test_packet_json_of_any_length_and_depth(spark, tmp_path):
+    """Strings of a megabyte full of escapes, layers hundreds deep, bare packets, doubled fields, broken lines."""
+    body = 'a="b"\r\n\\u00e9 \\\\ "sip.CSeq": "no" ' * 40_000
+    deep = {"sip.Call-ID": "deep", "sip.msg_body": body}
+    for _ in range(300):
+        deep = {"layer": [deep, {"x": "sip.To"}]}
+    packets_ = [
+        {"_source": {"layers": {"sip": {"sip.Call-ID": "long", "sip.msg_body": body, "sip.tree": {"sip.CSeq": "1 INVITE"}, "sip.To": 5, "t": {"sip.To": "<sip:t>"}}}}},
+        {"_source": {"layers": {"sip": deep}}},
+        {"frame": {"frame.number": "3"}, "sip": {"sip.Call-ID": "bare", "sip.Method": "bye"}},
+        {"frame.number": "4", "sip.Call-ID": "flat", "sip.Method": "ack", "sip.From": 'a "q"'},
+        {"_source": {"layers": {"sip": {"sip.Call-ID": "first", "again": {"sip.Call-ID": "second"}, "sip.Via": ["x", "y"]}}}},
+        {"_source": {"layers": {"sip": {"sip.Call-ID": {"sip.none": "z"}, "sip.other": "w"}}}},
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "p.json").write_text(json.dumps(packets_, indent=2))
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "p.json").write_text("\n".join(json.dumps(x) for x in packets_) + '\n{"sip.Call-ID": "torn')
+    for path, lines in (("a", False), ("l", True)):
+        got = {r.call_id: r for r in packet_json.read_packet_json(spark, str(tmp_path / path), json_lines=lines).collect()}
+        assert set(got) == {"long", "deep", "bare", "flat", "first"}
+        assert got["long"].body == body and got["deep"].body == body
+        assert (got["long"].cseq, got["long"].to_header) == ("1 INVITE", "<sip:t>")
+        assert (got["bare"].frame_number, got["bare"].method, got["flat"].frame_number, got["flat"].from_header) == (3, "BYE", 4, 'a "q"')
+        assert got["first"].via_sent_by is None
+
+
 def test_ipv6_text(spark):
     f = frame("10.0.0.1", 1, "10.0.0.2", 2, rtp(1, 1), six=True)
     df = spark.createDataFrame([(0, 1, 0.0, 0.0, 1, f)], "file_idx int, frame_number bigint, ts_epoch double, t_rel double, link int, frame binary")

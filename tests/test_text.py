@@ -160,3 +160,10 @@ def test_display_helpers(spark):
     )
     info = one(spark, "Packet size limit: file hdr: 96 bytes (truncated)\nNumber of dropped packets: 12\n", sc.parse_capture_info)
     assert (info.snaplen, info.truncated, info.drops) == (96, True, 12)
+
+
+def test_metadata_with_long_lead(spark):
+    """Blanks, comments and instructions before the root, thousands of them, don't fill the stack."""
+    for lead in (" " * 300_000, "<!-- c --> " * 30_000, "<?pi x?>\n" * 30_000):
+        parsed = one(spark, lead + XML[XML.index("<recording"):], parse_rs_metadata)
+        assert parsed.version == "1" and len(parsed.participants) == 2
