@@ -20,6 +20,7 @@ from ..sources import captures, fields, packet_json, packets as pkt, sinks
 from ..session import work_path
 from . import driver_oracle as o
 from .analyze import Options, Signalling, analyze, parquet_stage
+from .driver_captures import write_captures
 from .driver_views import CHUNK, DriverViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,7 @@ def query(name: str, select: str | None = None, *needs: str):
 
 _KEEP: dict[str, Callable[[str, DataFrame], DataFrame]] = {}
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT_PLACES: dict[tuple[str, str, str], str] = {}
 
 
 def _kept(v: DriverViews, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -62,9 +64,18 @@ def _kept(v: DriverViews, name: str, build: Callable[[], DataFrame]) -> DataFram
     return _KEPT[key]
 
 
+def _kept_value(v: DriverViews, name: str, build: Callable[[], str]) -> str:
+    """The place of files that queries start from, written once per application and data set."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+    if key not in _KEPT_PLACES:
+        _KEPT_PLACES[key] = build()
+    return _KEPT_PLACES[key]
+
+
 def forget_kept_tables() -> None:
     """Make the next query build its stage tables anew (for timing)."""
     _KEPT.clear()
+    _KEPT_PLACES.clear()
     _CACHE.clear()
 
 
@@ -356,7 +367,8 @@ def _hexn(c, digits: int):
 
 
 def _frames(v: DriverViews) -> DataFrame:
-    """The packets as captured Ethernet frames; some carry a VLAN tag, some IPv6."""
+    """The packets as captured Ethernet frames; some carry a VLAN tag, some IPv6, some come in
+    fragments: last one first, and some of these doubled. ``part`` orders the frames of a packet."""
     p = v.packets()
     vlan = F.col("frame_number") % 3 == 0
     six = F.col("frame_number") % 5 == 0
@@ -393,32 +405,71 @@ def _frames(v: DriverViews) -> DataFrame:
     payload = F.when(F.col("rtcp_pt") == "", rtp).when(F.col("rtcp_pt") == "203", bye).otherwise(F.concat(report, sdes))
     size = F.length(payload) / 2
     udp = F.concat(_hexn(F.col("src_port"), 4), _hexn(F.col("dst_port"), 4), _hexn(size + 8, 4), F.lit("0000"), payload)
-    ip4 = F.concat(
-        F.lit("4500"), _hexn(size + 28, 4), F.lit("0000000040110000"), octets(F.col("src_ip")), octets(F.col("dst_ip")), udp
-    )
     addr6 = lambda ip: F.concat(F.lit("20010DB8" + "00" * 8), octets(ip))
-    ip6 = F.concat(F.lit("60000000"), _hexn(size + 8, 4), F.lit("1140"), addr6(F.col("src_ip")), addr6(F.col("dst_ip")), udp)
     ether = F.concat(F.lit("00" * 12), F.when(vlan, F.lit("81000064")).otherwise(""), F.when(six, F.lit("86DD")).otherwise("0800"))
+    ident = F.col("frame_number") % 8
+    part = F.col("_part")
+    data, cut = F.expr("substring(_udp, cast(_part.at * 2 + 1 as int), cast(_part.n * 2 as int))"), part["cut"]
+    size = F.length(data) / 2
+    bits = F.when(part["more"], 8192).otherwise(0) + part["at"] / 8
+    ip4 = F.concat(
+        F.lit("4500"), _hexn(size + 20, 4), _hexn(F.when(cut, ident).otherwise(0), 4), _hexn(bits, 4), F.lit("40110000"),
+        octets(F.col("src_ip")), octets(F.col("dst_ip")), data,
+    )
+    # Behind IPv6 the fragment header stands after hop-by-hop options.
+    chain = F.when(cut, F.concat(F.lit("2C000104000000001100"), _hexn(part["at"] + part["more"].cast("int"), 4), _hexn(ident, 8))).otherwise("")
+    ip6 = F.concat(
+        F.lit("60000000"), _hexn(F.length(chain) / 2 + size, 4), F.when(cut, "0040").otherwise("1140"), addr6(F.col("src_ip")), addr6(F.col("dst_ip")),
+        chain, data,
+    )
+    piece = lambda at, n, more, cut: F.struct(F.lit(at).alias("at"), F.lit(n).alias("n"), F.lit(more).alias("more"), F.lit(cut).alias("cut"))
+    pieces = [piece(16, 1 << 16, False, True), piece(8, 8, True, True), piece(0, 8, True, True)]
+    sliced = (F.col("frame_number") % 7 == 1) & (F.length("_udp") > 32)
+    parts = F.when(sliced & (F.col("frame_number") % 14 == 1), F.array(pieces[0], *pieces)).when(sliced, F.array(*pieces)).otherwise(F.array(piece(0, 1 << 16, False, False)))
+    rows = p.withColumn("_udp", udp).select("*", F.posexplode(parts).alias("part", "_part"))
     frame = F.unhex(F.concat(ether, F.when(six, ip6).otherwise(ip4)))
-    return p.select("file_idx", "frame_number", "ts_epoch", "t_rel", F.lit(1).alias("link"), frame.alias("frame"))
+    return rows.select("file_idx", "frame_number", "part", "ts_epoch", "t_rel", F.lit(1).alias("link"), frame.alias("frame"), (F.col("rtcp_pt") == "").alias("rtp"))
+
+
+def _captures(v: DriverViews) -> str:
+    """The frames as written captures, three of them, in the order of the packets; every 11th frame
+    of RTP that isn't a fragment is cut off 2 bytes before its end."""
+
+    def build() -> str:
+        root = work_path(v.spark, "captures")
+        frames = _frames(v).withColumn("size", F.length("frame"))
+        short = F.col("rtp") & (F.col("frame_number") % 11 == 3) & (F.col("frame_number") % 7 != 1)
+        frame = F.when(short, F.expr("substring(frame, 1, size - 2)")).otherwise(F.col("frame"))
+        frames = frames.select((F.col("frame_number") % 3).alias("capture"), F.round(F.col("ts_epoch") * 1e6).cast("bigint").alias("micros"), F.col("frame_number").alias("place"), "part", frame.alias("frame"), "size")
+        write_captures(frames, root)
+        return root
+
+    return _kept_value(v, "captures", build)
+
+
+#: Packets with the file and the frame in which ``_captures`` writes them whole.
+_WRITTEN_SQL = """(select *, cast(frame_number % 3 as int) as file,
+       sum(case when cut then case when frame_number % 14 = 1 then 4 else 3 end else 1 end) over (partition by frame_number % 3 order by frame_number) as frame
+  from (select *, frame_number % 7 = 1 and not (rtcp_pt = '203' and rtcp_ids not like '%,%') and not (rtcp_pt = '201' and rtcp_ids = '') as cut from pk))"""
 
 
 @query(
     "src5_frame_decode",
-    """select frame_number,
+    f"""select file as file_idx, cast(frame as bigint) as frame_number, round(ts_epoch, 3) as ts,
               case when frame_number % 5 = 0 then concat('2001:db8::a', case when src_ip like '10.1.%' then '01:1' else '' end) else src_ip end as src_ip,
               src_port, dst_port,
               case when rtcp_pt = '' then coalesce(ssrc, 0) else -1 end as ssrc, case when rtcp_pt = '' then coalesce(seq, 0) else -1 end as seq,
               coalesce(p_type, -1) as p_type, rtcp_pt, rtcp_ids,
               case when rtcp_pt in ('', '203') or rtcp_ids = '' then '' when rtcp_fraction <> '' then rtcp_fraction when rtcp_ids like '%,%' then '0,0' else '0' end as rtcp_fraction,
               case when rtcp_pt in ('', '203') or rtcp_ids = '' then '' when rtcp_jitter <> '' then rtcp_jitter when rtcp_ids like '%,%' then '0,0' else '0' end as rtcp_jitter
-       from pk""",
+       from {_WRITTEN_SQL}""",
     "pk",
 )
 def _(v):
-    d = pkt.decode_media(pkt.decode_udp(_kept(v, "frames", lambda: _frames(v))))
+    files = captures.list_captures(v.spark, _captures(v), directory=True)
+    d, _ = pkt.read_packets(files, size=500)
     return d.select(
-        "frame_number", "src_ip", "src_port", "dst_port",
+        "file_idx", "frame_number", F.round("ts_epoch", 3).alias("ts"), "src_ip", "src_port", "dst_port",
         *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ssrc", "seq", "p_type")],
         "rtcp_pt", "rtcp_ids", "rtcp_fraction", "rtcp_jitter",
     )

@@ -19,6 +19,7 @@ from ..functions.scalars import let
 from ..functions.text import parse_sip_text
 from ..session import parquet_stage
 from .captures import index_captures
+from .fragments import rejoin
 from .record_walk import open_capture, records, split_start
 
 RANGE_RECORDS = 100_000
@@ -185,57 +186,84 @@ def _ip_start(b: Column, link: Column) -> Column:
     )
 
 
+# IPv6 headers that another header follows, and the longest chain that is followed.
+_OPTIONS, _FRAGMENT, _AUTH = (0, 43, 60), 44, 51
+_CHAIN = 8
+_UDP = 17
+
+
+def _behind_headers(b: Column, kind: Column, at: Column) -> Column:
+    """(kind, at, fragment, ident) behind the extension headers that begin with ``kind`` at ``at``.
+
+    The walk ends behind a fragment header, whose data are those of a piece.
+    """
+    start = F.struct(
+        kind.cast("bigint").alias("kind"), at.cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("fragment"),
+        F.lit(None).cast("bigint").alias("ident"),
+    )
+
+    def step(s: Column, _: Column) -> Column:
+        here, size = s["at"], _uint(b, s["at"] + 1, 1)
+        after = lambda to, fragment=s["fragment"], ident=s["ident"]: F.struct(
+            _uint(b, here, 1).alias("kind"), to.cast("bigint").alias("at"), fragment.alias("fragment"), ident.alias("ident")
+        )
+        going = s["fragment"].isNull() & (here + 8 <= F.length(b))
+        return (
+            F.when(going & s["kind"].isin(*_OPTIONS), after(here + (size + 1) * 8))
+            .when(going & (s["kind"] == _AUTH), after(here + (size + 2) * 4))
+            .when(going & (s["kind"] == _FRAGMENT), after(here + 8, _uint(b, here + 2, 2), _uint(b, here + 4, 4)))
+            .otherwise(s)
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_CHAIN)), start, step)
+
+
 def decode_ip(frames: DataFrame) -> DataFrame:
     """Ethernet (with VLAN tags), raw IP and cooked captures down to the data of UDP over IP.
 
-    ``more`` and ``at`` (bytes) are the fragment fields, 0 for whole datagrams.
+    ``more`` and ``at`` (bytes) are the fragment fields, 0 for whole datagrams. IPv6 extension
+    headers are walked; ``proto`` is what a fragment's data begin with.
     """
     b = F.col("frame")
-    ip, u = F.col("_ip"), F.col("_u")
-    first = F.col("_first")
+    ip, first = F.col("_ip"), F.col("_first")
     v4, v6 = F.floor(first / 16) == 4, F.floor(first / 16) == 6
-    udp = (
+    chained = F.col("_kind").isin(*_OPTIONS, _FRAGMENT, _AUTH)
+    plain = F.struct(F.col("_kind").alias("kind"), (ip + 40).cast("bigint").alias("at"), *[F.lit(None).cast("bigint").alias(n) for n in ("fragment", "ident")])
+    four = F.struct(
+        _uint(b, ip + 9, 1).alias("kind"), (ip + (first % 16) * 4).cast("bigint").alias("at"), _uint(b, ip + 6, 2).alias("fragment"),
+        _uint(b, ip + 4, 2).alias("ident"),
+    )
+    heads = (
         frames.withColumn("_ip", _ip_start(b, F.col("link")))
         .withColumn("_first", _uint(b, ip, 1))
-        .withColumn("_u", ip + F.when(v4, (first % 16) * 4).when(v6, 40))
-        .withColumn("_proto", _uint(b, ip + F.when(v4, 9).otherwise(6), 1))
-        .where((F.col("_proto") == 17) & (F.length(b) > u))
+        .withColumn("_kind", F.when(v6, _uint(b, ip + 6, 1)))
+        .withColumn("_h", F.when(v4, four).when(v6 & chained, _behind_headers(b, F.col("_kind"), ip + 40)).when(v6, plain))
     )
-    fragment = F.coalesce(F.when(v4, _uint(b, ip + 6, 2)), F.lit(0))
-    # Ethernet pads short frames; a total length of 0 comes from offloading hosts.
-    total = F.coalesce(F.nullif(F.when(v4, _uint(b, ip + 2, 2)), F.lit(0)), F.length(b).cast("bigint"))
-    size = F.when(v4, F.greatest(total - (u - ip), F.lit(0))).otherwise(F.length(b))
-    return udp.select(
+    u, field = F.col("_h.at"), F.col("_h.fragment")
+    more = F.coalesce(F.when(v4, field.bitwiseAND(0x2000)).otherwise(field.bitwiseAND(1)) > 0, F.lit(False))
+    at = F.coalesce(F.when(v4, field.bitwiseAND(0x1FFF) * 8).otherwise(field.bitwiseAND(0xFFF8)), F.lit(0).cast("bigint"))
+    piece = more | (at > 0)
+    wanted = (F.col("_h.kind") == _UDP) | (piece & F.col("_h.kind").isin(*_OPTIONS, _AUTH) & v6)
+    # Ethernet pads short frames; a length of 0 comes from offloading hosts.
+    stated = F.when(v4, _uint(b, ip + 2, 2)).otherwise(_uint(b, ip + 4, 2) + 40)
+    end = F.when((v4 & (stated > 0)) | (v6 & (stated > 40)), ip + stated).otherwise(F.length(b))
+    return heads.where(wanted & (F.length(b) > u)).select(
         "file_idx", "frame_number", "ts_epoch", "t_rel",
         F.when(v4, _ipv4(b, ip + 12)).otherwise(_ipv6(b, ip + 8)).alias("src_ip"),
         F.when(v4, _ipv4(b, ip + 16)).otherwise(_ipv6(b, ip + 24)).alias("dst_ip"),
-        F.when(v4, _uint(b, ip + 4, 2)).alias("ident"), (fragment.bitwiseAND(0x2000) > 0).alias("more"),
-        (fragment.bitwiseAND(0x1FFF) * 8).alias("at"),
-        F.substring(b, (u + 1).cast("int"), size.cast("int")).alias("data"),
+        F.col("_h.ident").alias("ident"), F.col("_h.kind").alias("proto"), more.alias("more"), at.alias("at"),
+        F.substring(b, (u + 1).cast("int"), F.greatest(end - u, F.lit(0)).cast("int")).alias("data"),
     )
 
 
-def rejoin(pieces: DataFrame) -> DataFrame:
-    """Fragments to whole datagrams, at the frame that completes them; incomplete ones go.
-
-    A group holds one datagram: a first fragment begins a new one, since hosts use their
-    16-bit numbers again and again.
-    """
-    key = ["file_idx", "src_ip", "dst_ip", "ident"]
-    order = W.partitionBy(*key).orderBy("frame_number")
-    begun = F.sum((F.col("at") == 0).cast("int")).over(order)
-    piece = F.struct("at", "more", "data", "frame_number", "ts_epoch", "t_rel")
-    groups = pieces.withColumn("_n", begun).groupBy(*key, "_n").agg(F.array_sort(F.collect_set(piece)).alias("_p"))
-    last = F.element_at("_p", -1)
-    # Each piece begins where those before it end.
-    end = F.aggregate("_p", F.lit(0).cast("bigint"), lambda to, x: F.when(x["at"] == to, to + F.length(x["data"])).otherwise(to - (1 << 40)))
-    whole = groups.where((end > 0) & ~last["more"])
-    seen = F.array_max(F.transform("_p", lambda x: F.struct(x["frame_number"].alias("f"), x["ts_epoch"].alias("t"), x["t_rel"].alias("r"))))
-    return whole.select(
-        "file_idx", seen["f"].alias("frame_number"), seen["t"].alias("ts_epoch"), seen["r"].alias("t_rel"), "src_ip", "dst_ip", "ident",
-        F.lit(False).alias("more"), F.lit(0).cast("bigint").alias("at"),
-        F.aggregate("_p", F.unhex(F.lit("")), lambda to, x: F.concat(to, x["data"])).alias("data"),
-    )
+def whole_datagrams(data: DataFrame) -> DataFrame:
+    """Rows of ``decode_ip`` with their fragments rejoined; incomplete datagrams go."""
+    fragment = F.col("more") | (F.col("at") > 0)
+    joined = rejoin(data.where(fragment))
+    # Headers that follow the fragment header are part of what was cut.
+    inner = joined.withColumn("_h", F.when(F.col("proto") != _UDP, _behind_headers(F.col("data"), F.col("proto"), F.lit(0))))
+    inner = inner.where("proto = 17 or _h.kind = 17").withColumn("data", F.when(F.col("_h").isNull(), F.col("data")).otherwise(F.expr("substring(data, cast(_h.at + 1 as int))")))
+    return data.where(~fragment).unionByName(inner.select(*data.columns))
 
 
 def udp_of(datagrams: DataFrame) -> DataFrame:
@@ -250,9 +278,7 @@ def udp_of(datagrams: DataFrame) -> DataFrame:
 
 def decode_udp(frames: DataFrame) -> DataFrame:
     """UDP payloads of all frames, fragments rejoined; ``frames`` should be a stored table."""
-    fragment = F.col("more") | (F.col("at") > 0)
-    data = decode_ip(frames)
-    return udp_of(data.where(~fragment)).unionByName(udp_of(rejoin(data.where(fragment))))
+    return udp_of(whole_datagrams(decode_ip(frames)))
 
 
 def _rtcp_parts(p: Column) -> Column:
@@ -365,7 +391,6 @@ def read_packets(
     """
     keep = parquet_stage(files.sparkSession)
     data = keep("datagrams", decode_ip(read_frames(record_ranges(files, size, split_bytes))))
-    fragment = F.col("more") | (F.col("at") > 0)
-    udp = udp_of(data.where(~fragment)).unionByName(udp_of(rejoin(data.where(fragment))))
+    udp = udp_of(whole_datagrams(data))
     return keep("packets", decode_media(udp)), keep("sip", decode_sip(udp))
 

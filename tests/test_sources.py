@@ -277,6 +277,78 @@ def test_fragments_are_rejoined(spark):
     assert [(r.frame_number, r.src_ip, r.src_port, bytes(r.payload) == payload) for r in got] == [(3, "10.0.0.1", 5060, True), (6, "10.0.0.1", 5060, True), (11, "10.0.0.3", 5060, True)]
 
 
+def fragments_of(datagram, sizes, ident, six=False, src=1, options=b""):
+    """Frames of the pieces of a datagram (IPv6: with hop-by-hop options before the fragment header)."""
+    out, at = [], 0
+    for k, n in enumerate(sizes):
+        part, more = datagram[at : at + n], k < len(sizes) - 1
+        if six:
+            chain = bytes([44, 0, 1, 4, 0, 0, 0, 0]) + struct.pack(">BBHI", 60 if options else 17, 0, at | more, ident)
+            head = struct.pack(">IHBB", 6 << 28, len(chain) + len(part), 0, 64) + bytes(15) + bytes([src]) + bytes(15) + b"\x09" + chain
+            out.append((k, bytes(12) + b"\x86\xdd" + head + part + b"pad"))
+        else:
+            head = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(part), ident, (0x2000 if more else 0) | at // 8, 64, 17, 0) + bytes([10, 0, 0, src, 10, 0, 0, 9])
+            out.append((k, bytes(12) + b"\x08\x00" + head + part + b"pad"))
+        at += n
+    return [f for _, f in out]
+
+
+def udp_datagram(port, payload):
+    return struct.pack(">HHHH", port, 5060, 8 + len(payload), 0) + payload
+
+
+def decoded(spark, *cases):
+    """(frame, source port, payload) of the datagrams of every case, a list of (time, frame); a case is a file."""
+    rows = [(c, i + 1, t, t, 1, f) for c, case in enumerate(cases) for i, (t, f) in enumerate(case)]
+    df = spark.createDataFrame(rows, "file_idx int, frame_number bigint, ts_epoch double, t_rel double, link int, frame binary")
+    out = [[] for _ in cases]
+    for r in packets.decode_udp(df).orderBy("file_idx", "frame_number").collect():
+        out[r.file_idx].append((r.frame_number, r.src_port, bytes(r.payload)))
+    return out
+
+
+@pytest.mark.parametrize("six", [False, True])
+def test_fragments_in_any_order(spark, six):
+    a, b, c = (bytes([x]) * 60 for x in b"abc")
+    cut = lambda port, body, ident: fragments_of(udp_datagram(port, body), (24, 24, 20), ident, six)
+    p, q, r, s = cut(1, a, 7), cut(2, b, 7), cut(3, c, 8), cut(1, a[:40] + b[:20], 7)
+    doubled = (p[2], p[2], p[0], p[0], p[1], p[1], p[0])
+    cases = [
+        *[([p[k] for k in order], [(3, 1, a)]) for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0), (2, 0, 1))],
+        # Interleaved with another number, doubled before and after completion, the number used again.
+        ((p[2], r[0], p[1], r[2], p[0], r[1]), [(5, 1, a), (6, 3, c)]),
+        (doubled, [(5, 1, a)]),
+        ((*doubled, q[2], q[0], q[1]), [(5, 1, a), (10, 2, b)]),
+        ((*p, *reversed(p)), [(3, 1, a), (6, 1, a)]),
+        # The next datagram shares its first bytes with the one before, and they come first.
+        ((*p, s[0], s[2], s[1]), [(3, 1, a), (6, 1, a[:40] + b[:20])]),
+        # A lost piece: the number's next datagram is not mixed with what is left.
+        ((p[0], p[2], q[2], q[0], q[1]), [(5, 2, b)]),
+    ]
+    pause = [(0.0, p[0]), (0.0, p[1]), (60.0, q[2]), (60.0, q[1])]
+    got = decoded(spark, *[[(0.0, f) for f in case] for case, _ in cases], pause)
+    assert got == [want for _, want in cases] + [[]]
+
+
+def test_overlapping_fragments_and_headers_behind_the_fragment_header(spark):
+    whole = udp_datagram(4, bytes(range(64)))
+    head = lambda at, n, more: struct.pack(">BBHHHBBH", 0x45, 0, 20 + n, 5, (0x2000 if more else 0) | at // 8, 64, 17, 0) + bytes([10, 0, 0, 1, 10, 0, 0, 9])
+    parts = [bytes(12) + b"\x08\x00" + head(at, n, at + n < 72) + whole[at : at + n] for at, n in ((40, 32), (0, 32), (16, 40))]
+    cases = [[(0.0, f) for f in parts]]
+    options = bytes([17, 0, 1, 4, 0, 0, 0, 0])
+    behind = fragments_of(options + whole, (32, 48), 6, six=True, options=options)
+    cases.append([(0.0, f) for f in reversed(behind)])
+    assert decoded(spark, *cases) == [[(3, 4, bytes(range(64)))], [(2, 4, bytes(range(64)))]]
+
+
+def test_fragments_of_one_pair_of_hosts_are_spread(spark):
+    """Numbers, not hosts, make the partitions, and there is no window over a host's fragments."""
+    rows = [(0, 1, 0.0, 0.0, 1, b"")]
+    df = spark.createDataFrame(rows, "file_idx int, frame_number bigint, ts_epoch double, t_rel double, link int, frame binary")
+    plan = packets.decode_udp(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "RepartitionByExpression [file_idx" in plan and "ident" in plan
+
+
 def test_packet_json(spark, tmp_path):
     layers = {"frame": {"frame.number": "7", "frame.time_relative": "1.250"}, "ip": {"ip.src": ""}, "ipv6": {"ipv6.src": "2001::5"}, "tcp": {"tcp.srcport": "5061"},
               "sip": {"sip.Method": "invite", "sip.Call-ID": "xyz@host", "sip.list": ["sip.CSeq", "zz"], "tree": [{"sip.CSeq": '1 "q" INVITE'}, {"sip.CSeq": "2"}], "sip.msg_hdr": "A: b\r\nC: d"}}
