@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sdp as sdp_fn
+from ..session import parquet_stage
+from .jumps import visited
 from .messages import with_flags
-from .ordering import CHUNK_ROWS, chunk_of, running_total, with_previous
+from .ordering import CHUNK_ROWS, as_of_last, chunk_of, dense_index
 from .timeline import timeline_scalars
 
 # Fixed values.
@@ -43,63 +41,26 @@ def burst_members(
 ) -> DataFrame:
     """Messages of each burst with the burst's first message index.
 
-    A pause longer than the window can lie in no burst, so candidates are cut
-    there; the pieces are independent and each is walked once in time order,
-    holding only the candidates inside the current window.
+    In time order, the oldest candidate not decided yet begins a burst with all candidates up to
+    ``window_s`` later if these are ``min_count`` or more, and else none. So every candidate
+    jumps to the next one, or behind its burst; bursts begin where the walk over these jumps
+    passes (``jumps.visited``), which any number of tasks can follow.
     """
-    cand = (
-        reinvites(messages)
-        .where("t_rel is not null")
-        .select(
-            "call_id", "msg_idx", "t_rel", "frame_number", "cmethod",
-            sdp_fn.offered_payloads("media").alias("payloads"),
-        )
-        .withColumn("_chunk", chunk_of("msg_idx", chunk_rows))
-        .repartition("call_id", "_chunk")
-    )
-    gapped = with_previous(cand, ["call_id"], "_chunk", "msg_idx", {"_pt": "t_rel"}).withColumn(
-        "_new", F.when(F.col("t_rel") - F.col("_pt") <= F.lit(float(window_s)), 0).otherwise(1)
-    )
-    pieces = running_total(gapped, ["call_id"], "_chunk", "msg_idx", "_new", "piece")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: deque = deque()
-        key = None
-
-        def settle(found: list) -> None:
-            """Decide the oldest candidate: a burst from it on, or no burst at it."""
-            if len(held) >= min_count:
-                found.extend((key[0], held[0][0], m) for m, _ in held)
-                held.clear()
-            else:
-                held.popleft()
-
-        def frame(found: list) -> pd.DataFrame:
-            return pd.DataFrame(found, columns=["call_id", "burst_idx", "msg_idx"])
-
-        for pdf in batches:
-            found: list = []
-            for call, piece, m, t in zip(pdf.call_id, pdf.piece, pdf.msg_idx, pdf.t_rel):
-                if (call, piece) != key:
-                    while held:
-                        settle(found)
-                    key = (call, piece)
-                while held and t - held[0][1] > window_s:
-                    settle(found)
-                held.append((m, t))
-            yield frame(found)
-        found = []
-        while held:
-            settle(found)
-        yield frame(found)
-
-    found = (
-        pieces.select("call_id", "piece", "msg_idx", "t_rel")
-        .repartition("call_id", "piece")
-        .sortWithinPartitions("call_id", "piece", "t_rel", "msg_idx")
-        .mapInPandas(walk, "call_id string, burst_idx bigint, msg_idx bigint")
-    )
-    return found.join(cand.drop("_chunk"), ["call_id", "msg_idx"])
+    keep = parquet_stage(messages.sparkSession)
+    cand = reinvites(messages).where("t_rel is not null").select(
+        "call_id", "msg_idx", "t_rel", "frame_number", "cmethod", sdp_fn.offered_payloads("media").alias("payloads"),
+    )
+    cand = keep("burst_candidates", dense_index(cand.withColumn("_chunk", chunk_of("msg_idx", chunk_rows)), ["call_id"], "_chunk", ["msg_idx"], "i").drop("_chunk"))
+    times = cand.select("call_id", "i", "t_rel")
+    # The last candidate in reach of each one.
+    reach = as_of_last(times, times, ["call_id"], "t_rel", "t_rel", ["i"], {"last": "i"}, tolerance=window_s, bucket_seconds=max(window_s, 1.0))
+    begins = F.col("last") - F.col("i") + 1 >= min_count
+    jumps = keep("burst_jumps", reach.select("call_id", "i", "last", begins.alias("begins"), F.when(begins, F.col("last") + 1).otherwise(F.col("i") + 1).alias("to")))
+    firsts = jumps.where("begins").select("call_id", "i", "last").join(visited(jumps, keep, chunk_rows), ["call_id", "i"])
+    firsts = firsts.join(cand.select("call_id", "i", F.col("msg_idx").alias("burst_idx")), ["call_id", "i"])
+    firsts = keep("burst_firsts", firsts.select("call_id", F.col("i").alias("first"), "last", "burst_idx"))
+    found = as_of_last(cand, firsts, ["call_id"], "i", "first", [], {"burst_idx": "burst_idx", "last": "last"}, bucket_seconds=float(chunk_rows))
+    return found.where("i <= last").select("call_id", "msg_idx", "burst_idx", "t_rel", "frame_number", "cmethod", "payloads")
 
 
 def bursts(members: DataFrame) -> DataFrame:

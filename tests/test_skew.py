@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import PACKET
-from tapline.operators import ordering, streams
+from tapline.operators import jumps, ordering, sip, streams
+from tapline.session import parquet_stage
 
 
 def hot_rows(n=6000):
@@ -67,3 +68,45 @@ def test_as_of_join_equals_a_scan(spark):
 def test_stream_of_a_hot_call(table):
     s = {r.call_id: r for r in streams.rtp_streams(table(PACKET, hot_rows()), 128).collect()}
     assert s["hot"].packet_count == 4500
+
+
+def greedy_bursts(times, window, least):
+    out, i = set(), 0
+    while i < len(times):
+        last = max(j for j in range(i, len(times)) if times[j] - times[i] <= window)
+        if last - i + 1 >= least:
+            out |= {(i, j) for j in range(i, last + 1)}
+            i = last + 1
+        else:
+            i += 1
+    return out
+
+
+def test_bursts_of_a_piece_without_pauses(messages, spark):
+    """A call whose offers never pause for longer than the window is walked in chunks by many tasks."""
+    rng = random.Random(12)
+    times = sorted(round(rng.random() * 400, 2) for _ in range(900))
+    rows = [dict(what="INVITE", call_id="hot", t_rel=-1.0 + 1.0)] + [dict(what="UPDATE" if k % 3 else "INVITE", call_id="hot", t_rel=t) for k, t in enumerate(times)]
+    rows += [dict(what="UPDATE", call_id=f"c{k % 20}", t_rel=float(k)) for k in range(200)]
+    m = messages(rows).withColumn("msg_idx", F.col("msg_idx"))
+    for window, least, chunk in ((1.5, 3, 16), (1.5, 5, 7), (40.0, 3, 16)):
+        got = {(r.burst_idx - 1, r.msg_idx - 1) for r in sip.burst_members(m.where("call_id = 'hot'"), least, window, chunk).collect()}
+        assert got == greedy_bursts(times, window, least)
+    assert max(b - a for a, b in zip(times, times[1:])) < 5.0
+
+
+def test_walks_over_jumps(spark):
+    """Rows visited from the first one, for jumps of all lengths and chunks smaller and larger than they."""
+    rng = random.Random(3)
+    rows, want = [], set()
+    for key, n in (("hot", 2000), ("a", 1), ("b", 40)):
+        to = [min(i + rng.choice([1, 1, 1, 2, 3, 50]), n) for i in range(n)]
+        rows += [(key, i, t) for i, t in enumerate(to)]
+        at = 0
+        while at < n:
+            want.add((key, at))
+            at = to[at]
+    df = spark.createDataFrame(rows, "call_id string, i bigint, to bigint")
+    for chunk in (5, 64, 10_000):
+        keep = parquet_stage(spark)
+        assert {tuple(r) for r in jumps.visited(df, keep, chunk).collect()} == want
