@@ -9,16 +9,14 @@ from ..functions import scalars as sc
 from ..functions import sdp as sdp_fn
 from ..functions.rs_metadata import metadata_xml, parse_rs_metadata
 from ..functions.text import body_parts, is_rs_metadata, strip
-from .ordering import dense_index, time_chunk
+from ..session import parquet_stage
+from .ordering import range_index
 
 
-def index_messages(messages: DataFrame, chunk_seconds: float = 600.0) -> DataFrame:
-    """Number the messages of a call by (relative time or 0, file, frame)."""
-    keyed = messages.withColumn("_t0", F.coalesce("t_rel", F.lit(0.0))).withColumn(
-        "_chunk", time_chunk("t_rel", chunk_seconds)
-    )
-    out = dense_index(keyed, ["call_id"], "_chunk", ["_t0", "file_idx", "frame_number"], "msg_idx")
-    return out.drop("_t0", "_chunk")
+def index_messages(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Number the messages of a call by (relative time or 0, file, frame); messages with a Call-ID only."""
+    keyed = messages.where("call_id is not null").withColumn("_t0", F.coalesce("t_rel", F.lit(0.0)))
+    return range_index(keyed, ["call_id"], ["_t0", "file_idx", "frame_number"], "msg_idx", parquet_stage(messages.sparkSession), partitions).drop("_t0")
 
 
 def filter_calls(rows: DataFrame, calls: DataFrame | str) -> DataFrame:

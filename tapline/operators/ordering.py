@@ -11,7 +11,7 @@ that is already partitioned on the key alone, and keep the key in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +79,26 @@ def dense_index(
     )
 
 
+def range_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, keep: Callable[[str, DataFrame], DataFrame], partitions: int | None = None
+) -> DataFrame:
+    """Number the rows of every key 0, 1, 2, … in the given order, whatever the values are like.
+
+    One range partition by sampled splitters over (keys, order) sorts all rows, so a key is cut
+    where it is large and not by any value of it. A row's number is its place in its part, less
+    that of the key's first row there, and the key's rows in the parts before. ``keep`` stores a
+    table: the parts are numbered once.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = keep(f"{name}_ranges", ranged.withColumn("_id", F.monotonically_increasing_id()))
+    placed = ranged.withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy(*keys, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    return placed.join(offsets, [*keys, "_part"]).select(*df.columns, (F.col("_id") + F.col("_off")).cast("bigint").alias(name))
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], chunk: str, order: str, value: str | Column, name: str
 ) -> DataFrame:

@@ -10,6 +10,11 @@ from ..functions.scalars import infer_rtcp_port
 # Payload types in this range are RTCP on the media port (RFC 5761).
 MUX_RANGE = (64, 95)
 
+# Seconds of a slot on the lowest level of the time index, slots of a level in one of the next, levels.
+SLOT_S = 3600.0
+RADIX = 16
+LEVELS = 12
+
 
 def is_mux_type(p_type: str = "p_type"):
     return F.coalesce(F.col(p_type).between(*MUX_RANGE), F.lit(False))
@@ -29,35 +34,47 @@ def call_ports(media: DataFrame) -> DataFrame:
     )
 
 
-def _port_rows(ports: DataFrame, spans: DataFrame | None, slack: float, bucket: float) -> DataFrame:
-    """One row per (call, port) with all ports of the call beside it.
+def _laid_out(windows: DataFrame) -> DataFrame:
+    """``windows`` (_from, _to) with one row for each slot that a window meets on its own level.
 
-    A port is a 16-bit number, so the list is at most 65,535 entries.
+    The slots of a level are ``RADIX`` times as long as those of the level below. A window lies
+    on the lowest level on which it meets at most RADIX + 1 slots, so it costs no more rows
+    however long it is, and on any level but the lowest it fills a good part of its slots.
     """
-    lists = ports.groupBy("call_id").agg(F.collect_set("port").alias("_ports"))
-    rows = ports.join(lists, "call_id")
-    if spans is None:
-        return rows
-    window = spans.select(
-        "call_id",
-        (F.col("start_epoch") - slack).alias("_from"),
-        (F.col("end_epoch") + slack).alias("_to"),
-    )
-    return rows.join(window, "call_id").withColumn(
-        "_slot",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("_from") / bucket).cast("bigint"), F.floor(F.col("_to") / bucket).cast("bigint")
-            )
-        ),
-    )
+    hours = F.floor(F.col("_to") / SLOT_S) - F.floor(F.col("_from") / SLOT_S)
+    level = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        level = F.when(hours < float(RADIX) ** (k + 1), F.lit(k)).otherwise(level)
+    sized = windows.withColumn("_level", level).withColumn("_size", F.lit(SLOT_S) * F.pow(F.lit(float(RADIX)), F.col("_level")))
+    slots = F.sequence(F.floor(F.col("_from") / F.col("_size")).cast("bigint"), F.floor(F.col("_to") / F.col("_size")).cast("bigint"))
+    return sized.withColumn("_slot", F.explode(slots)).drop("_size")
 
 
-def _match_ports(
-    packets: DataFrame, ports: DataFrame, spans: DataFrame | None, slack: float, slot: float
-) -> DataFrame:
-    """Packets with every call one of whose ports they use, once per call."""
-    dim = _port_rows(ports, spans, slack, slot)
+def _met(packets: DataFrame, windows: DataFrame, on: list[str]) -> DataFrame:
+    """Packets joined with the windows of their ``on`` values that hold their time.
+
+    A packet looks up one slot on each level that is in use: one, as a rule, and LEVELS at most.
+    """
+    laid = _laid_out(windows.where("_from <= _to"))
+    levels = sorted(r[0] for r in laid.select("_level").distinct().collect())
+    places = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("ts_epoch") / (SLOT_S * float(RADIX) ** k)).cast("bigint").alias("slot")) for k in levels])
+    if not levels:
+        return packets.join(laid.limit(0), on)
+    placed = packets.withColumn("_place", F.explode(places)).withColumns({"_level": F.col("_place.level"), "_slot": F.col("_place.slot")}).drop("_place")
+    return placed.join(laid, [*on, "_level", "_slot"]).where(F.col("ts_epoch").between(F.col("_from"), F.col("_to")))
+
+
+def _windows(spans: DataFrame, slack: float) -> DataFrame:
+    return spans.select("call_id", (F.col("start_epoch") - slack).alias("_from"), (F.col("end_epoch") + slack).alias("_to"))
+
+
+def _match_ports(packets: DataFrame, ports: DataFrame, spans: DataFrame | None, slack: float) -> DataFrame:
+    """Packets with every call one of whose ports they use, once per call.
+
+    The ports of a call stand beside each of them: 16-bit numbers, so at most 65,535 entries.
+    """
+    lists = ports.groupBy("call_id").agg(F.collect_set("port").alias("_ports"))
+    dim = ports.join(lists, "call_id")
     sides = F.array(
         F.struct(F.col("src_port").alias("port"), F.lit(True).alias("by_src")),
         F.struct(F.col("dst_port").alias("port"), F.lit(False).alias("by_src")),
@@ -65,14 +82,12 @@ def _match_ports(
     keyed = packets.withColumn("_s", F.explode(sides)).select(
         *packets.columns, F.col("_s.port").alias("port"), F.col("_s.by_src").alias("_by_src")
     ).where("port is not null")
-    on = ["port"]
-    if spans is not None:
-        keyed = keyed.withColumn("_slot", F.floor(F.col("ts_epoch") / slot).cast("bigint"))
-        on.append("_slot")
     once = F.col("_by_src") | F.col("src_port").isNull() | ~F.array_contains("_ports", F.col("src_port"))
-    if spans is not None:
-        once = once & F.col("ts_epoch").between(F.col("_from"), F.col("_to"))
-    return keyed.join(dim, on).where(once).select("call_id", *packets.columns)
+    if spans is None:
+        found = keyed.join(dim, "port")
+    else:
+        found = _met(keyed, dim.join(_windows(spans, slack), "call_id"), ["port"])
+    return found.where(once).select("call_id", *packets.columns)
 
 
 def scope_media_to_calls(
@@ -81,7 +96,6 @@ def scope_media_to_calls(
     spans: DataFrame | None = None,
     call_files: DataFrame | None = None,
     slack_seconds: float = 60.0,
-    slot_seconds: float = 3600.0,
 ) -> DataFrame:
     """Give every RTP/RTCP packet the calls whose ports it uses.
 
@@ -97,30 +111,29 @@ def scope_media_to_calls(
     ``spans`` only what lies in the call's span.
     """
     if spans is None:
-        out = _match_ports(packets, ports, None, slack_seconds, slot_seconds)
+        out = _match_ports(packets, ports, None, slack_seconds)
     else:
         known = spans.where("start_epoch is not null and end_epoch is not null")
-        timed_calls = known.select("call_id")
+        timed, untimed = packets.where("ts_epoch is not null"), packets.where("ts_epoch is null")
+        of_known = ports.join(known.select("call_id"), "call_id", "left_semi")
         out = (
-            _match_ports(packets.where("ts_epoch is not null"), ports, known, slack_seconds, slot_seconds)
-            .unionByName(
-                _match_ports(
-                    packets.where("ts_epoch is null"), ports.join(timed_calls, "call_id", "left_semi"), None,
-                    slack_seconds, slot_seconds,
-                )
-            )
-            .unionByName(
-                _match_ports(packets, ports.join(timed_calls, "call_id", "left_anti"), None, slack_seconds, slot_seconds)
-            )
+            _match_ports(timed, of_known, known, slack_seconds)
+            .unionByName(_match_ports(untimed, of_known, None, slack_seconds))
+            .unionByName(_match_ports(packets, ports.join(known.select("call_id"), "call_id", "left_anti"), None, slack_seconds))
         )
     if call_files is not None:
         wanted = call_files.select("call_id", "file_idx").distinct()
-        inside = F.lit(True)
-        if spans is not None:
-            wanted = wanted.join(spans.select("call_id", "start_epoch", "end_epoch"), "call_id", "left")
-            at = F.col("ts_epoch").between(F.col("start_epoch") - slack_seconds, F.col("end_epoch") + slack_seconds)
-            inside = F.coalesce(at, F.lit(True))
-        out = out.unionByName(packets.join(wanted, "file_idx").where(inside).select("call_id", *packets.columns))
+
+        def whole(rows: DataFrame, calls: DataFrame) -> DataFrame:
+            return rows.join(calls, "file_idx").select("call_id", *packets.columns)
+
+        if spans is None:
+            out = out.unionByName(whole(packets, wanted))
+        else:
+            of_known = wanted.join(known.select("call_id"), "call_id", "left_semi")
+            in_time = _met(timed, of_known.join(_windows(known, slack_seconds), "call_id"), ["file_idx"]).select("call_id", *packets.columns)
+            out = out.unionByName(in_time).unionByName(whole(untimed, of_known))
+            out = out.unionByName(whole(packets, wanted.join(known.select("call_id"), "call_id", "left_anti")))
     return out
 
 

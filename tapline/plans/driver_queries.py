@@ -759,7 +759,7 @@ def _(v):
 def _(v):
     m = v.messages()
     return scope.scope_media_to_calls(
-        v.raw_packets(), scope.call_ports(msg.sdp_media(m)), msg.call_span(m), slack_seconds=3600.0, slot_seconds=86400.0
+        v.raw_packets(), scope.call_ports(msg.sdp_media(m)), msg.call_span(m), slack_seconds=3600.0
     ).select("call_id", "frame_number")
 
 
@@ -1378,7 +1378,7 @@ def _(v):
 
 @query("ord1_message_order", "select call_id, frame_number, msg_idx from sip", "sip")
 def _(v):
-    return msg.index_messages(v.unindexed_messages(), chunk_seconds=BUCKET_S).select("call_id", "frame_number", "msg_idx")
+    return msg.index_messages(v.unindexed_messages()).select("call_id", "frame_number", "msg_idx")
 
 
 @query(

@@ -213,15 +213,46 @@ def test_time_bound_scoping_keeps_untimed_packets_and_calls(table):
     ports = table("call_id string, port int", [dict(call_id="a", port=10), dict(call_id="b", port=10), dict(call_id="u", port=10)])
     spans = table("call_id string, start_epoch double, end_epoch double", [dict(call_id="a", start_epoch=1000.0, end_epoch=2000.0), dict(call_id="b", start_epoch=90000.0, end_epoch=99000.0), dict(call_id="u")])
     p = packets(table, [dict(src_port=10, dst_port=1, ts_epoch=1500.0), dict(src_port=1, dst_port=10, ts_epoch=95000.0), dict(src_port=10, dst_port=10), dict(src_port=10, dst_port=2, ts_epoch=50000.0)]).drop("call_id")
-    for slot in (100.0, 3600.0):
-        got = sorted((r.call_id, r.frame_number) for r in scope.scope_media_to_calls(p, ports, spans, slot_seconds=slot).collect())
-        assert got == [("a", 1), ("a", 3), ("b", 2), ("b", 3), ("u", 1), ("u", 2), ("u", 3), ("u", 4)]
+    got = sorted((r.call_id, r.frame_number) for r in scope.scope_media_to_calls(p, ports, spans).collect())
+    assert got == [("a", 1), ("a", 3), ("b", 2), ("b", 3), ("u", 1), ("u", 2), ("u", 3), ("u", 4)]
     files = table("call_id string, file_idx int", [dict(call_id="b", file_idx=0)])
     none = ports.where("call_id = 'u'")
     got = sorted(r.frame_number for r in scope.scope_media_to_calls(p, none, spans, files).where("call_id = 'b'").collect())
     assert got == [2, 3]
 
 
+def test_long_spans_cost_few_rows_and_meet_only_what_they_hold(table, spark):
+    """Spans of seconds to millennia on one port: a span lies in 17 slots at most, and all pairs are found."""
+    rng = random.Random(6)
+    spans = [("s%d" % k, 1.7e9 + rng.random() * 10.0 ** rng.randrange(3, 9), 10.0 ** rng.randrange(0, 10)) for k in range(60)] + [("wrong", 0.0, 4e11), ("edge", 1.7e9, 0.0)]
+    spans = [(c, a, a + n) for c, a, n in spans]
+    windows = spark.createDataFrame(spans, "call_id string, _from double, _to double")
+    cost = {r.call_id: r["count"] for r in scope._laid_out(windows).groupBy("call_id").count().collect()}
+    assert len(cost) == len(spans) and max(cost.values()) <= 17
+    times = [1.7e9] + [1.7e9 + rng.random() * 10.0 ** rng.randrange(2, 11) for _ in range(200)]
+    p = packets(table, [dict(src_port=10, dst_port=20, ts_epoch=t) for t in times]).drop("call_id")
+    ports = table("call_id string, port int", [dict(call_id=c, port=10) for c, _, _ in spans])
+    known = table("call_id string, start_epoch double, end_epoch double", [dict(call_id=c, start_epoch=a, end_epoch=b) for c, a, b in spans])
+    got = sorted((r.call_id, r.ts_epoch) for r in scope.scope_media_to_calls(p, ports, known, slack_seconds=0.0).collect())
+    assert got == sorted((c, t) for c, a, b in spans for t in times if a <= t <= b)
+    files = table("call_id string, file_idx int", [dict(call_id=c, file_idx=0) for c, _, _ in spans])
+    none = table("call_id string, port int", [])
+    got = sorted((r.call_id, r.ts_epoch) for r in scope.scope_media_to_calls(p, none, known, files, slack_seconds=0.0).collect())
+    assert got == sorted((c, t) for c, a, b in spans for t in times if a <= t <= b)
+
+
+def test_slots_keep_a_reused_port_apart(table, spark):
+    """Many calls use one port one after the other: what meets in slots is bounded by what overlaps."""
+    n = 400
+    windows = spark.createDataFrame([("c%d" % k, 7200.0 * k, 7200.0 * k + 7000.0, 10) for k in range(n)], "call_id string, _from double, _to double, port int")
+    p = spark.createDataFrame([(10, 7200.0 * n * i / 3000) for i in range(3000)], "port int, ts_epoch double")
+    plan = scope._met(p, windows, ["port"])
+    laid = scope._laid_out(windows)
+    met = p.withColumn("_slot", F.floor(F.col("ts_epoch") / 3600).cast("bigint")).join(laid.where("_level = 0"), ["port", "_slot"]).count()
+    assert 2900 < plan.count() <= met <= 2 * 3000
+    assert laid.groupBy("_level").count().collect()[0][0] == 0
+
+
 def test_hold_suppresses_gap_findings(table):
     st = stream_rows(table, [dict(ssrc=1, first_t=6.0, last_t=8.0, sequence_gaps=4, largest_gap=9, rtcp_observed=False)])
     counts = table("call_id string, declared bigint, observed bigint, distinct_media bigint, sdp_count bigint", [dict(call_id="c1", declared=1, observed=1, distinct_media=1, sdp_count=1)])

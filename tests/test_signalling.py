@@ -122,7 +122,7 @@ def test_state_machines_equal_plain_loops(messages, chunk):
 
 def test_message_order_is_stable_for_missing_times(messages):
     m = messages([dict(what="INVITE", t_rel=3.0), dict(what="ACK", t_rel=None), dict(what="BYE", t_rel=1.0), dict(what="INFO", t_rel=0.0)])
-    got = msg.index_messages(m.drop("msg_idx"), chunk_seconds=2.0).orderBy("msg_idx")
+    got = msg.index_messages(m.drop("msg_idx")).orderBy("msg_idx")
     assert [(r.msg_idx, r.method) for r in got.collect()] == [(0, "ACK"), (1, "INFO"), (2, "BYE"), (3, "INVITE")]
 
 

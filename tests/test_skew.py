@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import PACKET
+from tapline.operators import messages as messages_module
 from tapline.operators import jumps, ordering, sip, streams
 from tapline.session import parquet_stage
 
@@ -110,3 +111,22 @@ def test_walks_over_jumps(spark):
     for chunk in (5, 64, 10_000):
         keep = parquet_stage(spark)
         assert {tuple(r) for r in jumps.visited(df, keep, chunk).collect()} == want
+
+
+def test_messages_without_times_are_ordered_in_many_tasks(table, spark):
+    """All rows of one call at one time: splitters are sampled from the rows, so the call is cut into parts."""
+    rng = random.Random(4)
+    frames = list(range(1, 3001))
+    rng.shuffle(frames)
+    rows = [dict(call_id="hot", file_idx=f % 2, frame_number=f, t_rel=None if f % 3 else 0.0) for f in frames]
+    rows += [dict(call_id=f"c{k}", file_idx=0, frame_number=9000 + k, t_rel=float(-k)) for k in range(50)]
+    df = table("call_id string, file_idx int, frame_number bigint, t_rel double", rows).repartition(6)
+    keep = parquet_stage(spark)
+    got = messages_module.index_messages(df, partitions=8)
+    want = {f: i for i, (_, f) in enumerate(sorted((f % 2, f) for f in range(1, 3001)))}
+    assert {r.frame_number: r.msg_idx for r in got.where("call_id = 'hot'").collect()} == want
+    assert {r.msg_idx for r in got.where("call_id <> 'hot'").collect()} == {0}
+    kept = {}
+    ordering.range_index(df.withColumn("_t0", F.coalesce("t_rel", F.lit(0.0))), ["call_id"], ["_t0", "file_idx", "frame_number"], "i", lambda n, d: kept.setdefault(n, keep(n, d)), 8)
+    parts = kept["i_ranges"].where("call_id = 'hot'").groupBy(F.shiftright("_id", 33).alias("p")).count().collect()
+    assert len(parts) >= 6 and max(r["count"] for r in parts) < 1000
