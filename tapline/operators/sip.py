@@ -9,7 +9,7 @@ from ..functions import sdp as sdp_fn
 from ..session import parquet_stage
 from .jumps import visited
 from .messages import with_flags
-from .ordering import CHUNK_ROWS, as_of_last, chunk_of, dense_index
+from .ordering import CHUNK_ROWS, as_of_last, chunk_of, dense_index, with_previous
 from .timeline import timeline_scalars
 
 # Fixed values.
