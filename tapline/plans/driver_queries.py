@@ -318,19 +318,6 @@ def _(v):
     )
 
 
-@query(
-    "src3_capture_listing",
-    "select cast(row_number() over (order by f) - 1 as int) as file_idx, f as file from (select distinct concat('call-', user_id, '.pcap') as f from events)",
-)
-def _(v):
-    names = v.table("events").select(
-        F.concat(F.lit("/d"), (F.col("user_id") % 3).cast("string"), F.lit("/call-"), F.col("user_id").cast("string"), F.lit(".pcap")).alias("file")
-    )
-    return fields.file_index(names).select(
-        F.col("file_idx").cast("int").alias("file_idx"), F.element_at(F.split("file", "/"), -1).alias("file")
-    )
-
-
 @query(
     "src4_capture_index",
     """select event_id, case k % 6 when 4 then 'pcapng' when 5 then '-' else 'pcap' end as format_hint,
@@ -475,6 +462,33 @@ def _(v):
     )
 
 
+@query(
+    "src3_capture_listing",
+    "select cast(row_number() over (order by f) - 1 as int) as file_idx, f as file from (select distinct concat('call-', user_id, '.pcap') as f from events)",
+)
+def _(v):
+    names = v.table("events").select(
+        F.concat(F.lit("/d"), (F.col("user_id") % 3).cast("string"), F.lit("/call-"), F.col("user_id").cast("string"), F.lit(".pcap")).alias("file")
+    )
+    return fields.file_index(names).select(
+        F.col("file_idx").cast("int").alias("file_idx"), F.element_at(F.split("file", "/"), -1).alias("file")
+    )
+
+
+@query(
+    "src3_written_captures",
+    f"""select file as file_idx, concat('part-', file, '.pcap') as file, 'pcap' as format_hint, true as readable,
+              round(arg_min(ts_epoch, frame_number), 3) as first_packet_time from {_WRITTEN_SQL} group by file""",
+    "pk",
+)
+def _(v):
+    """Files found by the listing and told by their own heads."""
+    files = captures.list_captures(v.spark, _captures(v), directory=True)
+    return captures.index_captures(files).select(
+        "file_idx", F.element_at(F.split("file", "/"), -1).alias("file"), "format_hint", "readable", F.round("first_packet_time", 3).alias("first_packet_time")
+    )
+
+
 @query(
     "snk1_case_tables",
     "select call_id as \"case\", call_id, stream_idx, packet_count, sequence_gaps from st",
@@ -1235,22 +1249,36 @@ def _(v):
     )
 
 
+#: Facts of the written captures: frames, and whether one is cut off.
+_FILES_SQL = f"""(select file, cast(sum(case when cut then case when frame_number % 14 = 1 then 4 else 3 end else 1 end) as bigint) as n_records,
+       bool_or(rtcp_pt = '' and frame_number % 11 = 3 and frame_number % 7 <> 1) as truncated from {_WRITTEN_SQL} group by file)"""
+
+
+def _file_quality(v: DriverViews) -> DataFrame:
+    files = captures.list_captures(v.spark, _captures(v), directory=True)
+    return _kept(v, "file_quality", lambda: captures.file_quality(files, pkt.record_ranges(files, 500)))
+
+
+@query(
+    "agg22_file_quality",
+    f"select file as file_idx, concat('part-', file, '.pcap') as file, n_records, cast(65535 as bigint) as snaplen, truncated, 64 as digest_size from {_FILES_SQL}",
+    "pk",
+)
+def _(v):
+    return _file_quality(v).select("file_idx", F.element_at(F.split("file", "/"), -1).alias("file"), "n_records", "snaplen", "truncated", F.length("sha256").alias("digest_size"))
+
+
 @query(
     "agg22_capture_quality",
-    """select call_id, bool_or(trunc) as truncated, arg_max(snap, file_idx) as snaplen, cast(sum(drops) as bigint) as drop_count, count(*) as n_files
-       from (select distinct call_id, k % 5 as file_idx from sip0) c
-       join (select *, i % 3 = 1 as trunc, 60 + i as snap, i * 2 as drops from (select unnest(range(5)) as i)) f on f.i = c.file_idx group by call_id""",
-    "sip0",
+    f"""select c.call_id, bool_or(f.truncated) as truncated, cast(65535 as bigint) as snaplen, cast(sum(f.file * 2) as bigint) as drop_count, count(*) as n_files
+       from (select distinct call_id, cast(frame_number % 3 as int) as file from pk) c join {_FILES_SQL} f using (file) group by c.call_id""",
+    "pk",
 )
 def _(v):
-    files = v.view("sip0").select((F.col("k") % 5).alias("file_idx")).distinct().select(
-        "file_idx", (F.col("file_idx") % 3 == 1).alias("truncated"), (F.col("file_idx") + 60).alias("snaplen"), F.lit(None).cast("string").alias("error")
-    )
-    drops = files.select("file_idx", (F.col("file_idx") * 2).alias("drops"))
-    calls = v.view("sip0").select("call_id", (F.col("k") % 5).alias("file_idx"))
-    return captures.capture_quality(files, calls, drops).select(
-        "call_id", "truncated", F.coalesce("snaplen", F.lit(-1)).alias("snaplen"), "drop_count", "n_files"
-    )
+    per_file = _file_quality(v)
+    calls = v.packets().select("call_id", (F.col("frame_number") % 3).cast("int").alias("file_idx"))
+    drops = per_file.select("file_idx", (F.col("file_idx") * 2).cast("bigint").alias("drops"))
+    return captures.capture_quality(per_file, calls, drops).select("call_id", "truncated", "snaplen", "drop_count", "n_files")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fields import file_index
-from .record_walk import declared_snaplen, open_capture, records
+from .record_walk import declared_snaplen, open_capture
 
 # Capture suffixes and header magics.
 SUFFIXES = ("pcap", "pcapng", "cap")
@@ -87,35 +87,39 @@ def index_captures(files: DataFrame) -> DataFrame:
     return decode_heads(read_heads(files.select("file", "size_bytes", F.col("file_idx").cast("int"))))
 
 
-def file_quality(files: DataFrame) -> DataFrame:
-    """SHA-256, record counts, snap length and truncation of each file.
-
-    Both are sequential by nature: one task streams one file in fixed memory.
-    """
+def file_digests(files: DataFrame) -> DataFrame:
+    """SHA-256 and declared snap length of each file; one task streams one file in fixed memory."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for idx, path in zip(pdf.file_idx, pdf.file):
-                digest, snap, cut, n, error = hashlib.sha256(), None, False, 0, None
+                digest, snap, error = hashlib.sha256(), None, None
                 try:
                     with open_capture(path) as f:
+                        snap = declared_snaplen(f)
+                        f.seek(0)
                         while chunk := f.read(HASH_CHUNK):
                             digest.update(chunk)
-                        snap = declared_snaplen(f)
-                        for _, _, caplen, origlen, _, _ in records(f):
-                            n += 1
-                            cut = cut or caplen < origlen
                 except OSError as exc:
                     error = str(exc)
-                rows.append((idx, path, None if error else digest.hexdigest(), n, snap, cut, error))
-            yield pd.DataFrame(
-                rows, columns=["file_idx", "file", "sha256", "n_records", "snaplen", "truncated", "error"]
-            ).astype({"snaplen": "Int64"})
-
-    return files.select(F.col("file_idx").cast("int").alias("file_idx"), "file").mapInPandas(
-        measure,
-        "file_idx int, file string, sha256 string, n_records bigint, snaplen bigint, truncated boolean, error string",
+                rows.append((idx, path, None if error else digest.hexdigest(), snap, error))
+            yield pd.DataFrame(rows, columns=["file_idx", "file", "sha256", "snaplen", "error"]).astype({"snaplen": "Int64"})
+
+    spread = files.select(F.col("file_idx").cast("int").alias("file_idx"), "file").repartition("file")
+    return spread.mapInPandas(measure, "file_idx int, file string, sha256 string, snaplen bigint, error string")
+
+
+def file_quality(files: DataFrame, ranges: DataFrame) -> DataFrame:
+    """SHA-256, record counts, snap length and truncation of each file.
+
+    Counts and truncation are sums over the record ranges (``packets.record_ranges``) of the one
+    walk that also reads the packets, so large files are counted by many tasks.
+    """
+    counted = ranges.groupBy("file").agg(F.sum("n").alias("n_records"), (F.sum("cut") > 0).alias("truncated"))
+    return file_digests(files).join(counted, "file", "left").select(
+        "file_idx", "file", "sha256", F.coalesce("n_records", F.lit(0)).alias("n_records"), "snaplen",
+        F.coalesce("truncated", F.lit(False)).alias("truncated"), "error",
     )
 
 

@@ -27,7 +27,7 @@ SPLIT_BYTES = 1 << 30
 BATCH_RECORDS = 4096
 
 
-_RANGE = "file_idx int, file string, split bigint, offset bigint, stop bigint, n bigint, first_ts double, state string"
+_RANGE = "file_idx int, file string, split bigint, offset bigint, stop bigint, n bigint, first_ts double, state string, cut bigint"
 _RANGE_COLUMNS = [c.split()[0] for c in _RANGE.split(", ")]
 
 
@@ -49,12 +49,13 @@ def _walk(jobs: DataFrame, size: int) -> DataFrame:
                     state: list = ["<", []]
                     at = begin if begin is not None else 0
                     last = None
-                    for at, ts, caplen, _, _, data_at in records(f, begin, state):
+                    for at, ts, caplen, origlen, _, data_at in records(f, begin, state):
                         if at >= r.end:
                             break
                         if last is None or rows[-1][5] == size:
-                            rows.append([r.file_idx, r.file, r.split, at, None, 0, ts, json.dumps(state)])
+                            rows.append([r.file_idx, r.file, r.split, at, None, 0, ts, json.dumps(state), 0])
                         rows[-1][5] += 1
+                        rows[-1][8] += caplen < origlen
                         last = data_at + caplen
                     for a, b in zip(rows, rows[1:]):
                         a[4] = b[3]
@@ -66,7 +67,7 @@ def _walk(jobs: DataFrame, size: int) -> DataFrame:
 
 
 def record_ranges(files: DataFrame, size: int = RANGE_RECORDS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(file, first frame, byte offset, records) ranges of every readable file.
+    """(file, first frame, byte offset, records, records cut off) ranges of every readable file.
 
     Classic captures above ``split_bytes`` are walked in byte splits by several
     tasks. Splits count only where each one ends at the byte the next begins;
@@ -109,7 +110,7 @@ def record_ranges(files: DataFrame, size: int = RANGE_RECORDS, split_bytes: int
     ranges = found.join(torn, "file", "left_anti").unionByName(again)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     return ranges.select(
-        "file_idx", "file", "offset", "n", "state",
+        "file_idx", "file", "offset", "n", "state", "cut",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("first_frame"),
         F.first("first_ts").over(order).alias("first_ts"),
     )
@@ -383,14 +384,16 @@ def decode_sip(udp: DataFrame) -> DataFrame:
 
 
 def read_packets(
-    files: DataFrame, size: int = RANGE_RECORDS, split_bytes: int = SPLIT_BYTES
+    files: DataFrame, size: int = RANGE_RECORDS, split_bytes: int = SPLIT_BYTES, ranges: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(packets, SIP message rows) of listed captures, as stored tables.
 
     The captures are read once; media and messages are both taken from the stored datagrams.
+    ``ranges`` are those of ``record_ranges`` where they are at hand.
     """
     keep = parquet_stage(files.sparkSession)
-    data = keep("datagrams", decode_ip(read_frames(record_ranges(files, size, split_bytes))))
+    ranges = ranges if ranges is not None else record_ranges(files, size, split_bytes)
+    data = keep("datagrams", decode_ip(read_frames(ranges)))
     udp = udp_of(whole_datagrams(data))
     return keep("packets", decode_media(udp)), keep("sip", decode_sip(udp))
 

@@ -124,16 +124,33 @@ def test_quality_and_custody(spark, tmp_path):
 
     write_pcap(tmp_path / "x.pcap", session()[:5], snap=64, cut=64)
     files = captures.list_captures(spark, str(tmp_path), directory=True)
-    q = captures.file_quality(files).first()
+    ranges = packets.record_ranges(files, size=2)
+    q = captures.file_quality(files, ranges).first()
     assert q.sha256 == hashlib.sha256((tmp_path / "x.pcap").read_bytes()).hexdigest() and (q.n_records, q.snaplen, q.truncated) == (5, 64, True)
     calls = spark.createDataFrame([("c", 0)], "call_id string, file_idx int")
     drops = spark.createDataFrame([(0, 7)], "file_idx int, drops bigint")
-    c = captures.capture_quality(captures.file_quality(files), calls, drops)
+    c = captures.capture_quality(captures.file_quality(files, ranges), calls, drops)
     from tapline.operators import detectors
 
     assert [r.code for d in detectors.detect_capture(c) for r in d.collect()] == ["CAP_TRUNCATED", "CAP_DROPS"]
 
 
+def test_quality_of_files_of_all_kinds(spark, capture_dir, tmp_path):
+    """Records of split walks and pcapng blocks are counted; empty and foreign files have none."""
+    import shutil
+
+    for name in ("a.cap", "b.pcap", "c.pcapng"):
+        shutil.copy(os.path.join(capture_dir, name), tmp_path / name)
+    write_pcap(tmp_path / "d.pcap", [(1.7e9 + i, bytes(300)) for i in range(60)], snap=100, cut=100)
+    write_pcap(tmp_path / "e.pcap", [])
+    (tmp_path / "f.pcap").write_bytes(b"no capture at all")
+    files = captures.list_captures(spark, str(tmp_path), directory=True)
+    got = {os.path.basename(r.file): r for r in captures.file_quality(files, packets.record_ranges(files, 7, 900)).collect()}
+    n = len(session())
+    assert [(k, r.n_records, r.truncated) for k, r in sorted(got.items())] == [("a.cap", n, False), ("b.pcap", n // 2, False), ("c.pcapng", n - n // 2, False), ("d.pcap", 60, True), ("e.pcap", 0, False), ("f.pcap", 0, False)]
+    assert got["d.pcap"].snaplen == 100 and got["f.pcap"].snaplen is None and all(len(r.sha256) == 64 for r in got.values())
+
+
 def test_ranges_cut_a_file_without_changing_it(spark, capture_dir):
     files = captures.list_captures(spark, capture_dir, directory=True)
 
@@ -187,6 +204,22 @@ def test_capture_to_findings(spark, capture_dir, tmp_path):
     sinks.write_focused_packets(keep("focused", packet_rows.limit(0).selectExpr("'x' as call_id", "*")), str(tmp_path / "fp"))
 
 
+def test_capture_quality_in_the_analysis(spark, tmp_path):
+    """Findings about the capture come from the same walk that reads the packets."""
+    rows = session()
+    write_pcap(tmp_path / "x.pcap", rows[:-1] + [(rows[-1][0], rows[-1][1])], snap=2000)
+    write_pcap(tmp_path / "y.pcap", [(rows[-1][0] + 1, bytes(60))] * 3, snap=40, cut=40)
+    keep = parquet_stage(spark)
+    files = captures.list_captures(spark, str(tmp_path), directory=True)
+    ranges = keep("ranges", packets.record_ranges(files, 50))
+    packet_rows, sip_rows = packets.read_packets(files, ranges=ranges)
+    own = sip_rows.select("call_id", "file_idx").union(sip_rows.select("call_id", F.lit(1)))
+    quality = captures.capture_quality(captures.file_quality(files, ranges), own)
+    out = analyze(signalling_tables(sip_rows), packet_rows, Options(), quality=quality, keep=keep)
+    found = out["findings"].where("code = 'CAP_TRUNCATED'").collect()
+    assert len(found) == 1 and "snaplen of 40" in found[0].detail
+
+
 def test_rtcp_of_the_whole_capture(spark, capture_dir):
     """With the capture scope every call gets the RTCP of the files it appears in."""
     from tapline.plans.analyze import rtcp_rows, scoped_packets
