@@ -7,24 +7,27 @@ so are whole occurrences of items shorter than a window.
 
 Cases: null or empty texts and items have no words and are never hit; items without words
 are no windows; repeated rows each get their row; an empty benchmark hits nothing; columns
-beyond (doc_id, text) and (item_id, text) are ignored.
+beyond (doc_id, text) and (item_id, text) are ignored. An item without id hits like any other
+and goes by the empty name; items of one id are one item.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapline.llm.common import arrow_map, stage
 
 WINDOW = 10
-#: Item words in one automaton; a larger benchmark is matched in several blocks.
-BLOCK_WORDS = 1_000_000
+#: Item words in one automaton (some 1 KB a word); a larger benchmark is matched in several blocks.
+BLOCK_WORDS = 200_000
 #: A document with more than this share of its words hit goes; else only its hit spans go.
 MOST_COVERED = 0.5
 
@@ -145,21 +148,46 @@ class Automaton:
         return [(a, b) for a, b in runs], items
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, list[str]]]]:
-    """Items with words, streamed in blocks of at most ``block_words`` words (one item at least)."""
+def item_pieces(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(item, words) of the items: long ones in pieces of at most ``block_words`` words that
+    overlap by a window less one word, so every window lies in a piece."""
+
+    def run(batch):
+        size = max(block_words, window)
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = words_of(text)
+            for at in range(0, max(len(words) - window + 1, 1) if words else 0, size - window + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([item or ""]), pa.array([words[at : at + size]], pa.list_(pa.string()))], ["item", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    return arrow_map(rows, "item string, words array<string>", run)
+
+
+def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[str]]]]:
+    """Pieces of items in blocks of at most ``block_words`` words (one piece at least); the driver
+    holds one block at a time, as it is broadcast."""
     rows, total = [], 0
-    for item_id, text in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        words = words_of(text)
-        if words:
-            if rows and total + len(words) > block_words:
-                yield rows
-                rows, total = [], 0
-            rows.append((item_id, words))
-            total += len(words)
+    for item, words in item_pieces(benchmark, window, block_words).toLocalIterator():
+        if rows and total + len(words) > block_words:
+            yield rows
+            rows, total = [], 0
+        rows.append((item, words))
+        total += len(words)
     if rows:
         yield rows
 
 
+_BUILT: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, items: list[tuple[str, list[str]]], window: int) -> Automaton:
+    """A block's automaton, built once in a worker process; a worker holds one."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(items, window)
+    return _BUILT[name]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Hits of every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -168,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.expr(f"cast(null as {_RUNS})").alias("runs"), F.expr("cast(null as array<string>)").alias("items"), F.expr("cast(null as bigint)").alias("n_words"))
     first = True
-    for items in item_blocks(benchmark, block_words):
+    for items in item_blocks(benchmark, window, block_words):
         rows = _matched(rows if first else stage(rows, "decontaminate"), items, window)
         first = False
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -187,12 +215,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def _matched(rows: DataFrame, items: list[tuple[object, list[str]]], window: int) -> DataFrame:
-    known = rows.sparkSession.sparkContext.broadcast(items)
+    known, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     runs_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
-        automaton = Automaton(known.value, window)
-        names = [str(i) for i in automaton.ids]
+        automaton = _automaton(name, known.value, window)
+        names = automaton.ids
         for batch in batches:
             runs, hits, counts = [], [], []
             for text, before, ids in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
@@ -218,52 +246,79 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cleaned(text: str, automaton: Automaton, most_covered: float = MOST_COVERED) -> str | None:
-    """``text`` without its hit spans; None where they cover more than ``most_covered``.
-
-    What stands around a cut is joined by a line end; cuts go on until nothing is hit.
-    """
-    first = True
-    while True:
-        low = lowered(text)
-        spans = [m.span() for m in _WORD.finditer(low)]
-        runs, _ = automaton.scan([low[a:b] for a, b in spans])
-        if not runs:
-            return text
-        if first and sum(b - a for a, b in runs) > most_covered * len(spans):
-            return None
-        first, kept, at = False, [], 0
-        for a, b in runs:
-            kept.append(text[at : spans[a][0]])
-            at = spans[b - 1][1]
-        text = "\n".join([*kept, text[at:]])
+def without_runs(text: str, runs: list[tuple[int, int]], most_covered: float = 1.0) -> str | None:
+    """``text`` without the words of ``runs``, a line end for each; None where they cover more than ``most_covered``."""
+    spans = [m.span() for m in _WORD.finditer(lowered(text))]
+    if sum(b - a for a, b in runs) > most_covered * len(spans):
+        return None
+    kept, at = [], 0
+    for a, b in runs:
+        kept.append(text[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return "\n".join([*kept, text[at:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_covered: float = MOST_COVERED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of ``text`` and documents
-    covered beyond ``most_covered`` (by one block of items) go.
+    of which more than ``most_covered`` of the words are hit go.
 
-    All columns stay; null texts stay null.
+    The hits of all blocks of items are gathered before a document is judged and cut, and cut
+    texts are matched with all blocks again until nothing is hit, so the result is the same for
+    blocks of any size. All columns stay; null texts stay null.
     """
-    place = docs.columns.index("text")
-    first = True
-    for items in item_blocks(benchmark, block_words):
-        docs = _cut(docs if first else stage(docs, "decontaminate"), items, place, window, most_covered)
-        first = False
-    return docs
+    blocks = list(_broadcast(docs, item_blocks(benchmark, window, block_words)))
+    if not blocks:
+        return docs
+    done, todo, most = [], docs, most_covered
+    while True:
+        rows = todo.select("*", F.expr(f"cast(null as {_RUNS})"), F.lit(False)).toDF(*(f"c{i}" for i in range(len(docs.columns))), "runs", "cut")
+        for i, (name, known) in enumerate(blocks):
+            rows = _with_runs(rows if i == 0 else stage(rows, "decontaminate"), name, known, docs.columns.index("text"), window)
+        rows = stage(_cut(rows, docs.columns.index("text"), most), "decontaminate-cut")
+        plain = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+        done.append(rows.where("not cut").select(*plain))
+        todo, most = rows.where("cut").select(*plain), 1.0
+        if not todo.limit(1).count():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
 
+def _broadcast(docs: DataFrame, blocks: Iterator[list]) -> Iterator[tuple[str, Broadcast]]:
+    for items in blocks:
+        yield uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
 
-def _cut(docs: DataFrame, items: list[tuple[object, list[str]]], place: int, window: int, most_covered: float) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(items)
+
+def _with_runs(rows: DataFrame, name: str, known: Broadcast, place: int, window: int) -> DataFrame:
+    """``rows`` with the hit runs of a block of items added to those in the column before the last."""
 
     def run(batches):
-        automaton = Automaton(known.value, window)
+        automaton = _automaton(name, known.value, window)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            new = [None if t is None else cleaned(t, automaton, most_covered) for t in texts]
-            keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)], pa.bool_())
+            at = batch.num_columns - 2
+            runs = []
+            for text, before in zip(batch.column(place).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                spans, _ = automaton.scan(words_of(text))
+                runs.append([{"start": a, "stop": b} for a, b in merged([*spans, *((r["start"], r["stop"]) for r in before or [])])])
             columns = list(batch.columns)
-            columns[place] = pa.array(new, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
+            columns[at] = pa.array(runs, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _cut(rows: DataFrame, place: int, most_covered: float) -> DataFrame:
+    """Texts without their runs, ``cut`` where something was cut; too much covered ones go."""
+
+    def run(batch):
+        texts, runs = batch.column(place).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+        new = [without_runs(t, [(r["start"], r["stop"]) for r in own], most_covered) if own else t for t, own in zip(texts, runs, strict=True)]
+        columns = list(batch.columns)
+        columns[place] = pa.array(new, batch.schema.field(place).type)
+        columns[-1] = pa.array([bool(own) for own in runs])
+        keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(rows, rows.schema, run)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 
@@ -64,26 +65,69 @@ def test_words():
     assert D.words_of("Ab-C9 'É_é\x7f1 z") == ["ab", "c9", "É", "é", "1 z"] and D.words_of(None) == []
 
 
-@pytest.mark.parametrize("block", [1_000_000, 20])
-def test_spans_are_cut_and_covered_documents_go(spark, block):
+def plainly_cut(text, items):
+    """Cut all that is hit again and again; None if more than half is hit at first."""
+    first = True
+    while True:
+        spans = [m.span() for m in D._WORD.finditer(D.lowered(text))]
+        words = [D.lowered(text)[a:b] for a, b in spans]
+        hit = [False] * len(words)
+        for _, item in items:
+            for k in range(max(len(item) - 9, 1)):
+                part = item[k : k + 10]
+                for at in range(len(words) - len(part) + 1):
+                    if words[at : at + len(part)] == part:
+                        hit[at : at + len(part)] = [True] * len(part)
+        if not any(hit):
+            return text
+        if first and sum(hit) > 0.5 * len(words):
+            return None
+        first, out, at, k = False, [], 0, 0
+        while k < len(words):
+            if hit[k]:
+                end = k
+                while end < len(words) and hit[end]:
+                    end += 1
+                out.append(text[at : spans[k][0]])
+                at, k = spans[end - 1][1], end
+            k += 1
+        text = "\n".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("block", [1_000_000, 20, 1])
+def test_blocks_of_any_size_cut_the_same(spark, block):
+    """Coverage spread over items of different blocks counts together, and what a cut joins is cut too."""
     rows, items = documents()
+    a, b = ([f"{x}{k}" for k in range(12)] for x in "ab")
+    split = [" ".join(a[:6]), " ".join(b), " ".join(a[6:])]
+    rows = rows + [(100, " ".join([*a, *(f"x{k}" for k in range(16)), *b])), (101, " ".join([*a, *(f"x{k}" for k in range(30)), *b])), (102, " ".join([*(f"x{k}" for k in range(40)), *split, "end"]))]
+    items = items + [(60, a), (61, b), (None, [f"n{k}" for k in range(11)])]
     docs = spark.createDataFrame([(i, t, "r", 1, "n") for i, t in rows], SCHEMA)
     bench = spark.createDataFrame([(i, " ".join(w), 1) for i, w in items], ITEMS)
     out = D.decontaminate(docs, bench, block_words=block)
     assert out.columns == docs.columns
-    kept = {}
-    for r in out.collect():
-        kept.setdefault(r["doc_id"], []).append(r["text"])
     filled = [x for x in items if x[1]]
-    for i, t in rows:
-        words = D.words_of(t)
-        n, _ = brute(words, filled, 10)
-        if n == 0:
-            assert t in kept[i]
-        elif n > 0.5 * len(words) and block > 20:
-            assert i not in kept or t not in kept[i]
-    if block > 20:
-        assert all(brute(D.words_of(t), filled, 10)[0] == 0 for own in kept.values() for t in own)
+    want = [(i, t if t is None else plainly_cut(t, filled)) for i, t in rows]
+    want = [(i, n) for (i, n), (_, t) in zip(want, rows, strict=True) if t is None or n is not None]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert 100 not in {i for i, _ in want} and {101, 102} <= {i for i, _ in want}
+
+
+def test_a_long_item_is_matched_in_pieces(spark):
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 10]), "r", 1, "n") for k in range(0, 291)], SCHEMA)
+    bench = spark.createDataFrame([(5, " ".join(words), 1)], ITEMS)
+    found = D.contamination(docs, bench, block_words=25).collect()
+    assert all((r["n_hit"], r["n_items"]) == (10, 1) for r in found)
+
+
+def test_an_automaton_at_its_bound_fits_a_worker():
+    tracemalloc.start()
+    rng = random.Random(2)
+    D.Automaton([(k, [f"w{rng.randrange(30_000)}" for _ in range(200)]) for k in range(D.BLOCK_WORDS // 200)])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 300e6
 
 
 def test_empty_tables(spark):
