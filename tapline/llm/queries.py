@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapline.llm import conversation_trie, decontaminate, fingerprint, jaccard_join, language, passage_dedup, periodic_runs, pieces, pii, quality, sharding, simhash_join, suffix_dedup
+from tapline.llm import conversation_trie, decontaminate, fingerprint, jaccard_join, language, oracle, passage_dedup, periodic_runs, pieces, pii, quality, sharding, simhash_join, suffix_dedup
 from tapline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_ngram_jaccard_join": oracle.OP6, "op10_benchmark_decontamination": oracle.OP10}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
