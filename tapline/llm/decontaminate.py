@@ -273,8 +273,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     while True:
         rows = todo.select("*", F.expr(f"cast(null as {_RUNS})"), F.lit(False)).toDF(*(f"c{i}" for i in range(len(docs.columns))), "runs", "cut")
         for i, (name, known) in enumerate(blocks):
-            rows = _with_runs(rows if i == 0 else stage(rows, "decontaminate"), name, known, docs.columns.index("text"), window)
-        rows = stage(_cut(rows, docs.columns.index("text"), most), "decontaminate-cut")
+            last = most if i == len(blocks) - 1 else None
+            rows = stage(_with_runs(rows, name, known, docs.columns.index("text"), window, last), "decontaminate")
         plain = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
         done.append(rows.where("not cut").select(*plain))
         todo, most = rows.where("cut").select(*plain), 1.0
@@ -291,34 +291,31 @@ def _broadcast(docs: DataFrame, blocks: Iterator[list]) -> Iterator[tuple[str, B
         yield uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
 
 
-def _with_runs(rows: DataFrame, name: str, known: Broadcast, place: int, window: int) -> DataFrame:
-    """``rows`` with the hit runs of a block of items added to those in the column before the last."""
+def _with_runs(rows: DataFrame, name: str, known: Broadcast, place: int, window: int, most_covered: float | None) -> DataFrame:
+    """``rows`` with the hit runs of a block of items added to those in the column before the last.
+
+    With ``most_covered``, for the last block, texts lose their runs, the last column tells where
+    something was cut, and documents covered beyond it go.
+    """
 
     def run(batches):
         automaton = _automaton(name, known.value, window)
         for batch in batches:
             at = batch.num_columns - 2
-            runs = []
-            for text, before in zip(batch.column(place).to_pylist(), batch.column(at).to_pylist(), strict=True):
+            texts, runs = batch.column(place).to_pylist(), []
+            for text, before in zip(texts, batch.column(at).to_pylist(), strict=True):
                 spans, _ = automaton.scan(words_of(text))
-                runs.append([{"start": a, "stop": b} for a, b in merged([*spans, *((r["start"], r["stop"]) for r in before or [])])])
+                runs.append(merged([*spans, *((r["start"], r["stop"]) for r in before or [])]) if before else spans)
             columns = list(batch.columns)
-            columns[at] = pa.array(runs, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            keep = None
+            if most_covered is None:
+                columns[at] = pa.array([[{"start": a, "stop": b} for a, b in own] for own in runs], batch.schema.field(at).type)
+            else:
+                new = [without_runs(t, own, most_covered) if own else t for t, own in zip(texts, runs, strict=True)]
+                columns[place] = pa.array(new, batch.schema.field(place).type)
+                columns[-1] = pa.array([bool(own) for own in runs])
+                keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield out if keep is None else out.filter(keep)
 
     return rows.mapInArrow(run, rows.schema)
-
-
-def _cut(rows: DataFrame, place: int, most_covered: float) -> DataFrame:
-    """Texts without their runs, ``cut`` where something was cut; too much covered ones go."""
-
-    def run(batch):
-        texts, runs = batch.column(place).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
-        new = [without_runs(t, [(r["start"], r["stop"]) for r in own], most_covered) if own else t for t, own in zip(texts, runs, strict=True)]
-        columns = list(batch.columns)
-        columns[place] = pa.array(new, batch.schema.field(place).type)
-        columns[-1] = pa.array([bool(own) for own in runs])
-        keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
-
-    return arrow_map(rows, rows.schema, run)
