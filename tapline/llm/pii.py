@@ -29,7 +29,7 @@ ROUNDS = 10
 #: A key for tests and the registered query; a caller passes its own.
 DEMO_KEY = "not-a-secret"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
 IP = r"(?<![0-9A-Za-z.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
 ISO_DATE = r"(?<![0-9A-Za-z/-])\d{4}-\d{2}-\d{2}(?![0-9A-SU-Za-z/-]|T(?!\d\d))"

@@ -89,3 +89,10 @@ def test_no_value_of_a_kind_stays(spark, bad):
 def test_no_python_on_the_main_path(spark):
     plan = pii.pseudonymised(spark.createDataFrame([(1, "t", "p", 1, "k")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_long_labels_leave_the_stack_alone(spark):
+    """Addresses of 200,000 labels, digits in 100,000 groups: Java's patterns must not recurse for each."""
+    texts = ["a@b" + ".b" * 200_000, "x " + "12 " * 100_000, "1.2" * 100_000, "a." * 200_000 + "@b.c"]
+    rows = spark.createDataFrame([(i, t, "p", 1, "k") for i, t in enumerate(texts)], SCHEMA)
+    assert pii.report(rows).count() == 4
