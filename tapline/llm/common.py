@@ -25,7 +25,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     target = work_path(spark, name)
     df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    found = spark.read.schema(df.schema).parquet(target)
+    found.stage_path = target
+    return found
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table of ``stage``. All that was made from it has to be written by then, so that
+    a lost executor never asks for it again."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.stage_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, schema: str, batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapline.llm.common import arrow_map, blocks, connected, lower_ascii, mix, only_listed, shingle_hashes, span_hashes, stage, text_column, word_spans
+from tapline.llm.common import arrow_map, blocks, connected, discard, lower_ascii, mix, only_listed, shingle_hashes, span_hashes, stage, text_column, word_spans
 
 SHINGLE = 3
 #: Least similarity in hundredths.
@@ -46,6 +46,8 @@ LEAF = 64
 #: Axes of the finer vectors that check what the tree lets through.
 FINE_LEAST, FINE_MOST = 64, 2048
 STAR_ROUNDS = 2
+#: Sets a task remembers, so that the keys of copies it meets are given out once.
+REMEMBERED = 1 << 18
 #: Members of a group that one task compares with as many others.
 BLOCK_MEMBERS = 2_000
 
@@ -122,7 +124,22 @@ def _set_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, mark (hash of the text), n_shingles, sid, point (count vector), keys (groups) of every row."""
+    """doc_id, mark (hash of the text), n_shingles, sid, point (count vector), keys (groups) of every row.
+
+    Of equal sets that a task meets only the first has keys, so a large group of copies has no
+    more rows of a key than there are tasks.
+    """
+    seen: set[int] = set()
+
+    def fresh(sids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sids), bool)
+        for k, sid in enumerate(sids.tolist()):
+            if sid not in seen:
+                out[k] = True
+                seen.add(sid)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        return out
 
     def run(batch):
         data, bounds = text_column(batch.column(2))
@@ -132,9 +149,12 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             n = np.bincount(rows, minlength=m)
             point = np.bincount(rows * AXES + (hashes & _U(AXES - 1)).astype(np.int64), minlength=m * AXES)
             keys, at = group_keys(hashes, rows, n)
+            sids = _set_ids(hashes, n)
+            given = fresh(sids)[at]
+            keys, at = keys[given], at[given]
             order = np.argsort(at, kind="stable")
             axes = pa.ListArray.from_arrays(pa.array(np.arange(0, m * AXES + 1, AXES, dtype=np.int32)), pa.array(point.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), batch.column(1).slice(i, m), pa.array(n), pa.array(_set_ids(hashes, n)), axes, _lists(keys[order], at[order], m)], ["doc_id", "mark", "n_shingles", "sid", "point", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), batch.column(1).slice(i, m), pa.array(n), pa.array(sids), axes, _lists(keys[order], at[order], m)], ["doc_id", "mark", "n_shingles", "sid", "point", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     return arrow_map(rows, "doc_id bigint, mark bigint, n_shingles bigint, sid bigint, point array<int>, keys array<bigint>", run)
@@ -302,11 +322,44 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return arrow_map(joined, "a bigint, b bigint", compare)
 
 
-def _placed(met: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The groups' members with their components, of groups that hold several."""
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The distinct rows (key, sid) whose key several sets have, in one exchange.
+
+    Rows are range-partitioned by key and set, so a frequent key is cut over tasks; a row stays
+    if a neighbour has its key. At the ends of a part, where the neighbour isn't known, rows
+    stay as well: a group of one set meets nothing.
+    """
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            key, sid = (c.to_numpy() for c in batch.columns)
+            if last is not None:
+                key, sid = np.concatenate([last[0], key]), np.concatenate([last[1], sid])
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+            key, sid = key[new], sid[new]
+            same = key[1:] == key[:-1]
+            before, after = np.concatenate([[last is None], same]), np.concatenate([same, [False]])
+            if last is not None:
+                before[0] = last[2]
+            # The last row waits for what follows it.
+            keep = (before | after)[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(sid[:-1][keep])], ["key", "sid"])
+            last = key[-1:], sid[-1:], bool(before[-1])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], ["key", "sid"])
+
+    filled = lambda batches: run(b for b in batches if b.num_rows)
+    return keyed.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(filled, "key bigint, sid bigint")
+
+
+def _placed(met: DataFrame, scores: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The groups' members with their scores and components, of groups that hold several."""
     if labels is None:
-        return met.withColumn("component", F.col("sid"))
-    placed = met.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        return met.join(scores, "sid").withColumn("component", F.col("sid"))
+    known = scores.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    placed = met.join(known, "sid")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
     return placed.join(mixed, "key", "left_semi")
 
@@ -335,17 +388,17 @@ def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     filled = signed.where("n_shingles > 0")
     nodes = stage(filled.groupBy("sid").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.min("point").alias("point")), "jaccard-nodes")
     keyed = filled.select(F.explode("keys").alias("key"), "sid")
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
-    shared = stage(shared, "jaccard-shared")
-    met = stage(keyed.join(shared, "key").distinct(), "jaccard-met")
+    met = stage(shared_keys(keyed), "jaccard-met")
     scores = stage(met.groupBy("sid").agg(F.count("*").alias("score")), "jaccard-scores")
-    met = stage(met.join(scores, "sid"), "jaccard-scored")
+    # Of the signatures only these columns are read again.
+    rows = stage(signed.select("doc_id", "mark", "n_shingles", "sid"), "jaccard-rows")
+    discard(signed)
     sets = stage(whole_sets(docs, nodes.join(scores, "sid").select("sid", "rep"), size), "jaccard-sets")
 
     # Stars bring most clusters together, at one pair a node and round.
     labels, links, tried = None, None, None
     for _ in range(STAR_ROUNDS):
-        star = _bounded(_star(_placed(met, labels)), nodes)
+        star = _bounded(_star(_placed(met, scores, labels)), nodes)
         star = stage(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         tried = star if tried is None else tried.union(star)
         new = verified(sets, star)
@@ -353,7 +406,8 @@ def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         labels = connected(links, "jaccard-labels")
 
     # Groups that still hold several components, each set of members once.
-    placed = stage(_placed(met, labels), "jaccard-mixed")
+    placed = stage(_placed(met, scores, labels), "jaccard-mixed")
+    discard(met)
     mixed = placed.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("mark"))
     mixed = mixed.groupBy("members", "mark").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("parts"))
     inside = placed.join(mixed, "key").join(nodes.select("sid", "point"), "sid").join(sets.select("sid", "fine"), "sid")
@@ -369,7 +423,7 @@ def grouped(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     of = nodes.join(labels.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "rep", F.coalesce("component", "sid").alias("component"))
     least = of.groupBy("component").agg(F.min("rep").alias("least"))
     ids = of.join(least, "component").select("sid", "component", "least")
-    out = signed.select("doc_id", "mark", "n_shingles", "sid").join(ids, "sid", "left")
+    out = rows.join(ids, "sid", "left")
     return out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -120,3 +120,17 @@ def test_one_of_each_keeps_the_smallest_id(spark):
     df = spark.createDataFrame([(i, t, "x", 1, "s", "k") for i, t in rows], SCHEMA)
     kept = sorted(((r[0], r[1]) for r in J.one_of_each(df).collect()), key=repr)
     assert kept == sorted([(3, "a b c d"), (9, "p q r s"), (2, None), (2, None), (None, "t u v")], key=repr)
+
+
+def test_keys_of_several_sets_are_kept(spark):
+    """Rows of keys with one set go but for the ends of the parts; repeated rows count once."""
+    rng = random.Random(1)
+    rows = [(rng.randrange(400), rng.randrange(60)) for _ in range(1500)] + [(7, k) for k in range(500)] + [(9, 1)] * 40
+    many = {k for k in range(400) if len({s for key, s in rows if key == k}) > 1}
+    want = {(k, s) for k, s in rows if k in many}
+    for parts in ("1", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = [tuple(r) for r in J.shared_keys(spark.createDataFrame(rows, "key bigint, sid bigint").repartition(3)).collect()]
+        assert want <= set(got) and len(set(got) - want) <= 2 * int(parts)
+        assert len(got) <= len(set(got)) + int(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
