@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,14 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _by_content(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarray, int]) -> int:
+    """Order of two sample rows: label, number of columns, columns, values."""
+    for get in (lambda r: r[2], lambda r: len(r[0]), lambda r: r[0].tobytes(), lambda r: r[1].astype(np.float64).tobytes()):
+        if (x := get(a)) != (y := get(b)):
+            return -1 if x < y else 1
+    return 0
+
+
 def fit(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
     """A model from (doc_id, text, lang).
 
@@ -183,10 +192,13 @@ def fit(train: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, epochs: int =
     held = arrow_map(sample, "lang string, columns array<int>, values array<float>", run).toArrow()
     number = {lang: k for k, lang in enumerate(languages)}
     data = []
-    for lang, columns, values in zip(held["lang"].to_pylist(), held["columns"], held["values"], strict=True):
-        data.append((columns.values.to_numpy().astype(np.int64), values.values.to_numpy().astype(np.float64), number[lang]))
+    for batch in held.to_batches():
+        # Views of the batch's buffers: the sample stands in the driver's memory once.
+        columns, values = (batch.column(k).values.to_numpy() for k in (1, 2))
+        starts, ends = (batch.column(1).offsets.to_numpy()[cut] for cut in (slice(None, -1), slice(1, None)))
+        data += [(columns[i:j], values[i:j], number[lang]) for lang, i, j in zip(batch.column(0).to_pylist(), starts, ends, strict=True)]
     # The rows come in task order; the order of their contents makes the fit the same in every run.
-    data.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
+    data.sort(key=cmp_to_key(_by_content))
     aside = data[::5] if len(data) >= 50 else []
     _ftrl(model, [r for k, r in enumerate(data) if not aside or k % 5], epochs)
     if aside:
