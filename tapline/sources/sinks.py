@@ -25,17 +25,22 @@ CASE_FILES = {
 }
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_case_tables(tables: dict[str, DataFrame], path: str, fmt: str = "json") -> None:
     """One folder per table, one sub-folder per call inside it.
 
     Rows are range-partitioned on the call and a row hash: small calls have one file,
-    a large one is spread, and there are at most tasks + calls files in all.
+    a large one is spread, and there are at most tasks + calls files in all. The parts are
+    given by number: the work is opening a file for each call, which bytes do not tell.
     """
     for name, df in tables.items():
         target = CASE_FILES.get(name, name)
         plain = [c for c, kind in df.dtypes if "map<" not in kind]
         keyed = df.withColumn("case", case_dir_name("call_id")).withColumn("_spread", F.xxhash64(*plain))
-        keyed.repartitionByRange("case", "_spread").sortWithinPartitions("case").drop("_spread").write.mode("overwrite").partitionBy(
+        keyed.repartitionByRange(_parts(df), "case", "_spread").sortWithinPartitions("case").drop("_spread").write.mode("overwrite").partitionBy(
             "case"
         ).format(fmt).save(f"{path}/{target}")
 
@@ -47,7 +52,7 @@ def write_text_by_call(lines: DataFrame, path: str, order: list[str], column: st
     files whose names keep the order.
     """
     keyed = lines.withColumn("case", case_dir_name("call_id"))
-    keyed.repartitionByRange("case", *order).sortWithinPartitions("case", *order).select("case", column).write.mode(
+    keyed.repartitionByRange(_parts(lines), "case", *order).sortWithinPartitions("case", *order).select("case", column).write.mode(
         "overwrite"
     ).partitionBy("case").text(path)
 
@@ -55,7 +60,7 @@ def write_text_by_call(lines: DataFrame, path: str, order: list[str], column: st
 def write_focused_packets(packets: DataFrame, path: str) -> None:
     """All packets of each call as parquet, in time order within files."""
     keyed = packets.withColumn("case", case_dir_name("call_id"))
-    keyed.repartitionByRange("case", "ts_epoch").sortWithinPartitions("case", "ts_epoch").write.mode(
+    keyed.repartitionByRange(_parts(packets), "case", "ts_epoch").sortWithinPartitions("case", "ts_epoch").write.mode(
         "overwrite"
     ).partitionBy("case").parquet(path)
 
