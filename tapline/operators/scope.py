@@ -15,6 +15,10 @@ SLOT_S = 3600.0
 RADIX = 16
 LEVELS = 12
 
+# Parts the packets of a file are dealt into where they meet every call of the file, and lists its calls stand in.
+SLICES = 256
+CALL_LISTS = 16
+
 
 def is_mux_type(p_type: str = "p_type"):
     return F.coalesce(F.col(p_type).between(*MUX_RANGE), F.lit(False))
@@ -90,6 +94,19 @@ def _match_ports(packets: DataFrame, ports: DataFrame, spans: DataFrame | None,
     return found.where(once).select("call_id", *packets.columns)
 
 
+def _of_files(packets: DataFrame, calls: DataFrame) -> DataFrame:
+    """Packets with every one of the ``calls`` (call_id, file_idx) of their file.
+
+    The rows are packets times calls, so a file's packets are dealt over slices, each a task of
+    its own however few bytes it reads, and the file's calls arrive there as lists.
+    """
+    lists = calls.groupBy("file_idx", F.pmod(F.xxhash64("call_id"), F.lit(CALL_LISTS)).alias("_list")).agg(F.collect_list("call_id").alias("_calls"))
+    lists = lists.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)).cast("array<bigint>")))
+    dealt = packets.withColumn("_slice", F.pmod(F.xxhash64(*packets.columns), F.lit(SLICES))).repartition(SLICES, "file_idx", "_slice")
+    met = dealt.join(lists, ["file_idx", "_slice"])
+    return met.select(F.explode("_calls").alias("call_id"), *packets.columns)
+
+
 def scope_media_to_calls(
     packets: DataFrame,
     ports: DataFrame,
@@ -124,19 +141,46 @@ def scope_media_to_calls(
     if call_files is not None:
         wanted = call_files.select("call_id", "file_idx").distinct()
 
-        def whole(rows: DataFrame, calls: DataFrame) -> DataFrame:
-            return rows.join(calls, "file_idx").select("call_id", *packets.columns)
-
         if spans is None:
-            out = out.unionByName(whole(packets, wanted))
+            out = out.unionByName(_of_files(packets, wanted))
         else:
             of_known = wanted.join(known.select("call_id"), "call_id", "left_semi")
             in_time = _met(timed, of_known.join(_windows(known, slack_seconds), "call_id"), ["file_idx"]).select("call_id", *packets.columns)
-            out = out.unionByName(in_time).unionByName(whole(untimed, of_known))
-            out = out.unionByName(whole(packets, wanted.join(known.select("call_id"), "call_id", "left_anti")))
+            out = out.unionByName(in_time).unionByName(_of_files(untimed, of_known))
+            out = out.unionByName(_of_files(packets, wanted.join(known.select("call_id"), "call_id", "left_anti")))
     return out
 
 
+def scoped_counts(packets: DataFrame, ports: DataFrame, call_files: DataFrame | None = None) -> DataFrame:
+    """Packets ``n``, distinct ``frames`` and ``rtcp`` packets that ``scope_media_to_calls`` gives each call.
+
+    Packets of the same ports, for calls without ports those of the same file, have the same
+    calls, so their counts are scoped in place of the packets. A frame number that stands under
+    one pair of ports (in one file) is counted there; the others are scoped one by one, and each
+    counts once a call. ``call_files`` are calls that have no row in ``ports``.
+    """
+    none = F.lit(None).cast("int")
+    frames = packets.select("file_idx", "src_port", "dst_port", "frame_number", is_rtcp().alias("_r"))
+    sides = [(["src_port", "dst_port"], lambda rows: scope_media_to_calls(rows.withColumn("file_idx", none), ports))]
+    if call_files is not None:
+        unported = call_files.where("file_idx is not null")
+        sides.append((["file_idx"], lambda rows: scope_media_to_calls(rows.withColumns({"src_port": none, "dst_port": none}), ports, call_files=unported)))
+    parts = []
+    for keys, scoped in sides:
+        each = frames.groupBy("frame_number", *keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("_r").alias("rtcp"))
+        doubled = each.where("frame_number is not null").groupBy("frame_number").agg(F.count(F.lit(1)).alias("_places")).where("_places > 1").select("frame_number", F.lit(True).alias("_doubled"))
+        told = each.join(doubled, "frame_number", "left").withColumn("_doubled", F.coalesce("_doubled", F.lit(False)))
+        once = F.count_if(F.col("frame_number").isNotNull() & ~F.col("_doubled")).alias("frames")
+        sums = scoped(told.groupBy(*keys).agg(F.sum("n").alias("n"), once, F.sum("rtcp").alias("rtcp")))
+        again = scoped(told.where("_doubled").select(*keys, "frame_number")).select("call_id", "frame_number").distinct()
+        zero = F.lit(0).cast("bigint")
+        parts += [sums.select("call_id", "n", "frames", "rtcp"), again.groupBy("call_id").agg(zero.alias("n"), F.count(F.lit(1)).alias("frames"), zero.alias("rtcp"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("call_id").agg(*[F.sum(c).alias(c) for c in ("n", "frames", "rtcp")])
+
+
 def calls_without_ports(messages: DataFrame, ports: DataFrame) -> DataFrame:
     """(call_id, file_idx) of calls that announced no media port."""
     return (

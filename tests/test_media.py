@@ -264,3 +264,37 @@ def test_hold_suppresses_gap_findings(table):
 
     assert codes((5.0, 9.0)) == set() and codes((5.0, None)) == set()
     assert codes((1.0, 2.0)) == {"RTP_SEQ_GAP", "RTP_MISSING_RTCP"} and codes((7.0, 9.0)) == {"RTP_SEQ_GAP", "RTP_MISSING_RTCP"}
+
+
+def test_scoped_counts_equal_the_scoped_rows(spark, table):
+    """Frame numbers that are null, doubled under one pair of ports, under several and in several files."""
+    rng = random.Random(5)
+    rows = [
+        dict(file_idx=rng.choice([0, 1, 2, None]), frame_number=rng.choice([None, *range(40)]), src_port=rng.choice([None, 10, 12, 20]), dst_port=rng.choice([None, 10, 13, 30]),
+             rtcp_pt=rng.choice(["", "200", None]))
+        for _ in range(400)
+    ]
+    p = packets(table, rows).drop("call_id")
+    ports = spark.createDataFrame([("a", 10), ("a", 12), ("b", 13), ("b", 30), ("c", 99)], "call_id string, port int")
+    of_files = spark.createDataFrame([("d", 0), ("d", 1), ("e", 2), ("f", None), ("g", 7)], "call_id string, file_idx int")
+    for files in (None, of_files):
+        want = scope.scope_media_to_calls(p, ports, None, files).groupBy("call_id").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("frame_number").alias("frames"), F.count_if(scope.is_rtcp()).alias("rtcp")
+        )
+        counts = scope.scoped_counts(p, ports, files)
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+        assert {r.call_id for r in want.collect()} == ({"a", "b"} if files is None else {"a", "b", "d", "e"})
+
+
+def test_packets_of_one_file_are_dealt_over_tasks(spark, table):
+    p = packets(table, [dict(src_port=1, dst_port=2) for _ in range(2000)]).drop("call_id")
+    ports = spark.createDataFrame([], "call_id string, port int")
+    calls = spark.createDataFrame([(f"c{i}", 0) for i in range(40)], "call_id string, file_idx int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = scope.scope_media_to_calls(p, ports, None, calls).select("call_id", "frame_number", F.spark_partition_id().alias("part"))
+        sizes = [r["count"] for r in rows.groupBy("part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sum(sizes) == 2000 * 40 and max(sizes) < 2000 * 40 / 8
