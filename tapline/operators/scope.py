@@ -16,7 +16,7 @@ RADIX = 16
 LEVELS = 12
 
 # Parts the packets of a file are dealt into where they meet every call of the file, and lists its calls stand in.
-SLICES = 256
+SLICES = 64
 CALL_LISTS = 16
 
 
@@ -100,11 +100,11 @@ def _of_files(packets: DataFrame, calls: DataFrame) -> DataFrame:
     The rows are packets times calls, so a file's packets are dealt over slices, each a task of
     its own however few bytes it reads, and the file's calls arrive there as lists.
     """
-    lists = calls.groupBy("file_idx", F.pmod(F.xxhash64("call_id"), F.lit(CALL_LISTS)).alias("_list")).agg(F.collect_list("call_id").alias("_calls"))
+    lists = calls.groupBy("file_idx", F.pmod(F.xxhash64("call_id"), F.lit(CALL_LISTS)).alias("_list")).agg(F.collect_list(F.struct("call_id")).alias("_calls"))
     lists = lists.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)).cast("array<bigint>")))
-    dealt = packets.withColumn("_slice", F.pmod(F.xxhash64(*packets.columns), F.lit(SLICES))).repartition(SLICES, "file_idx", "_slice")
+    dealt = packets.withColumn("_slice", F.pmod(F.xxhash64(*packets.columns), F.lit(SLICES))).repartition(2 * SLICES, "file_idx", "_slice")
     met = dealt.join(lists, ["file_idx", "_slice"])
-    return met.select(F.explode("_calls").alias("call_id"), *packets.columns)
+    return met.select(F.explode("_calls").alias("_call"), *packets.columns).select("_call.call_id", *packets.columns)
 
 
 def scope_media_to_calls(
