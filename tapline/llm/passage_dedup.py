@@ -219,22 +219,34 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _aligned(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Places of equal tokens that rise in both, through (at_a, at_b), and the index of that pair.
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The tokens of both as small numbers, in the same order, and how many numbers there are."""
+    kinds, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return codes[: len(a)], codes[len(a) :], len(kinds)
 
-    Of several equal tokens in ``b`` the one nearest to the diagonal of the pair is taken.
+
+def _marked(codes: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` codes, whether it stands in ``codes``."""
+    out = np.zeros(size, bool)
+    out[codes] = True
+    return out
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, in_b: np.ndarray, at_a: int, at_b: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of equal codes that rise in both, through (at_a, at_b), and the index of that pair.
+
+    ``in_b`` tells which of ``a`` stand in ``b``; of several equal codes in ``b`` the one
+    nearest to the diagonal of the pair is taken.
     """
     n = len(b) + 1
-    kinds, rank = np.unique(b, return_inverse=True)
-    spots = np.sort(rank * n + np.arange(n - 1))
-    kind = np.searchsorted(kinds, a)
-    i = np.flatnonzero(kinds[np.minimum(kind, len(kinds) - 1)] == a)
+    spots = np.sort(b * n + np.arange(n - 1))
+    i = np.flatnonzero(in_b)
     want = np.clip(i + at_b - at_a, 0, n - 2)
-    asked = kind[i] * n + want
+    asked = a[i] * n + want
     k = np.searchsorted(spots, asked)
     after, prior = spots[np.minimum(k, n - 2)], spots[np.maximum(k - 1, 0)]
-    far_after = np.where(after // n == kind[i], np.abs(after - asked), n)
-    far_prior = np.where(prior // n == kind[i], np.abs(prior - asked), n)
+    far_after = np.where(after // n == a[i], np.abs(after - asked), n)
+    far_prior = np.where(prior // n == a[i], np.abs(prior - asked), n)
     j = np.where(far_after <= far_prior, after, prior) % n
     sides = []
     for side in ((i < at_a) & (j < at_b), (i > at_a) & (j > at_b)):
@@ -283,18 +295,20 @@ def _passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, hulls: tuple[_H
     own, other, at_a, at_b = a[a0:a1], b[b0:b1], at_a - a0, at_b - b0
     if min(len(own), len(other)) < least:
         return None
+    own, other, size = _coded(own, other)
 
     def judged(x0: int, x1: int, y0: int, y1: int) -> tuple[int, int, int, int, float] | None:
         for p0, p1 in _padded(x0, x1, least, len(own)):
             for q0, q1 in _padded(y0, y1, least, len(other)):
-                x, y = np.unique(own[p0:p1]), np.unique(other[q0:q1])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                likeness = both / (len(x) + len(y) - both)
+                x, y = _marked(own[p0:p1], size), _marked(other[q0:q1], size)
+                both = int(np.count_nonzero(x & y))
+                likeness = both / (int(np.count_nonzero(x)) + int(np.count_nonzero(y)) - both)
                 if likeness >= similar:
                     return a0 + p0, a0 + p1, b0 + q0, b0 + q1, likeness
         return None
 
-    i, j, c = _aligned(own, other, at_a, at_b)
+    in_other = _marked(other, size)[own]
+    i, j, c = _aligned(own, other, in_other, at_a, at_b)
     tried = set()
     # Equal tokens count once in a set but at each of their places: a range that fails is narrowed down to a run.
     for part in (0.0, 0.1, 0.25, 0.5, 0.75, 1.0):
@@ -311,11 +325,10 @@ def _passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, hulls: tuple[_H
         if found := judged(int(i[k]), int(i[m]) + 1, int(j[k]), int(j[m]) + 1):
             return found
     # Passages with parts in another order.
-    in_other = np.isin(own, other)
     for loss in (4.0, 9.0, 19.0):
         x0, x1 = _grown(own, in_other, at_a, loss)
-        y0, y1 = _grown(other, np.isin(other, own[x0:x1]), at_b, loss)
-        x0, x1 = _grown(own, np.isin(own, other[y0:y1]), at_a, loss)
+        y0, y1 = _grown(other, _marked(own[x0:x1], size)[other], at_b, loss)
+        x0, x1 = _grown(own, _marked(other[y0:y1], size)[own], at_a, loss)
         if min(x1 - x0, y1 - y0) >= least * similar:
             if found := judged(x0, x1, y0, y1):
                 return found
@@ -328,7 +341,8 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least
     Only a passage that is accepted spares the other pairs of places inside it.
     """
     found: list[tuple[int, int, int, int, float]] = []
-    hulls = _Hulls(np.isin(a, b), similar), _Hulls(np.isin(b, a), similar)
+    a, b, size = _coded(a, b)
+    hulls = _Hulls(_marked(b, size)[a], similar), _Hulls(_marked(a, size)[b], similar)
     for at_a, at_b in sorted(set(anchors)):
         if any(x0 <= at_a < x1 and y0 <= at_b < y1 for x0, x1, y0, y1, _ in found):
             continue
@@ -365,7 +379,8 @@ def passage_links(docs: DataFrame, nodes: DataFrame, least_words: int = LEAST, s
         columns = batch.columns
         for k in range(batch.num_rows):
             x, y = columns[3][k].values.to_numpy(), columns[4][k].values.to_numpy()
-            anchors = [(s["at_a"], s["at_b"]) for s in columns[2][k].as_py()]
+            places = columns[2][k].values
+            anchors = list(zip(*(places.field(c).to_numpy().tolist() for c in ("at_a", "at_b")), strict=True))
             for x0, x1, y0, y1, likeness in passages(x, y, anchors, least, similar):
                 out.append((columns[0][k].as_py(), columns[1][k].as_py(), x0, x1 + SHINGLE - 1, y0, y1 + SHINGLE - 1, likeness))
         if out:

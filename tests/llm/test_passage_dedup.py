@@ -98,3 +98,18 @@ def test_passages_of_two_places():
     b = np.concatenate([q, noise(100), p, noise(80)])
     got = D.passages(a, b, [(60, 180), (320, 10), (61, 181)], 46, 0.8)
     assert [g[:4] for g in got] == [(50, 110, 170, 230), (310, 380, 0, 70)] and all(g[4] == 1 for g in got)
+
+
+def test_ranges_are_judged_by_marks_and_not_sorted_anew(monkeypatch):
+    for sorter in ("isin", "intersect1d"):
+        monkeypatch.setattr(np, sorter, lambda *a, **k: pytest.fail("a range is sorted"))
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 60, 30).astype(np.uint64)
+    p = np.concatenate([line, line, line])
+    a = np.concatenate([rng.integers(0, 1 << 60, 40).astype(np.uint64), p])
+    b = np.concatenate([p, rng.integers(0, 1 << 60, 50).astype(np.uint64)])
+    got = D.passages(a, b, [(k, k - 40) for k in range(45, 125, 7)], 46, 0.8)
+    assert got
+    for x0, x1, y0, y1, said in got:
+        x, y = set(a[x0:x1].tolist()), set(b[y0:y1].tolist())
+        assert min(x1 - x0, y1 - y0) >= 46 and said == len(x & y) / len(x | y) >= 0.8
