@@ -90,9 +90,10 @@ def positional_fallback(matched: DataFrame, rs_streams: DataFrame, chunk_rows: i
     counts = (
         open_rtp.groupBy("call_id")
         .agg(F.count(F.lit(1)).alias("_a"))
-        .join(open_decl.groupBy("call_id").agg(F.count(F.lit(1)).alias("_b")), "call_id")
+        .join(open_decl.groupBy("call_id").agg(F.count(F.lit(1)).alias("_b")).hint("merge"), "call_id")
         .where("_a = _b")
         .select("call_id")
+        .hint("merge")
     )
     left = dense_index(
         open_rtp.join(counts, "call_id", "left_semi").withColumn(
@@ -106,7 +107,7 @@ def positional_fallback(matched: DataFrame, rs_streams: DataFrame, chunk_rows: i
         ),
         ["call_id"], "_chunk", ["msg_idx", "ord"], "_pos",
     ).select("call_id", "_pos", F.col("stream_id").alias("_sid"))
-    pairs = left.join(right, ["call_id", "_pos"]).select("call_id", "stream_idx", "_sid")
+    pairs = left.join(right.hint("merge"), ["call_id", "_pos"]).select("call_id", "stream_idx", "_sid").hint("merge")
     return matched.join(pairs, ["call_id", "stream_idx"], "left").select(
         *[c for c in matched.columns if c != "matched_siprec_stream_id"],
         F.coalesce("matched_siprec_stream_id", "_sid").alias("matched_siprec_stream_id"),
@@ -132,7 +133,7 @@ def bind_labels(
         matched.join(by_src, ["call_id", "src_port"], "left")
         .join(by_dst, ["call_id", "dst_port"], "left")
         .withColumn("_l", F.coalesce("_ls", "_ld"))
-        .join(chain, ["call_id", "_l"], "left")
+        .join(chain.hint("merge"), ["call_id", "_l"], "left")
         .select(
             *keep,
             F.coalesce("_l", "matched_sdp_label").alias("matched_sdp_label"),

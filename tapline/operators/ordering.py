@@ -6,7 +6,8 @@ works in two levels: a window inside (key, chunk), then a window over one
 summary row per chunk, joined back. ``chunk`` has to grow with the order.
 
 Rows are repartitioned on (key, chunk) explicitly: Spark would accept an input
-that is already partitioned on the key alone, and keep the key in one task.
+that is already partitioned on the key alone, and keep the key in one task. Summary
+rows grow with the keys, so they are joined by sort-merge and not broadcast.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def with_previous(
     carry = tails.select(
         *part, F.lag("_tail").over(W.partitionBy(*keys).orderBy(chunk)).alias("_carry")
     )
-    joined = inner.join(carry, part, "left")
+    joined = inner.join(carry.hint("merge"), part, "left")
     prev = F.coalesce("_prev", "_carry")
     return joined.select(*df.columns, *[prev[n].alias(n) for n in values])
 
@@ -74,7 +75,7 @@ def dense_index(
         W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     )
     offsets = sizes.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return inner.join(offsets, part, "left").select(
+    return inner.join(offsets.hint("merge"), part, "left").select(
         *df.columns, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(name)
     )
 
@@ -96,7 +97,7 @@ def range_index(
     sizes = placed.groupBy(*keys, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
-    return placed.join(offsets, [*keys, "_part"]).select(*df.columns, (F.col("_id") + F.col("_off")).cast("bigint").alias(name))
+    return placed.join(offsets.hint("merge"), [*keys, "_part"]).select(*df.columns, (F.col("_id") + F.col("_off")).cast("bigint").alias(name))
 
 
 def running_total(
@@ -112,7 +113,7 @@ def running_total(
     return (
         base.repartition(*part)
         .withColumn("_in", F.sum("_v").over(upto))
-        .join(offsets, part, "left")
+        .join(offsets.hint("merge"), part, "left")
         .select(*df.columns, (F.col("_off") + F.col("_in")).alias(name))
     )
 
@@ -169,7 +170,7 @@ def as_of_last(
         .repartition(*part)
         .withColumn("_hit", F.last("_r", ignorenulls=True).over(run))
         .where("_side = 1")
-        .join(carry, part, "left")
+        .join(carry.hint("merge"), part, "left")
     )
     hit = F.coalesce("_hit", "_carry")
     return merged.select("_l.*", *[hit[n].alias(n) for n in values])

@@ -186,7 +186,8 @@ class DriverViews:
         args = {"events": self.table("events")}
         if name == "rspa":
             args["customer"] = self.table("customer")
-        return self.spark.sql(f"with {cte('spark', name)} select * from {name}", **args)
+        # Views grow with the tables: joined by sort-merge, not broadcast through the driver.
+        return self.spark.sql(f"with {cte('spark', name)} select * from {name}", **args).hint("merge")
 
     def packets(self) -> DataFrame:
         """Packets that already carry their call."""

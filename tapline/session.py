@@ -58,13 +58,15 @@ def parquet_stage(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
     """A stage that writes a table below the shared folder and reads it back.
 
     It cuts the plan: a lost executor re-reads parquet, and the detectors do
-    not recompute the stream reduction they all start from.
+    not recompute the stream reduction they all start from. A stage grows with
+    the input and is many times larger in memory than its files, by whose size
+    Spark would broadcast it through the driver, so its joins are sort-merge.
     """
     root = work_path(spark, "analysis")
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         target = f"{root}/{name}"
         df.write.mode("overwrite").parquet(target)
-        return spark.read.schema(df.schema).parquet(target)
+        return spark.read.schema(df.schema).parquet(target).hint("merge")
 
     return keep

@@ -5,6 +5,7 @@ import re
 from conftest import PACKET
 from tapline.operators import messages as msg
 from tapline.operators import scope, ssrc, streams, timeline
+from tapline.session import parquet_stage
 
 
 def plan_of(df):
@@ -50,3 +51,12 @@ def test_message_windows_never_cover_a_whole_call(spark, messages, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     row_window = plan[plan.index("lag(_cur"):]
     assert re.search(r"Exchange hashpartitioning\(call_id, _chunk, \d+\), REPARTITION_BY_COL", row_window)
+
+
+def test_stages_and_summary_rows_are_not_broadcast(spark, messages):
+    m = parquet_stage(spark)("m", messages([dict(what="INVITE")]))
+    calls = m.groupBy("call_id").agg({"msg_idx": "max"})
+    plan = plan_of(m.select("call_id", "t_rel").join(calls, "call_id"))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = plan_of(timeline.hold_retrieve_events(messages([dict(what="INVITE")])))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
