@@ -1,21 +1,24 @@
 """Near-duplicate passages by compact windows.
 
-Tokens are five-word shingles. For each of ``HASHES`` hash functions, the Cartesian tree of a
-document's token hashes gives the compact windows: the widest ranges in which one token has
-the smallest hash. All passages of ``LEAST`` words or more inside a window that contain that
-token share its min-hash signature, so a document has about 2 n / LEAST windows a function
-instead of n * n / 2 passages.
-
-1. Windows meet by signature: the smallest token together with the smallest, by another
-   hash, of the half passage before it, and with that of the half passage after it, as far
-   as the window reaches. Every passage in a window covers one of the two halves. In each meeting every window is paired with
-   that of the shortest document (pairs grow with the rows, not with their square).
-   Signatures that a sample finds hot are dealt over salts, whose leaders meet once more.
-2. The pairs of two documents over all functions are joined as intervals: meetings inside
-   one passage count as one.
-3. Equal tokens around each candidate are aligned, and the longest range that holds the
-   similarity is kept if both passages are long enough and their shingle sets have a Jaccard
-   similarity of 0.8. A range that fails is narrowed, not dropped.
+Tokens are five-word shingles. The Cartesian tree of a document's token hashes gives the
+compact windows: the widest ranges in which one token has the smallest hash. All runs of
+``sure_run`` tokens inside a window that contain that token meet by it, so a document has
+about 2 n / run windows instead of n runs.
+
+1. Two passages with the similarity share a run of ``sure_run`` consecutive tokens (see
+   there). A signature is the smallest token of a window together with the half run before
+   it, and with the half run after it, as far as the window reaches; every run in a window
+   covers one of the two halves, so equal runs have an equal signature under any hash.
+2. In each meeting every document is paired with the shortest (pairs grow with the rows, not
+   with their square). Signatures that a sample finds hot are dealt over salts, whose
+   leaders meet once more.
+3. Equal tokens around each meeting place of a pair are aligned, and the longest range that
+   holds the similarity is kept if both passages are long enough and their shingle sets have
+   a Jaccard similarity of 0.8. A range that fails is narrowed, not dropped.
+4. Documents of one signature that are in different classes after that meet each other too,
+   where enough of the tokens around the signature stand in another class as well
+   (``dense_places``); what is left out there can hold no passage with the similarity. In
+   ``ROUNDS`` rounds one more leader meets the others, then all that are left meet.
 
 Documents with equal words are one node: their copies are members of its class, not pairs.
 
@@ -27,6 +30,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -40,7 +44,10 @@ from tapline.llm.common import arrow_map, blocks, connected, lower_ascii, mix, o
 SHINGLE = 5
 #: Least words of a passage, and least similarity of the shingle sets of two.
 LEAST, SIMILAR = 50, 0.8
-HASHES = 3
+#: Hash functions that windows are made by. Every sure run meets by one; more repeat its meetings.
+HASHES = 1
+#: Rounds of further leaders before the documents left of a signature meet pair by pair.
+ROUNDS = 3
 #: Rows of the sample that hot signatures are found in, their least count in it, and the parts each is dealt into.
 SAMPLE_ROWS, HOT_ROWS, SALTS = 200_000, 100, 64
 
@@ -84,26 +91,68 @@ def compact_windows(tokens: np.ndarray, rows: np.ndarray, seed: int, least: int)
     return wide, left[wide], right[wide]
 
 
-def signatures(tokens: np.ndarray, rows: np.ndarray, least: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row, place) of the windows' meetings; each signature once a row."""
-    half = least // 2
+def sure_run(least: int, similar: float) -> int:
+    """Consecutive tokens that two passages of ``least`` tokens or more with the similarity have in common.
+
+    They share ``similar * least`` tokens at least. Where the shared ones stand in several
+    pieces, the words at each break make ``SHINGLE - 1`` tokens of either passage that the other
+    lacks, and the similarity bounds such tokens by (1 - similar) / similar of the shared ones.
+    The longest piece is no shorter than the mean. (Words that repeat at the breaks of several
+    moved pieces can make the breaks cheaper.)
+    """
+    lost = 2 * (SHINGLE - 1) * similar / max(1 - similar, 1e-9)
+    return max(3, min(math.ceil(max(similar * least, lost * (pieces - 1)) / pieces - 1e-6) for pieces in range(1, 9)))
+
+
+def signatures(tokens: np.ndarray, rows: np.ndarray, least: int, hashes: int, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, place) of the windows' meetings, by row, signature and place.
+
+    Of places of a signature whose half runs overlap (the text repeats itself there) the first
+    is given: a passage that holds a later one gains no token by reaching back to it.
+    """
+    run = sure_run(least, similar)
+    half = (run - 1) // 2
     keys, at = [], []
     for seed in range(1, hashes + 1):
-        place, left, right = compact_windows(tokens, rows, seed, least)
-        second = mix(tokens + _U(seed * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+        place, left, right = compact_windows(tokens, rows, seed, run)
         for side, reach, step in ((1, left, -1), (2, right, 1)):
             own = place[reach >= half]
-            low = second[own + step]
-            for distance in range(2, half + 1):
-                np.minimum(low, second[own + step * distance], out=low)
-            keys.append(mix(tokens[own] + mix(low + _U(16 * seed + side))))
+            key = mix(tokens[own] + _U(16 * seed + side))
+            for distance in range(1, half + 1):
+                key = mix(key + tokens[own + step * distance])
+            keys.append(key)
             at.append(own)
     key, place = np.concatenate(keys), np.concatenate(at)
     order = np.lexsort((place, key, rows[place]))
     key, place = key[order], place[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (rows[place[1:]] != rows[place[:-1]])
-    return key[first], rows[place[first]], place[first]
+    kept = np.ones(len(key), bool)
+    kept[1:] = (key[1:] != key[:-1]) | (rows[place[1:]] != rows[place[:-1]]) | (place[1:] - place[:-1] > half)
+    return key[kept], rows[place[kept]], place[kept]
+
+
+def told_apart(tokens: np.ndarray, rows: np.ndarray, key: np.ndarray, row: np.ndarray, place: np.ndarray, reach: int) -> np.ndarray:
+    """Which of the places, sorted by row and signature, stay if one stands for all of a signature
+    in a row that have the same ``reach`` tokens on both sides.
+
+    A text that repeats a line a thousand times has a few such places and not a thousand.
+    """
+    kept = np.ones(len(key), bool)
+    again = np.zeros(len(key), bool)
+    again[1:] = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
+    begin, end = np.searchsorted(rows, row[again], "left"), np.searchsorted(rows, row[again], "right")
+    seen: set[tuple[int, bytes]] = set()
+    for k, low, high in zip(np.flatnonzero(again).tolist(), begin.tolist(), end.tolist(), strict=True):
+        if not again[k - 1]:
+            seen = {_around(tokens, int(place[k - 1]), reach, low, high)}
+        around = _around(tokens, int(place[k]), reach, low, high)
+        kept[k] = around not in seen
+        seen.add(around)
+    return kept
+
+
+def _around(tokens: np.ndarray, at: int, reach: int, low: int, high: int) -> tuple[int, bytes]:
+    begin = max(low, at - reach)
+    return at - begin, hashlib.blake2b(tokens[begin : min(high, at + reach + 1)].tobytes(), digest_size=16).digest()
 
 
 def _word_ids(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,15 +178,17 @@ def node_rows(docs: DataFrame) -> DataFrame:
     return _token_rows(docs, "doc_id bigint, node bigint, words bigint", lambda ids, tokens, rows, nodes, counts: pa.RecordBatch.from_arrays([ids, pa.array(nodes), pa.array(counts)], ["doc_id", "node", "words"]))
 
 
-def window_rows(docs: DataFrame, least: int, hashes: int) -> DataFrame:
-    """signature, words, node, place of all windows."""
+def window_rows(docs: DataFrame, least: int, hashes: int, similar: float) -> DataFrame:
+    """signature, words, node of all windows; each signature once a row."""
 
     def make(ids, tokens, rows, nodes, counts):
-        key, row, place = signatures(tokens, rows, least, hashes)
-        first = np.searchsorted(rows, np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(counts[row].astype(np.int32)), pa.array(nodes[row]), pa.array((place - first[row]).astype(np.int32))], ["signature", "words", "node", "place"])
+        key, row, _ = signatures(tokens, rows, least, hashes, similar)
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        key, row = key[first], row[first]
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(counts[row].astype(np.int32)), pa.array(nodes[row])], ["signature", "words", "node"])
 
-    return _token_rows(docs, "signature bigint, words int, node bigint, place int", make)
+    return _token_rows(docs, "signature bigint, words int, node bigint", make)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,35 +196,93 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The leader's own row comes out as a pair with itself where its signature is salted.
     """
-    key = lead = lead_place = None
+    key = lead = None
     for batch in batches:
-        salted, signature, salt, node, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        salted, signature, salt, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(salted):
             continue
         new = np.ones(len(salted), bool)
         new[1:] = (signature[1:] != signature[:-1]) | (salt[1:] != salt[:-1])
         new[0] = key != (signature[0], salt[0])
         begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-        old = begin < 0
-        leads = np.where(old, lead if lead is not None else 0, node[np.maximum(begin, 0)])
-        places = np.where(old, lead_place if lead is not None else 0, place[np.maximum(begin, 0)])
+        leads = np.where(begin < 0, lead if lead is not None else 0, node[np.maximum(begin, 0)])
         keep = (leads != node) | (new & salted)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (signature, salted, leads, places, node, place)], ["signature", "salted", "a", "at_a", "b", "at_b"])
-        key, lead, lead_place = (signature[-1], salt[-1]), leads[-1], places[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (signature, salted, leads, node)], ["signature", "salted", "a", "b"])
+        key, lead = (signature[-1], salt[-1]), leads[-1]
 
 
-def meetings(windows: DataFrame, hot: DataFrame) -> DataFrame:
-    """(a, at_a, b, at_b): windows of two nodes with the same signature, a the shorter document."""
-    schema = "signature bigint, salted boolean, a bigint, at_a int, b bigint, at_b int"
+def meetings(windows: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): two nodes with a signature in common, a the shorter document; and (signature, node) of those that meet."""
+    schema = "signature bigint, salted boolean, a bigint, b bigint"
     dealt = windows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "signature", "left")
-    dealt = dealt.select(F.coalesce("hot", F.lit(False)).alias("salted"), "signature", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), "words", "node", "place")
-    dealt = dealt.repartition("signature", "salt").sortWithinPartitions("signature", "salt", "words", "node").select("salted", "signature", "salt", "node", "place")
+    dealt = dealt.select(F.coalesce("hot", F.lit(False)).alias("salted"), "signature", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), "words", "node")
+    dealt = dealt.repartition("signature", "salt").sortWithinPartitions("signature", "salt", "words", "node").select("salted", "signature", "salt", "node")
     pairs = stage(dealt.mapInArrow(_stars, schema), "passages-meetings")
     # The leaders of a hot signature's parts: SALTS rows at most for each.
-    leaders = pairs.where("salted and a = b").select("signature", "a", "at_a")
-    top = leaders.groupBy("signature").agg(F.min(F.struct("a", "at_a")).alias("top"))
-    across = leaders.join(top, "signature").where("a <> top.a").select(F.col("top.a").alias("a"), F.col("top.at_a").alias("at_a"), F.col("a").alias("b"), F.col("at_a").alias("at_b"))
-    return pairs.where("a <> b").select("a", "at_a", "b", "at_b").union(across)
+    leaders = pairs.where("salted and a = b").select("signature", "a")
+    top = leaders.groupBy("signature").agg(F.min("a").alias("top"))
+    across = leaders.join(top, "signature").where("a <> top").select(F.col("top").alias("a"), F.col("a").alias("b"))
+    members = pairs.select("signature", F.col("a").alias("node")).union(pairs.select("signature", "b")).distinct()
+    return pairs.where("a <> b").select("a", "b").union(across).distinct(), members
+
+
+def dense_places(members: DataFrame, known: DataFrame, texts: DataFrame, least: int, similar: float) -> DataFrame:
+    """(signature, node, words, width): nodes of signatures of several components, where a passage may hold it.
+
+    A passage with the similarity has (1 - similar) of its distinct tokens at most that the
+    other document lacks. So a place of a signature is left out if no range of ``least`` tokens
+    around it (``width`` is the widest) has so few that stand in no other component of the
+    documents in question.
+    """
+    placed = members.join(known, "node")
+    split = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+    open_nodes = stage(placed.join(split, "signature", "left_semi").select("node", "component").distinct(), "passages-open")
+    own = texts.join(open_nodes, "node")
+    tokens = own.select("node", "component", F.explode(F.array_distinct("tokens")).alias("token"))
+    common = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    marks = tokens.join(common, "token", "left_semi").groupBy("node").agg(F.collect_list("token").alias("common"))
+
+    def run(batch):
+        nodes, words, tokens, keys, places, common = batch.columns
+        for k in range(batch.num_rows):
+            token, key, place = (c[k].values.to_numpy() for c in (tokens, keys, places))
+            codes, listed, size = _coded(token, common[k].values.to_numpy())
+            begin, end = _Hulls(codes, _marked(listed, size), similar).around(place)
+            key, at = np.unique(key, return_inverse=True)
+            width = np.zeros(len(key), np.int64)
+            np.maximum.at(width, at, end - begin)
+            key, width = key[width >= least], width[width >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.full(len(key), c[k].as_py(), np.int64)) for c in (nodes, words)), pa.array(width)], ["signature", "node", "words", "width"])
+
+    return arrow_map(own.join(marks, "node").select("node", "words", "tokens", "keys", "places", "common"), "signature bigint, node bigint, words bigint, width bigint", run)
+
+
+def rest_pairs(dense: DataFrame, known: DataFrame, leaders: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b): nodes of different components with a signature in common, with ``leaders`` those of
+    each signature's widest place only; and the places that are left without the leaders'."""
+    me = F.struct("width", "node", "words", "component")
+    placed = dense.join(known, "node").select("signature", me.alias("one"))
+    split = placed.groupBy("signature").agg(F.min("one.component").alias("low"), F.max("one.component").alias("high"), F.max("one").alias("other")).where("low <> high")
+    if leaders:
+        met = placed.join(split, "signature").where("one.node <> other.node")
+        left = met.select("signature", "one.node", "one.words", "one.width")
+    else:
+        met = placed.join(split.select("signature"), "signature", "left_semi")
+        met = met.join(met.select("signature", F.col("one").alias("other")), "signature").where("one.node < other.node")
+        left = dense.limit(0)
+    shorter = F.struct("one.words", "one.node") < F.struct("other.words", "other.node")
+    pair = F.when(shorter, F.struct(F.col("one.node").alias("a"), F.col("other.node").alias("b"))).otherwise(F.struct(F.col("other.node").alias("a"), F.col("one.node").alias("b")))
+    return met.where("one.component <> other.component").select(pair.alias("pair")).select("pair.*").distinct(), left
+
+
+def joined_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (node, component) with the components that ``links`` connect made one."""
+    ends = links.select("a", "b").distinct()
+    for side in "ab":
+        ends = ends.join(known.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side)
+    merged = connected(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b"), "passages-merged")
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("low"))
+    return stage(known.join(merged, "component", "left").select("node", F.coalesce("low", "component").alias("component")), "passages-components")
 
 
 def _grown(own: np.ndarray, shared: np.ndarray, at: int, loss: float) -> tuple[int, int]:
@@ -185,18 +294,27 @@ def _grown(own: np.ndarray, shared: np.ndarray, at: int, loss: float) -> tuple[i
 
 
 class _Hulls:
-    """For each place, the union of the ranges around it in which ``similar`` of the places are shared."""
+    """For each place, the union of the ranges around it whose distinct tokens may be shared to ``similar``.
+
+    ``codes`` are the tokens of a text, ``shared`` says of each code whether it is shared. Of an
+    unshared token only the first place counts, so no range that meets ``similar`` lies outside.
+    """
 
-    def __init__(self, shared: np.ndarray, similar: float):
+    def __init__(self, codes: np.ndarray, shared: np.ndarray, similar: float):
         whole = round(similar * 1_000_000)
-        total = np.concatenate([[0], np.cumsum(np.where(shared, 1_000_000 - whole, -whole))])
+        first = np.zeros(len(shared), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        own = shared[codes]
+        loss = np.where(first[codes] == np.arange(len(codes)), -whole, 0)
+        total = np.concatenate([[0], np.cumsum(np.where(own, 1_000_000 - whole, loss))])
         self.low = np.minimum.accumulate(total)
         self.high = np.maximum.accumulate(total[::-1])[::-1]
 
-    def around(self, at: int) -> tuple[int, int]:
-        begin = int(np.searchsorted(-self.low[: at + 1], -self.high[at + 1], "left"))
-        end = int(np.searchsorted(-self.high[at + 1 :], -self.low[at], "right")) + at
-        return (begin, end) if begin <= at < end else (at, at)
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.searchsorted(-self.low, -self.high[at + 1], "left")
+        end = np.searchsorted(-self.high, -self.low[at], "right") - 1
+        inside = (begin <= at) & (at < end)
+        return np.where(inside, begin, at), np.where(inside, end, at)
 
 
 def _rising(values: list[int]) -> list[int]:
@@ -287,10 +405,11 @@ def _padded(begin: int, end: int, least: int, size: int) -> list[tuple[int, int]
     return [(s, min(size, s + least)) for s in sorted(starts)]
 
 
-def _passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, hulls: tuple[_Hulls, _Hulls], least: int, similar: float) -> tuple[int, int, int, int, float] | None:
+def _passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, hulls: tuple[tuple[int, int], tuple[int, int]], least: int, similar: float) -> tuple[int, int, int, int, float] | None:
     """A long range of both texts around a pair of places whose token sets have the similarity, if there is one."""
-    (a0, a1), (b0, b1) = hulls[0].around(at_a), hulls[1].around(at_b)
+    (a0, a1), (b0, b1) = hulls
     # A passage of the least length may end in tokens that aren't shared.
+    whole = (a0, a1, b0, b1)
     a0, a1, b0, b1 = max(0, a0 - least), min(len(a), a1 + least), max(0, b0 - least), min(len(b), b1 + least)
     own, other, at_a, at_b = a[a0:a1], b[b0:b1], at_a - a0, at_b - b0
     if min(len(own), len(other)) < least:
@@ -332,7 +451,8 @@ def _passage(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, hulls: tuple[_H
         if min(x1 - x0, y1 - y0) >= least * similar:
             if found := judged(x0, x1, y0, y1):
                 return found
-    return None
+    # Texts that repeat the tokens the other lacks: their places weigh nothing in a set.
+    return judged(whole[0] - a0, whole[1] - a0, whole[2] - b0, whole[3] - b0)
 
 
 def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least: int, similar: float) -> list[tuple[int, int, int, int, float]]:
@@ -342,56 +462,99 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least
     """
     found: list[tuple[int, int, int, int, float]] = []
     a, b, size = _coded(a, b)
-    hulls = _Hulls(_marked(b, size)[a], similar), _Hulls(_marked(a, size)[b], similar)
-    for at_a, at_b in sorted(set(anchors)):
-        if any(x0 <= at_a < x1 and y0 <= at_b < y1 for x0, x1, y0, y1, _ in found):
-            continue
-        one = _passage(a, b, at_a, at_b, hulls, least, similar)
-        if one and one not in found:
-            found.append(one)
+    shared = _marked(a, size) & _marked(b, size)
+    at_a, at_b = np.array(sorted(set(anchors)), np.int64).reshape(-1, 2).T
+    hulls_a, hulls_b = _Hulls(a, shared, similar).around(at_a), _Hulls(b, shared, similar).around(at_b)
+    # No passage with the similarity reaches beyond a hull.
+    left = np.flatnonzero((hulls_a[1] - hulls_a[0] >= least) & (hulls_b[1] - hulls_b[0] >= least))
+    while len(left):
+        k, left = int(left[0]), left[1:]
+        one = _passage(a, b, int(at_a[k]), int(at_b[k]), tuple((int(h[0][k]), int(h[1][k])) for h in (hulls_a, hulls_b)), least, similar)
+        if one:
+            if one not in found:
+                found.append(one)
+            x0, x1, y0, y1, _ = one
+            left = left[(at_a[left] < x0) | (at_a[left] >= x1) | (at_b[left] < y0) | (at_b[left] >= y1)]
     return found
 
 
-def passage_links(docs: DataFrame, nodes: DataFrame, least_words: int = LEAST, similar: float = SIMILAR, hashes: int = HASHES) -> DataFrame:
-    """(a, b, a_begin, a_end, b_begin, b_end, similarity) of verified passages of two nodes, in words."""
-    least = least_words - SHINGLE + 1
-    windows = window_rows(docs, least, hashes)
-    size = max(1, nodes.agg(F.sum(F.col("words") * F.col("copies"))).first()[0] or 1)
-    share = min(1.0, SAMPLE_ROWS * least / (3 * hashes * size))
-    sample = window_rows(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1), least, hashes)
-    hot = stage(sample.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).select("signature"), "passages-hot")
-    pairs = meetings(windows, hot).groupBy("a", "b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("anchors"))
-    pairs = stage(pairs, "passages-pairs")
+def anchors_of(keys_a: np.ndarray, places_a: np.ndarray, keys_b: np.ndarray, places_b: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs of places with the same signature; the keys of a text are sorted."""
+    first, last = np.searchsorted(keys_b, keys_a, "left"), np.searchsorted(keys_b, keys_a, "right")
+    counts = last - first
+    skip = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(counts) else counts
+    return list(zip(np.repeat(places_a, counts).tolist(), places_b[np.arange(int(counts.sum())) + skip].tolist(), strict=True))
+
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stage(nodes.join(wanted, "node").select("node", F.col("rep").alias("doc_id")), "passages-wanted")
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, least: int, hashes: int, similar: float) -> DataFrame:
+    """node, words, tokens, signatures (keys, sorted, and their places) of the wanted nodes, from one copy of each."""
+    wanted = stage(nodes.join(wanted, "node").select("node", "words", F.col("rep").alias("doc_id")), "passages-wanted")
+    reals = wanted.withColumnRenamed("doc_id", "rep")
 
     def make(ids, tokens, rows, own, counts):
-        edges = pa.array(np.searchsorted(rows, np.arange(len(own) + 1)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([ids, pa.array(own), pa.ListArray.from_arrays(edges, pa.array(tokens.astype(np.uint32).view(np.int32)))], ["doc_id", "node", "tokens"])
+        def lists(at, values):
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(own) + 1)).astype(np.int32)), pa.array(values))
 
-    texts = _token_rows(only_listed(docs.select("doc_id", "text"), "doc_id", wanted), "doc_id bigint, node bigint, tokens array<int>", make)
-    texts = texts.join(wanted, (texts["node"] == wanted["node"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    texts = stage(texts, "passages-tokens")
+        key, row, place = signatures(tokens, rows, least, hashes, similar)
+        key = key.view(np.int64)
+        order = np.lexsort((place, key, row))
+        key, row, place = key[order], row[order], place[order]
+        kept = told_apart(tokens, rows, key, row, place, 2 * least)
+        key, row, place = key[kept], row[kept], place[kept]
+        place = place - np.searchsorted(rows, row)
+        return pa.RecordBatch.from_arrays([ids, pa.array(own), lists(rows, tokens.astype(np.uint32).view(np.int32)), lists(row, key), lists(row, place.astype(np.int32))], ["doc_id", "node", "tokens", "keys", "places"])
+
+    texts = _token_rows(only_listed(docs.select("doc_id", "text"), "doc_id", wanted), "doc_id bigint, node bigint, tokens array<int>, keys array<bigint>, places array<int>", make)
+    texts = texts.join(reals, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", F.struct("words", "tokens", "keys", "places").alias("text"))
+    return stage(texts.groupBy("node").agg(F.first("text").alias("text")).select("node", "text.*"), "passages-tokens")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, least: int, similar: float) -> DataFrame:
+    """(a, b, a_begin, a_end, b_begin, b_end, similarity) of the passages of pairs of nodes, in words."""
 
     def verify(batch):
         out = []
         columns = batch.columns
         for k in range(batch.num_rows):
-            x, y = columns[3][k].values.to_numpy(), columns[4][k].values.to_numpy()
-            places = columns[2][k].values
-            anchors = list(zip(*(places.field(c).to_numpy().tolist() for c in ("at_a", "at_b")), strict=True))
-            for x0, x1, y0, y1, likeness in passages(x, y, anchors, least, similar):
+            x, y, keys_x, keys_y, places_x, places_y = (c[k].values.to_numpy() for c in columns[2:])
+            for x0, x1, y0, y1, likeness in passages(x, y, anchors_of(keys_x, places_x, keys_y, places_y), least, similar):
                 out.append((columns[0][k].as_py(), columns[1][k].as_py(), x0, x1 + SHINGLE - 1, y0, y1 + SHINGLE - 1, likeness))
         if out:
             kinds = (*(pa.int64(),) * 6, pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "a_begin", "a_end", "b_begin", "b_end", "similarity"])
 
-    left, right = texts.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), texts.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "anchors", "tokens_a", "tokens_b")
+    sides = [texts.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("tokens", "keys", "places"))) for x in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "tokens_a", "tokens_b", "keys_a", "keys_b", "places_a", "places_b")
     return arrow_map(joined, "a bigint, b bigint, a_begin bigint, a_end bigint, b_begin bigint, b_end bigint, similarity double", verify)
 
 
+def passage_links(docs: DataFrame, nodes: DataFrame, least_words: int = LEAST, similar: float = SIMILAR, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+    """(a, b, a_begin, a_end, b_begin, b_end, similarity) of verified passages of two nodes, in words; and
+    (node, component): the smallest node that passages connect with each of these nodes."""
+    least = least_words - SHINGLE + 1
+    windows = window_rows(docs, least, hashes, similar)
+    size = max(1, nodes.agg(F.sum(F.col("words") * F.col("copies"))).first()[0] or 1)
+    share = min(1.0, SAMPLE_ROWS * sure_run(least, similar) / (3 * hashes * size))
+    sample = window_rows(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1), least, hashes, similar)
+    hot = stage(sample.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).select("signature"), "passages-hot")
+    pairs, members = meetings(windows, hot)
+    pairs = stage(pairs, "passages-pairs")
+    texts = _texts(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), least, hashes, similar)
+    links = stage(_verified(pairs, texts, least, similar), "passages-links")
+    known = joined_components(members.select("node", F.col("node").alias("component")).distinct(), links)
+
+    # Nodes that their leaders don't connect are compared with further leaders, and then with each other.
+    tried = pairs
+    dense = stage(dense_places(members, known, texts, least, similar), "passages-dense")
+    for leaders in (True,) * ROUNDS + (False,):
+        rest, dense = rest_pairs(dense, known, leaders)
+        rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "passages-rest")
+        dense = stage(dense, "passages-left")
+        more = stage(_verified(rest, texts, least, similar), "passages-more")
+        tried, links, known = tried.union(rest), links.union(more), joined_components(known, more)
+    return links, known
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST, similar: float = SIMILAR, hashes: int = HASHES) -> DataFrame:
     """doc_id, partner_id, begin, end, partner_begin, partner_end (words), similarity, class_id.
 
@@ -403,8 +566,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST, similar: float
     rows = stage(node_rows(docs), "passages-nodes")
     nodes = rows.where(F.col("words") >= least_words).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("words").alias("words"), F.count("*").alias("copies"))
     nodes = stage(nodes, "passages-classes")
-    links = stage(passage_links(docs, nodes, least_words, similar, hashes), "passages-links")
-    labels = connected(links.select("a", "b"), "passages-labels")
+    links, labels = passage_links(docs, nodes, least_words, similar, hashes)
     placed = nodes.join(labels, "node", "left").select("node", "rep", "words", "copies", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("class_id"))
     placed = stage(placed.join(least, "component").select("node", "rep", "words", "copies", "class_id"), "passages-placed")

@@ -113,3 +113,55 @@ def test_ranges_are_judged_by_marks_and_not_sorted_anew(monkeypatch):
     for x0, x1, y0, y1, said in got:
         x, y = set(a[x0:x1].tolist()), set(b[y0:y1].tolist())
         assert min(x1 - x0, y1 - y0) >= 46 and said == len(x & y) / len(x | y) >= 0.8
+
+
+def classes(spark, rows):
+    found = {}
+    for r in run(spark, rows):
+        for i in (r["doc_id"], r["partner_id"]):
+            found.setdefault(i, set()).add(r["class_id"])
+    return found
+
+
+def test_members_that_their_leader_does_not_link_meet_each_other(spark):
+    """Two texts have a passage of 52 words, and 42 words of it stand in three shorter texts."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for _ in range(60):
+        line = words(rng, 42)
+        passage, pair = line + words(rng, 10), (len(rows), len(rows) + 1)
+        rows += [(i, " ".join(words(rng, 90) + passage + words(rng, 90))) for i in pair]
+        rows += [(len(rows) + k, " ".join(words(rng, 20 + 10 * k) + line + words(rng, 30))) for k in range(3)]
+        pairs.append(pair)
+    found = classes(spark, rows)
+    assert all(found.get(i) == {pair[0]} for pair in pairs for i in pair)
+    assert set(found) == {i for pair in pairs for i in pair}
+
+
+def test_a_passage_whose_words_stand_alone_before_it(spark):
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for g in range(8):
+        passage, pair = words(rng, 52), (2 * g, 2 * g + 1)
+        rows += [(i, " ".join(words(rng, 30) + passage[:35] + words(rng, 60) + passage[17:] + words(rng, 60) + passage + words(rng, 30))) for i in pair]
+        pairs.append(pair)
+    found = classes(spark, rows)
+    assert all(found.get(i) == {pair[0]} for pair in pairs for i in pair)
+
+
+def test_rest_pairs_leave_out_a_line_between_other_words(spark):
+    """Documents that have a line of 30 words and no more in common are not compared with each other."""
+    rng = random.Random(13)
+    line = words(rng, 30)
+    texts = [" ".join(words(rng, 60) + line + words(rng, 60)) for _ in range(20)]
+    passage = line + words(rng, 25)
+    texts += [" ".join(words(rng, 90) + passage + words(rng, 60)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nodes = D.node_rows(docs).select("node", D.F.col("doc_id").alias("rep"), "words", D.F.lit(1).alias("copies")).cache()
+    windows = D.window_rows(docs, 46, 1, 0.8).cache()
+    pairs, members = D.meetings(windows, spark.createDataFrame([], "signature bigint"))
+    held = D._texts(docs, nodes, members.select("node").distinct(), 46, 1, 0.8)
+    alone = nodes.select("node", D.F.col("node").alias("component"))
+    ids = {r["node"]: r["rep"] for r in nodes.collect()}
+    assert pairs.count() >= 20
+    assert {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in D.rest_pairs(D.dense_places(members, alone, held, 46, 0.8), alone, False)[0].collect()} == {(20, 21)}

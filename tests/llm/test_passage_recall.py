@@ -80,3 +80,60 @@ def test_edited_passages_share_a_signature(kind):
         keys = [D.signatures(t, np.zeros(len(t), np.int64), LEAST, D.HASHES)[0] for t in sides]
         met += len(np.intersect1d(*keys)) > 0
     assert tried > 150 and met >= 0.98 * tried
+
+
+@pytest.mark.parametrize("least,similar,run", [(46, 0.8, 19), (46, 1.0, 46), (20, 0.8, 16)])
+def test_the_sure_run(least, similar, run):
+    assert D.sure_run(least, similar) == run
+
+
+def test_every_passage_with_the_similarity_shares_a_signature():
+    """Several edits in passages of 50 to 300 words, parts in another order too."""
+    rng = np.random.default_rng(6)
+    tried = 0
+    for _ in range(1500):
+        near = passage = fresh(rng, int(rng.integers(50, 300)))
+        if rng.random() < 0.3:
+            cut = int(rng.integers(1, len(near)))
+            near = np.concatenate([near[cut:], near[:cut]])
+        for _ in range(int(rng.integers(1, 2 + len(passage) // 40))):
+            near = edited(rng, near, ("change", "insert", "delete")[rng.integers(0, 3)], int(rng.integers(0, len(near))))
+        if min(len(near), len(passage)) < 50 or likeness(tokens(passage), tokens(near)) < SIMILAR:
+            continue
+        tried += 1
+        sides = [tokens(np.concatenate([fresh(rng, 80), p, fresh(rng, 70)])) for p in (passage, near)]
+        keys = [D.signatures(t, np.zeros(len(t), np.int64), LEAST, D.HASHES)[0] for t in sides]
+        assert len(np.intersect1d(*keys))
+    assert tried > 400
+
+
+def test_hulls_hold_every_range_with_the_similarity():
+    """Distinct tokens count, so a hull reaches over repeated tokens that the other text lacks."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        codes = rng.integers(0, 12, 30)
+        shared = rng.random(12) < 0.7
+        at = np.flatnonzero(shared[codes])
+        begin, end = D._Hulls(codes, shared, SIMILAR).around(at)
+        for k, place in enumerate(at.tolist()):
+            for x in range(place + 1):
+                for y in range(place + 1, 31):
+                    kinds = np.unique(codes[x:y])
+                    if shared[kinds].mean() >= SIMILAR:
+                        assert begin[k] <= x and y <= end[k]
+
+
+def test_texts_that_repeat_the_tokens_the_other_lacks():
+    """A title and 60 times a line of 30 words, one word of which differs: 43 of 53 distinct tokens are shared."""
+    rng = np.random.default_rng(8)
+    title, line = fresh(rng, 17), fresh(rng, 30)
+    a, b = (tokens(np.concatenate([title, *[edited(np.random.default_rng(s), line, "change", 5)] * 60])) for s in (1, 2))
+    row = np.zeros(len(a), np.int64)
+    sides = []
+    for text in (a, b):
+        key, at, place = D.signatures(text, row, LEAST, 1)
+        kept = D.told_apart(text, row, key, at, place, 2 * LEAST)
+        assert kept.sum() < len(kept) / 4
+        sides += [key[kept], place[kept]]
+    got = D.passages(a, b, D.anchors_of(*sides), LEAST, SIMILAR)
+    assert got and all(said == likeness(a[x0:x1], b[y0:y1]) >= SIMILAR for x0, x1, y0, y1, said in got)
