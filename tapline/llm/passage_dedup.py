@@ -54,13 +54,17 @@ SAMPLE_ROWS, HOT_ROWS, SALTS = 200_000, 100, 64
 _U = np.uint64
 
 
-def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, row) of joined rows, then (word hash, row) of their words."""
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hash, row) of joined rows."""
     data = lower_ascii(data)
     starts, ends, rows = word_spans(data, bounds)
-    words = span_hashes(data, starts, ends)
-    tokens, at = shingle_hashes(words, rows, SHINGLE)
-    return tokens, at, words, rows
+    return span_hashes(data, starts, ends), rows
+
+
+def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row) of joined rows, then (word hash, row) of their words."""
+    words, rows = words_of(data, bounds)
+    return *shingle_hashes(words, rows, SHINGLE), words, rows
 
 
 def _reach(hashes: np.ndarray, rows: np.ndarray, step: int, limit: int) -> np.ndarray:
@@ -227,12 +231,12 @@ def meetings(windows: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dense_places(members: DataFrame, known: DataFrame, texts: DataFrame, least: int, similar: float) -> DataFrame:
-    """(signature, node, words, width): nodes of signatures of several components, where a passage may hold it.
+    """(signature, node, words, width, gains): nodes of signatures of several components, where a passage may hold it.
 
     A passage with the similarity has (1 - similar) of its distinct tokens at most that the
     other document lacks. So a place of a signature is left out if no range of ``least`` tokens
     around it (``width`` is the widest) has so few that stand in no other component of the
-    documents in question.
+    documents in question. ``gains`` are the greatest of ``_Gains`` at the node's places.
     """
     placed = members.join(known, "node")
     split = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
@@ -247,28 +251,40 @@ def dense_places(members: DataFrame, known: DataFrame, texts: DataFrame, least:
         for k in range(batch.num_rows):
             token, key, place = (c[k].values.to_numpy() for c in (tokens, keys, places))
             codes, listed, size = _coded(token, common[k].values.to_numpy())
-            begin, end = _Hulls(codes, _marked(listed, size), similar).around(place)
-            key, at = np.unique(key, return_inverse=True)
-            width = np.zeros(len(key), np.int64)
-            np.maximum.at(width, at, end - begin)
-            key, width = key[width >= least], width[width >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.full(len(key), c[k].as_py(), np.int64)) for c in (nodes, words)), pa.array(width)], ["signature", "node", "words", "width"])
+            shared = _marked(listed, size)
+            begin, end = _Hulls(codes, shared, similar).around(place)
+            wide = np.flatnonzero(end - begin >= least)
+            around = _Gains(codes, shared, similar, least)
+            each = [around.around(*x) for x in zip(place[wide].tolist(), begin[wide].tolist(), end[wide].tolist(), strict=True)]
+            key, at = np.unique(key[wide], return_inverse=True)
+            width, gains = np.zeros(len(key), np.int64), np.full((len(key), 3), -(1 << 60))
+            np.maximum.at(width, at, (end - begin)[wide])
+            np.maximum.at(gains, at, np.array(each, np.int64).reshape(-1, 3))
+            columns = [pa.array(key), *(pa.array(np.full(len(key), c[k].as_py(), np.int64)) for c in (nodes, words)), pa.array(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * 3), pa.array(gains.ravel()))], ["signature", "node", "words", "width", "gains"])
 
-    return arrow_map(own.join(marks, "node").select("node", "words", "tokens", "keys", "places", "common"), "signature bigint, node bigint, words bigint, width bigint", run)
+    return arrow_map(own.join(marks, "node").select("node", "words", "tokens", "keys", "places", "common"), "signature bigint, node bigint, words bigint, width bigint, gains array<bigint>", run)
 
 
 def rest_pairs(dense: DataFrame, known: DataFrame, leaders: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b): nodes of different components with a signature in common, with ``leaders`` those of
-    each signature's widest place only; and the places that are left without the leaders'."""
-    me = F.struct("width", "node", "words", "component")
+    each signature's widest place only; and the places that are left without the leaders'.
+
+    Without ``leaders`` a pair is left out if the gains say that no passage of the two can hold
+    the signature; one that holds another signature of theirs meets by that.
+    """
+    me = F.struct("width", "node", "words", "component", "gains")
     placed = dense.join(known, "node").select("signature", me.alias("one"))
     split = placed.groupBy("signature").agg(F.min("one.component").alias("low"), F.max("one.component").alias("high"), F.max("one").alias("other")).where("low <> high")
     if leaders:
         met = placed.join(split, "signature").where("one.node <> other.node")
-        left = met.select("signature", "one.node", "one.words", "one.width")
+        left = met.select("signature", "one.node", "one.words", "one.width", "one.gains")
     else:
-        met = placed.join(split.select("signature"), "signature", "left_semi")
+        # Places that can't meet the greatest gains of their signature meet none.
+        most = placed.groupBy("signature").agg(F.array(*(F.max(F.col("one.gains")[k]) for k in range(3))).alias("most"), F.min("one.component").alias("low"), F.max("one.component").alias("high"))
+        met = placed.join(most.where("low <> high").select("signature", "most"), "signature").where(_can_meet(F.col("one.gains"), F.col("most"))).drop("most")
         met = met.join(met.select("signature", F.col("one").alias("other")), "signature").where("one.node < other.node")
+        met = met.where(_can_meet(F.col("one.gains"), F.col("other.gains")))
         left = dense.limit(0)
     shorter = F.struct("one.words", "one.node") < F.struct("other.words", "other.node")
     pair = F.when(shorter, F.struct(F.col("one.node").alias("a"), F.col("other.node").alias("b"))).otherwise(F.struct(F.col("other.node").alias("a"), F.col("one.node").alias("b")))
@@ -317,6 +333,50 @@ class _Hulls:
         return np.where(inside, begin, at), np.where(inside, end, at)
 
 
+class _Gains:
+    """For each place, how far the distinct tokens of a range around it can reach ``similar``.
+
+    Two ranges with the similarity have (1 - similar) * shared - similar * (own of one + own of
+    the other) >= 0, over distinct tokens. ``around`` gives the greatest value that one range of
+    ``least`` tokens or more can add to that if it is credited with all, half or none of the
+    shared tokens: ranges around two places can have the similarity only where the credits that
+    make up a whole add up to 0 or more (``_can_meet``). Shared tokens count on each side of the
+    place once, tokens that the other text lacks once in all, so the values are never too small.
+    """
+
+    def __init__(self, codes: np.ndarray, shared: np.ndarray, similar: float, least: int):
+        order = np.argsort(codes, kind="stable")
+        same = codes[order[1:]] == codes[order[:-1]]
+        self.before, self.after = np.full(len(codes), -1), np.full(len(codes), len(codes))
+        self.before[order[1:][same]], self.after[order[:-1][same]] = order[:-1][same], order[1:][same]
+        self.own, self.least, self.seen = shared[codes], least, {}
+        self.loss = int(similar * 1_000_000 + 1e-6)
+
+    def around(self, at: int, begin: int, end: int) -> tuple[int, int, int]:
+        """Of ranges in [begin, end), the hull of the place."""
+        if at not in self.seen:
+            self.seen[at] = self._best(at, begin, end)
+        return self.seen[at]
+
+    def _best(self, at: int, begin: int, end: int) -> tuple[int, int, int]:
+        if end - begin < self.least:
+            return (-(1 << 60),) * 3
+        left, right = self.after[begin:at], self.before[at:end] < at
+        own = self.own[begin:end]
+        gain = own & np.concatenate([left >= at, right])
+        lost = ~own & np.concatenate([left >= end, right])
+        totals = np.zeros((3, end - begin + 1), np.int64)
+        np.cumsum(np.array([[2], [1], [0]]) * (1_000_000 - self.loss) * gain - 2 * self.loss * lost, axis=1, out=totals[:, 1:])
+        first = np.arange(min(at - begin, end - begin - self.least) + 1)
+        best = np.maximum.accumulate(totals[:, ::-1], axis=1)[:, ::-1][:, np.maximum(first + self.least, at - begin + 1)]
+        return tuple((best - totals[:, first]).max(axis=1).tolist())
+
+
+def _can_meet(one, other):
+    """Whether ranges with these gains (all, half, none) can have the similarity; of numbers or of columns."""
+    return (one[0] + other[2] >= 0) & (one[1] + other[1] >= 0) & (one[2] + other[0] >= 0)
+
+
 def _rising(values: list[int]) -> list[int]:
     """Indices of a longest strictly rising part of ``values``."""
     tops: list[int] = []
@@ -467,8 +527,12 @@ def passages(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], least
     hulls_a, hulls_b = _Hulls(a, shared, similar).around(at_a), _Hulls(b, shared, similar).around(at_b)
     # No passage with the similarity reaches beyond a hull.
     left = np.flatnonzero((hulls_a[1] - hulls_a[0] >= least) & (hulls_b[1] - hulls_b[0] >= least))
+    gains = [_Gains(text, shared, similar, least) for text in (a, b)] if len(left) else []
     while len(left):
         k, left = int(left[0]), left[1:]
+        own = gains[0].around(int(at_a[k]), int(hulls_a[0][k]), int(hulls_a[1][k]))
+        if own[0] < 0 or not _can_meet(own, gains[1].around(int(at_b[k]), int(hulls_b[0][k]), int(hulls_b[1][k]))):
+            continue
         one = _passage(a, b, int(at_a[k]), int(at_b[k]), tuple((int(h[0][k]), int(h[1][k])) for h in (hulls_a, hulls_b)), least, similar)
         if one:
             if one not in found:
@@ -551,7 +615,9 @@ def passage_links(docs: DataFrame, nodes: DataFrame, least_words: int = LEAST, s
         rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "passages-rest")
         dense = stage(dense, "passages-left")
         more = stage(_verified(rest, texts, least, similar), "passages-more")
-        tried, links, known = tried.union(rest), links.union(more), joined_components(known, more)
+        tried, links = tried.union(rest), links.union(more)
+        if more.limit(1).count():
+            known = joined_components(known, more)
     return links, known
 
 
