@@ -165,3 +165,22 @@ def test_rest_pairs_leave_out_a_line_between_other_words(spark):
     ids = {r["node"]: r["rep"] for r in nodes.collect()}
     assert pairs.count() >= 20
     assert {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in D.rest_pairs(D.dense_places(members, alone, held, 46, 0.8), alone, False)[0].collect()} == {(20, 21)}
+
+
+def test_rest_pairs_leave_out_words_that_are_repeated_in_both(spark):
+    """Texts of words repeated many times that have one such word in common, too few times for a passage, don't meet."""
+    rng = random.Random(14)
+    texts = []
+    for k in range(20):
+        before, after = ("".join(f"{side}{k}x{w} " * 60 for w in range(3)) for side in "ab")
+        texts.append(before + "the " * rng.randint(30, 40) + after)
+    texts += ["the " * 60 + " ".join(words(rng, 60)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nodes = D.node_rows(docs).select("node", D.F.col("doc_id").alias("rep"), "words", D.F.lit(1).alias("copies")).cache()
+    _, members = D.meetings(D.window_rows(docs, 46, 1, 0.8), spark.createDataFrame([], "signature bigint"))
+    held = D._texts(docs, nodes, members.select("node").distinct(), 46, 1, 0.8)
+    alone = nodes.select("node", D.F.col("node").alias("component"))
+    ids = {r["node"]: r["rep"] for r in nodes.collect()}
+    dense = D.dense_places(members, alone, held, 46, 0.8)
+    assert dense.count() > 2
+    assert {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in D.rest_pairs(dense, alone, False)[0].collect()} == {(20, 21)}

@@ -137,3 +137,29 @@ def test_texts_that_repeat_the_tokens_the_other_lacks():
         sides += [key[kept], place[kept]]
     got = D.passages(a, b, D.anchors_of(*sides), LEAST, SIMILAR)
     assert got and all(said == likeness(a[x0:x1], b[y0:y1]) >= SIMILAR for x0, x1, y0, y1, said in got)
+
+
+def test_gains_leave_out_no_pair_of_ranges_with_the_similarity():
+    """All pairs of ranges around two places, in short texts of few kinds of tokens."""
+    rng = np.random.default_rng(9)
+    met = left_out = 0
+    for _ in range(150):
+        kinds, least = int(rng.integers(4, 14)), 5
+        texts = [rng.integers(0, kinds, 12), rng.integers(2, kinds + 2, 12)]
+        shared = np.zeros(kinds + 2, bool)
+        shared[np.intersect1d(*texts)] = True
+        at = np.flatnonzero(shared[texts[0]])
+        if not len(at) or not shared[texts[1]].any():
+            continue
+        p, q = int(at[0]), int(np.flatnonzero(shared[texts[1]])[0])
+        gains, ranges = [], []
+        for text, place in zip(texts, (p, q), strict=True):
+            begin, end = (int(x[0]) for x in D._Hulls(text, shared, SIMILAR).around(np.array([place])))
+            gains.append(D._Gains(text, shared, SIMILAR, least).around(place, begin, end))
+            ranges.append([set(text[x:y].tolist()) for x in range(place + 1) for y in range(max(place + 1, x + least), 13)])
+        best = max((len(a & b) / len(a | b) for a in ranges[0] for b in ranges[1]), default=0)
+        if best >= SIMILAR:
+            met += 1
+            assert D._can_meet(*gains)
+        left_out += not D._can_meet(*gains)
+    assert met and left_out
