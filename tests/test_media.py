@@ -306,3 +306,25 @@ def test_messages_without_a_call_id_keep_the_packets_of_their_file(spark, table)
     ports = spark.createDataFrame([], "call_id string, port int")
     rows = scope.scope_media_to_calls(p, ports, None, calls).collect()
     assert sorted((r.call_id or "", r.frame_number) for r in rows) == [(c, n) for c in ("", "a") for n in (1, 2, 3)]
+
+
+def test_packets_of_a_file_named_by_a_constant_are_dealt_over_tasks(spark):
+    """The file's number is a constant, bytes are few and tasks are merged by size: still many tasks, one shuffle of the packets."""
+    p = spark.range(1, 3001).selectExpr("0 as file_idx", "id as frame_number", "1 as src_port", "2 as dst_port", "cast(id as double) as ts_epoch")
+    ports = spark.createDataFrame([], "call_id string, port int")
+    calls = spark.createDataFrame([(f"c{i}", 0) for i in range(40)] + [(None, 0), ("x", None), ("y", 1)], "call_id string, file_idx int")
+    rows = scope.scope_media_to_calls(p, ports, None, calls)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(sizes) == 3000 * 41 and len(sizes) > 32 and max(sizes) < 3000 * 41 / 12
+    assert rows.where("call_id is null").count() == 3000 and rows.where("call_id in ('x', 'y')").count() == 0
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(0" not in plan
+
+
+def test_packets_without_frames_or_times_are_dealt_too(spark, table):
+    """Files that are null meet nothing; packets without a frame are told apart by what they have."""
+    rows = [dict(file_idx=i % 3 or None, frame_number=None, ts_epoch=None, seq=i, src_port=1, dst_port=2) for i in range(300)]
+    p = packets(table, rows).drop("call_id")
+    calls = spark.createDataFrame([("a", 1), ("b", 2), ("b", 1), ("n", None)], "call_id string, file_idx int")
+    found = scope.scope_media_to_calls(p, spark.createDataFrame([], "call_id string, port int"), None, calls).groupBy("call_id").count().collect()
+    assert {r[0]: r[1] for r in found} == {"a": 100, "b": 200}
