@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import MEDIA, PACKET, RS_PARTICIPANT, RS_STREAM, STREAM
 from tapline.functions import quality as q
-from tapline.operators import binding, detectors, lifecycle, rtcp, scope, ssrc, streams
+from tapline.operators import binding, detectors, lifecycle, messages as msg, rtcp, scope, ssrc, streams
 
 
 def packets(table, rows):
@@ -328,3 +328,17 @@ def test_packets_without_frames_or_times_are_dealt_too(spark, table):
     calls = spark.createDataFrame([("a", 1), ("b", 2), ("b", 1), ("n", None)], "call_id string, file_idx int")
     found = scope.scope_media_to_calls(p, spark.createDataFrame([], "call_id string, port int"), None, calls).groupBy("call_id").count().collect()
     assert {r[0]: r[1] for r in found} == {"a": 100, "b": 200}
+
+
+def test_focused_packets_of_one_file_are_dealt_over_tasks(spark, messages):
+    """Signalling in one message, media of a file whose number is a constant: many tasks, every packet once a call."""
+    m = messages([dict(what="INVITE", call_id=f"c{i}") for i in range(30)])
+    p = spark.range(1, 2001).selectExpr(
+        "0 as file_idx", "id as frame_number", "cast(id as double) as ts_epoch", "'10.0.0.1' as src_ip", "1 as src_port", "'10.0.0.2' as dst_ip", "2 as dst_port",
+        "case when id % 4 = 0 then '200' else '' end as rtcp_pt",
+    )
+    ports = scope.call_ports(msg.sdp_media(m))
+    rows = scope.focused_packets(m, scope.scope_media_to_calls(p, ports, None, scope.calls_without_ports(m, ports)))
+    found = rows.groupBy(F.spark_partition_id().alias("part"), "kind").count().collect()
+    assert {k: sum(r["count"] for r in found if r.kind == k) for k in ("sip", "rtp", "rtcp")} == {"sip": 30, "rtp": 45_000, "rtcp": 15_000}
+    assert max(r["count"] for r in found) < 60_000 / 12 and len({r.part for r in found}) > 32
