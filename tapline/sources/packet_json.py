@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from .fields import file_index
+from .fields import BROADCAST_FILES, file_index
 
 # The names of the fields that are read.
 _FIELDS = (
@@ -91,6 +91,8 @@ def read_packet_json(spark: SparkSession, path: str, json_lines: bool = False) -
 
     An array export is parsed element by element, one row each, in one task a file;
     ``json_lines`` (one packet per line) splits within files and is the form for large exports.
+    Compressed files of either form are read by one task each. Up to ``BROADCAST_FILES`` files
+    their index is broadcast and no message is shuffled with its body, beyond that Spark chooses.
     """
     if json_lines:
         packets = spark.read.text(path).select(
@@ -105,4 +107,7 @@ def read_packet_json(spark: SparkSession, path: str, json_lines: bool = False) -
         whole = F.coalesce("_source", "layers", F.concat(F.lit("{"), F.nullif(bare, F.lit("")), F.lit("}")), flat)
         packets = objects.select(F.col("_metadata.file_path").alias("file"), whole.alias("packet"))
     rows = messages_of_packets(packets)
-    return rows.join(file_index(rows), "file").drop("file")
+    index = file_index(rows)
+    if spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path")).count() <= BROADCAST_FILES:
+        index = F.broadcast(index)
+    return rows.join(index, "file").drop("file")

@@ -454,3 +454,28 @@ def test_small_cases_are_written_by_several_tasks(spark, tmp_path):
     assert len(files) == 400 and len({f.split("-")[1] for f in files}) > 1
     back = spark.read.json(f"{tmp_path}/media-streams")
     assert back.count() == 400 and back.select("case").distinct().count() == 400
+
+
+def test_packet_exports_are_compressed_and_read_without_a_shuffle_of_messages(spark, tmp_path, monkeypatch):
+    """Files of both forms stay bounded, compressed ones give the rows of plain ones, and their index is broadcast whatever the threshold."""
+    monkeypatch.setattr(driver_queries, "ARRAY_PACKETS", 50)
+    roots = [str(tmp_path / name) for name in ("plain", "packed")]
+    monkeypatch.setattr(driver_queries, "work_path", lambda spark, name, left=iter(roots): next(left))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = DriverViews(spark, "/root/testdata/sf0.001")
+        size = lambda at: sum(os.path.getsize(f) for f in glob.glob(f"{at}/part-*"))
+        plain = driver_queries._json_exports(v)
+        rows = driver_queries.QUERIES["src2_packet_json"](spark, "/root/testdata/sf0.001")
+        packed = roots[1]
+        assert size(f"{packed}/lines") < size(plain[0]) / 3 and size(f"{packed}/arrays") < size(plain[1]) / 3
+        assert all(r["count"] <= 50 for r in spark.read.text(f"{packed}/lines").groupBy(F.input_file_name()).count().collect())
+        for at, lines in zip(plain, (True, False)):
+            again = packet_json.read_packet_json(spark, f"{packed}/{os.path.basename(at)}", json_lines=lines).drop("file_idx")
+            want = packet_json.read_packet_json(spark, at, json_lines=lines).drop("file_idx")
+            assert want.count() and again.exceptAll(want).count() == 0 == want.exceptAll(again).count()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
